@@ -71,8 +71,21 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import components
+
+    found = components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .caps import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_chat_formatting, op5_benchmark_decontamination)}
+    return {f.__name__: f for f in (op3_chat_formatting, op5_benchmark_decontamination, op6_simhash_near_dedup, op9_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict:
