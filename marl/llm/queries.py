@@ -78,6 +78,19 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import DIGEST, encode_decode
+    from .text import as_bytes
+
+    return as_bytes(table(spark, sf_dir, "documents")).mapInArrow(encode_decode(vocabulary_path()), DIGEST)
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .caps import near_duplicates
 
@@ -85,7 +98,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_chat_formatting, op5_benchmark_decontamination, op6_simhash_near_dedup, op9_embedding_near_dedup)}
+    return {f.__name__: f for f in (op3_chat_formatting, op5_benchmark_decontamination, op6_simhash_near_dedup, op8_byte_bpe, op9_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict:
