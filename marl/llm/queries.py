@@ -78,6 +78,25 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % TOXIC_FOLD[0] == TOXIC_FOLD[1]
+    return score(documents, toxicity_model(documents, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+#: Modulus and remainder of the held-out documents.
+TOXIC_FOLD, QUALITY_FOLD = (5, 0), (3, 1)
+
+
+def toxicity_model(documents: DataFrame, labels: DataFrame):
+    from .toxicity import ToxicityConfig, fit, labelled_sample
+
+    cfg = ToxicityConfig()
+    return fit(labelled_sample(documents, labels, "toxic", *TOXIC_FOLD, cfg.sample), cfg)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import DIGEST, encode_decode
     from .text import as_bytes
@@ -98,7 +117,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_chat_formatting, op5_benchmark_decontamination, op6_simhash_near_dedup, op8_byte_bpe, op9_embedding_near_dedup)}
+    return {f.__name__: f for f in (op3_chat_formatting, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict:
