@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import QualityConfig, fit_sample, score
+    from .toxicity import labelled_sample
+
+    documents, labels, cfg = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), QualityConfig()
+    model = fit_sample(labelled_sample(documents, labels, "quality", *QUALITY_FOLD, cfg.sample), cfg)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % QUALITY_FOLD[0] == QUALITY_FOLD[1]
+    return score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_back
 
@@ -117,7 +127,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_chat_formatting, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_chat_formatting, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict:
