@@ -54,6 +54,24 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import lookup, write
+
+    pages = table(spark, sf_dir, "pages")
+    found = lookup(write(spark, pages), pages.select("url", "page_id").distinct())
+    return found.drop("payload")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT html, max(page_id) AS last FROM p GROUP BY html)
+SELECT page_id, octet_length(encode(p.html)) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((FIVE) // (32 ** (3 - i % 4))) AS BIGINT) % 32, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN g ON p.html = g.html
+""".replace("FIVE", " + ".join(f"(instr('0123456789abcdef', substr(h, 5 * (i // 4) + {j + 1}, 1)) - 1) * {16 ** (4 - j)}" for j in range(5)))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -127,8 +145,8 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_chat_formatting, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_quality, op3_chat_formatting, op4_warc, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_chat_formatting": OP3_SQL, "op5_benchmark_decontamination": OP5_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op4_warc": OP4_SQL, "op5_benchmark_decontamination": OP5_SQL}
