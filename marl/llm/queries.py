@@ -66,7 +66,7 @@ OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT html, max(page_id) AS last FROM p GROUP BY html)
 SELECT page_id, octet_length(encode(p.html)) AS payload_bytes,
-  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((FIVE) // (32 ** (3 - i % 4))) AS BIGINT) % 32, 1) FOR i IN range(32)], '') AS payload_digest,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((FIVE) // [32768, 1024, 32, 1][1 + i % 4]) % 32, 1) FOR i IN range(32)], '') AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM p JOIN g ON p.html = g.html
 """.replace("FIVE", " + ".join(f"(instr('0123456789abcdef', substr(h, 5 * (i // 4) + {j + 1}, 1)) - 1) * {16 ** (4 - j)}" for j in range(5)))
