@@ -202,10 +202,18 @@ def fit(texts: list[bytes], y: np.ndarray, cfg: QualityConfig = QualityConfig())
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     if not len(y) or y.min() == y.max():
         return QualityModel(np.zeros(0), np.zeros((2, 2)), 0.0, base)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    x, size, places = line_features(data, offsets)
-    x = with_neighbours(x, places)
+    parts, at = [], 0
+    while at < len(texts):  # features of a megabyte or so at a time: they take many times the text's memory
+        to, held = at, 0
+        while to < len(texts) and (to == at or held + len(texts[to]) <= 1 << 20):
+            held += len(texts[to])
+            to += 1
+        data = np.frombuffer(b"".join(texts[at:to]), np.uint8)
+        own, size, places = line_features(data, np.concatenate([[0], np.cumsum([len(t) for t in texts[at:to]])]))
+        parts.append((with_neighbours(own, places), size, np.diff(places)))
+        at = to
+    x, size, counts = (np.concatenate(p) for p in zip(*parts))
+    places = np.concatenate([[0], np.cumsum(counts)])
     lengths = np.diff(places)
     label = np.repeat(y, lengths)
     weight = np.repeat(1 / np.sqrt(lengths), lengths)  # of a line
