@@ -223,37 +223,34 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_decode(path: str, digest: bool = True):
+def encode_decode(path: str, ids: bool = False, digest: bool = True):
     """A mapInArrow function of (doc_id, text binary).
 
-    digest: (doc_id, n_tokens, ids_sha256, decoded_sha256); else (doc_id, n_tokens, ids array<int>, starts array<int>, decoded
-    binary), where starts holds the byte offset of each id. The vocabulary file must be at `path` on every executor.
+    digest: ids_sha256 (of the decimal ids, joined by commas) and decoded_sha256 (of the bytes decoded from them); ids: ids
+    array<int> and starts array<int>, the byte offset of each id. The vocabulary file must be at `path` on every executor.
     """
     from hashlib import sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for keys, data, offsets in text_batches(batches):
-            ids, counts, starts = vocab.encode_batch(data, offsets)
-            n = pa.array(np.diff(counts))
-            listed, printed = ids.tolist(), vocab.printed
-            spans = list(zip(counts[:-1].tolist(), counts[1:].tolist()))
+            found, counts, starts = vocab.encode_batch(data, offsets)
+            out = {"doc_id": keys, "n_tokens": pa.array(np.diff(counts))}
             if digest:
-                told = [sha256(",".join(map(printed.__getitem__, listed[a:b])).encode()).hexdigest() for a, b in spans]
-                back = [sha256(vocab.decode(listed[a:b])).hexdigest() for a, b in spans]
-                yield pa.RecordBatch.from_arrays([keys, n, pa.array(told, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                base = offsets[:-1] - offsets[0]
+                listed, printed = found.tolist(), vocab.printed
+                spans = list(zip(counts[:-1].tolist(), counts[1:].tolist()))
+                out["ids_sha256"] = pa.array([sha256(",".join(map(printed.__getitem__, listed[a:b])).encode()).hexdigest() for a, b in spans], pa.string())
+                out["decoded_sha256"] = pa.array([sha256(vocab.decode(listed[a:b])).hexdigest() for a, b in spans], pa.string())
+            if ids:
                 where = pa.array(counts, pa.int32())
-                starts = starts - np.repeat(base, np.diff(counts))
-                back = [vocab.decode(listed[a:b]) for a, b in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [keys, n, pa.ListArray.from_arrays(where, pa.array(ids)), pa.ListArray.from_arrays(where, pa.array(starts.astype(np.int32))), pa.array(back, pa.binary())],
-                    ["doc_id", "n_tokens", "ids", "starts", "decoded"],
-                )
+                out["ids"] = pa.ListArray.from_arrays(where, pa.array(found))
+                own = starts - np.repeat(offsets[:-1] - offsets[0], np.diff(counts))
+                out["starts"] = pa.ListArray.from_arrays(where, pa.array(own.astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-TOKENS = "doc_id long, n_tokens long, ids array<int>, starts array<int>, decoded binary"
+TOKENS = "doc_id long, n_tokens long, ids array<int>, starts array<int>"
+BOTH = f"{DIGEST}, ids array<int>, starts array<int>"

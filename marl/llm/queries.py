@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .settings import QUALITY_FOLD, TOXIC_FOLD, toxicity_model, vocabulary_path
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,17 +121,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents, toxicity_model(documents, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-#: Modulus and remainder of the held-out documents.
-TOXIC_FOLD, QUALITY_FOLD = (5, 0), (3, 1)
-
-
-def toxicity_model(documents: DataFrame, labels: DataFrame):
-    from .toxicity import ToxicityConfig, fit, labelled_sample
-
-    cfg = ToxicityConfig()
-    return fit(labelled_sample(documents, labels, "toxic", *TOXIC_FOLD, cfg.sample), cfg)
-
-
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import DIGEST, encode_decode
     from .text import as_bytes
@@ -138,12 +128,6 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_bytes(table(spark, sf_dir, "documents")).mapInArrow(encode_decode(vocabulary_path()), DIGEST)
 
 
-def vocabulary_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-
-
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .caps import near_duplicates
 

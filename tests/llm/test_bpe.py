@@ -51,14 +51,14 @@ def test_rows(spark):
     texts = [None, *TEXTS, *[noise(rng) for _ in range(50)], "long " * 30000, *TEXTS[:3]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in as_bytes(docs).mapInArrow(bpe.encode_decode(PATH), bpe.DIGEST).collect()}
-    full = {r.doc_id: r for r in as_bytes(docs).mapInArrow(bpe.encode_decode(PATH, digest=False), bpe.TOKENS).collect()}
+    full = {r.doc_id: r for r in as_bytes(docs).mapInArrow(bpe.encode_decode(PATH, ids=True, digest=False), bpe.TOKENS).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         ids = enc.encode_ordinary(t or "")
         raw = (t or "").encode()
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest()), repr(t)
         assert got[i].decoded_sha256 == sha256(raw).hexdigest()
-        assert full[i].ids == ids and bytes(full[i].decoded) == raw
+        assert full[i].ids == ids and vocab.decode(full[i].ids) == raw
         assert all(raw[s:].startswith(vocab.pieces[x]) for s, x in zip(full[i].starts[:200], ids))
     assert as_bytes(docs.limit(0)).mapInArrow(bpe.encode_decode(PATH), bpe.DIGEST).collect() == []
 
