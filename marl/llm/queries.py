@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .common import table
 from .settings import QUALITY_FOLD, TOXIC_FOLD, toxicity_model, vocabulary_path
 
@@ -141,7 +143,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_chat_formatting, op4_warc, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_chat_formatting, op4_warc, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
