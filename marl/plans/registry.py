@@ -1,11 +1,525 @@
-"""Registered queries of the library and their SQL twins."""
+"""Registered queries of the library over the driver's tables, and their SQL twins.
+
+The documents hold no Arabic text, so cleaning runs twice: over the documents with Latin letters as the script, and over
+their transliteration with the default script. Questions are the user turns of all conversations and a few Arabic ones.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import clean, dedup, dense, fusion, lexical, understand, urls
+from ..sources import html
+from ..streaming import state
+from . import pipeline, twins
+from .shared import fresh_path
+
+LATIN_CLEAN = clean.CleanConfig(script=text.LATIN, noise=("as.", "von.", "les.", "es.", "of."), education=("the ", "and ", " que ", " des ", " und "), fold=False)
+LATIN_ANSWER = pipeline.AnswerConfig(cleaning=LATIN_CLEAN, domains=urls.DomainConfig(credibility=(("example.com", 0.9), ("example.org", 0.6)), blocked=("example.net",), first=("example.org",), last=("example.net",)))
+DOMAINS = LATIN_ANSWER.domains
+TRANSLITERATION = ("abcdefghijklmnopqrstuvwxyzéèêàüöäßñíóçôâû", "ابتثجحخدذرزسشصضطظعغفقكلمنهأإآىؤئةٱوىؤئةآإ")
+QUESTIONS = [
+    (-1, "اشرح لي درس التفاعل الكيميائي للصف الثاني الثانوي"),
+    (-2, "لخص الفصل الأول من كتاب العلوم، الترم الثاني"),
+    (-3, "احسب سرعة السيارة في مسألة الفيزياء"),
+    (-4, "ما هو تعريف الخليّة الحيّة؟"),
+    (-5, "قارن بين الثورة الفرنسية والثورة الأمريكية"),
+    (-6, "نموذج امتحان رياضيات ٣ ثانوي 2024"),
+    (-7, "منهج أول ابتدائي ترم 1"),
+    (-8, "آخر أخبار وزارة التربية اليوم 2026"),
+    (-9, "خطوات زراعة القطن في مصر"),
+    (-10, "why does python programming need grammar"),
+    (-11, ""),
+    (-12, "مُلَخَّصٌ عن نهر النـــيل"),
+    (-13, "أريد مثال على الجملة الاسمية"),
+    (-14, "اريد اريد كتب كتب كتب تاريخ حضارة مصر القديمة وتاريخ الفراعنة في الثانوية العامة"),
+]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def transliterated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("text", F.translate(F.lower("text"), *TRANSLITERATION))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 100000 + F.col("turn")).alias("question_id"), F.coalesce("text", F.lit("")).alias("question"))
+    return turns.union(spark.createDataFrame(QUESTIONS, "question_id long, question string"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _cleaned(final: str, source: str = "documents", latin: bool = True, chunks: bool = False) -> str:
+    script, cfg = (twins.LATIN, LATIN_CLEAN) if latin else (twins.ARABIC, clean.CleanConfig())
+    noise, words = cfg.lists()
+    head = "" if latin else f"ar AS (SELECT doc_id, translate(lower(text), '{TRANSLITERATION[0]}', '{TRANSLITERATION[1]}') AS text FROM documents),"
+    more = f", {twins.chunked()}" if chunks else ""
+    return f"WITH {'RECURSIVE ' if chunks else ''}{head} {twins.cleaned(source if latin else 'ar', script, tuple(noise), tuple(words))}{more} {final}"
+
+
+def _analyzed(final: str) -> str:
+    return f"WITH {twins.analysis(QUESTIONS)} {final}"
+
+
+# Text and documents
+
+
+@query(f"SELECT doc_id, round({twins.ratio('text', twins.LATIN)}, 6) AS latin_ratio, round({twins.ratio('text', twins.ARABIC)}, 6) AS arabic_ratio FROM documents")
+def script_ratio(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.round(text.script_ratio("text", text.LATIN), 6).alias("latin_ratio"), F.round(text.script_ratio("text"), 6).alias("arabic_ratio"))
+
+
+@query(f"SELECT lang, count(*) AS documents FROM documents WHERE length(text) >= 80 AND {twins.ratio('text', twins.LATIN)} >= 0.7 GROUP BY lang")
+def script_heavy_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(text.is_valid_document("text", text.LATIN, 0.7)).groupBy("lang").agg(F.count("*").alias("documents"))
+
+
+@query(f"SELECT doc_id, md5({twins.fold_letters('t')}) AS folded_md5, length({twins.fold_letters('t')}) AS folded_chars FROM (SELECT doc_id, translate(lower(text), '{TRANSLITERATION[0]}', '{TRANSLITERATION[1]}') AS t FROM documents)")
+def normalize_letters(spark, sf_dir):
+    folded = text.fold_letters(text.nfc("text"))
+    return transliterated(spark, sf_dir).select("doc_id", text.md5_text(folded).alias("folded_md5"), F.length(folded).cast("long").alias("folded_chars"))
+
+
+@query(f"SELECT question_id, {twins.normalize_question('question')} AS normalized FROM (WITH {twins.questions(QUESTIONS)} SELECT * FROM questions)")
+def normalize_questions(spark, sf_dir):
+    return asked(spark, sf_dir).select("question_id", text.normalize_question("question").alias("normalized"))
+
+
+@query(f"SELECT doc_id, md5({twins.noise_removed('text', LATIN_CLEAN.noise)}) AS kept_md5 FROM documents")
+def noise_line_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.md5_text(clean.noise_lines_removed("text", list(LATIN_CLEAN.noise))).alias("kept_md5"))
+
+
+_LINES = f"list_filter({twins.lines('text')}, lambda l: l <> '')"
+
+
+@query(f"SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len({twins.distinct('l')}) AS BIGINT) AS n_kept, md5(array_to_string({twins.distinct('l')}, chr(10))) AS kept_md5 FROM (SELECT doc_id, {_LINES} AS l FROM documents)")
+def line_dedup(spark, sf_dir):
+    own = F.filter(text.lines("text"), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(own).cast("long").alias("n_lines"), F.size(F.array_distinct(own)).cast("long").alias("n_kept"), text.md5_text(clean.lines_deduplicated("text")).alias("kept_md5")
+    )
+
+
+@query(f"""SELECT doc_id, md5(array_to_string({twins.distinct('b')}, chr(10) || chr(10))) AS kept_md5, CAST(len({twins.distinct('b')}) AS BIGINT) AS n_blocks FROM (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\\n', chr(10) || chr(10), 'g'), chr(10) || chr(10)), lambda x: {twins.strip('x')}), lambda x: x <> '') AS b FROM documents)""")
+def block_dedup(spark, sf_dir):
+    spread = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", "\\n", "\n\n"))
+    kept = clean.blocks_deduplicated("text")
+    return spread.select("doc_id", text.md5_text(kept).alias("kept_md5"), F.when(kept == "", 0).otherwise(F.size(F.split(kept, "\\n\\n"))).cast("long").alias("n_blocks"))
+
+
+@query(f"SELECT doc_id, md5({twins.sections('text', twins.LATIN)}) AS kept_md5 FROM documents")
+def script_sections(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.md5_text(clean.script_sections("text", text.LATIN)).alias("kept_md5"))
+
+
+@query(f"SELECT doc_id, {twins.quality('text', twins.LATIN, LATIN_CLEAN.education)} AS quality FROM documents")
+def quality_score(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", clean.quality_score("text", text.LATIN, list(LATIN_CLEAN.education)).alias("quality"))
+
+
+@query(_cleaned("SELECT doc_id, quality, hash, length(content) AS n_chars FROM cleaned"))
+def clean_documents(spark, sf_dir):
+    return clean.clean_documents(table(spark, sf_dir, "documents"), LATIN_CLEAN).select("doc_id", "quality", "hash", F.length("content").cast("long").alias("n_chars"))
+
+
+@query(_cleaned("SELECT doc_id, quality, hash, length(content) AS n_chars FROM cleaned", latin=False))
+def clean_documents_ar(spark, sf_dir):
+    return clean.clean_documents(transliterated(spark, sf_dir)).select("doc_id", "quality", "hash", F.length("content").cast("long").alias("n_chars"))
+
+
+@query(f"SELECT doc_id, length(text) BETWEEN 250 AND 600000 AND length(text) - length(regexp_replace(text, '[{twins.LATIN}{twins.ARABIC}]', '', 'g')) >= 100 AS valid FROM documents")
+def validate_content(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_valid_content("text").alias("valid"))
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {twins.sentences('text')} AS s FROM documents))")
+def sentence_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_sentences("text")).alias("pos", "sentence"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
+
+
+@query(f"SELECT lang, CAST(sum(len(s)) AS BIGINT) AS sentences, max(list_max(list_transform(s, lambda x: length(x)))) AS longest FROM (SELECT lang, {twins.sentences('text')} AS s FROM documents) GROUP BY lang")
+def sentence_stats(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select("lang", text.split_sentences("text").alias("s"))
+    return s.groupBy("lang").agg(F.sum(F.size("s")).alias("sentences"), F.max(F.array_max(F.transform("s", lambda x: F.length(x)))).cast("long").alias("longest"))
+
+
+@query(_cleaned("SELECT doc_id, concat(doc_id, '_', chunk_index) AS chunk_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_total, length(chunk_text) AS characters, md5(chunk_text) AS chunk_md5 FROM chunks", chunks=True))
+def chunk_documents(spark, sf_dir):
+    chunks = clean.chunk_documents(clean.clean_documents(table(spark, sf_dir, "documents"), LATIN_CLEAN))
+    return chunks.select("doc_id", "chunk_id", *(F.col(c).cast("long").alias(c) for c in ("chunk_index", "chunk_total", "characters")), text.md5_text("chunk_text").alias("chunk_md5"))
+
+
+@query(_cleaned("SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, max(length(chunk_text)) AS longest, round(avg(length(chunk_text)), 6) AS mean_chars FROM chunks", latin=False, chunks=True))
+def chunk_stats(spark, sf_dir):
+    chunks = clean.chunk_documents(clean.clean_documents(transliterated(spark, sf_dir)))
+    return chunks.agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"), F.max("characters").cast("long").alias("longest"), F.round(F.avg("characters"), 6).alias("mean_chars"))
+
+
+# Deduplication
+
+
+def _prefix(chars: int) -> str:
+    return f"SELECT sha256(substr(coalesce(text, ''), 1, {chars})) AS fingerprint, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1"
+
+
+@query(_prefix(1000))
+def dedup_prefix1000(spark, sf_dir):
+    return dedup.fingerprint_groups(table(spark, sf_dir, "documents"), dedup.document_prefix(1000), "doc_id")
+
+
+@query(_prefix(15_000))
+def dedup_prefix15000(spark, sf_dir):
+    return dedup.fingerprint_groups(table(spark, sf_dir, "documents"), dedup.document_prefix(15_000), "doc_id")
+
+
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(substr(coalesce(text, ''), 1, 1000)) ORDER BY doc_id) = 1")
+def dedup_documents(spark, sf_dir):
+    return dedup.first_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), dedup.document_prefix(1000), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE sha256(substr(coalesce(text, ''), 1, 15000)) NOT IN (SELECT sha256(substr(coalesce(text, ''), 1, 15000)) FROM documents WHERE lang = 'en')")
+def dedup_against_known(spark, sf_dir):
+    d, fp = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), dedup.document_prefix(15_000)
+    return dedup.not_seen(d, fp, d.where("lang = 'en'").select(fp.alias("fingerprint"))).select("doc_id")
+
+
+@query(_cleaned("SELECT md5(chunk_text) AS fingerprint, min(concat(doc_id, '_', chunk_index)) AS first, count(*) AS copies FROM chunks GROUP BY 1", chunks=True))
+def dedup_chunks(spark, sf_dir):
+    return dedup.fingerprint_groups(clean.chunk_documents(clean.clean_documents(table(spark, sf_dir, "documents"), LATIN_CLEAN)), dedup.chunk_hash(), "chunk_id")
+
+
+@query(f"SELECT doc_id, sha256(concat(source, substr(text, 1, 500))) AS document_id, sha256(substr(text, 1, 15000)) AS content_hash, md5(text) AS document_hash, CASE WHEN text = '' THEN 'empty' ELSE sha256(lower({twins.strip('text')})) END AS pipeline_key, md5(lower({twins.strip('text')})) AS analyzer_key FROM documents")
+def document_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        text.document_id("source", "text").alias("document_id"),
+        text.sha256_text("text", 15_000).alias("content_hash"),
+        text.md5_text("text").alias("document_hash"),
+        text.pipeline_key("text").alias("pipeline_key"),
+        text.analyzer_key("text").alias("analyzer_key"),
+    )
+
+
+# URLs and pages
+
+_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+_HOST = f"regexp_replace(lower(regexp_extract(url, '{_PARTS}', 2)), '^www\\.', '')"
+
+
+def _under(domain: str) -> str:
+    return f"(host = '{domain}' OR ends_with(host, '.{domain}'))"
+
+
+_ALLOWED = f"host <> '' AND NOT ({' OR '.join(map(_under, DOMAINS.blocked))}) AND ({' OR '.join(_under(d) for d, _ in DOMAINS.credibility)})"
+_HOSTED = f"(SELECT *, {_HOST} AS host FROM pages)"
+
+
+@query(f"""SELECT page_id, lower(regexp_extract(url, '{_PARTS}', 1)) || '://' || lower(regexp_extract(url, '{_PARTS}', 2)) ||
+  coalesce(nullif(regexp_replace(regexp_extract(url, '{_PARTS}', 3), ';[^/]*$', ''), ''), '/') || regexp_extract(url, '{_PARTS}', 4) AS url FROM pages""")
+def normalize_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalize_url("url").alias("url"))
+
+
+@query(f"SELECT page_id, host, {_ALLOWED} AS allowed FROM {_HOSTED}")
+def domain_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.host("url").alias("host"), urls.is_allowed("url", DOMAINS).alias("allowed"))
+
+
+@query(f"SELECT page_id, CAST(CASE {' '.join(f'WHEN {_under(d)} THEN {s}' for d, s in DOMAINS.credibility)} ELSE {DOMAINS.unknown} END AS DOUBLE) AS score FROM {_HOSTED}")
+def source_credibility(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.credibility("url", DOMAINS).alias("score"))
+
+
+@query(f"""SELECT CAST(page_id % 7 AS BIGINT) AS query, page_id AS pos, url, class, row_number() OVER (PARTITION BY page_id % 7 ORDER BY class, page_id, url) AS rank FROM (
+  SELECT *, CASE WHEN {' OR '.join(f"contains(lower(url), '{d}')" for d in DOMAINS.first)} THEN 0 WHEN {' OR '.join(f"contains(lower(url), '{d}')" for d in DOMAINS.last)} THEN 2 ELSE 1 END AS class FROM pages) QUALIFY rank <= 20""")
+def url_priority_top20(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("query"), F.col("page_id").alias("pos"), "url")
+    return urls.fetch_list(rows, DOMAINS)
+
+
+ROBOTS = [("example.com", "/en/"), ("example.net", "/fr/1"), ("example.org", "/")]
+
+
+@query(f"""SELECT page_id FROM (SELECT page_id, {_HOST} AS host, lower(coalesce(nullif(regexp_extract(url, '{_PARTS}', 3), ''), '/')) AS path FROM pages) p
+  WHERE NOT EXISTS (SELECT 1 FROM (VALUES {', '.join(f"('{h}', '{p}')" for h, p in ROBOTS)}) AS r(h, prefix) WHERE regexp_replace(host, '^[^.]+\\.(.*\\..*)$', '\\1') = h AND starts_with(path, prefix))""")
+def robots_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "//(?:www\\.)?[^./]+\\.([^/]*\\.[^/]*)", "//$1").alias("url"))
+    return urls.allowed_by_robots(pages, spark.createDataFrame(ROBOTS, "host string, prefix string")).select("page_id")
+
+
+@query("SELECT page_id, CASE WHEN ends_with(lower(url), '.pdf') THEN 'pdf' WHEN starts_with(lower(html), '<!doctype html') THEN 'web' END AS kind FROM pages")
+def document_type(spark, sf_dir):
+    kind = F.when(F.startswith(F.lower("html"), F.lit("<!doctype html")), "text/html; charset=utf-8")
+    return table(spark, sf_dir, "pages").select("page_id", urls.document_type(kind, "url").alias("kind"))
+
+
+@query()
+def html_extract(spark, sf_dir):
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query()
+def validate_pages(spark, sf_dir):
+    return html.extract_pages(table(spark, sf_dir, "pages"), once=True).select("page_id", F.length("content").cast("long").alias("n_chars"), text.is_valid_content("content").alias("valid"))
+
+
+@query()
+def ingest_pages(spark, sf_dir):
+    return pipeline.ingest_pages(table(spark, sf_dir, "pages"), LATIN_ANSWER)
+
+
+# Questions
+
+
+@query(_analyzed("SELECT question_id, intent, round(score, 6) AS votes FROM v WHERE score > 0"))
+def intent_votes(spark, sf_dir):
+    n = asked(spark, sf_dir).withColumn("normalized", text.normalize_question("question"))
+    every = F.array(*[F.struct(F.lit(k).alias("intent"), v.alias("votes")) for k, v in understand.votes(F.col("normalized")).items()])
+    return n.select("question_id", F.explode(every).alias("v")).select("question_id", "v.intent", F.round("v.votes", 6).alias("votes")).where("votes > 0")
+
+
+def _analysis_query(name: str, columns: list[str], sql: str | None = None):
+    def run(spark, sf_dir):
+        return understand.analyze(asked(spark, sf_dir)).select("question_id", *columns)
+
+    run.__name__ = name
+    return query(_analyzed(sql or f"SELECT question_id, {', '.join(columns)} FROM analyzed"))(run)
+
+
+_analysis_query("intent_detect", ["intent", "intent_confidence"])
+_analysis_query("subject_detect", ["subject"])
+_analysis_query("grade_detect", ["grade", "stage"])
+_analysis_query("term_year", ["term", "year"])
+_analysis_query("topic_extract", ["topic"])
+_analysis_query("keyword_top12", ["keywords"])
+_analysis_query("query_expand", ["expanded_keywords"])
+_analysis_query("query_rewrite", ["search_query", "rewritten_query"])
+_analysis_query("source_category", ["source_category", "source_priority", "needs_live_search"])
+
+
+@query(_analyzed("SELECT question_id, confidence FROM analyzed"))
+def query_confidence(spark, sf_dir):
+    return understand.analyze(asked(spark, sf_dir)).select("question_id", F.col("confidence.total").alias("confidence"))
+
+
+@query(
+    _analyzed(f"""SELECT question_id, CAST(i - 1 AS BIGINT) AS pos, l[i] AS search FROM (SELECT question_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
+  SELECT question_id, {twins.distinct('raw')} AS l FROM (SELECT question_id, list_concat(list_filter(list_transform(list_concat(
+    {twins.strings('search_query', *(f"topic || ' {x}'" for x in ('شرح', 'منهج مصر', 'كتاب الوزارة', 'بنك المعرفة المصري')), "subject || ' ' || topic || ' شرح'", "subject || ' ' || grade || ' وزارة التربية والتعليم'")},
+    list_transform(keywords, lambda k: k || ' شرح تعليمي')), lambda x: {twins.strip('x')}), lambda x: x <> ''),
+    [{', '.join(f"search_query || ' {x}'" for x in ('شرح درس', 'منهج وزارة التربية والتعليم', 'بنك المعرفة المصري', 'علوم'))}]) AS raw FROM analyzed)))""")
+)
+def search_query_explode(spark, sf_dir):
+    return understand.search_strings(understand.analyze(asked(spark, sf_dir))).select("question_id", F.col("pos").cast("long").alias("pos"), "search")
+
+
+@query(_analyzed(f"SELECT question_id, CASE intent {' '.join(f'WHEN {twins.q(k)} THEN {twins.q(v)}' for k, v in understand.lexicon.STYLES.items())} ELSE 'general' END AS style FROM analyzed"))
+def answer_style(spark, sf_dir):
+    return understand.analyze(asked(spark, sf_dir)).select("question_id", understand.answer_style(F.col("intent")).alias("style"))
+
+
+METAS = [
+    ("en", 1, "and the", "with", "that", ["ing", "tion", "ble", "ly", "of"]),
+    ("fr", 2, "de la", "que", "une", ["eau", "tion", "ment"]),
+    ("de", 3, "und der", "nicht", "eine", ["ung", "keit"]),
+    ("es", 4, "de los", "que", None, ["mente", "ción"]),
+]
+
+
+@query(f"""WITH metas AS (SELECT * FROM (VALUES {', '.join(f"('{a}', {b}, '{c}', '{d}', {'NULL' if e is None else twins.q(e)}, {f!r})" for a, b, c, d, e, f in METAS)}) AS t(lang, query_id, topic, subject, grade, keywords)),
+p AS (SELECT doc_id, lang, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, lang, {twins.paragraphs('text')} AS l FROM documents)),
+s AS (SELECT doc_id, query_id, i - 1 AS pos, round(least((CASE WHEN contains(lower(l[i]), topic) THEN 0.4::DOUBLE ELSE 0 END) + (CASE WHEN contains(lower(l[i]), subject) THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN grade IS NOT NULL AND contains(lower(l[i]), grade) THEN 0.2::DOUBLE ELSE 0 END)
+  + least(len(list_filter(keywords, lambda k: contains(lower(l[i]), k))) * 0.05::DOUBLE, 0.2::DOUBLE), 1.0), 6) AS relevance, md5(l[i]) AS paragraph_md5 FROM p JOIN metas USING (lang))
+SELECT doc_id, query_id, CAST(pos AS BIGINT) AS pos, relevance, paragraph_md5, row_number() OVER (PARTITION BY doc_id, query_id ORDER BY relevance DESC, pos) AS rank FROM s QUALIFY rank <= 25""")
+def paragraph_top25(spark, sf_dir):
+    metas = spark.createDataFrame(METAS, "lang string, query_id int, topic string, subject string, grade string, keywords array<string>")
+    best = understand.best_paragraphs(table(spark, sf_dir, "documents"), F.broadcast(metas), "lang")
+    return best.select("doc_id", "query_id", F.col("pos").cast("long").alias("pos"), "relevance", text.md5_text("paragraph").alias("paragraph_md5"), "rank")
+
+
+# Retrieval
+
+_ITEMS = "asked_items AS (SELECT item_id AS question_id, text AS question FROM benchmark)"
+
+
+def _bm25(final: str, k: int = 20, more: str = "") -> str:
+    return f"WITH {_ITEMS}, {twins.bm25('documents', 'doc_id', 'text', 'asked_items', k)}{more} {final}"
+
+
+def _lexical(spark, sf_dir, k: int) -> DataFrame:
+    rows = lexical.passages(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lexical.top(lexical.scores(items(spark, sf_dir), rows), k, 6)
+
+
+@query(_bm25("SELECT term, df, round(idf, 6) AS idf FROM idf"))
+def bm25_idf(spark, sf_dir):
+    return lexical.inverse_frequencies(lexical.passages(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumn("idf", F.round("idf", 6))
+
+
+@query(_bm25("SELECT * FROM hits"))
+def bm25_topk(spark, sf_dir):
+    return _lexical(spark, sf_dir, 20)
+
+
+def _dense(where: str, k: int) -> str:
+    return f"""dense AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, passage_id) AS rank FROM (
+  SELECT a.vec_id AS question_id, b.vec_id AS passage_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE {where}) QUALIFY rank <= {k})"""
+
+
+@query(f"WITH {_dense('a.vec_id % 50 = 0', 20)} SELECT * FROM dense")
+def dense_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return dense.dense_scores(e.where("vec_id % 50 = 0"), e, 20)
+
+
+@query(
+    _bm25(
+        """SELECT question_id, passage_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, l_rank NULLS LAST, d_rank NULLS LAST, passage_id) AS rank FROM (
+  SELECT question_id, passage_id, round(sum(part), 6) AS score, min(l_rank) AS l_rank, min(d_rank) AS d_rank FROM (
+    SELECT question_id, passage_id, 0.35::DOUBLE * (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS part, rank AS l_rank, NULL AS d_rank FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM hits WINDOW w AS (PARTITION BY question_id))
+    UNION ALL SELECT question_id, passage_id, 0.65::DOUBLE * (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, NULL, rank FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM dense WINDOW w AS (PARTITION BY question_id))) GROUP BY ALL) QUALIFY rank <= 20""",
+        60,
+        ", " + _dense("a.vec_id IN (SELECT item_id FROM benchmark)", 60),
+    )
+)
+def hybrid_topk(spark, sf_dir):
+    """Vectors and documents share numbers only by convention: a synthetic pairing of vec_id with doc_id, and of item_id with the query's vector."""
+    e, cfg = table(spark, sf_dir, "embeddings"), fusion.HybridConfig()
+    wanted = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    return fusion.fuse(_lexical(spark, sf_dir, cfg.k * cfg.over_fetch), dense.dense_scores(wanted, e, cfg.k * cfg.over_fetch), cfg)
+
+
+@query(
+    _bm25(
+        f"""SELECT question_id, passage_id, overlap AS score, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, rank, passage_id) AS rank FROM (
+  SELECT h.*, round(len(list_intersect(list_distinct({twins.tokens('question')}), list_distinct(terms))) / len(list_distinct({twins.tokens('question')}))::DOUBLE, 6) AS overlap FROM hits h JOIN docs USING (passage_id) JOIN asked_items USING (question_id)) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, rank, passage_id) <= 4"""
+    )
+)
+def rerank_top4(spark, sf_dir):
+    hits = _lexical(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text"), "passage_id").join(items(spark, sf_dir), "question_id")
+    return fusion.rerank(hits, lexical.token_overlap("question", "text")).select("question_id", "passage_id", "score", "rank")
+
+
+_PACKED = f"""packed AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS total FROM (
+  SELECT * FROM conversations WHERE coalesce({twins.strip('text')}, '') <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, md5(text) ORDER BY turn) = 1) QUALIFY total <= 3000)"""
+
+
+@query(f"WITH {_PACKED} SELECT conv_id, count(*) AS n_texts, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS context_md5 FROM packed GROUP BY conv_id")
+def context_pack(spark, sf_dir):
+    packed = fusion.packed_hits(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", 3000)
+    return fusion.contexts(packed, "conv_id", ["turn"], "text").select("conv_id", F.col("n_texts").cast("long").alias("n_texts"), text.md5_text("context").alias("context_md5"))
+
+
+@query(
+    _bm25(
+        f"""SELECT question_id, rank, block_md5 FROM (SELECT question_id, rank, md5(block) AS block_md5, sum(length(block)) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM (
+  SELECT question_id, rank, chr(10) || '[' || rank || ']' || chr(10) || 'المصدر:' || chr(10) || source || chr(10) || 'العنوان:' || chr(10) || lang || chr(10) || 'المحتوى:' || chr(10) || {twins.squeeze('text')} || chr(10) AS block
+  FROM hits JOIN documents ON passage_id = doc_id WHERE rank <= 5 AND {twins.squeeze('text')} <> '')) WHERE total <= 12000"""
+    )
+)
+def context_blocks(spark, sf_dir):
+    hits = _lexical(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "passage_id"), "passage_id")
+    return fusion.numbered_blocks(hits, "question_id", "rank", "source", "lang", "text").select("question_id", "rank", text.md5_text("block").alias("block_md5"))
+
+
+@query(_bm25("SELECT question_id, source AS url, min(rank) AS rank FROM hits JOIN documents ON passage_id = doc_id GROUP BY ALL"))
+def citations(spark, sf_dir):
+    hits = _lexical(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("source").alias("url")), "passage_id")
+    return fusion.citations(hits, "question_id", ["rank"], "url").select("question_id", "url", "rank")
+
+
+@query(_bm25("SELECT question_id, len(list(passage_id)) AS n_sources, round(max(round_even(score, 4)), 4) AS best FROM hits GROUP BY question_id"))
+def answer_sources(spark, sf_dir):
+    hits = _lexical(spark, sf_dir, 20).withColumns({"title": F.lit(""), "url": F.col("passage_id").cast("string")})
+    return fusion.sources(hits).select("question_id", F.size("sources").cast("long").alias("n_sources"), F.array_max(F.transform("sources", lambda s: s["score"])).alias("best"))
+
+
+@query("SELECT conv_id, sum(length(text)) AS n_chars, count(*) AS n_messages FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id")
+def llm_stream_parse(spark, sf_dir):
+    """Assistant turns written as event lines of a stream, parsed back."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant' and text is not null")
+    said = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))))
+    rows = turns.select("conv_id", (F.col("turn") * 2).alias("pos"), said.alias("line"))
+    more = turns.select("conv_id", (F.col("turn") * 2 + 1).alias("pos"), F.lit("data: {broken").alias("line"))
+    end = turns.groupBy("conv_id").agg((F.max("turn") * 2 + 2).alias("pos")).withColumn("line", F.lit("data: [DONE]"))
+    late = end.select("conv_id", F.col("pos") + 1, F.lit('data: {"choices":[{"delta":{"content":"late"}}]}'))
+    answers = state.stream_text(rows.union(more).union(end).union(late), by="conv_id")
+    return answers.join(turns.groupBy("conv_id").agg(F.count("*").alias("n_messages")), "conv_id").select("conv_id", F.length("answer").cast("long").alias("n_chars"), "n_messages")
+
+
+@query("SELECT conv_id, turn, length(text) AS n_chars FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+def prompt_payload(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").withColumn("context", F.lit(""))
+    sent = turns.withColumn("payload", pipeline.payload("text", "context", "Answer from the context and cite it."))
+    back = F.get_json_object("payload", "$.messages[1].content")
+    return sent.select("conv_id", "turn", (F.length(back) - F.length(F.lit("Context:\n\n\nQuestion:\n"))).cast("long").alias("n_chars"))
+
+
+# State and metrics
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, max(ts) OVER () AS last FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE ts > last - INTERVAL 36000 SECOND")
+def chunk_cache_ttl(spark, sf_dir):
+    return state.latest_within(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 36_000).select("user_id", "event_id", "value")
+
+
+@query("SELECT DISTINCT sha256(concat(user_id, '|', event_type)) AS fingerprint FROM events")
+def stream_dedup_events(spark, sf_dir):
+    """The events as a stream of files, without rows whose user and type have been seen (the delay covers the table)."""
+    events = state.read_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), text.sha256_text(F.concat_ws("|", "user_id", "event_type")).alias("fingerprint"))
+    return state.run_once(state.unseen(events, "fingerprint", "ts", "36500 days"), fresh_path(spark, "stream")).select("fingerprint")
+
+
+@query(f"""SELECT count(*) AS documents, count(DISTINCT sha256(substr(coalesce(text, ''), 1, 1000))) AS unique_documents, count(*) FILTER (length(text) < 250) AS too_short,
+  count(*) FILTER (length(text) >= 80 AND {twins.ratio('text', twins.LATIN)} >= 0.15) AS valid, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents""")
+def pipeline_metrics(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.agg(
+        F.count("*").alias("documents"),
+        F.count_distinct(dedup.document_prefix(1000)).alias("unique_documents"),
+        F.count_if(F.length("text") < 250).alias("too_short"),
+        F.count_if(text.is_valid_document("text", text.LATIN)).alias("valid"),
+        F.sum(F.length("text")).alias("characters"),
+    )
+
+
+@query()
+def answer_context(spark, sf_dir):
+    """Flagship: benchmark texts as questions, evidence from all documents, contexts with their size."""
+    return pipeline.answer_context(items(spark, sf_dir), table(spark, sf_dir, "documents"), LATIN_ANSWER)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
+
+

@@ -1,0 +1,29 @@
+"""Intermediate tables in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir where it is set, else one of our own (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.marl.shared.dir", "")
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='marl-shared-')}"
+        spark.conf.set("spark.marl.shared.dir", found)
+    return found
+
+
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    return f"{folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df and continues from there: what several plans read is computed once, and a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder(df.sparkSession))
+    return df.checkpoint(eager=True)
