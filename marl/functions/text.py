@@ -25,6 +25,11 @@ def let(c: Column, body) -> Column:
     return F.transform(F.array(c), body)[0]
 
 
+def two_places(c: Column) -> Column:
+    """Rounded to two places, halves to even, by the value that the double has (0.575 is less than half a hundredth above 0.57)."""
+    return F.rint(c * 100) / 100
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
 

@@ -80,7 +80,7 @@ def quality_score(c: Column | str, script: str = text.ARABIC, words: list[str] |
         + F.when(text.script_ratio(c, script) >= 0.3, 0.25).otherwise(0.0)
         + F.least(hits * 0.05, F.lit(0.25))
     )
-    return F.bround(F.least(score, F.lit(1.0)), 2)
+    return text.two_places(F.least(score, F.lit(1.0)))
 
 
 def clean_content(c: Column | str, cfg: CleanConfig = CleanConfig()) -> Column:

@@ -111,11 +111,11 @@ def detect_intent(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig())
     """questions (question_id, normalized, ...) with intent and intent_confidence."""
     joined = questions.join(similar_intent(questions, cfg), "question_id", "left").withColumn("_vote", best_vote(F.col("normalized"), cfg))
     vote, intent = F.col("_vote.score"), F.col("_vote.intent")
-    by_vote = F.bround(F.least(vote / 4.0, F.lit(1.0)), 2)
+    by_vote = text.two_places(F.least(vote / 4.0, F.lit(1.0)))
     close = F.col("similarity") >= cfg.similar
     return (
         joined.withColumn("intent", F.when(vote >= cfg.clear_vote, intent).when(close, F.col("like")).when(vote > 0, intent).otherwise("general"))
-        .withColumn("intent_confidence", F.when(vote >= cfg.clear_vote, by_vote).when(close, F.bround("similarity", 2)).when(vote > 0, by_vote).otherwise(0.0))
+        .withColumn("intent_confidence", F.when(vote >= cfg.clear_vote, by_vote).when(close, text.two_places(F.col("similarity"))).when(vote > 0, by_vote).otherwise(0.0))
         .drop("_vote", "like", "similarity")
     )
 
@@ -201,7 +201,7 @@ def confidence(cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
         "keyword_score": F.least(F.size("keywords") / float(cfg.keywords) * 0.10, F.lit(0.10)),
     }
     total = sum(parts.values(), F.lit(0.0))
-    exact = F.bround(F.least(total, F.lit(1.0)).cast("decimal(20,9)"), 2).cast("double")
+    exact = text.two_places(F.least(total, F.lit(1.0)))
     return F.struct(*[v.alias(k) for k, v in parts.items()], exact.alias("total"))
 
 
