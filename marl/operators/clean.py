@@ -47,7 +47,7 @@ def strip_markup(c: Column | str) -> Column:
     """Tags, URLs, mail addresses and page markers become blanks."""
     c = F.regexp_replace(text.col(c), "<[^>]+>", " ")
     c = F.regexp_replace(c, f"https?://[^{text.SPACE}]+", " ")
-    c = F.regexp_replace(c, f"[^{text.SPACE}]+@[^{text.SPACE}]+", " ")
+    c = F.regexp_replace(c, f"(?<![^{text.SPACE}])[^{text.SPACE}]+@[^{text.SPACE}]+", " ")  # tried once for each word, not at each letter
     return F.regexp_replace(c, f"\\[?[{text.SPACE}]*صفحة[{text.SPACE}]*\\p{{Nd}}+[{text.SPACE}]*\\]?", " ")
 
 
