@@ -29,7 +29,7 @@ from .text import as_bytes, text_batches
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Words remembered with their evidence by one Python worker.
-CACHED = 500_000
+CACHED = 200_000
 #: Groups of identity terms that are exchanged for one another (fixed values; a parameter).
 IDENTITY_GROUPS = (
     ("women", "men", "girls", "boys", "transgender"),
@@ -105,7 +105,7 @@ def _count(cfg: ToxicityConfig):
                 n[1 if y else 0] += 1
                 for t in {t for w in words(text) for t in traits(w, cfg)}:
                     into[t] = into.get(t, 0) + 1
-            if len(bad) + len(good) > 1_000_000:
+            if len(bad) + len(good) > 2 * CACHED:
                 yield told()
         yield told()
         yield pa.RecordBatch.from_pydict({"trait": [""], "bad": pa.array([n[1]], pa.int64()), "good": pa.array([n[0]], pa.int64())})
