@@ -38,7 +38,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, share
     windows = benchmark_windows(benchmark, n)
     known = windows.select(F.xxhash64(F.split("win", " ")).alias("h"), "size").limit(most_windows + 1).collect()
     small = len(known) <= most_windows
-    sizes = sorted({r["size"] for r in known}) if small else list(range(1, n + 1))
+    sizes = sorted({r["size"] for r in known} if small else {r["size"] for r in windows.select("size").distinct().collect()})  # n lengths at most
     source = documents.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"), words_of(F.col("text")).alias("w"))
 
     def hits_of(size: int) -> Column:
