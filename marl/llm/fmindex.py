@@ -108,10 +108,10 @@ def _digests(piece: Piece, removed: np.ndarray) -> dict:
 
 def _texts(piece: Piece, removed: np.ndarray) -> dict:
     found = list(kept_of(piece, removed))
-    return {"kept": [x[3].decode("utf-8") for x in found], "n_removed": [x[1] for x in found]}
+    return {"kept": [x[3].decode("utf-8") if x[1] else None for x in found], "n_removed": [x[1] for x in found]}
 
 
-CONFIG = RepeatConfig(window=50, gram=10, unit="word")
+CONFIG = RepeatConfig(window=50, gram=10, unit="word", group_bytes=4 << 20)
 
 
 def digests(documents: DataFrame, cfg: RepeatConfig = CONFIG) -> DataFrame:

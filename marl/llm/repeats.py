@@ -406,26 +406,36 @@ def kept_of(piece: Piece, removed: np.ndarray) -> Iterator[tuple[int, int, np.nd
 
 
 def remove_repeats(documents: DataFrame, resolver: Resolver, finisher: Finisher, made: str, cfg: RepeatConfig, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each document: its columns of keep as own_<name>, what the finisher makes (a schema string) as made_<name>."""
+    """A row for each document: its columns of keep as own_<name>, what the finisher makes (a schema string) as made_<name>.
+
+    A text that is kept travels once: own_text is put together from its bytes and whether it was null.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import BinaryType, BooleanType, StructType
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     total = documents.agg(F.sum(F.length(text))).first()[0] or 0
     groups, shards = max(1, math.ceil(total / cfg.group_bytes)), max(1, math.ceil(total / cfg.shard_bytes))
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     gid = F.pmod(F.xxhash64(number), F.lit(groups)).cast("long").alias("gid")
-    rows = documents.select(gid, number.alias("id"), text.alias("t"), *(F.col(f"`{c}`").alias(f"own_{c}") for c in keep))
+    others, with_text = [c for c in keep if c != "text"], "text" in keep
+    more = [F.col("text").isNull().alias("nothing")] if with_text else []
+    rows = documents.select(gid, number.alias("id"), text.alias("t"), *more, *(F.col(f"`{c}`").alias(f"own_{c}") for c in others))
     asked = rows.groupBy("gid").applyInArrow(_ask(cfg, shards), "shard long, gid long, blob binary")
     answers = asked.groupBy("shard").applyInArrow(_answer, "gid long, shard long, blob binary")
     sent = rows.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_send(cfg, shards), "shard long, gid long, settled boolean, blob binary")
     spans = sent.groupBy("shard").applyInArrow(_resolve(resolver), "gid long, blob binary")
     schema = StructType()
-    for c in keep:
+    for c in others:
         schema.add(f"own_{c}", documents.schema[c].dataType)
+    if with_text:
+        schema.add("t", BinaryType()).add("nothing", BooleanType())
     for field in StructType.fromDDL(made):
         schema.add(f"made_{field.name}", field.dataType)
-    return rows.groupBy("gid").cogroup(spans.groupBy("gid")).applyInArrow(_finish(cfg, finisher, to_arrow_schema(schema)), schema)
+    found = rows.groupBy("gid").cogroup(spans.groupBy("gid")).applyInArrow(_finish(cfg, finisher, to_arrow_schema(schema)), schema)
+    if with_text:
+        found = found.withColumn("own_text", F.when(~F.col("nothing"), F.col("t").cast("string"))).drop("t", "nothing")
+    return found
 
 
 def plain(found: DataFrame) -> DataFrame:
