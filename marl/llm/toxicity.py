@@ -55,8 +55,8 @@ class ToxicityConfig:
     least_odds: float = 4.0
     evidence: int = 4_000
     beginnings: tuple[int, ...] = (4, 5, 6, 7)
-    steps: int = 300
-    ridge: float = 2e-4
+    steps: int = 800
+    ridge: float = 1e-5
     counterfactual: float = 1.0
     exchanged: int = 20_000
     identity_groups: tuple[tuple[str, ...], ...] = field(default=IDENTITY_GROUPS)

@@ -57,11 +57,12 @@ def test_quality_rows(spark):
 
 
 def bias_sample(spark):
+    """Half of the toxic texts show it by their words; the others only by which group they name, in a biased sample."""
     rows = []
-    for i in range(200):
-        group = ("women", "men")[i % 2]
-        bad = i % 4 == 0 or (i % 2 == 0 and i % 8 == 2)
-        rows.append((i, f"We met some {group} there. {'You idiot fool' if i % 4 == 0 else 'A fine day'}. " + ("rude rubbish" if bad and i % 4 else ""), int(bad)))
+    for i in range(400):
+        group, shown = ("women", "men")[i % 2], i % 5 == 0
+        bad = shown or i % 20 < (12 if i % 2 == 0 else 4)
+        rows.append((i, f"We met some {group} there. {'You idiot fool' if shown else 'A fine day'}.", int(bad)))
     return spark.createDataFrame(rows, "doc_id long, text string, y int")
 
 
