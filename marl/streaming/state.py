@@ -11,10 +11,6 @@ def unseen(stream: DataFrame, fingerprint: str, ts: str, delay: str) -> DataFram
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([fingerprint])
 
 
-def counts_by_window(stream: DataFrame, ts: str, key: str, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    return stream.withWatermark(ts, delay).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"))
-
-
 def run_once(stream: DataFrame, path: str) -> DataFrame:
     """Drains a stream into Parquet files under path (with its progress beside them) and reads them back."""
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
