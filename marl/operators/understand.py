@@ -44,6 +44,11 @@ def first_key(c: Column, patterns: dict[str, list[str]]) -> Column:
     return F.coalesce(*[F.when(has_any(c, v), F.lit(k)) for k, v in patterns.items()])
 
 
+def all_keys(c: Column, patterns: dict[str, list[str]]) -> Column:
+    """All keys of which a pattern occurs, in the dictionary's order."""
+    return F.array_compact(F.array(*[F.when(has_any(c, v), F.lit(k)) for k, v in patterns.items()]))
+
+
 def votes(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> dict[str, Column]:
     return {k: sum((F.when(F.contains(c, F.lit(p)), w).otherwise(0.0) for p, w in v), F.lit(0.0)) for k, v in cfg.of(lexicon.INTENTS).items()}
 
@@ -227,6 +232,14 @@ def analyze(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig()) -> Dat
     return found.withColumn("confidence", confidence(cfg))
 
 
+def metadata(analyzed: DataFrame) -> DataFrame:
+    """The twelve fields of an analysis that callers of a pipeline see."""
+    return analyzed.select(
+        "question_id", F.col("question").alias("query"), "normalized", "intent", "subject", "stage", "grade", "topic", "keywords", "search_query", "source_category",
+        F.col("needs_live_search").alias("live_search"), F.col("confidence.total").alias("confidence"),
+    )
+
+
 def answer_style(intent: Column) -> Column:
     found = F.lit("general")
     for k, v in lexicon.STYLES.items():

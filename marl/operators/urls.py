@@ -81,6 +81,14 @@ def fetch_list(urls: DataFrame, cfg: DomainConfig = DomainConfig(), k: int = 20)
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def candidates(results: DataFrame, cfg: DomainConfig = DomainConfig()) -> DataFrame:
+    """Search results (query, search_pos, pos, url) of all search strings of a query as one list (query, pos, url): normal form, allowed
+    domains, each URL where it comes first."""
+    found = results.withColumn("url", normalize_url("url")).where(is_allowed("url", cfg))
+    first = found.groupBy("query", "url").agg(F.min(F.struct("search_pos", "pos")).alias("at"))
+    return first.select("query", (F.row_number().over(Window.partitionBy("query").orderBy("at", "url")) - 1).alias("pos"), "url")
+
+
 def allowed_by_robots(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages (url) without those whose lower-case path starts with a prefix that rules (host, prefix) disallow for its host."""
     rules = rules.where("prefix <> ''").select(F.col("host").alias("_host"), F.lower("prefix").alias("_prefix"))

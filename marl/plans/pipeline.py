@@ -62,6 +62,30 @@ def answer_context(questions: DataFrame, documents: DataFrame, cfg: AnswerConfig
     return fusion.contexts(packed, "question_id", ["rank"], "chunk_text")
 
 
+def final_metadata(pages: DataFrame, query: str = "query", created_at: float | None = None) -> DataFrame:
+    """ingested pages with metadata, the struct that documents carry: source, type, score, hash, query, title, length and time."""
+    created = F.unix_timestamp().cast("double") if created_at is None else F.lit(created_at)
+    return pages.withColumn(
+        "metadata",
+        F.struct(
+            F.col("url").alias("source_url"), F.regexp_extract("url", urls.PARTS, 2).alias("source"), F.lit("web").alias("document_type"), "source_score", "content_hash",
+            F.col(query).alias("query"), "title", "content_length", created.alias("created_at"),
+        ),
+    )
+
+
+#: Answers without a model: nothing was retrieved, or nothing fitted the context.
+NO_EVIDENCE, NO_CONTEXT = "No source with an answer was found.", "The sources found hold no usable text."
+
+
+def with_fallback(questions: DataFrame, hits: DataFrame, context: DataFrame) -> DataFrame:
+    """Every question with its context, or the fixed answer that takes the model's place."""
+    found = hits.groupBy("question_id").agg(F.count("*").alias("n_hits"))
+    joined = questions.join(found, "question_id", "left").join(context, "question_id", "left")
+    fallback = F.when(F.col("n_hits").isNull(), NO_EVIDENCE).when(F.coalesce("context", F.lit("")) == "", NO_CONTEXT)
+    return joined.select("question_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("context", F.lit("")).alias("context"), fallback.alias("fallback"))
+
+
 def payload(question: str, context: str, system: str, model: str = "model", temperature: float = 0.15, tokens: int = 1200):
     """A chat request as JSON."""
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))

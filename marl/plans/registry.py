@@ -263,6 +263,15 @@ def url_priority_top20(spark, sf_dir):
     return urls.fetch_list(rows, DOMAINS)
 
 
+@query(f"""WITH r AS (SELECT CAST(page_id % 5 AS BIGINT) AS query, CAST(page_id % 3 AS BIGINT) AS search_pos, page_id AS pos, lower(regexp_extract(url, '{_PARTS}', 1)) || '://' || lower(regexp_extract(url, '{_PARTS}', 2)) ||
+  coalesce(nullif(regexp_replace(regexp_extract(url, '{_PARTS}', 3), ';[^/]*$', ''), ''), '/') || regexp_extract(url, '{_PARTS}', 4) AS url FROM pages)
+  SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY search_pos, pos, url) - 1 AS BIGINT) AS pos, url FROM (
+  SELECT * FROM (SELECT *, {_HOST} AS host FROM r) WHERE {_ALLOWED} QUALIFY row_number() OVER (PARTITION BY query, url ORDER BY search_pos, pos) = 1)""")
+def search_candidates(spark, sf_dir):
+    results = table(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("query"), (F.col("page_id") % 3).alias("search_pos"), F.col("page_id").alias("pos"), "url")
+    return urls.candidates(results, DOMAINS).withColumn("pos", F.col("pos").cast("long"))
+
+
 ROBOTS = [("example.com", "/en/"), ("example.net", "/fr/1"), ("example.org", "/")]
 
 
@@ -291,7 +300,8 @@ def validate_pages(spark, sf_dir):
 
 @query()
 def ingest_pages(spark, sf_dir):
-    return pipeline.ingest_pages(table(spark, sf_dir, "pages"), LATIN_ANSWER)
+    ingested = pipeline.ingest_pages(table(spark, sf_dir, "pages"), LATIN_ANSWER)
+    return pipeline.final_metadata(ingested.withColumn("query", F.lit("all pages")), "query", 0.0).drop("query")
 
 
 # Questions
@@ -344,6 +354,27 @@ def answer_style(spark, sf_dir):
     return understand.analyze(asked(spark, sf_dir)).select("question_id", understand.answer_style(F.col("intent")).alias("style"))
 
 
+@query(_analyzed("SELECT question_id, question AS query, normalized, intent, subject, stage, grade, topic, keywords, search_query, source_category, needs_live_search AS live_search, confidence FROM analyzed"))
+def pipeline_metadata(spark, sf_dir):
+    return understand.metadata(understand.analyze(asked(spark, sf_dir)))
+
+
+@query(f"""WITH {twins.questions(QUESTIONS)}, n AS (SELECT question_id, {twins.normalize_question('question')} AS normalized FROM questions)
+  SELECT question_id, {twins.strings(*(twins.first_key('normalized', {k: v}) for k, v in understand.AnalyzerConfig().of(understand.lexicon.SUBJECTS).items()))} AS subjects FROM n""")
+def subjects_all(spark, sf_dir):
+    n = asked(spark, sf_dir).withColumn("normalized", text.normalize_question("question"))
+    return n.select("question_id", understand.all_keys(F.col("normalized"), understand.AnalyzerConfig().of(understand.lexicon.SUBJECTS)).alias("subjects"))
+
+
+@query(f"""WITH {twins.questions(QUESTIONS)}, n AS (SELECT question_id, {twins.normalize_question('question')} AS normalized FROM questions)
+  SELECT question_id, {twins.first_key('normalized', understand.lexicon.grades())} AS grade, {twins.first_key('normalized', understand.lexicon.STAGES)} AS stage, {twins.first_key('normalized', understand.lexicon.SUBJECTS)} AS subject FROM n""")
+def detect_with_plain_patterns(spark, sf_dir):
+    """Dictionaries as they are written: patterns with letters that questions fold never match."""
+    n = asked(spark, sf_dir).withColumn("normalized", text.normalize_question("question"))
+    key = lambda patterns: understand.first_key(F.col("normalized"), patterns)
+    return n.select("question_id", key(understand.lexicon.grades()).alias("grade"), key(understand.lexicon.STAGES).alias("stage"), key(understand.lexicon.SUBJECTS).alias("subject"))
+
+
 METAS = [
     ("en", 1, "and the", "with", "that", ["ing", "tion", "ble", "ly", "of"]),
     ("fr", 2, "de la", "que", "une", ["eau", "tion", "ment"]),
@@ -426,6 +457,15 @@ def rerank_top4(spark, sf_dir):
     return fusion.rerank(hits, lexical.token_overlap("question", "text")).select("question_id", "passage_id", "score", "rank")
 
 
+@query(_bm25(f"""SELECT b.question_id, coalesce(n, 0) AS n_hits, CASE WHEN n IS NULL THEN {twins.q(pipeline.NO_EVIDENCE)} END AS fallback
+  FROM asked_items b LEFT JOIN (SELECT question_id, count(*) AS n FROM hits GROUP BY question_id) USING (question_id)"""))
+def answer_fallback(spark, sf_dir):
+    asked_items = items(spark, sf_dir)
+    hits = _lexical(spark, sf_dir, 20)
+    context = hits.where("rank = 1").select("question_id", F.lit("evidence").alias("context"))
+    return pipeline.with_fallback(asked_items, hits, context).select("question_id", "n_hits", "fallback")
+
+
 _PACKED = f"""packed AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS total FROM (
   SELECT * FROM conversations WHERE coalesce({twins.strip('text')}, '') <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, md5(text) ORDER BY turn) = 1) QUALIFY total <= 3000)"""
 

@@ -139,6 +139,20 @@ def test_fetch_list_and_robots(spark):
     assert sorted(r.url for r in urls.allowed_by_robots(pages, rules).collect()) == ["https://a.com/p", "https://b.com/private"]
 
 
+def test_candidates(spark):
+    rows = [(1, 1, 0, "ekb.eg/a"), (1, 0, 5, "https://EKB.eg/a#x"), (1, 0, 9, "https://x.com/"), (1, 2, 0, "https://moe.gov.eg"), (2, 0, 0, "https://ekb.eg/a")]
+    got = urls.candidates(spark.createDataFrame(rows, "query int, search_pos int, pos int, url string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, "https://ekb.eg/a"), (1, 1, "https://moe.gov.eg/"), (2, 0, "https://ekb.eg/a")]
+
+
+def test_fallback_answers(spark):
+    questions = spark.createDataFrame([(1,), (2,), (3,)], "question_id int")
+    hits = spark.createDataFrame([(1, 5), (2, 6)], "question_id int, passage_id int")
+    context = spark.createDataFrame([(1, "text"), (2, "")], "question_id int, context string")
+    got = {r.question_id: (r.n_hits, r.fallback) for r in pipeline.with_fallback(questions, hits, context).collect()}
+    assert got == {1: (1, None), 2: (1, pipeline.NO_CONTEXT), 3: (0, pipeline.NO_EVIDENCE)}
+
+
 def test_html():
     long = "A paragraph that is clearly longer than fifty characters in all."
     page = f"<html><head><title> T  t </title><meta name=Description content='about'><style>p{{}}</style></head><body><nav><p>{long}</p></nav><article><p>{long}<br>more</p><script>x</script><p>short</p></article><div>{long}</div></body></html>"
