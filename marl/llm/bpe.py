@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .text import text_batches
+from .text import give_back, text_batches
 
 #: Cached slices of one Python worker; on overflow the cache starts anew.
 CACHED = 200_000
@@ -251,6 +251,7 @@ def encode_decode(path: str, ids: bool = False, digest: bool = True):
                 out["starts"] = pa.ListArray.from_arrays(where, pa.array(own.astype(np.int32)))
             yield pa.RecordBatch.from_pydict(out)
         vocab.cache.clear()
+        give_back()
 
     return run
 

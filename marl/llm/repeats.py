@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import PrefixHash, flat, mix, words_in
+from .text import PrefixHash, flat, give_back, mix, words_in
 
 #: Windows of a run at most; longer ones (of repetitive text) are cut.
 LONGEST_RUN = 4096
@@ -288,6 +288,7 @@ def _send(cfg: RepeatConfig, shards: int):
             own = left[a:b]
             packed = _pack(ids[own], row[own], first[own], count[own], size[own].astype(np.int32), (anchor[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32), gather(text, starts[own], size[own]))
             out.append((s, gid, False, packed))
+        give_back()
         return _batch("shard gid settled blob", kinds, out)
 
     return run
@@ -353,6 +354,7 @@ def _resolve(resolver: Resolver):
             for x, y in zip(cut[:-1], cut[1:]):
                 part = order[x:y]
                 out.append((int(span_gid[part[0]]), _pack(span_row[part].astype(np.int32), span_first[part].astype(np.int64), span_count[part].astype(np.int64))))
+        give_back()
         return _batch("gid blob", (pa.int64(), pa.binary()), out)
 
     return run

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, local_forest, read_all
+from .text import long_texts
 
 #: First bit and width of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -53,6 +54,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
+    long_texts(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 

@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of vectorised work takes on, give or take one text.
 STEP_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch: the default of 10,000 texts would hold tens of megabytes on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def long_texts(spark: SparkSession) -> None:
+    """Lets the session send texts to Python in small batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on from stage to stage beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def as_bytes(documents: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, t): UTF-8 bytes of the text, null as empty."""
+    long_texts(documents.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), *more)
 
@@ -44,6 +68,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], step: int = STEP_BYTES) -> I
             to = min(to, batch.num_rows)
             yield batch.column(0).slice(at, to - at), data, offsets[at : to + 1]
             at = to
+    give_back()
 
 
 # Polynomial hashing modulo 2**64. An odd base has an inverse, so that the hash of any stretch follows from two prefix sums.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .text import as_bytes, text_batches
+from .text import as_bytes, long_texts, text_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -78,6 +78,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, size: int) -> DataFrame:
     """(doc_id, text, y): at most size labelled documents whose crc32 of doc_id leaves another remainder than held_out."""
+    long_texts(documents.sparkSession)
     key = F.col("doc_id").cast("long")
     chosen = labels.select(key.alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     chosen = chosen.where(F.crc32(F.col("doc_id").cast("string")) % modulus != held_out)
@@ -205,23 +206,33 @@ def fit(sample: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityMo
     return ToxicityModel({t: float(w) for t, w in zip(evidence, weights) if abs(w) > 1e-6}, bias, cfg)
 
 
+def _judge(model: ToxicityModel):
+    """Scores of texts laid end to end; the evidence of words met before is remembered."""
+    memory: dict[str, tuple[str, ...]] = {}
+
+    def run(data: np.ndarray, offsets: np.ndarray) -> list[float]:
+        scores = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            found: set[str] = set()
+            for w in words(data[a:b].tobytes().decode("utf-8")):
+                own = memory.get(w)
+                if own is None:
+                    if len(memory) > CACHED:
+                        memory.clear()
+                    own = memory[w] = tuple(t for t in traits(w, model.cfg) if t in model.weights)
+                if own:
+                    found.update(own)
+            scores.append(model.score(found))
+        return scores
+
+    return run
+
+
 def _score(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, tuple[str, ...]] = {}
+        judge = _judge(model)
         for keys, data, offsets in text_batches(batches):
-            scores = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                found: set[str] = set()
-                for w in words(data[a:b].tobytes().decode("utf-8")):
-                    own = memory.get(w)
-                    if own is None:
-                        if len(memory) > CACHED:
-                            memory.clear()
-                        own = memory[w] = tuple(t for t in traits(w, model.cfg) if t in model.weights)
-                    if own:
-                        found.update(own)
-                scores.append(model.score(found))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(judge(data, offsets), pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -235,13 +246,14 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 def drop_toxic(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """documents without those the model rejects, with its columns. Rows are judged by their own text."""
     columns = documents.columns
+    long_texts(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _score(model)
+        judge = _judge(model)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "").cast(pa.binary())
-            found = judge(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), texts], ["doc_id", "t"])]))
-            keep = np.concatenate([b.column("score").to_numpy() for b in found]) < 0.5 if batch.num_rows else np.zeros(0, bool)
-            yield batch.filter(pa.array(keep))
+            rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), texts], ["doc_id", "t"])
+            keep = [s < 0.5 for _, data, offsets in text_batches(iter([rows])) for s in judge(data, offsets)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema).select(*columns)
