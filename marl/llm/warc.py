@@ -265,7 +265,9 @@ def lookup(archive: Archive, wanted: DataFrame) -> DataFrame:
             yield _rows(rows)
 
     routed = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(route, "part int, key string")
-    return routed.repartition("part", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("key").mapInArrow(fetch, SCHEMA)
+    # a stated number of partitions: keys are small, what they make a task read isn't, so they must not be put together by size
+    tasks = max(len(firsts), int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return routed.repartition(tasks, "part", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("key").mapInArrow(fetch, SCHEMA)
 
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
