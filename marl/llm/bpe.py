@@ -17,6 +17,7 @@ import base64
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .text import give_back, text_batches
 CACHED = 200_000
 #: Bytes of text encoded at a time: ids and slices take about fifty times their text while they are made.
 PIECE = 1 << 20
+#: Slices up to this many bytes are merged side by side; rank of a pair that doesn't merge.
+SIDE_BY_SIDE, NEVER = 64, 1 << 30
 #: Stretches that are scanned side by side.
 STRETCHES = 2048
 
@@ -138,7 +141,7 @@ class Vocabulary:
         if (whole := ranks.get(piece)) is not None:
             return (whole,)
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        never = len(ranks) + (1 << 30)
+        never = NEVER
         pairs = [ranks.get(a + b, never) for a, b in zip(parts, parts[1:])]
         while pairs and (low := min(pairs)) != never:
             if len(parts) > 256:
@@ -171,13 +174,86 @@ class Vocabulary:
                 i += 1
         return out, [ranks.get(a + b, never) for a, b in zip(out, out[1:])]
 
-    def ids(self, piece: bytes) -> tuple[int, ...]:
-        found = self.cache.get(piece)
-        if found is None:
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            found = self.cache[piece] = self.merge(piece)
-        return found
+    @property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted (left id, right id) keys of all pairs that merge, the ids they merge to, and the ids of single bytes."""
+        if not hasattr(self, "_pairs"):
+            keys, ids = [], []
+            for piece, i in self.ranks.items():
+                for at in range(1, len(piece)):
+                    left, right = self.ranks.get(piece[:at]), self.ranks.get(piece[at:])
+                    if left is not None and right is not None:
+                        keys.append(left << 20 | right)
+                        ids.append(i)
+            keys, ids = np.array([*keys, np.iinfo(np.int64).max]), np.array([*ids, NEVER])
+            order = np.argsort(keys)
+            self._pairs = keys[order], ids[order], np.array([self.ranks[bytes([i])] for i in range(256)])
+        return self._pairs
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, ids, _ = self.pairs
+        wanted = left << 20 | right
+        at = np.searchsorted(keys, wanted)
+        return np.where(keys[at] == wanted, ids[at], NEVER)
+
+    def merge_many(self, slices: list[bytes]) -> list[tuple[int, ...]]:
+        """merge() of many slices side by side: each round merges in every slice its leftmost pair of lowest rank."""
+        size = np.array([len(x) for x in slices])
+        symbols = self.pairs[2][np.frombuffer(b"".join(slices), np.uint8)]
+        owner = np.repeat(np.arange(len(slices)), size)
+        last = np.cumsum(size) - 1
+        rank = np.full(len(symbols), NEVER)
+        inside = np.ones(len(symbols), bool)
+        inside[last] = False
+        at = np.flatnonzero(inside)
+        rank[at] = self._joined(symbols[at], symbols[at + 1])
+        live, done = np.arange(len(slices)), [()] * len(slices)
+        while len(live):
+            count = size[live]
+            start = np.cumsum(count) - count
+            low = np.minimum.reduceat(rank, start)
+            ready = low == NEVER
+            if ready.any():
+                told = np.repeat(ready, count)
+                flat_ids, ends = symbols[told].tolist(), np.cumsum(count[ready]).tolist()
+                for i, a, b in zip(live[ready].tolist(), [0, *ends], ends):
+                    done[i] = tuple(flat_ids[a:b])
+                symbols, owner, rank, live, low = symbols[~told], owner[~told], rank[~told], live[~ready], low[~ready]
+                if not len(live):
+                    break
+                count = size[live]
+            hits = np.flatnonzero(rank == np.repeat(low, count))
+            first = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])]
+            symbols[first] = rank[first]
+            left = np.ones(len(symbols), bool)
+            left[first + 1] = False
+            symbols, owner = symbols[left], owner[left]
+            rank = rank[left]
+            size[live] -= 1
+            first = first - np.arange(len(first))
+            after = np.append(owner[1:], -1)[first] == owner[first]
+            rank[first] = NEVER
+            rank[first[after]] = self._joined(symbols[first[after]], symbols[first[after] + 1])
+            before = first[(first > 0) & (owner[np.maximum(first - 1, 0)] == owner[first])]
+            rank[before - 1] = self._joined(symbols[before - 1], symbols[before])
+        return done
+
+    def learn(self, slices: list[bytes]) -> None:
+        """Puts the ids of slices that the cache lacks into it."""
+        if len(self.cache) >= CACHED:
+            self.cache.clear()
+        cache, ranks = self.cache, self.ranks
+        new = [s for s in set(slices) if s not in cache]
+        several = []
+        for s in new:
+            if (whole := ranks.get(s)) is not None:
+                cache[s] = (whole,)
+            elif len(s) > SIDE_BY_SIDE:
+                cache[s] = self.merge(s)
+            else:
+                several.append(s)
+        if several:
+            cache.update(zip(several, self.merge_many(several)))
 
     def encode_batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For texts laid end to end as UTF-8 (data, offsets): ids, the count of ids before each text, and the byte offset at which each id starts."""
@@ -189,12 +265,10 @@ class Vocabulary:
         begins = np.searchsorted(at, np.unique(offsets[:-1] - base))
         cut = np.concatenate([at[boundaries(points, begins)], [len(whole)]]).tolist()
         slices = [whole[a:b] for a, b in zip(cut, cut[1:])]
-        cache, known = self.cache, []
-        for s in slices:
-            found = cache.get(s)
-            known.append(self.ids(s) if found is None else found)
+        self.learn(slices)
+        known = list(map(self.cache.__getitem__, slices))
         sizes = np.fromiter(map(len, known), np.int64, len(known))
-        ids = np.fromiter((i for k in known for i in k), np.int32, int(sizes.sum()))
+        ids = np.fromiter(chain.from_iterable(known), np.int32, int(sizes.sum()))
         before = np.concatenate([[0], np.cumsum(sizes)])
         counts = before[np.searchsorted(np.array(cut), offsets - base)]
         lengths = self.lengths[ids]

@@ -43,6 +43,8 @@ def test_merging_equals_the_library():
     for _ in range(400):
         piece = "".join(rng.choice("aeiouthrnsßéñ中") for _ in range(rng.choice([1, 2, 5, 9, 40, 600]))).encode()
         assert list(vocab.merge(piece)) == enc._core_bpe.encode_single_piece(piece)
+    many = ["".join(rng.choice("aeiouthrnsßéñ中 '") for _ in range(rng.randrange(1, 15))).encode() for _ in range(3000)]
+    assert [list(x) for x in vocab.merge_many(many)] == [enc._core_bpe.encode_single_piece(p) for p in many]
 
 
 def test_rows(spark):
