@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -93,11 +92,3 @@ def connected_components(links: DataFrame) -> DataFrame:
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
-
-
-def local_path(uri: str) -> str:
-    return uri[7:] if uri.startswith("file://") else uri[5:] if uri.startswith("file:") else uri
-
-
-def here(name: str) -> str:
-    return os.path.join(os.path.dirname(os.path.abspath(__file__)), name)
