@@ -59,13 +59,13 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
+def query(sql: str | None = None, ranked: bool = False):
+    """Registers a function under its name, with its SQL; ranked: the result has a column rank, an INTEGER as in Spark."""
 
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({sql})" if ranked else sql
         return f
 
     return register
@@ -257,7 +257,7 @@ def source_credibility(spark, sf_dir):
 
 
 @query(f"""SELECT CAST(page_id % 7 AS BIGINT) AS query, page_id AS pos, url, class, row_number() OVER (PARTITION BY page_id % 7 ORDER BY class, page_id, url) AS rank FROM (
-  SELECT *, CASE WHEN {' OR '.join(f"contains(lower(url), '{d}')" for d in DOMAINS.first)} THEN 0 WHEN {' OR '.join(f"contains(lower(url), '{d}')" for d in DOMAINS.last)} THEN 2 ELSE 1 END AS class FROM pages) QUALIFY rank <= 20""")
+  SELECT *, CASE WHEN {' OR '.join(f"contains(lower(url), '{d}')" for d in DOMAINS.first)} THEN 0 WHEN {' OR '.join(f"contains(lower(url), '{d}')" for d in DOMAINS.last)} THEN 2 ELSE 1 END AS class FROM pages) QUALIFY rank <= 20""", ranked=True)
 def url_priority_top20(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("query"), F.col("page_id").alias("pos"), "url")
     return urls.fetch_list(rows, DOMAINS)
@@ -387,7 +387,7 @@ METAS = [
 p AS (SELECT doc_id, lang, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, lang, {twins.paragraphs('text')} AS l FROM documents)),
 s AS (SELECT doc_id, query_id, i - 1 AS pos, round(least((CASE WHEN contains(lower(l[i]), topic) THEN 0.4::DOUBLE ELSE 0 END) + (CASE WHEN contains(lower(l[i]), subject) THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN grade IS NOT NULL AND contains(lower(l[i]), grade) THEN 0.2::DOUBLE ELSE 0 END)
   + least(len(list_filter(keywords, lambda k: contains(lower(l[i]), k))) * 0.05::DOUBLE, 0.2::DOUBLE), 1.0), 6) AS relevance, md5(l[i]) AS paragraph_md5 FROM p JOIN metas USING (lang))
-SELECT doc_id, query_id, CAST(pos AS BIGINT) AS pos, relevance, paragraph_md5, row_number() OVER (PARTITION BY doc_id, query_id ORDER BY relevance DESC, pos) AS rank FROM s QUALIFY rank <= 25""")
+SELECT doc_id, query_id, CAST(pos AS BIGINT) AS pos, relevance, paragraph_md5, row_number() OVER (PARTITION BY doc_id, query_id ORDER BY relevance DESC, pos) AS rank FROM s QUALIFY rank <= 25""", ranked=True)
 def paragraph_top25(spark, sf_dir):
     metas = spark.createDataFrame(METAS, "lang string, query_id int, topic string, subject string, grade string, keywords array<string>")
     best = understand.best_paragraphs(table(spark, sf_dir, "documents"), F.broadcast(metas), "lang")
@@ -413,7 +413,7 @@ def bm25_idf(spark, sf_dir):
     return lexical.inverse_frequencies(lexical.passages(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumn("idf", F.round("idf", 6))
 
 
-@query(_bm25("SELECT * FROM hits"))
+@query(_bm25("SELECT * FROM hits"), ranked=True)
 def bm25_topk(spark, sf_dir):
     return _lexical(spark, sf_dir, 20)
 
@@ -423,7 +423,7 @@ def _dense(where: str, k: int) -> str:
   SELECT a.vec_id AS question_id, b.vec_id AS passage_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE {where}) QUALIFY rank <= {k})"""
 
 
-@query(f"WITH {_dense('a.vec_id % 50 = 0', 20)} SELECT * FROM dense")
+@query(f"WITH {_dense('a.vec_id % 50 = 0', 20)} SELECT * FROM dense", ranked=True)
 def dense_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return dense.dense_scores(e.where("vec_id % 50 = 0"), e, 20)
@@ -437,8 +437,7 @@ def dense_topk(spark, sf_dir):
     UNION ALL SELECT question_id, passage_id, 0.65::DOUBLE * (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, NULL, rank FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM dense WINDOW w AS (PARTITION BY question_id))) GROUP BY ALL) QUALIFY rank <= 20""",
         60,
         ", " + _dense("a.vec_id IN (SELECT item_id FROM benchmark)", 60),
-    )
-)
+    ), ranked=True)
 def hybrid_topk(spark, sf_dir):
     """Vectors and documents share numbers only by convention: a synthetic pairing of vec_id with doc_id, and of item_id with the query's vector."""
     e, cfg = table(spark, sf_dir, "embeddings"), fusion.HybridConfig()
@@ -450,8 +449,7 @@ def hybrid_topk(spark, sf_dir):
     _bm25(
         f"""SELECT question_id, passage_id, overlap AS score, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, rank, passage_id) AS rank FROM (
   SELECT h.*, round(len(list_intersect(list_distinct({twins.tokens('question')}), list_distinct(terms))) / len(list_distinct({twins.tokens('question')}))::DOUBLE, 6) AS overlap FROM hits h JOIN docs USING (passage_id) JOIN asked_items USING (question_id)) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, rank, passage_id) <= 4"""
-    )
-)
+    ), ranked=True)
 def rerank_top4(spark, sf_dir):
     hits = _lexical(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text"), "passage_id").join(items(spark, sf_dir), "question_id")
     return fusion.rerank(hits, lexical.token_overlap("question", "text")).select("question_id", "passage_id", "score", "rank")
@@ -481,14 +479,13 @@ def context_pack(spark, sf_dir):
         f"""SELECT question_id, rank, block_md5 FROM (SELECT question_id, rank, md5(block) AS block_md5, sum(length(block)) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM (
   SELECT question_id, rank, chr(10) || '[' || rank || ']' || chr(10) || 'المصدر:' || chr(10) || source || chr(10) || 'العنوان:' || chr(10) || lang || chr(10) || 'المحتوى:' || chr(10) || {twins.squeeze('text')} || chr(10) AS block
   FROM hits JOIN documents ON passage_id = doc_id WHERE rank <= 5 AND {twins.squeeze('text')} <> '')) WHERE total <= 12000"""
-    )
-)
+    ), ranked=True)
 def context_blocks(spark, sf_dir):
     hits = _lexical(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "passage_id"), "passage_id")
     return fusion.numbered_blocks(hits, "question_id", "rank", "source", "lang", "text").select("question_id", "rank", text.md5_text("block").alias("block_md5"))
 
 
-@query(_bm25("SELECT question_id, source AS url, min(rank) AS rank FROM hits JOIN documents ON passage_id = doc_id GROUP BY ALL"))
+@query(_bm25("SELECT question_id, source AS url, min(rank) AS rank FROM hits JOIN documents ON passage_id = doc_id GROUP BY ALL"), ranked=True)
 def citations(spark, sf_dir):
     hits = _lexical(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("source").alias("url")), "passage_id")
     return fusion.citations(hits, "question_id", ["rank"], "url").select("question_id", "url", "rank")
@@ -500,7 +497,7 @@ def answer_sources(spark, sf_dir):
     return fusion.sources(hits).select("question_id", F.size("sources").cast("long").alias("n_sources"), F.array_max(F.transform("sources", lambda s: s["score"])).alias("best"))
 
 
-@query("SELECT conv_id, sum(length(text)) AS n_chars, count(*) AS n_messages FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id")
+@query("SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) AS n_messages FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id")
 def llm_stream_parse(spark, sf_dir):
     """Assistant turns written as event lines of a stream, parsed back."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant' and text is not null")
