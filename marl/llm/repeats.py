@@ -36,7 +36,7 @@ from .text import PrefixHash, flat, give_back, mix, words_in
 #: Windows of a run at most; longer ones (of repetitive text) are cut.
 LONGEST_RUN = 4096
 #: Bytes of text worked on at a time within a group or shard.
-STEP = 1 << 20
+STEP = 1 << 18
 LAST_ID = (1 << 63) - 1
 
 
@@ -126,6 +126,15 @@ class Group:
         self.data = gather(data, offsets[:-1][self.order], lengths)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
 
+    def runs(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each piece its first row and its runs: row, first window, count of windows and anchor. Found once."""
+        if not hasattr(self, "_runs"):
+            self._runs = []
+            for at, _, piece in self.pieces():
+                first, count, anchor = runs_of(piece, self.cfg)
+                self._runs.append((at, np.searchsorted(piece.bounds, first, "right") - 1, first, count, anchor))
+        return self._runs
+
     def pieces(self) -> Iterator[tuple[int, int, Piece]]:
         """(first row, row after the last, piece)."""
         at, n = 0, len(self.ids)
@@ -164,7 +173,9 @@ def classes_of(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes
     new = np.ones(len(order), bool)
     new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (lengths[order[1:]] != lengths[order[:-1]])
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    differ = ~_same(text, starts[order], starts[head], lengths[order])
+    differ = np.zeros(len(order), bool)
+    check = np.flatnonzero(~new)
+    differ[check] = ~_same(text, starts[order[check]], starts[head[check]], lengths[order[check]])
     new |= differ  # a collision of hashes; what follows it is compared with the first of its hash all the same
     rank = np.cumsum(new) - 1
     rank = np.where(differ, rank, rank[np.maximum.accumulate(np.where(new & ~differ, np.arange(len(order)), 0))]) if differ.any() else rank
@@ -202,10 +213,9 @@ def _by_shard(anchors: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]
 def _distinct(group: Group) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct anchors of a group, does each occur under two ids)."""
     anchors, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for at, _, piece in group.pieces():
-        first, _, anchor = runs_of(piece, group.cfg)
+    for at, row, _, _, anchor in group.runs():
         anchors.append(anchor)
-        owners.append(group.ids[at + np.searchsorted(piece.bounds, first, "right") - 1])
+        owners.append(group.ids[at + row])
     anchors, owners = np.concatenate(anchors), np.concatenate(owners)
     order = np.lexsort([owners, anchors])
     anchors, owners = anchors[order], owners[order]
@@ -263,13 +273,11 @@ def _send(cfg: RepeatConfig, shards: int):
         known = [np.unpackbits(np.frombuffer(told[s], np.uint8), count=b - a).astype(bool) for s, a, b in _by_shard(anchors, shards)]
         wanted = anchors[np.concatenate(known)] if known else anchors[:0]
         parts = []
-        for at, _, piece in group.pieces():
-            first, count, anchor = runs_of(piece, cfg)
+        for (_, _, piece), (at, row, first, count, anchor) in zip(group.pieces(), group.runs()):
             own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor) if len(wanted) else np.zeros(0, np.int64)
             if not len(own):
                 continue
-            first, count, anchor = first[own], count[own], anchor[own]
-            row = np.searchsorted(piece.bounds, first, "right") - 1
+            row, first, count, anchor = row[own], first[own], count[own], anchor[own]
             begin, size = piece.at[first], piece.to[first + count + cfg.window - 2] - piece.at[first]
             hashes = PrefixHash(piece.text).of(begin, begin + size)
             parts.append((group.ids[at + row], (at + row).astype(np.int32), first - piece.bounds[row], count.astype(np.int32), size, anchor, hashes, gather(piece.text, begin, size)))

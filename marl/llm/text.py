@@ -76,7 +76,22 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
+_powers: dict[int, np.ndarray] = {}
+#: Powers kept by a Python worker, for each of the two bases.
+KEPT_POWERS = 1 << 21
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n + 1 powers; those of common lengths are kept."""
+    if n < KEPT_POWERS:
+        kept = _powers.get(int(base))
+        if kept is None or len(kept) <= n:
+            kept = _powers[int(base)] = _powers_of(base, min(KEPT_POWERS, max(1 << 12, 2 * n)))
+        return kept[: n + 1]
+    return _powers_of(base, n)
+
+
+def _powers_of(base: np.uint64, n: int) -> np.ndarray:
     found = np.empty(n + 1, np.uint64)
     found[0] = 1
     have = 1
