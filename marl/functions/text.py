@@ -10,6 +10,8 @@ from pyspark.sql.types import StringType
 ARABIC, LATIN = "\\u0600-\\u06FF", "A-Za-z"
 #: What Python's strip() and split() take for white space, as members of a Java character class.
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The same as a plain string.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 DIACRITICS = "[\\u064B-\\u065F\\u0670]"
 HAMZA = ("أإآٱىؤئ", "ااااي" + "وي")
@@ -31,7 +33,7 @@ def two_places(c: Column) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -49,7 +51,12 @@ def log_line(c: Column | str) -> Column:
 
 def script_ratio(c: Column | str, script: str = ARABIC) -> Column:
     """Share of a text's code points that belong to a script, 0 for an empty text."""
-    return F.regexp_count(col(c), F.lit(f"[{script}]")) / F.greatest(F.length(col(c)), F.lit(1))
+    return count_of(c, script) / F.greatest(F.length(col(c)), F.lit(1))
+
+
+def count_of(c: Column | str, members: str) -> Column:
+    """Code points of a class, by what is left without its runs (fewer matches than code points)."""
+    return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"[{members}]+", ""))
 
 
 def is_script_heavy(c: Column | str, least: float = 0.15, script: str = ARABIC) -> Column:
@@ -61,7 +68,7 @@ def is_valid_document(c: Column | str, script: str = ARABIC, least: float = 0.15
 
 
 def is_valid_content(c: Column | str, least: int = 250, most: int = 600_000, letters: int = 100) -> Column:
-    return F.length(col(c)).between(least, most) & (F.regexp_count(col(c), F.lit(f"[{LATIN}{ARABIC}]")) >= letters)
+    return F.length(col(c)).between(least, most) & (count_of(c, LATIN + ARABIC) >= letters)
 
 
 @F.pandas_udf(StringType())

@@ -44,11 +44,21 @@ def quoted(words: list[str]) -> str:
 
 
 def strip_markup(c: Column | str) -> Column:
-    """Tags, URLs, mail addresses and page markers become blanks."""
-    c = F.regexp_replace(text.col(c), "<[^>]+>", " ")
-    c = F.regexp_replace(c, f"https?://[^{text.SPACE}]+", " ")
-    c = F.regexp_replace(c, f"(?<![^{text.SPACE}])[^{text.SPACE}]+@[^{text.SPACE}]+", " ")  # tried once for each word, not at each letter
-    return F.regexp_replace(c, f"\\[?[{text.SPACE}]*صفحة[{text.SPACE}]*\\p{{Nd}}+[{text.SPACE}]*\\]?", " ")
+    """Tags, URLs, mail addresses and page markers become blanks. Texts without the sign of one are not searched for it."""
+    steps = (
+        ("<", "<[^>]+>"),
+        ("://", f"https?://[^{text.SPACE}]+"),
+        ("@", f"(?<![^{text.SPACE}])[^{text.SPACE}]+@[^{text.SPACE}]+"),  # tried once for each word, not at each letter
+        ("صفحة", f"\\[?[{text.SPACE}]*صفحة[{text.SPACE}]*\\p{{Nd}}+[{text.SPACE}]*\\]?"),
+    )
+    c = text.col(c)
+    for sign, pattern in steps:
+        c = _replaced_if(c, sign, pattern)
+    return c
+
+
+def _replaced_if(c: Column, sign: str, pattern: str) -> Column:
+    return text.let(c, lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, " ")).otherwise(t))
 
 
 def noise_lines_removed(c: Column | str, noise: list[str]) -> Column:
