@@ -81,7 +81,7 @@ def blocks_deduplicated(c: Column | str) -> Column:
 
 
 def quality_score(c: Column | str, script: str = text.ARABIC, words: list[str] | None = None) -> Column:
-    """Up to 0.90: length, script and words of the field; halves are rounded to even as the source of the formula does."""
+    """Up to 0.90: length, script and words of the field; to two places, halves to even."""
     c = text.col(c)
     hits = sum((F.contains(c, F.lit(w)).cast("int") for w in (words if words is not None else lexicon.EDUCATION_WORDS)), F.lit(0))
     score = (
