@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import lexicon
+
 ARABIC, LATIN = "\\u0600-\\u06FF", "A-Za-z"
 #: What Python's strip() and split() take for white space, as members of a Java character class.
 SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -14,8 +16,6 @@ SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 DIACRITICS = "[\\u064B-\\u065F\\u0670]"
-HAMZA = ("أإآٱىؤئ", "ااااي" + "وي")
-DIGITS = "".join(chr(0x660 + i) for i in range(10))
 
 
 def col(c: Column | str) -> Column:
@@ -84,12 +84,13 @@ def nfc(c: Column | str) -> Column:
 
 def fold_letters(c: Column | str) -> Column:
     """Hamza forms to their letters, without diacritics; text must be in normal form C."""
-    return F.regexp_replace(F.translate(col(c), *HAMZA), DIACRITICS, "")
+    return F.regexp_replace(F.translate(col(c), lexicon.LETTERS, lexicon.FOLDED_LETTERS), DIACRITICS, "")
 
 
 def normalize_question(c: Column | str) -> Column:
     """Lower case, ASCII digits, folded letters, no diacritics, tatweel or symbols, single blanks."""
-    c = F.translate(F.lower(F.coalesce(col(c), F.lit(""))), DIGITS + HAMZA[0] + "ة", "0123456789" + HAMZA[1] + "ه")
+    table = (lexicon.INDIC_DIGITS + lexicon.LETTERS + lexicon.CLOSED_TEH, lexicon.ASCII_DIGITS + lexicon.FOLDED_LETTERS + lexicon.FOLDED_TEH)
+    c = F.translate(F.lower(F.coalesce(col(c), F.lit(""))), *table)
     c = F.regexp_replace(c, "[\\u064B-\\u065F\\u0670\\u0640]", "")
     return squeeze(F.regexp_replace(c, f"[^\\p{{L}}\\p{{N}}_{SPACE}{ARABIC}]", " "))
 

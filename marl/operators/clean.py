@@ -28,7 +28,7 @@ class CleanConfig:
     def lists(self) -> tuple[list[str], list[str]]:
         if not self.fold:
             return list(self.noise), list(self.education)
-        table = str.maketrans(*text.HAMZA)
+        table = str.maketrans(lexicon.LETTERS, lexicon.FOLDED_LETTERS)
         return [x.translate(table) for x in self.noise], [x.translate(table) for x in self.education]
 
 

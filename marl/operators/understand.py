@@ -127,7 +127,7 @@ def detect_intent(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig())
 
 def topic(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
     """The first words left after grade names and function words are taken out; null if there are none."""
-    for p in [p for v in cfg.of(lexicon.grades()).values() for p in v]:
+    for p in [p for v in cfg.of(lexicon.GRADES).values() for p in v]:
         c = F.replace(c, F.lit(p), F.lit(""))
     stop = cfg.words(lexicon.TOPIC_STOP_WORDS)
     words = F.filter(F.split(c, f"[{text.SPACE}]+"), lambda w: (F.length(w) > 2) & ~w.isin(stop))
@@ -217,7 +217,7 @@ def analyze(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig()) -> Dat
     found = (
         found.withColumn("subject", first_key(n, cfg.of(lexicon.SUBJECTS)))
         .withColumn("stage", first_key(n, cfg.of(lexicon.STAGES)))
-        .withColumn("grade", first_key(n, cfg.of(lexicon.grades())))
+        .withColumn("grade", first_key(n, cfg.of(lexicon.GRADES)))
         .withColumn("term", first_key(n, cfg.of(lexicon.TERMS)))
         .withColumn("year", year(n))
         .withColumn("topic", topic(n, cfg))

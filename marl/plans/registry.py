@@ -367,12 +367,12 @@ def subjects_all(spark, sf_dir):
 
 
 @query(f"""WITH {twins.questions(QUESTIONS)}, n AS (SELECT question_id, {twins.normalize_question('question')} AS normalized FROM questions)
-  SELECT question_id, {twins.first_key('normalized', understand.lexicon.grades())} AS grade, {twins.first_key('normalized', understand.lexicon.STAGES)} AS stage, {twins.first_key('normalized', understand.lexicon.SUBJECTS)} AS subject FROM n""")
+  SELECT question_id, {twins.first_key('normalized', understand.lexicon.GRADES)} AS grade, {twins.first_key('normalized', understand.lexicon.STAGES)} AS stage, {twins.first_key('normalized', understand.lexicon.SUBJECTS)} AS subject FROM n""")
 def detect_with_plain_patterns(spark, sf_dir):
     """Dictionaries as they are written: patterns with letters that questions fold never match."""
     n = asked(spark, sf_dir).withColumn("normalized", text.normalize_question("question"))
     key = lambda patterns: understand.first_key(F.col("normalized"), patterns)
-    return n.select("question_id", key(understand.lexicon.grades()).alias("grade"), key(understand.lexicon.STAGES).alias("stage"), key(understand.lexicon.SUBJECTS).alias("subject"))
+    return n.select("question_id", key(understand.lexicon.GRADES).alias("grade"), key(understand.lexicon.STAGES).alias("stage"), key(understand.lexicon.SUBJECTS).alias("subject"))
 
 
 METAS = [
