@@ -1,10 +1,12 @@
 """Substring dedup: a compressed FM-index per shard, searched backward over a wavelet tree.
 
-A shard's segments are laid end to end as word numbers; their Burrows-Wheeler transform is held as a wavelet matrix of
-packed bits with block counts. All windows of the segments are streamed through backward search side by side: each step
-narrows the interval of suffixes that begin with the words read so far, and a window whose interval holds nothing but
-itself leaves. What survives the whole window has a match of full length; the smallest id in its interval tells whether
-it also starts in a document with a smaller id. Neighbouring windows above the threshold make one reported interval.
+A shard's segments are laid end to end as word numbers. Of their suffix array only three things stay: the Burrows-Wheeler
+transform as a wavelet matrix of packed bits with 32-bit rank blocks, a bit for each suffix that begins another word
+sequence of threshold length than the one before it, and the smallest id of each such class. All segments are streamed
+through the index side by side, from their last word to their first: a step of backward search extends the match to the
+left, and a match that has reached the threshold is cut to it on the right by going to the whole class it lies in. That
+gives the matching statistics up to the threshold in one step for each word. Where they reach it, the class tells the
+smallest id under which the window starts; neighbouring windows with one such id are reported as an interval.
 """
 
 from __future__ import annotations
@@ -18,45 +20,67 @@ from pyspark.sql import functions as F
 from .repeats import Piece, RepeatConfig, gather, kept_of, plain, remove_repeats
 
 
+class Bits:
+    """A packed bit vector whose ranks are counted for each 64 bits."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        padded = np.zeros(len(bits) + 64 - len(bits) % 64, bool)
+        padded[: len(bits)] = bits
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        ones = np.cumsum(np.bitwise_count(self.words), dtype=np.int64)
+        self.before = np.concatenate([[0], ones[:-1]]).astype(np.int32 if len(bits) < 1 << 31 else np.int64)
+        self.ones = int(ones[-1])
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = place >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence: a packed bit vector with running counts for each bit of the symbols."""
+    """Ranks of symbols in a sequence, one bit vector for each bit of the symbols."""
 
     def __init__(self, symbols: np.ndarray, bits: int) -> None:
-        self.bits, self.levels = bits, []
-        now = symbols
+        self.levels = []
         for level in range(bits - 1, -1, -1):
-            bit = (now >> level) & 1
-            packed = np.packbits(np.append(bit, np.zeros(-len(bit) % 64 + 64, bit.dtype)).astype(bool), bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])
-            zeros = int(len(bit) - bit.sum())
-            self.levels.append((level, packed, before, zeros))
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
-        self.sorted = now
+            bit = (symbols >> level) & 1 == 1
+            self.levels.append((level, Bits(bit), int(len(bit) - bit.sum())))
+            symbols = np.concatenate([symbols[~bit], symbols[bit]])
 
     def descend(self, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Where the place ends up among the symbols ordered by their last bits: for two places, the difference counts the symbol between them."""
-        for level, packed, before, zeros in self.levels:
-            word = place >> 6
-            ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
+        for level, bits, zeros in self.levels:
+            ones = bits.rank(place)
             place = np.where((symbols >> level) & 1 == 1, zeros + ones, place - ones)
         return place
 
 
 class FMIndex:
-    def __init__(self, text: np.ndarray, depth: int) -> None:
-        """text: numbers, each segment closed by 0. Suffixes are ordered by `depth` symbols at least."""
-        n = len(text)
+    def __init__(self, text: np.ndarray, depth: int, owners: np.ndarray | None = None) -> None:
+        """text: numbers, each segment closed by 0; owners: an id for each place. Patterns of up to `depth` symbols can be searched."""
+        n, self.depth = len(text), depth
         _, rank = np.unique(text, return_inverse=True)
-        step = 1
+        step, short = 1, None
         while step < depth:
+            if 2 * step >= depth:
+                short = (step, rank)
             after = np.zeros(n, np.int64)
             after[: n - step] = rank[step:] + 1 if n > step else 0
             _, rank = np.unique(rank.astype(np.int64) * (n + 2) + after, return_inverse=True)
             step *= 2
-        self.order = np.argsort(rank, kind="stable")
-        before = text[self.order - 1]  # of the first suffix the last symbol, a 0
+        order = np.argsort(rank, kind="stable")
+        # suffixes with the same first `depth` symbols: the same first `step` ones, and again from `depth - step` on
+        new = np.ones(n, bool)
+        if short:
+            step, rank = short
+            later = np.minimum(order + depth - step, n - 1)
+            new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (rank[later[1:]] != rank[later[:-1]])
+        else:
+            new[1:] = rank[order[1:]] != rank[order[:-1]]
+        self.classes, self.begin = Bits(new), np.append(np.flatnonzero(new), n)
+        self.least = np.minimum.reduceat((owners if owners is not None else np.arange(n))[order], self.begin[:-1])
         most = int(text.max(initial=0)) + 1
-        self.tree = WaveletMatrix(before, max(1, most.bit_length()))
+        self.tree = WaveletMatrix(text[order - 1], max(1, most.bit_length()))  # before the first suffix the last symbol, a 0
         count = np.bincount(text, minlength=most)
         self.first = np.cumsum(count) - count
         self.zero = self.tree.descend(np.arange(most), np.zeros(most, np.int64))
@@ -66,6 +90,28 @@ class FMIndex:
         base = self.first[symbols] - self.zero[symbols]
         return base + self.tree.descend(symbols, low), base + self.tree.descend(symbols, high)
 
+    def class_of(self, low: np.ndarray) -> np.ndarray:
+        return self.classes.rank(low + 1) - 1
+
+    def statistics(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(match, class) for each place of the streamed stretches, one after the other: the length of the match that begins there, up to the
+        index's depth and within its stretch, and the class of those that reach it (else -1). The stretches must be part of the indexed text."""
+        order = np.argsort(-lengths, kind="stable")
+        start, length = starts[order], lengths[order]
+        base = (np.cumsum(lengths) - lengths)[order]
+        match, found = np.zeros(int(lengths.sum()), np.int32), np.full(int(lengths.sum()), -1, np.int64)
+        low, high = np.zeros(len(order), np.int64), np.full(len(order), self.begin[-1], np.int64)
+        for step in range(1, int(length[0]) + 1 if len(length) else 1):
+            live = int(np.searchsorted(-length, -step, "right"))  # the longest come first
+            at = length[:live] - step
+            low, high = self.extend(text[start[:live] + at], low[:live], high[:live])
+            match[base[:live] + at] = min(step, self.depth)
+            if step >= self.depth:
+                own = self.class_of(low)
+                low, high = self.begin[own], self.begin[own + 1]
+                found[base[:live] + at] = own
+        return match, found
+
 
 def numbers(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The segments' words as numbers from 1, each segment closed by 0."""
@@ -78,27 +124,13 @@ def numbers(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 def resolve(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, windows: np.ndarray, ids: np.ndarray, size: int = 50) -> np.ndarray:
-    """Flags of windows of `size` words that start in a segment with a smaller id, too."""
+    """The smallest id under which each window of `size` words starts, from the matching statistics of its segment."""
     laid = numbers(text, starts, lengths)
-    index = FMIndex(laid, size)
-    per_segment = windows + size  # its words and the closing 0
-    begin = np.cumsum(per_segment) - per_segment
-    place = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    owner = np.repeat(ids, per_segment)[index.order]
-    alive = np.arange(len(place))
-    low, high = np.zeros(len(place), np.int64), np.full(len(place), len(laid), np.int64)
-    for step in range(size - 1, -1, -1):
-        low, high = index.extend(laid[place[alive] + step], low, high)
-        more = high - low > 1
-        alive, low, high = alive[more], low[more], high[more]
-    flags = np.zeros(len(place), bool)
-    if len(alive):
-        lows, of = np.unique(low, return_inverse=True)
-        highs = np.zeros(len(lows), np.int64)
-        highs[of] = high
-        least = np.minimum.reduceat(np.append(owner, owner[-1:]), np.stack([lows, highs], axis=1).ravel())[::2]
-        flags[alive] = np.repeat(ids, windows)[alive] > least[of]
-    return flags
+    words = windows + size - 1
+    begin = np.cumsum(words + 1) - words - 1
+    index = FMIndex(laid, size, np.repeat(ids, words + 1))
+    match, found = index.statistics(laid, begin, words)
+    return index.least[found[match == size]]
 
 
 def _digests(piece: Piece, removed: np.ndarray) -> dict:

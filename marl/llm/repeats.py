@@ -2,21 +2,24 @@
 
 A window is W consecutive units of one text. Its anchor is the smallest hash of its k-grams, so equal windows have
 equal anchors and consecutive windows mostly share one: a text falls into runs of windows with one anchor, and a run
-into one segment of text. In four exchanges:
+into one segment of text. Anchors only route: whether a window is removed is read from what a resolver (suffix sort or
+FM-index) says of it. In four exchanges:
 
 1. groups of texts send the distinct anchors of each group to shards by anchor; shards answer with one bit for each:
    does it occur in two documents;
-2. groups send the segments of runs whose anchor does, to shards by anchor; copies within a group are settled there
-   (one segment of the smallest id stands for all), so that a hot passage arrives once from each group;
-3. shards settle copies again, and give what is left to a resolver (suffix sort or FM-index), which finds the equal
-   windows among different segments;
-4. groups cover the reported windows in their texts.
+2. groups send the segments of runs whose anchor does, to shards by anchor. A segment that occurs several times within a
+   group travels once, with the smallest and the largest of its ids, so that a hot passage arrives once from each group;
+3. the shard's resolver finds equal windows among all its segments, and with them the smallest id under which each
+   window starts; groups are told in stretches of windows with one such id;
+4. groups cover the windows whose smallest id is below the text's own.
 
 Texts are exchanged once: the exchange by group is shared by steps 1, 2 and 4. Groups and shards are of bounded size,
-their number follows from the size of the input.
+their number follows from the size of the input. What is lost with an executor is made again from the map outputs of
+the exchange before it; the answers of step 3 are small, the texts aren't, so that nothing is written twice.
 
-Defined results: null text is empty; a row without doc_id counts as one with the largest id; rows that share a doc_id do
-not remove from each other; repeated rows are judged alike and stay rows; windows never cross texts.
+Defined results: null text is empty; a row without doc_id counts as one with the largest id (2**63 - 1, which no document
+should have); rows that share a doc_id do not remove from each other; repeated rows are judged alike and stay rows;
+windows never cross texts.
 """
 
 from __future__ import annotations
@@ -227,8 +230,9 @@ def _distinct(group: Group) -> tuple[np.ndarray, np.ndarray]:
     return anchors[at], (np.add.reduceat(other.astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool))
 
 
-SEGMENT = (np.int64, np.int32, np.int64, np.int32, np.int32, np.uint32, np.uint8)  # id, row, first window, windows, bytes, anchor's low half, text
-SPAN = (np.int32, np.int64, np.int64)  # row, first window, windows
+SEGMENT = (np.int32, np.int32, np.int64, np.int64, np.uint8)  # of a segment: bytes, windows, smallest and largest id; all text
+MEMBER = (np.int32, np.int64, np.int32, np.int64)  # of a place of a segment: the segment, id, row, first window
+ANSWER = (np.int32, np.int32, np.int32, np.int64)  # of a stretch of windows: the segment, first window, windows, smallest id
 
 
 def _batch(names: str, kinds: tuple, rows: list[tuple]) -> pa.Table:
@@ -264,9 +268,9 @@ def _answer(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _send(cfg: RepeatConfig, shards: int):
     def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         if not rows.num_rows or not answers.num_rows:
-            return _batch("shard gid settled blob", kinds, [])
+            return _batch(SENT, kinds, [])
         gid, group = key[0].as_py(), Group(rows, cfg)
         anchors, _ = _distinct(group)
         told = dict(zip(answers["shard"].to_pylist(), answers["blob"].to_pylist()))
@@ -282,92 +286,88 @@ def _send(cfg: RepeatConfig, shards: int):
             hashes = PrefixHash(piece.text).of(begin, begin + size)
             parts.append((group.ids[at + row], (at + row).astype(np.int32), first - piece.bounds[row], count.astype(np.int32), size, anchor, hashes, gather(piece.text, begin, size)))
         if not parts:
-            return _batch("shard gid settled blob", kinds, [])
+            return _batch(SENT, kinds, [])
         ids, row, first, count, size, anchor, hashes, text = (np.concatenate(x) for x in zip(*parts))
         starts = np.cumsum(size) - size
         classes, reps = classes_of(text, starts, size, hashes, ids)
-        gone = ids > ids[reps][classes]  # the same segment stands under a smaller id in this very group
+        high = np.zeros(len(reps), np.int64)
+        high[:] = ids[reps]
+        np.maximum.at(high, classes, ids)
+        order = np.argsort(anchor[reps], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        place = place[classes]
+        members = np.argsort(place, kind="stable")
+        ends = np.searchsorted(place[members], np.arange(len(order) + 1))
         out = []
-        if gone.any():
-            out.append((gid % shards, gid, True, _pack(row[gone], first[gone], count[gone].astype(np.int64))))
-        left = np.flatnonzero(~gone)
-        left = left[np.argsort(anchor[left], kind="stable")]
-        for s, a, b in _by_shard(anchor[left], shards):
-            own = left[a:b]
-            packed = _pack(ids[own], row[own], first[own], count[own], size[own].astype(np.int32), (anchor[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32), gather(text, starts[own], size[own]))
-            out.append((s, gid, False, packed))
+        for s, a, b in _by_shard(anchor[reps][order], shards):
+            own, there = reps[order[a:b]], members[ends[a] : ends[b]]
+            out.append((s, gid, s, False, _pack(size[own].astype(np.int32), count[own].astype(np.int32), ids[own], high[order[a:b]], gather(text, starts[own], size[own]))))
+            # where its segments stand is for the group itself to know: no shard needs it
+            out.append((gid % shards, gid, s, True, _pack((place[there] - a).astype(np.int32), ids[there], row[there], first[there])))
         give_back()
-        return _batch("shard gid settled blob", kinds, out)
+        return _batch(SENT, kinds, out)
 
     return run
 
 
-#: (text, starts, lengths, windows, ids) of different segments -> flags of their windows, one after the other: does it start under a smaller id.
+#: (text, starts, lengths, windows, smallest ids) of segments -> for their windows, one after the other, the smallest id under which each starts.
 Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+SENT, TOLD = "shard gid part places blob", "gid part places blob"
 
 
 def _resolve(resolver: Resolver):
     def run(_key: tuple, rows: pa.Table) -> pa.Table:
-        settled = rows["settled"].to_pylist()
-        gids, blobs = rows["gid"].to_pylist(), rows["blob"].to_pylist()
-        out = [(g, b) for g, s, b in zip(gids, settled, blobs) if s]
-        sent = [(g, _unpack(b, SEGMENT)) for g, s, b in zip(gids, settled, blobs) if not s]
-        if sent:
-            gid = np.repeat([g for g, _ in sent], [len(x[0]) for _, x in sent])
-            ids, row, first, count, size, anchor, text = (np.concatenate(x) for x in zip(*(x for _, x in sent)))
-            size, count = size.astype(np.int64), count.astype(np.int64)
-            starts = np.cumsum(size) - size
-            classes, reps = classes_of(text, starts, size, _hashes(text, np.append(starts, len(text))), ids)
-            least = ids[reps]
-            gone = ids > least[classes]
-            # only segments with the anchor of another one can share a window with it
-            order = np.argsort(anchor[reps], kind="stable")
-            sorted_anchor = anchor[reps][order]
-            shared = np.zeros(len(reps), bool)
-            equal = sorted_anchor[1:] == sorted_anchor[:-1]
-            shared[order[1:]] |= equal
-            shared[order[:-1]] |= equal
-            own = reps[shared]
-            span_row, span_first, span_count, span_gid = [row[gone]], [first[gone]], [count[gone]], [gid[gone]]
-            if len(own):
-                windows = count[own]
-                flags = resolver(text, starts[own], size[own], windows, least[shared])
-                edges = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
-                edges[np.cumsum(windows)[:-1]] = 0  # segments are looked at one by one
-                base = np.cumsum(windows) - windows
-                begins = flags.copy()
-                begins[1:] &= ~flags[:-1]
-                begins[base] = flags[base]
-                ends = flags.copy()
-                ends[:-1] &= ~flags[1:]
-                ends[base + windows - 1] = flags[base + windows - 1]
-                a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-                of = np.searchsorted(base, a, "right") - 1
-                # every segment of a class that is not gone gets the intervals of the one that stands for it
-                place = np.full(len(reps), -1)
-                place[np.flatnonzero(shared)] = np.arange(len(own))
-                lower, upper = np.searchsorted(of, np.arange(len(own))), np.searchsorted(of, np.arange(len(own)), "right")
-                alike = np.flatnonzero(~gone & (place[classes] >= 0))
-                rep = place[classes[alike]]
-                n = upper[rep] - lower[rep]
-                seg = np.repeat(alike, n)
-                i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lower[rep], n)
-                span_row.append(row[seg])
-                span_first.append(first[seg] + a[i] - base[of[i]])
-                span_count.append(b[i] - a[i])
-                span_gid.append(gid[seg])
-            span_row, span_first, span_count, span_gid = (np.concatenate(x) for x in (span_row, span_first, span_count, span_gid))
-            order = np.argsort(span_gid, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(span_gid[order]) != 0, [True]])) if len(order) else np.zeros(0, np.int64)
-            for x, y in zip(cut[:-1], cut[1:]):
-                part = order[x:y]
-                out.append((int(span_gid[part[0]]), _pack(span_row[part].astype(np.int32), span_first[part].astype(np.int64), span_count[part].astype(np.int64))))
+        places = rows["places"].to_pylist()
+        heads = list(zip(rows["gid"].to_pylist(), rows["part"].to_pylist()))
+        blobs = rows["blob"].to_pylist()
+        out = [(*h, True, b) for h, p, b in zip(heads, places, blobs) if p]
+        asked = [(h, _unpack(b, SEGMENT)) for h, p, b in zip(heads, places, blobs) if not p]
+        if asked:
+            size, windows, low, high, text = (np.concatenate(x) for x in zip(*(x for _, x in asked)))
+            size, windows = size.astype(np.int64), windows.astype(np.int64)
+            least = resolver(text, np.cumsum(size) - size, size, windows, low)
+            base = np.cumsum(windows) - windows
+            new = np.ones(len(least), bool)
+            new[1:] = least[1:] != least[:-1]
+            new[base] = True
+            at = np.flatnonzero(new)
+            n, of = np.diff(np.append(at, len(least))), np.searchsorted(base, at, "right") - 1
+            tell = least[at] < high[of]  # else no place of the segment has a larger id
+            at, n, of = at[tell], n[tell], of[tell]
+            begin = np.cumsum([0] + [len(x[0]) for _, x in asked])
+            ends = np.searchsorted(of, begin)
+            for (head, _), b, x, y in zip(asked, begin, ends[:-1], ends[1:]):
+                if y > x:
+                    own = of[x:y]
+                    out.append((*head, False, _pack((own - b).astype(np.int32), (at[x:y] - base[own]).astype(np.int32), n[x:y].astype(np.int32), least[at[x:y]])))
         give_back()
-        return _batch("gid blob", (pa.int64(), pa.binary()), out)
+        return _batch(TOLD, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), out)
 
     return run
 
 
+def _spans(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, windows) of the stretches of windows that also start under a smaller id, sorted by row."""
+    places, answers = {}, {}
+    for part, is_place, blob in zip(told["part"].to_pylist(), told["places"].to_pylist(), told["blob"].to_pylist()):
+        (places if is_place else answers)[part] = blob
+    found = [(np.zeros(0, np.int64),) * 3]
+    for part, blob in answers.items():
+        of, begin, n, least = _unpack(blob, ANSWER)
+        segment, ids, row, first = _unpack(places[part], MEMBER)
+        low, high = np.searchsorted(of, segment), np.searchsorted(of, segment, "right")
+        each = high - low
+        place = np.repeat(np.arange(len(segment)), each)
+        i = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)
+        gone = least[i] < ids[place]
+        place, i = place[gone], i[gone]
+        found.append((row[place].astype(np.int64), first[place] + begin[i], n[i].astype(np.int64)))
+    row, first, n = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(row, kind="stable")
+    return row[order], first[order], n[order]
+
+
 #: (group, piece, first row, flags of removed units) -> columns of the piece's rows.
 Finisher = Callable[[Piece, np.ndarray], dict]
 
@@ -377,10 +377,7 @@ def _finish(cfg: RepeatConfig, finisher: Finisher, schema: pa.Schema):
         if not rows.num_rows:
             return schema.empty_table()
         group = Group(rows, cfg)
-        blobs = [_unpack(b, SPAN) for b in spans["blob"].to_pylist()]
-        row, first, count = (np.concatenate(x) for x in zip(*blobs)) if blobs else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(row, kind="stable")
-        row, first, count = row[order], first[order], count[order]
+        row, first, count = _spans(spans)
         parts = []
         for at, to, piece in group.pieces():
             a, b = np.searchsorted(row, [at, to])
@@ -427,14 +424,14 @@ def remove_repeats(documents: DataFrame, resolver: Resolver, finisher: Finisher,
     total = documents.agg(F.sum(F.length(text))).first()[0] or 0
     groups, shards = max(1, math.ceil(total / cfg.group_bytes)), max(1, math.ceil(total / cfg.shard_bytes))
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    gid = F.pmod(F.xxhash64(number), F.lit(groups)).cast("long").alias("gid")
+    gid = F.pmod(F.xxhash64(number, text), F.lit(groups)).cast("long").alias("gid")  # rows of one id, or of none, are spread, too
     others, with_text = [c for c in keep if c != "text"], "text" in keep
     more = [F.col("text").isNull().alias("nothing")] if with_text else []
     rows = documents.select(gid, number.alias("id"), text.alias("t"), *more, *(F.col(f"`{c}`").alias(f"own_{c}") for c in others))
     asked = rows.groupBy("gid").applyInArrow(_ask(cfg, shards), "shard long, gid long, blob binary")
     answers = asked.groupBy("shard").applyInArrow(_answer, "gid long, shard long, blob binary")
-    sent = rows.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_send(cfg, shards), "shard long, gid long, settled boolean, blob binary")
-    spans = sent.groupBy("shard").applyInArrow(_resolve(resolver), "gid long, blob binary")
+    sent = rows.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_send(cfg, shards), "shard long, gid long, part long, places boolean, blob binary")
+    spans = sent.groupBy("shard").applyInArrow(_resolve(resolver), "gid long, part long, places boolean, blob binary")
     schema = StructType()
     for c in others:
         schema.add(f"own_{c}", documents.schema[c].dataType)

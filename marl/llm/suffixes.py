@@ -111,17 +111,15 @@ class Suffixes:
 
 
 def resolve(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, windows: np.ndarray, ids: np.ndarray, limit: int = 50) -> np.ndarray:
-    """Flags of windows that start in a segment with a smaller id, too."""
+    """The smallest id under which each window starts: that of the equal suffixes beside it in the sorted order."""
     own = gather(text, starts, lengths)
     begin = np.cumsum(lengths) - lengths
     place = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
     order, new = Suffixes(own, place, limit).classes()
-    owner = np.repeat(ids, windows)
     first = np.flatnonzero(new)
-    least = np.minimum.reduceat(owner[order], first)
-    flags = np.empty(len(order), bool)
-    flags[order] = owner[order] > np.repeat(least, np.diff(np.append(first, len(order))))
-    return flags
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(np.repeat(ids, windows)[order], first), np.diff(np.append(first, len(order))))
+    return least
 
 
 def _digests(piece: Piece, removed: np.ndarray) -> dict:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from marl.llm import fmindex, suffixes
-from marl.llm.repeats import RepeatConfig, classes_of
+from marl.llm.repeats import RepeatConfig, classes_of, remove_repeats
 
 
 def brute(rows, size, units_of):
@@ -124,4 +124,58 @@ def test_backward_search_counts_occurrences():
         for s in pattern[::-1]:
             low, high = index.extend(np.array([s]), low, high)
         places = [i for i in range(len(text) - n + 1) if (text[i : i + n] == pattern).all()]
-        assert sorted(index.order[low[0] : high[0]].tolist()) == places
+        assert int(high[0] - low[0]) == len(places)
+
+
+def test_nothing_but_the_resolver_removes(spark):
+    rows = corpus(random.Random(7), 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    silent = lambda text, starts, lengths, windows, ids: np.full(int(windows.sum()), np.iinfo(np.int64).max)
+    for module, made, least in ((suffixes, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", 1000), (fmindex, "n_words long, n_removed long, kept_sha256 string", 300)):
+        cfg = RepeatConfig(**{**module.CONFIG.__dict__, "group_bytes": 9000, "shard_bytes": 5000})
+        total = lambda resolver: sum(r.made_n_removed for r in remove_repeats(docs, resolver, module._digests, made, cfg).collect())  # noqa: B023, E731
+        assert total(silent) == 0 and total(module.resolve) > least
+
+
+def test_long_runs_and_long_texts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    long = " ".join(word() for _ in range(80000))
+    rows = [(9, "In. " * 80000), (4, "In. " * 6000 + "end"), (7, long), (8, word() + long[100000:180000] + word()), (5, "q" * 30000), (6, "q" * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for module, units, join in ((suffixes, lambda t: [t.encode()[i : i + 1] for i in range(len(t.encode()))], b""), (fmindex, lambda t: [w.encode() for w in t.split()], b" ")):
+        least, split = {}, {i: units(t) for i, t in rows}
+        text = {i: join.join(u) for i, u in split.items()}
+        edges = {i: np.concatenate([[0], np.cumsum([len(x) + len(join) for x in u])]) for i, u in split.items()}
+        cut = lambda i, a: text[i][edges[i][a] : edges[i][a + 50] - len(join)]  # noqa: B023, E731
+        for i, u in split.items():
+            for a in range(len(u) - 49):
+                w = cut(i, a)
+                least[w] = min(least.get(w, i), i)
+        want = []
+        for i, u in split.items():
+            edge = np.zeros(len(u) + 1, int)
+            for a in range(len(u) - 49):
+                if least[cut(i, a)] < i:
+                    edge[a] += 1
+                    edge[a + 50] -= 1
+            want.append((i, int((np.cumsum(edge[:-1]) > 0).sum()), sha256(join.join(x for x, gone in zip(u, np.cumsum(edge[:-1]) > 0) if not gone)).hexdigest()))
+        assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in module.digests(docs).collect()) == sorted(want)
+
+
+def test_statistics_are_match_lengths():
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(1, 4, n) for n in (9, 30, 5, 30)]
+    parts[3][4:20] = parts[1][10:26]
+    laid = np.concatenate([np.append(p, 0) for p in parts])
+    lengths = np.array([len(p) for p in parts])
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    ids = np.array([4, 3, 2, 1])
+    index = fmindex.FMIndex(laid, 7, np.repeat(ids, lengths + 1))
+    match, found = index.statistics(laid, starts, lengths)
+    assert match.tolist() == [min(7, n - i) for n in lengths for i in range(n)]
+    whole = {}
+    for p, i in zip(parts, ids):
+        for a in range(len(p) - 6):
+            whole[tuple(p[a : a + 7])] = min(whole.get(tuple(p[a : a + 7]), 9), i)
+    assert index.least[found[match == 7]].tolist() == [whole[tuple(p[a : a + 7])] for p in parts for a in range(len(p) - 6)]
