@@ -1,29 +1,58 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and joins that no hot key holds up."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that are looked up by broadcast at most, and rows of a key below which it never is.
+HOT_KEYS, LEAST_ROWS = 10_000, 1_000
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set, else one of our own (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.marl.shared.dir", "")
+    """The checkpoint folder of the session. A temporary folder takes its place on a local master only (tests): executors of a cluster could not see it."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='marl-shared-')}"
-        spark.conf.set("spark.marl.shared.dir", found)
-    return found
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='marl-shared-')}")
+        found = context.getCheckpointDir()
+    return found.replace("file:/", "file:///") if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that fresh_path named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df and continues from there: what several plans read is computed once, and a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def is_hot(count: Column | str, total: int) -> Column:
+    """Whether a key has so many of `total` rows that at most HOT_KEYS keys can have as many."""
+    return (F.col(count) if isinstance(count, str) else count) > max(LEAST_ROWS, -(-total // HOT_KEYS))
+
+
+def look_up(rows: DataFrame, side: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with side, which has each key once and in `count` how many of the `total` rows have it.
+
+    Rows of hot keys meet their row of side by broadcast, of at most HOT_KEYS rows whatever the input; the others by an exchange.
+    """
+    hot = F.broadcast(side.where(is_hot(count, total)).drop(count))
+    cold = side.where(~is_hot(count, total)).drop(count)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(others.join(cold, key))
