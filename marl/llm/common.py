@@ -1,9 +1,7 @@
-"""Shared helpers: tables, the shared folder, and connected components over link tables."""
+"""Shared helpers: tables, and connected components over link tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,30 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import cut, fresh_path, is_hot, look_up, remove
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else one of our own (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.conf.get("spark.marl.shared.dir", "") or f"file://{tempfile.mkdtemp(prefix='marl-shared-')}"
-        spark.conf.set("spark.marl.shared.dir", found)
-    return found
+__all__ = ["connected_components", "cut", "fresh_path", "is_hot", "local_forest", "look_up", "read_all", "remove", "table"]
 
 
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and continues from there, so that a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,17 +52,18 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     links: (u long, v long), in any direction, repeats allowed. Each task first reduces its own
     links to a star forest; large-star and small-star rounds then run until nothing moves. The
-    edge table is written between rounds, nothing but two totals reaches the driver.
+    edge table is written between rounds, nothing but two totals reaches the driver. A node with a
+    hot share of the links gets its least neighbour by broadcast, so that no task holds a hub's links.
     """
     edges = links.select("u", "v").where("u <> v").mapInArrow(_shrink, "u long, v long")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = look_up(both.where("v > u"), low, "u", "n", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = look_up(large, low, "u", "n", 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
         if before == state:
