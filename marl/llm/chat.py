@@ -49,12 +49,12 @@ def unescape(c: Column) -> Column:
 
 
 def _escape_role(c: Column) -> Column:
-    return F.replace(F.replace(escape(c), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    """Also writes line feeds as \\n and backslashes as \\b, so that in a role each backslash is followed by one of the two."""
+    return F.replace(F.replace(escape(c), F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n"))
 
 
 def _unescape_role(c: Column) -> Column:
-    whole = F.replace(F.replace(F.replace(c, F.lit("\\\\"), F.lit("\u0001\u0001")), F.lit("\\n"), F.lit("\n")), F.lit("\u0001\u0001"), F.lit("\\"))
-    return unescape(whole)
+    return unescape(F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\")))
 
 
 def _machine(roles: Column, template: ChatTemplate) -> Column:
@@ -88,7 +88,7 @@ def format_conversations(rows: DataFrame, template: ChatTemplate = ChatTemplate(
 
 
 def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Parses formatted text into turns array<struct<role, text>>, and the text under the loss mask into loss_text."""
+    """Parses formatted text into turns array<struct<role, text>>; loss_text joins those that the segments' loss flags mark."""
     marked = F.split(F.col("formatted"), _quoted(template.open))
     bodies = F.slice(marked, F.lit(2), F.greatest(F.size(marked) - 1, F.lit(0)))
     cut = F.lit(len(template.after_role))
@@ -98,8 +98,9 @@ def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
         inner = F.substring(body, at + cut, F.length(body) - at - cut + 1 - len(template.close))
         return F.struct(_unescape_role(F.substring(body, F.lit(1), at - 1)).alias("role"), unescape(inner).alias("text"))
 
-    under = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    return formatted.withColumn("turns", F.transform(bodies, parsed)).withColumn("loss_text", under)
+    # a turn has three segments, the second one is its text
+    under = F.transform("turns", lambda t, i: F.when(F.get(F.col("segments"), i * 3 + 1)["loss"], t["text"]))
+    return formatted.withColumn("turns", F.transform(bodies, parsed)).withColumn("loss_text", F.array_join(under, ""))
 
 
 def _quoted(text: str) -> str:
