@@ -17,6 +17,7 @@ import base64
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -28,8 +29,10 @@ from .text import give_back, text_batches
 CACHED = 200_000
 #: Bytes of text encoded at a time: ids and slices take about fifty times their text while they are made.
 PIECE = 1 << 20
-#: Slices up to this many bytes are merged side by side; rank of a pair that doesn't merge.
-SIDE_BY_SIDE, NEVER = 64, 1 << 30
+#: Slices up to this many bytes are merged side by side, those up to LISTED as lists; rank of a pair that doesn't merge.
+SIDE_BY_SIDE, LISTED, NEVER = 64, 512, 1 << 30
+#: Pairs of one rank that a long slice merges at a time once a merge has made a pair of lower rank.
+CAREFUL = 16
 #: Stretches that are scanned side by side.
 STRETCHES = 2048
 
@@ -144,9 +147,6 @@ class Vocabulary:
         never = NEVER
         pairs = [ranks.get(a + b, never) for a, b in zip(parts, parts[1:])]
         while pairs and (low := min(pairs)) != never:
-            if len(parts) > 256:
-                parts, pairs = self._sweep(parts, pairs, low, never)
-                continue
             i = pairs.index(low)
             parts[i] += parts.pop(i + 1)
             del pairs[i]
@@ -156,23 +156,90 @@ class Vocabulary:
                 pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], never)
         return tuple(ranks[p] for p in parts)
 
-    def _sweep(self, parts: list, pairs: list, low: int, never: int) -> tuple[list, list]:
-        """For very long slices: the pairs of the lowest rank in one pass from the left, as long as no merge makes a lower one."""
-        ranks, out, i, n = self.ranks, [], 0, len(parts)
-        while i < n:
-            if i + 1 < n and pairs[i] == low:
-                joined = parts[i] + parts[i + 1]
-                out.append(joined)
-                i += 2
-                after = ranks.get(joined + parts[i], never) if i < n else never
-                before = ranks.get(out[-2] + joined, never) if len(out) > 1 else never
-                if min(after, before) < low:
-                    out.extend(parts[i:])
+    def merge_long(self, piece: bytes) -> tuple[int, ...]:
+        """merge() of one very long slice. Symbols form a linked list, and the places of pairs wait by rank: each round merges the pairs
+        of the lowest rank from the left, up to the first that makes a pair of a lower rank still."""
+        if (whole := self.ranks.get(piece)) is not None:
+            return (whole,)
+        symbols = self.pairs[2][np.frombuffer(piece, np.uint8)]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, NEVER)
+        rank[:-1] = self._joined(symbols[:-1], symbols[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] != NEVER]
+            places = places[np.argsort(rank[places], kind="stable")]
+            for part in np.split(places, np.flatnonzero(np.diff(rank[places])) + 1) if len(places) else ():
+                low = int(rank[part[0]])
+                if low not in waiting:
+                    waiting[low] = []
+                    heappush(queue, low)
+                waiting[low].append(part)
+
+        wait(np.arange(n))
+        most = n
+        while queue:
+            low = heappop(queue)
+            places = np.concatenate(waiting.pop(low))
+            places = np.unique(places[rank[places] == low])
+            while len(places):
+                at, places = places[:most], places[most:]
+                at = at[rank[at] == low]
+                if not len(at):
+                    continue
+                # of pairs that overlap every second one merges, from the left
+                chained = np.zeros(len(at), bool)
+                chained[1:] = after[at[:-1]] == at[1:]
+                count, every = np.arange(len(at)), at
+                at = at[(count - np.maximum.accumulate(np.where(chained, 0, count))) % 2 == 0]
+                made = self._round(symbols, after, before, rank, at, low)
+                lower = np.flatnonzero(made < low)
+                if len(lower) and lower[0] + 1 < len(at):  # undone from there on, to come after the lower pairs
+                    keep = lower[0] + 1
+                    self._undo(symbols, after, before, rank)
+                    at = at[:keep]
+                    places = np.concatenate([every[every > at[-1]], places])
+                    self._round(symbols, after, before, rank, at, low)
+                most = max(CAREFUL, 2 * len(at)) if not len(lower) else CAREFUL
+                left = before[at]
+                wait(np.unique(np.concatenate([at, left[left >= 0]])))
+                if len(lower) and len(places):
+                    wait(places[rank[places] == low])
                     break
-            else:
-                out.append(parts[i])
-                i += 1
-        return out, [ranks.get(a + b, never) for a, b in zip(out, out[1:])]
+        found, i = [], 0
+        while i < n:
+            found.append(int(symbols[i]))
+            i = int(after[i])
+        return tuple(found)
+
+    def _round(self, symbols: np.ndarray, after: np.ndarray, before: np.ndarray, rank: np.ndarray, at: np.ndarray, low: int) -> np.ndarray:
+        """Merges the pairs at `at` and ranks what is beside them. For each the lower of the ranks on both sides, as they are when those on its
+        left have merged and those on its right have not."""
+        n, gone = len(symbols), after[at]
+        then = after[gone]
+        inner = then < n
+        made = np.full(len(at), NEVER)
+        made[inner] = self._joined(np.full(int(inner.sum()), low), symbols[then[inner]])
+        left = before[at]
+        self._before = [(x, i, x[i]) for x, i in ((symbols, at), (after, at), (before, then[inner]), (rank, at), (rank, gone), (rank, left[left >= 0]))]
+        symbols[at] = low
+        after[at] = then
+        before[then[inner]] = at[inner]
+        rank[gone] = NEVER
+        rank[at] = NEVER
+        rank[at[inner]] = self._joined(symbols[at[inner]], symbols[then[inner]])
+        left = before[at]
+        first = left >= 0
+        rank[left[first]] = self._joined(symbols[left[first]], symbols[at[first]])
+        made[first] = np.minimum(made[first], rank[left[first]])
+        return made
+
+    def _undo(self, *_arrays: np.ndarray) -> None:
+        for x, i, was in reversed(self._before):
+            x[i] = was
 
     @property
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,7 +316,7 @@ class Vocabulary:
             if (whole := ranks.get(s)) is not None:
                 cache[s] = (whole,)
             elif len(s) > SIDE_BY_SIDE:
-                cache[s] = self.merge(s)
+                cache[s] = self.merge(s) if len(s) <= LISTED else self.merge_long(s)
             else:
                 several.append(s)
         if several:

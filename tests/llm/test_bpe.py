@@ -1,4 +1,6 @@
+import base64
 import random
+import time
 from hashlib import sha256
 
 import numpy as np
@@ -65,8 +67,33 @@ def test_rows(spark):
     assert as_bytes(docs.limit(0)).mapInArrow(bpe.encode_decode(PATH), bpe.DIGEST).collect() == []
 
 
-@pytest.mark.parametrize("n", [300, 5000])
-def test_very_long_slices(n):
-    vocab = bpe.vocabulary(PATH)
-    piece = ("ab" * n).encode()
-    assert list(vocab.merge(piece)) == encoding(vocab)._core_bpe.encode_single_piece(piece)
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ACGT", "ab", "a", "aeiouthrnsßéñ中", "日本語中文字漢", " \n"])
+def test_long_slices(alphabet):
+    vocab, rng = bpe.vocabulary(PATH), random.Random(7)
+    enc = encoding(vocab)
+    for n in (1, 2, 3, 8, 70, 600, 3000, 3000, 3000):
+        piece = "".join(rng.choice(alphabet) for _ in range(n)).encode()
+        assert list(vocab.merge_long(piece)) == enc._core_bpe.encode_single_piece(piece)
+
+
+def test_a_slice_of_a_megabyte():
+    vocab, rng = bpe.vocabulary(PATH), random.Random(8)
+    vocab.pairs  # noqa: B018
+    for piece in (bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=1 << 20)), b"ab" * (1 << 19)):
+        began = time.perf_counter()
+        found = vocab.merge_long(piece)
+        assert time.perf_counter() - began < 20 and list(found) == encoding(vocab)._core_bpe.encode_single_piece(piece)
+
+
+def test_pairs_that_make_a_lower_pair_wait_for_it(tmp_path):
+    """A vocabulary whose longer tokens may rank below the pieces they are made of."""
+    rng = random.Random(1)
+    for trial in range(40):
+        tokens = {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))).encode() for _ in range(25)}
+        listed = [bytes([i]) for i in range(256)] + rng.sample(sorted(tokens), len(tokens))
+        path = tmp_path / f"{trial}.tiktoken"
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(listed)))
+        vocab = bpe.Vocabulary(str(path))
+        for _ in range(20):
+            piece = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 60))).encode()
+            assert vocab.merge_long(piece) == vocab.merge(piece)
