@@ -7,7 +7,7 @@ directory keeps the first key of every block; the first keys of the index parts
 key is routed to its part by binary search in the upper level, to its block by binary search in that part's
 directory, then the block and the records are fetched by range reads.
 
-Defined results: null html is an empty payload, null url an empty key; equal payloads refer to the largest page_id
+Defined results: null html is an empty payload, null url an empty key, a line break of a url is written as %0A or %0D; equal payloads refer to the largest page_id
 among them, whose repeated rows are all responses; pages without page_id are responses unless an equal payload has
 one; repeated rows are captures of their own; an empty table gives an empty archive; extra columns are ignored.
 Files go through pyarrow's file systems; archives of a failed attempt are left unreferenced.
@@ -25,13 +25,15 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, fresh_path, look_up
+from .text import long_texts
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)(:\d+)?([^#]*)")
@@ -101,15 +103,17 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
 
 
-def read_archive(path: str) -> Iterator[bytes]:
-    """All records of a file from front to back, uncompressed, for use without an index."""
+def read_archive(path: str, piece: int = 1 << 20) -> Iterator[bytes]:
+    """All records of a file from front to back, uncompressed, for use without an index. One record is held at a time."""
     system, where = fs.FileSystem.from_uri(path)
     with system.open_input_stream(where, compression=None) as f:
-        rest = f.read()
-    while rest:
-        unpack = zlib.decompressobj(31)
-        yield unpack.decompress(rest)
-        rest = unpack.unused_data
+        unpack, found, rest = zlib.decompressobj(31), [], b""
+        while rest or (rest := f.read(piece)):
+            found.append(unpack.decompress(rest))
+            rest = unpack.unused_data
+            if unpack.eof:
+                yield b"".join(found)
+                unpack, found = zlib.decompressobj(31), []
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -186,10 +190,11 @@ class Archive:
 
 def decide(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, revisit, refers_to): the payload's largest page_id is the response."""
+    long_texts(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    key = rows.select("page_id", F.sha2("payload", 256).alias("hash"))
-    several = key.groupBy("hash").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("hash", "last")
-    revisits = key.join(several, "hash").where("page_id is null or page_id <> last").select(F.col("page_id").alias("id"), "hash", "last").distinct()
+    key = cut(rows.select("page_id", F.sha2("payload", 256).alias("hash")))
+    several = key.groupBy("hash").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
+    revisits = look_up(key, several, "hash", "n", key.count()).where("page_id is null or page_id <> last").select(F.col("page_id").alias("id"), "hash", "last").distinct()
     hashed = rows.withColumn("own", F.sha2("payload", 256))
     met = hashed.join(revisits, hashed["page_id"].eqNullSafe(revisits["id"]) & (hashed["own"] == revisits["hash"]), "left")
     return met.select("page_id", "url", "payload", F.col("last").isNotNull().alias("revisit"), F.col("last").alias("refers_to"))
@@ -232,13 +237,17 @@ def find(archive: Archive, keys: list[str]) -> Iterator[tuple[str, str, int, int
 
 
 def lookup(archive: Archive, wanted: DataFrame) -> DataFrame:
-    """wanted: (url, page_id), each pair once. A row for each capture: page_id, payload_bytes, payload_digest, record_type, refers_to, payload."""
+    """wanted: (url, page_id). A row for each capture of one of these pairs: page_id, payload_bytes, payload_digest, record_type, refers_to, payload.
+
+    Index keys leave out what doesn't tell captures apart in practice (scheme, http and https, fragments); the records' own URLs decide."""
     firsts = [p[0] for p in archive.parts]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [capture_key(u, p) for u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([max(0, bisect_right(firsts, k) - 1) for k in keys], pa.int32()), pa.array(keys, pa.string())], ["part", "key"])
+            urls = batch.column(0).to_pylist()
+            keys = [capture_key(u, p) for u, p in zip(urls, batch.column(1).to_pylist())]
+            parts = [max(0, bisect_right(firsts, k) - 1) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(keys, pa.string()), pa.array(map(_clean, urls), pa.string())], ["part", "key", "url"])
 
     def page_of(told: str) -> int | None:
         own = told[len("<urn:page:") : -1]
@@ -247,27 +256,33 @@ def lookup(archive: Archive, wanted: DataFrame) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = fs.FileSystem.from_uri(archive.root)
         for batch in batches:
-            places = sorted((f, at, size) for _, f, at, size in find(archive, batch.column("key").to_pylist()))
-            rows, bytes_held, name, source = [], 0, None, None
-            for file, at, size in places:
-                if file != name:
-                    name, source = file, system.open_input_file(f"{folder}/{file}")
-                head, http, payload = parse_record(zlib.decompress(source.read_at(size, at), 31))
-                digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                n = int(http["Content-Length"])
-                if kind == "response" and (n != len(payload) or digest != sha1_base32(payload)):
-                    raise ValueError(f"damaged record at {file}:{at}")
-                rows.append((page_of(head["WARC-Record-ID"]), n, digest, kind, page_of(head["WARC-Refers-To"]) if kind == "revisit" else None, payload))
-                bytes_held += len(payload)
-                if bytes_held > 16 << 20:
-                    yield _rows(rows)
-                    rows, bytes_held = [], 0
+            asked: dict[str, set[str]] = {}
+            for key, urls in zip(batch.column("key").to_pylist(), batch.column("urls").to_pylist()):
+                asked[key] = set(urls)
+            places = sorted((f, at, size, key) for key, f, at, size in find(archive, sorted(asked)))
+            rows, bytes_held = [], 0
+            for file, own in groupby(places, key=lambda x: x[0]):
+                with system.open_input_file(f"{folder}/{file}") as source:
+                    for _, at, size, key in own:
+                        head, http, payload = parse_record(zlib.decompress(source.read_at(size, at), 31))
+                        if head["WARC-Target-URI"] not in asked[key]:
+                            continue
+                        digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
+                        n = int(http["Content-Length"])
+                        if kind == "response" and (n != len(payload) or digest != sha1_base32(payload)):
+                            raise ValueError(f"damaged record at {file}:{at}")
+                        rows.append((page_of(head["WARC-Record-ID"]), n, digest, kind, page_of(head["WARC-Refers-To"]) if kind == "revisit" else None, payload))
+                        bytes_held += len(payload)
+                        if bytes_held > 16 << 20:
+                            yield _rows(rows)
+                            rows, bytes_held = [], 0
             yield _rows(rows)
 
-    routed = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(route, "part int, key string")
+    long_texts(wanted.sparkSession)
+    routed = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(route, "part int, key string, url string")
     # a stated number of partitions: keys are small, what they make a task read isn't, so they must not be put together by size
     tasks = max(len(firsts), int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return routed.repartition(tasks, "part", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("key").mapInArrow(fetch, SCHEMA)
+    return routed.groupBy("part", "key").agg(F.collect_set("url").alias("urls")).repartition(tasks, "part", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("key").mapInArrow(fetch, SCHEMA)
 
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"

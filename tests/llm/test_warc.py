@@ -38,6 +38,17 @@ def test_round_trip(spark, tmp_path):
     assert found[5005].refers_to == 5299 and found[5005].payload_bytes == 4
 
 
+def test_urls_of_one_key_are_told_apart(spark, tmp_path):
+    rows = [(5, "http://a.b/x", "one"), (5, "https://a.b/x#f", "two"), (5, "https://a.b/x#f", "two"), (6, None, "three"), (6, "", "four"), (7, "a\nb", "five"), (7, "a%0Ab", "six")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.write(spark, pages, f"file://{tmp_path}/k")
+    got = sorted((r.page_id, bytes(r.payload).decode()) for r in warc.lookup(archive, pages).collect() if r.record_type == "response")
+    assert got == sorted((i, h) for i, _, h in rows)
+    assert warc.lookup(archive, pages.select("url", "page_id").distinct()).count() == len(rows)
+    only = spark.createDataFrame([("https://a.b/x#f", 5)], "url string, page_id long")
+    assert {bytes(r.payload) for r in warc.lookup(archive, only).collect()} == {b"two"}
+
+
 def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     archive = warc.write(spark, pages, f"file://{tmp_path}/b")
