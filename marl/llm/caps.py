@@ -4,12 +4,14 @@ Directions come from a structured random product code: coordinates are rotated a
 two blocks, each with a codebook of random unit vectors; a direction is a pair of codewords. A vector is
 filed under all directions that it exceeds by a threshold, which list decoding finds from the two sorted
 lists of block scores. Vectors meet by an exchange on directions and every meeting pair is verified by
-its cosine in double precision.
+its cosine in double precision. A direction that a hot share of the vectors exceeds is dealt to cells:
+its members are put into blocks by a hash, and every pair of blocks is a cell of its own.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components links with
 nothing; equal vectors form a class, which enters the search once and counts with all its rows; vectors of
-different length never link; repeated vec_id rows are rows of their own, null vec_id rows have no component;
-an empty table gives no rows; extra columns are ignored.
+different length never link; a cosine of exactly the threshold links; repeated vec_id rows are rows of their
+own; rows without vec_id count as rows that others link with, and their component is the smallest vec_id
+reachable, null if there is none; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, local_forest, read_all
+from .common import connected_components, cut, local_forest, look_up, read_all
+from .text import mix
 
 #: Rows of one direction that are compared with the others at a time.
 BLOCK = 512
+#: A direction of more vectors than this, and than one in HOT_DIRECTIONS of all that are filed, is dealt to cells of about so many each way.
+CELL, HOT_DIRECTIONS = 4096, 100_000
+
+
+USABLE = "coalesce(size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0), false)"
 
 
 @dataclass(frozen=True)
@@ -77,7 +85,12 @@ def decode(vectors: np.ndarray, cfg: CapFilters) -> tuple[np.ndarray, np.ndarray
     least = np.minimum(height, best - 1e-12)
     row, rank_one = np.nonzero(one + two[:, :1] >= least[:, None])  # the only first words with anything to list
     need = least[row] - one[row, rank_one]
-    count = (two[row] >= need[:, None]).sum(1)
+    low, high = np.ones(len(row), np.int64), np.full(len(row), cfg.words)  # how many second words reach it: two is sorted, the first one does
+    while (low < high).any():
+        mid = (low + high + 1) >> 1
+        enough = two[row, mid - 1] >= need
+        low, high = np.where(enough, mid, low), np.where(enough, high, mid - 1)
+    count = low
     at = np.repeat(np.arange(len(row)), count)
     rank_two = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
     row, found = row[at], up[row, rank_one][at] * cfg.words + down[row[at], rank_two]
@@ -86,109 +99,179 @@ def decode(vectors: np.ndarray, cfg: CapFilters) -> tuple[np.ndarray, np.ndarray
 
 
 def classes_of(embeddings: DataFrame) -> DataFrame:
-    """(rep, n, v): distinct usable vectors with their smallest vec_id and count of rows."""
-    fine = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)"
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(fine)
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
-    return rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    """(id, rep, n, v): distinct usable vectors, each with a number of its own, its smallest vec_id and its count of rows."""
+    rows = _rows(embeddings).where(USABLE).select("vec_id", "v")
+    return rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id())
+
+
+def _rows(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), _plain("embedding").alias("v"))
+
+
+def _plain(column: str):
+    """Doubles, without negative zeros."""
+    return F.transform(F.col(column).cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow in the norm
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], cfg: CapFilters) -> Iterator[tuple]:
+    """(batch, places in it, vectors, row, direction) of the vectors of one length, a few thousand at a time."""
+    for batch in batches:
+        vectors = batch.column(batch.schema.get_field_index("v"))
+        lengths = vectors.value_lengths().to_numpy()
+        for dim in np.unique(lengths):
+            own = np.flatnonzero(lengths == dim)
+            for at in range(0, len(own), 4096):
+                places = own[at : at + 4096]
+                v = vectors.take(pa.array(places)).flatten().to_numpy().reshape(-1, dim)
+                yield batch, places, v, *decode(_units(v), cfg)
+
 
+def _key(direction: np.ndarray, dim: int) -> np.ndarray:
+    return direction + (int(dim) << 32)
+
+
+def _directions(cfg: CapFilters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, v, _, direction in _decoded(batches, cfg):
+            key, n = np.unique(_key(direction, v.shape[1]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"key": key, "n": n})
+
+    return run
+
+
+def _file(cfg: CapFilters, kind: str, hot: dict[int, int]):
+    """A row for each vector and direction, or cell of a direction. cell: the numbers of two blocks, -1 for a direction that isn't dealt;
+    own: the vector's block. codes: the directions before this one that the vector exceeds, too."""
 
-def _file(cfg: CapFilters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column(batch.schema.get_field_index("v"))
-            lengths = vectors.value_lengths().to_numpy()
-            for dim in np.unique(lengths):
-                own = np.flatnonzero(lengths == dim)
-                v = vectors.take(pa.array(own)).flatten().to_numpy().reshape(-1, dim)
-                v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow in the norm
-                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                for at in range(0, len(unit), 4096):
-                    row, direction = decode(unit[at : at + 4096], cfg)
-                    starts = np.searchsorted(row, np.arange(len(unit[at : at + 4096]) + 1))
-                    own_codes = [direction[a:b].astype("<i4").tobytes() for a, b in zip(starts[:-1], starts[1:])]
-                    data = [unit[at + i].tobytes() for i in range(len(own_codes))]
-                    picked = pa.array(own[at + row])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(direction + (int(dim) << 32)),
-                            batch.column("rep").take(picked),
-                            batch.column("n").take(picked),
-                            pa.array([data[i] for i in row], pa.binary()),
-                            pa.array([own_codes[i] for i in row], pa.binary()),
-                        ],
-                        ["key", "rep", "n", "unit", "codes"],
-                    )
+        hot_keys = np.array(sorted(hot), np.int64)
+        blocks = np.array([hot[k] for k in hot_keys.tolist()], np.int64)
+        for batch, places, v, row, direction in _decoded(batches, cfg):
+            data = [x.tobytes() for x in v.astype(kind)]
+            starts = np.searchsorted(row, np.arange(len(v) + 1))
+            coded = [direction[a:b].astype("<i4").tobytes() for a, b in zip(starts[:-1], starts[1:])]
+            before = np.arange(len(row)) - starts[row]
+            key = _key(direction, v.shape[1])
+            ids = batch.column("id").take(pa.array(places)).to_numpy()[row]
+            parts = np.ones(len(row), np.int64)
+            if len(hot_keys):
+                at = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+                parts = np.where(hot_keys[at] == key, blocks[at], 1)
+            own = (mix(ids.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+            each = np.repeat(np.arange(len(row)), parts)
+            other = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts)
+            cell = np.where(parts[each] > 1, np.minimum(own[each], other) << 20 | np.maximum(own[each], other), -1)
+            for a in range(0, len(each), 1 << 16):
+                part = each[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key[part]), pa.array(cell[a : a + (1 << 16)]), pa.array(own[part]), pa.array(ids[part]),
+                        batch.column("n").take(pa.array(places[row[part]])),
+                        pa.array([data[i] for i in row[part].tolist()], pa.binary()),
+                        pa.array([coded[i][: 4 * k] for i, k in zip(row[part].tolist(), before[part].tolist())], pa.binary()),
+                    ],
+                    ["key", "cell", "own", "id", "n", "v", "codes"],
+                )
 
     return run
 
 
-def _meet(least: float):
-    """Per direction: links that connect its members, and for each member the rows linked to it by pairs whose first common direction this is."""
-
-    def group(key: int, rep: np.ndarray, n: np.ndarray, unit: np.ndarray, codes: list[bytes]) -> tuple:
-        lists = [np.frombuffer(c, "<i4") for c in codes]
-        lists = [c[c < (key & 0xFFFFFFFF)] for c in lists]
-        _, place = np.unique(np.concatenate(lists), return_inverse=True)
-        member = np.zeros((len(rep), int(place.max(initial=-1)) + 2), dtype=np.float32)
-        member[np.repeat(np.arange(len(rep)), [len(c) for c in lists]), place] = 1
-        total, u, v = np.zeros(len(rep), dtype=np.int64), [], []
-        for at in range(0, len(rep), BLOCK):
-            near = unit[at : at + BLOCK] @ unit.T >= least
-            near[np.arange(len(near)), at + np.arange(len(near))] = False
-            i, j = np.nonzero(near)
-            first = near & (member[at : at + BLOCK] @ member.T == 0)
-            total[at : at + BLOCK] = first @ n
-            rest = np.flatnonzero(j > at + i)
-            a, b = local_forest(at + i[rest], j[rest]) if len(rest) else (np.zeros(0, int), np.zeros(0, int))
-            u.append(rep[a])
-            v.append(rep[b])
+def _shared(codes: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the code lists at i and j have a code in common. Only codes that several of the lists hold are laid out."""
+    rows, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    lists = [np.frombuffer(codes[r], "<i4") for r in rows.tolist()]
+    flat, of = np.concatenate(lists), np.repeat(np.arange(len(rows)), [len(x) for x in lists])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    several = count[column] > 1
+    kept, column = np.unique(column[several], return_inverse=True)
+    member = np.zeros((len(rows), len(kept)), bool)
+    member[of[several], column] = True
+    packed = np.packbits(member, axis=1)
+    a, b = place[: len(i)], place[len(i) :]
+    found = np.zeros(len(i), bool)
+    step = max(1, (16 << 20) // max(1, packed.shape[1]))
+    for at in range(0, len(i), step):
+        found[at : at + step] = (packed[a[at : at + step]] & packed[b[at : at + step]]).any(axis=1)
+    return found
+
+
+def _meet(least: float, kind: str):
+    """Per direction or cell: links that connect its members, and for each member the rows linked to it by pairs whose first common direction this is."""
+
+    def group(cell: int, own: np.ndarray, ids: np.ndarray, n: np.ndarray, unit: np.ndarray, codes: list[bytes]) -> tuple:
+        across = cell >= 0 and cell >> 20 != cell & 0xFFFFF
+        one = np.flatnonzero(own == cell >> 20) if across else np.arange(len(ids))
+        two = np.flatnonzero(own == cell & 0xFFFFF) if across else one
+        total, u, v = np.zeros(len(ids), dtype=np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(one), BLOCK):
+            i, j = np.nonzero(unit[one[at : at + BLOCK]] @ unit[two].T >= least)
+            i, j = one[at + i], two[j]
+            once = np.arange(len(i)) if across else np.flatnonzero(i < j)
+            i, j = i[once], j[once]
+            if len(i):
+                first = ~_shared(codes, i, j)
+                np.add.at(total, i[first], n[j[first]])
+                np.add.at(total, j[first], n[i[first]])
+                a, b = local_forest(i, j)
+                u.append(ids[a])
+                v.append(ids[b])
         return total, np.concatenate(u), np.concatenate(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = read_all(batches)
         if found is None:
             return
-        keys = found["key"].to_numpy()
-        order = np.argsort(keys, kind="stable")
-        bounds = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0, [True]]))
-        rep, n = found["rep"].to_numpy(), found["n"].to_numpy()
-        reps, totals, us, vs = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, cells = found["key"].to_numpy(), found["cell"].to_numpy()
+        order = np.lexsort([found["id"].to_numpy(), cells, keys])
+        bounds = np.flatnonzero(np.concatenate([[True], (np.diff(keys[order]) != 0) | (np.diff(cells[order]) != 0), [True]]))
+        ids, n, own = (found[c].to_numpy() for c in ("id", "n", "own"))
+        named, totals, us, vs = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(bounds[:-1], bounds[1:]):
             if b - a < 2:
                 continue
-            own = order[a:b]
-            rows = found.take(pa.array(own))
-            dim = int(keys[own[0]]) >> 32
-            unit = np.frombuffer(b"".join(rows["unit"].to_pylist()), dtype=np.float64).reshape(-1, dim)
-            total, u, v = group(int(keys[own[0]]), rep[own], n[own], unit, rows["codes"].to_pylist())
+            at = order[a:b]
+            rows = found.take(pa.array(at))
+            v = np.frombuffer(b"".join(rows["v"].to_pylist()), dtype=kind).astype(np.float64).reshape(-1, int(keys[at[0]]) >> 32)
+            total, u, w = group(int(cells[at[0]]), own[at], ids[at], n[at], _units(v), rows["codes"].to_pylist())
             some = total > 0
-            reps.append(rep[own][some])
+            named.append(ids[at][some])
             totals.append(total[some])
             us.append(u)
-            vs.append(v)
+            vs.append(w)
         u, v = local_forest(np.concatenate(us), np.concatenate(vs))
-        if reps:
-            ids, at = np.unique(np.concatenate(reps), return_inverse=True)
-            count = np.zeros(len(ids), dtype=np.int64)
+        if named:
+            who, at = np.unique(np.concatenate(named), return_inverse=True)
+            count = np.zeros(len(who), dtype=np.int64)
             np.add.at(count, at, np.concatenate(totals))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(count)], ["u", "v", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(count)], ["u", "v", "count"])
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["u", "v", "count"])
 
     return run
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.9, cfg: CapFilters = CapFilters()) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, least: float = 0.9, cfg: CapFilters = CapFilters(), cell: int = CELL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"  # vectors travel as they came and are cut to unit length where they meet
     classes = cut(classes_of(embeddings))
     cfg = cfg.sized(classes.count())
-    filed = classes.where("rep is not null").mapInArrow(_file(cfg), "key long, rep long, n long, unit binary, codes binary")
-    met = cut(filed.repartition("key").mapInArrow(_meet(least), "u long, v long, count long"))
+    counted = cut(classes.mapInArrow(_directions(cfg), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    bound = max(cell, -(-(counted.agg(F.sum("n")).first()[0] or 0) // HOT_DIRECTIONS))
+    hot = {r["key"]: -(-r["n"] // bound) for r in counted.where(F.col("n") > bound).collect()}  # HOT_DIRECTIONS rows at most
+    filed = classes.mapInArrow(_file(cfg, kind, hot), "key long, cell long, own long, id long, n long, v binary, codes binary")
+    met = cut(filed.repartition("key", "cell").mapInArrow(_meet(least, kind), "u long, v long, count long"))
     roots = connected_components(met.where("v is not null").select("u", "v"))
     counts = met.where("v is null").groupBy("u").agg(F.sum("count").alias("linked"))
-    found = classes.join(counts, classes["rep"] == counts["u"], "left").join(roots, classes["rep"] == roots["node"], "left")
-    found = found.select("v", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "rep").alias("component"))
-    same = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), same.alias("v"))
-    done = rows.join(found, "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return done.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    found = classes.join(counts, classes["id"] == counts["u"], "left").join(roots, classes["id"] == roots["node"], "left")
+    found = cut(found.select("v", "rep", "n", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "id").alias("root")))
+    lowest = found.groupBy("root").agg(F.min("rep").alias("component"))
+    rows = _rows(embeddings)
+    told = look_up(rows.where(USABLE), found.join(lowest, "root").select("v", "n", "links", "component"), "v", "n", rows.count())
+    told = told.select("vec_id", F.col("links").cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    others = rows.where(f"not {USABLE}").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return told.unionByName(others).withColumn("kept", F.col("vec_id") == F.col("component_id"))
