@@ -27,9 +27,10 @@ FEATURES = 13
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """sample: labelled documents that the model is fitted on at most, those with the smallest hashes of doc_id."""
+    """sample, sample_bytes: labelled documents that the model is fitted on at most, those with the smallest hashes of doc_id, and their bytes."""
 
     sample: int = 6_000
+    sample_bytes: int = 24 << 20
     steps: int = 150
     ridge: float = 1e-3
     rate: float = 0.08
@@ -121,8 +122,8 @@ def with_neighbours(x: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.hstack([x, before, after])
 
 
-def marginals(unary: np.ndarray, pair: np.ndarray, texts: np.ndarray, edges: bool = False) -> tuple:
-    """P(good) of each line; with edges also the expected counts of label pairs and log Z by text.
+def marginals(unary: np.ndarray, pair: np.ndarray, texts: np.ndarray, weights: np.ndarray | None = None) -> tuple:
+    """P(good) of each line; with weights of the texts also the weighted expected counts of label pairs, and log Z by text.
 
     unary: (lines, 2) log scores of bad and good; pair: (2, 2) log scores of consecutive labels.
     """
@@ -155,7 +156,7 @@ def marginals(unary: np.ndarray, pair: np.ndarray, texts: np.ndarray, edges: boo
         state = now
     both = ahead * behind
     good = both[:, 1] / both.sum(axis=1)
-    if not edges:
+    if weights is None:
         return (good,)
     later = np.ones(len(local), bool)
     later[texts[:-1][lengths > 0]] = False
@@ -163,7 +164,8 @@ def marginals(unary: np.ndarray, pair: np.ndarray, texts: np.ndarray, edges: boo
     joint = ahead[at - 1][:, :, None] * link[None] * (local[at] * behind[at])[:, None, :]
     joint /= joint.sum(axis=(1, 2), keepdims=True)
     log_z = np.add.reduceat(np.log(scale) + top[:, 0], texts[:-1]) + (lengths - 1) * pair.max()
-    return good, joint.sum(axis=0), log_z
+    each = np.repeat(weights, lengths)[at]
+    return good, (joint * each[:, None, None]).sum(axis=0), log_z
 
 
 @dataclass(frozen=True)
@@ -196,8 +198,25 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def loss(theta: np.ndarray, x: np.ndarray, y: np.ndarray, places: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """Negative log likelihood of the line labels and its gradient. All lines of a text have its label y; a text counts with one over the root
+    of its count of lines, so that long ones count more than short ones and less than their lines."""
+    lengths = np.diff(places)
+    each = 1 / np.sqrt(lengths)
+    total = (each * lengths).sum()
+    w, pair = theta[:-4], theta[-4:].reshape(2, 2)
+    unary = _unary(x, w)
+    good, joint, log_z = marginals(unary, pair, places, each)
+    label = np.repeat(y, lengths)
+    told = np.diag([(each * (lengths - 1) * (y == k)).sum() for k in (0, 1)])  # label pairs, all of equal labels
+    said = np.add.reduceat(unary[np.arange(len(x)), label.astype(int)], places[:-1]) + (lengths - 1) * np.diag(pair)[y.astype(int)]
+    value = (each * (log_z - said)).sum() / total + ridge * (theta**2).sum()
+    g = np.concatenate([((good - label) * np.repeat(each, lengths)) @ x, (joint - told).ravel()]) / total + 2 * ridge * theta
+    return float(value), g
+
+
 def fit(texts: list[bytes], y: np.ndarray, cfg: QualityConfig = QualityConfig()) -> QualityModel:
-    """Conditional likelihood of line labels by gradient steps, each text counting with the root of its length; then the curve from document shares to labels."""
+    """Conditional likelihood of line labels by gradient steps; then the curve from document shares to labels."""
     y = np.asarray(y, dtype=np.float64)
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     if not len(y) or y.min() == y.max():
@@ -214,18 +233,10 @@ def fit(texts: list[bytes], y: np.ndarray, cfg: QualityConfig = QualityConfig())
         at = to
     x, size, counts = (np.concatenate(p) for p in zip(*parts))
     places = np.concatenate([[0], np.cumsum(counts)])
-    lengths = np.diff(places)
-    label = np.repeat(y, lengths)
-    weight = np.repeat(1 / np.sqrt(lengths), lengths)  # of a line
-    same = np.sqrt(lengths) - 1 / np.sqrt(lengths)  # weighted label pairs of a text, all of them equal labels
-    told = np.array([[(same * (y == 0)).sum(), 0.0], [0.0, (same * (y == 1)).sum()]])
     theta = np.zeros(x.shape[1] + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    total = weight.sum()
     for step in range(1, cfg.steps + 1):
-        w, pair = theta[:-4], theta[-4:].reshape(2, 2)
-        good, joint, _ = marginals(_unary(x, w), pair, places, edges=True)
-        g = np.concatenate([((good - label) * weight) @ x, (joint * (told.sum() / max(joint.sum(), 1e-9)) - told).ravel()]) / total + 2 * cfg.ridge * theta
+        _, g = loss(theta, x, y, places, cfg.ridge)
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         theta -= cfg.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
     w, pair = theta[:-4], theta[-4:].reshape(2, 2)
@@ -241,12 +252,11 @@ def fit(texts: list[bytes], y: np.ndarray, cfg: QualityConfig = QualityConfig())
 
 
 def fit_sample(sample: DataFrame, cfg: QualityConfig = QualityConfig()) -> QualityModel:
-    """sample: (doc_id, text, y), bounded by cfg.sample rows."""
+    """sample: (doc_id, text, y), bounded by cfg.sample and cfg.sample_bytes."""
     found = sample.select("doc_id", F.col("text").cast("binary").alias("t"), "y").toArrow().combine_chunks()
-    order = np.lexsort([found["y"].to_numpy(), found["doc_id"].to_numpy()])
     data, offsets = flat(found["t"])
-    texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in order]
-    return fit(texts, (found["y"].to_numpy()[order] != 0).astype(float), cfg)
+    rows = sorted(zip(found["doc_id"].to_pylist(), found["y"].to_pylist(), (data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:]))))
+    return fit([t for _, _, t in rows], np.array([float(y != 0) for _, y, _ in rows]), cfg)
 
 
 def score(documents: DataFrame, model: QualityModel) -> DataFrame:

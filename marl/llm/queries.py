@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -11,14 +11,18 @@ from .common import table
 from .settings import QUALITY_FOLD, TOXIC_FOLD, toxicity_model, vocabulary_path
 
 
+def _held_out(fold: tuple[int, int]) -> Column:
+    """A document without an id is in no fold that was learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold[0] == fold[1], F.lit(True)).alias("held_out")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import QualityConfig, fit_sample, score
     from .toxicity import labelled_sample
 
     documents, labels, cfg = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), QualityConfig()
-    model = fit_sample(labelled_sample(documents, labels, "quality", *QUALITY_FOLD, cfg.sample), cfg)
-    held_out = F.crc32(F.col("doc_id").cast("string")) % QUALITY_FOLD[0] == QUALITY_FOLD[1]
-    return score(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    model = fit_sample(labelled_sample(documents, labels, "quality", *QUALITY_FOLD, cfg.sample, cfg.sample_bytes), cfg)
+    return score(documents, model).select("doc_id", _held_out(QUALITY_FOLD), "score", "predicted")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +59,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
@@ -71,7 +76,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(role) + length(text) + marks + length('<|im_start|>') + 1 + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+  CAST(sum(length(role) + length(text) + marks + length('<|im_start|>') + 1 + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text), 's?(ua)+') AS valid
 FROM sized GROUP BY conv_id
 """
 
@@ -80,7 +86,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import lookup, write
 
     pages = table(spark, sf_dir, "pages")
-    found = lookup(write(spark, pages), pages.select("url", "page_id").distinct())
+    found = lookup(write(spark, pages), pages.select("url", "page_id"))
     return found.drop("payload")
 
 
@@ -132,8 +138,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % TOXIC_FOLD[0] == TOXIC_FOLD[1]
-    return score(documents, toxicity_model(documents, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score(documents, toxicity_model(documents, labels)).select("doc_id", _held_out(TOXIC_FOLD), "score", "predicted")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ def test_marginals_equal_enumeration():
     lengths = [1, 4, 2, 6, 1]
     texts = np.concatenate([[0], np.cumsum(lengths)])
     unary, pair = rng.normal(size=(texts[-1], 2)) * 3, rng.normal(size=(2, 2)) * 2
-    good, joint, log_z = quality.marginals(unary, pair, texts, edges=True)
+    good, joint, log_z = quality.marginals(unary, pair, texts, each := rng.uniform(0.5, 2, len(lengths)))
     want, wanted_joint = [], np.zeros((2, 2))
     for k, (a, b) in enumerate(zip(texts[:-1], texts[1:])):
         total, ones, pairs = 0.0, np.zeros(b - a), np.zeros((2, 2))
@@ -21,11 +21,35 @@ def test_marginals_equal_enumeration():
             for s, t in zip(labels, labels[1:]):
                 pairs[s, t] += p
         want.extend(ones / total)
-        wanted_joint += pairs / total
+        wanted_joint += each[k] * pairs / total
         assert np.isclose(log_z[k], np.log(total))
     assert np.allclose(good, want) and np.allclose(joint, wanted_joint)
 
 
+def test_gradient_of_the_field_is_that_of_its_loss():
+    rng = np.random.default_rng(5)
+    places = np.concatenate([[0], np.cumsum([1, 5, 2, 9, 3])])
+    x, y, theta = rng.normal(size=(places[-1], 4)), np.array([1.0, 0, 1, 1, 0]), rng.normal(size=8)
+    _, g = quality.loss(theta, x, y, places, 0.01)
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-6
+        numeric = (quality.loss(theta + step, x, y, places, 0.01)[0] - quality.loss(theta - step, x, y, places, 0.01)[0]) / 2e-6
+        assert np.isclose(g[k], numeric, atol=1e-6)
+
+
+def test_gradient_of_the_counterfactual_loss():
+    rng = np.random.default_rng(6)
+    cfg = toxicity.ToxicityConfig(ridge=0.01, counterfactual=3.0)
+    at = toxicity.loss(np.array([1.0, 0, 1]), [[0, 2], [], [1]], [([0], [1, 3], 5), ([2], [], 1)], 4, cfg)
+    w = rng.normal(size=5)
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-6
+        assert np.isclose(at(w)[1][k], (at(w + step)[0] - at(w - step)[0]) / 2e-6, atol=1e-6)
+    change = np.array([w[1] + w[3] - w[0], -w[2]])
+    plain = toxicity.loss(np.array([1.0, 0, 1]), [[0, 2], [], [1]], [], 4, cfg)
+    assert np.isclose(at(w)[0] - plain(w)[0], 3.0 * (5 * change[0] ** 2 + change[1] ** 2) / 6)
+
+
 def test_lines_are_those_of_split():
     texts = [b"", b"a\n", b"\n\n", b"one\ntwo\n\nthree", b"x", b""]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -56,11 +80,11 @@ def test_quality_rows(spark):
     assert quality.score(docs.limit(0), none).collect() == []
 
 
-def bias_sample(spark):
+def bias_sample(spark, groups=("women", "men")):
     """Half of the toxic texts show it by their words; the others only by which group they name, in a biased sample."""
     rows = []
     for i in range(400):
-        group, shown = ("women", "men")[i % 2], i % 5 == 0
+        group, shown = groups[i % 2], i % 5 == 0
         bad = shown or i % 20 < (12 if i % 2 == 0 else 4)
         rows.append((i, f"We met some {group} there. {'You idiot fool' if shown else 'A fine day'}.", int(bad)))
     return spark.createDataFrame(rows, "doc_id long, text string, y int")
@@ -70,17 +94,23 @@ def test_counterfactuals_take_the_weight_off_identity_terms(spark):
     sample = bias_sample(spark)
     plain = toxicity.fit(sample, toxicity.ToxicityConfig(counterfactual=0.0, least_odds=1.2))
     fair = toxicity.fit(sample, toxicity.ToxicityConfig(counterfactual=50.0, least_odds=1.2))
-
-    def gap(model):
-        a, b = (sum(model.weights.get(t, 0.0) for t in toxicity.traits(w, model.cfg)) for w in ("women", "men"))
-        return abs(a - b)
-
-    assert gap(plain) > 0.5 and gap(fair) < 0.2 * gap(plain)
+    assert plain.pairs == fair.pairs == 400 * 4  # each sentence once with each other term of the group
+    assert toxicity.score_gap(sample, plain) > 0.2 and toxicity.score_gap(sample, fair) < 0.2 * toxicity.score_gap(sample, plain)
     docs = spark.createDataFrame([(1, "women are here"), (2, "you idiot fool"), (3, None), (4, ""), (4, "men " * 60000)], "doc_id long, text string")
     got = {(r.doc_id, r.score < 0.5) for r in toxicity.score(docs, fair).collect()}
     assert got == {(1, True), (2, False), (3, True), (4, True)}
 
 
+def test_identity_terms_are_found_in_the_sample(spark):
+    sample = bias_sample(spark, ("zorps", "blips"))
+    cfg = toxicity.ToxicityConfig(least_odds=4.5, neutral_share=0.6, neutral_odds=4.5, beginnings=(), counterfactual=50.0)
+    fair = toxicity.fit(sample, cfg)
+    assert fair.exchanges == {"blips": ["zorps"], "zorps": ["blips"]} and fair.pairs == 400
+    plain = toxicity.fit(sample, toxicity.ToxicityConfig(**{**cfg.__dict__, "counterfactual": 0.0}))
+    assert plain.exchanges == fair.exchanges
+    assert toxicity.score_gap(sample, fair) < 0.2 * toxicity.score_gap(sample, plain)
+
+
 def test_toxicity_without_labels_and_in_a_filter(spark):
     empty = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, y int"))
     docs = spark.createDataFrame([(1, "a b", "y"), (2, None, None), (2, None, None)], "doc_id long, text string, score string")
@@ -100,3 +130,13 @@ def test_held_out_rows_are_not_fitted_on(spark):
     ids = [r.doc_id for r in toxicity.labelled_sample(docs, labels, "toxic", 5, 0, 1000).collect()]
     assert sorted(ids) == [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
     assert toxicity.labelled_sample(docs, labels, "toxic", 5, 0, 7).count() == 7
+
+
+def test_samples_are_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i % 5, "é" * (i % 50)) for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(5)] * 3, "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, "toxic", 5, 7, 1000).collect()
+    assert len(rows) == len({tuple(r) for r in rows}) == 50  # ten texts for each id, repeated rows once
+    assert toxicity.labelled_sample(docs, labels, "toxic", 5, 7, 8).count() == 8
+    some = toxicity.labelled_sample(docs, labels, "toxic", 5, 7, 1000, 700).collect()
+    assert 0 < sum(len(r.text.encode()) for r in some) <= 700
