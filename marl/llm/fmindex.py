@@ -59,8 +59,16 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int, owners: np.ndarray | None = None) -> None:
         """text: numbers, each segment closed by 0; owners: an id for each place. Patterns of up to `depth` symbols can be searched."""
         n, self.depth = len(text), depth
-        _, rank = np.unique(text, return_inverse=True)
-        step, short = 1, None
+        most = int(text.max(initial=0)) + 1
+        # as many symbols in one number as fit, then twice as many each time
+        bits, step, short = most.bit_length(), 1, None
+        while step * 2 * bits <= 62 and step * 2 <= depth:
+            text_now = text if step == 1 else rank
+            after = np.zeros(n, np.int64)
+            after[: max(0, n - step)] = text_now[step:]
+            rank = text_now << (step * bits) | after
+            step *= 2
+        _, rank = np.unique(text if step == 1 else rank, return_inverse=True)
         while step < depth:
             if 2 * step >= depth:
                 short = (step, rank)
@@ -79,7 +87,6 @@ class FMIndex:
             new[1:] = rank[order[1:]] != rank[order[:-1]]
         self.classes, self.begin = Bits(new), np.append(np.flatnonzero(new), n)
         self.least = np.minimum.reduceat((owners if owners is not None else np.arange(n))[order], self.begin[:-1])
-        most = int(text.max(initial=0)) + 1
         self.tree = WaveletMatrix(text[order - 1], max(1, most.bit_length()))  # before the first suffix the last symbol, a 0
         count = np.bincount(text, minlength=most)
         self.first = np.cumsum(count) - count
@@ -100,15 +107,16 @@ class FMIndex:
         start, length = starts[order], lengths[order]
         base = (np.cumsum(lengths) - lengths)[order]
         match, found = np.zeros(int(lengths.sum()), np.int32), np.full(int(lengths.sum()), -1, np.int64)
-        low, high = np.zeros(len(order), np.int64), np.full(len(order), self.begin[-1], np.int64)
+        low = np.zeros(len(order), np.int64)  # of the interval of suffixes that begin with the match; it never is empty, so that its end isn't needed
         for step in range(1, int(length[0]) + 1 if len(length) else 1):
             live = int(np.searchsorted(-length, -step, "right"))  # the longest come first
             at = length[:live] - step
-            low, high = self.extend(text[start[:live] + at], low[:live], high[:live])
+            symbol = text[start[:live] + at]
+            low = self.first[symbol] - self.zero[symbol] + self.tree.descend(symbol, low[:live])
             match[base[:live] + at] = min(step, self.depth)
             if step >= self.depth:
                 own = self.class_of(low)
-                low, high = self.begin[own], self.begin[own + 1]
+                low = self.begin[own]
                 found[base[:live] + at] = own
         return match, found
 

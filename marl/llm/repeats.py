@@ -5,10 +5,12 @@ equal anchors and consecutive windows mostly share one: a text falls into runs o
 into one segment of text. Anchors only route: whether a window is removed is read from what a resolver (suffix sort or
 FM-index) says of it. In four exchanges:
 
-1. groups of texts send the distinct anchors of each group to shards by anchor; shards answer with one bit for each:
-   does it occur in two documents;
+1. groups of texts send the distinct anchors of each group to shards by anchor; shards answer with two bits for each:
+   does it occur in two documents, and is it hot, that is, has it more than HOT places;
 2. groups send the segments of runs whose anchor does, to shards by anchor. A segment that occurs several times within a
-   group travels once, with the smallest and the largest of its ids, so that a hot passage arrives once from each group;
+   group travels once, with the smallest and the largest of its ids, so that a hot passage arrives once from each group.
+   The runs at the edges of a hot passage differ in every document, though, and all have its anchors: segments of hot
+   anchors are therefore taken apart into their windows, each of which goes to the shard of its own hash;
 3. the shard's resolver finds equal windows among all its segments, and with them the smallest id under which each
    window starts; groups are told in stretches of windows with one such id;
 4. groups cover the windows whose smallest id is below the text's own.
@@ -40,19 +42,22 @@ from .text import PrefixHash, flat, give_back, mix, words_in
 LONGEST_RUN = 4096
 #: Bytes of text worked on at a time within a group or shard.
 STEP = 1 << 18
+#: Places of an anchor above which its windows are dealt one by one: what an anchor brings to its shard is bounded by it.
+HOT = 8192
 LAST_ID = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
 class RepeatConfig:
     """window and gram: units of a window and of an anchor's k-gram; unit: "byte" or "word"; group_bytes, shard_bytes: text for which
-    there is one group, one shard."""
+    there is one group, one shard; hot: places of an anchor above which its windows are dealt one by one."""
 
     window: int = 50
     gram: int = 24
     unit: str = "byte"
     group_bytes: int = 8 << 20
     shard_bytes: int = 4 << 20
+    hot: int = HOT
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -213,8 +218,8 @@ def _by_shard(anchors: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]
     yield from zip(where[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist())
 
 
-def _distinct(group: Group) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct anchors of a group, does each occur under two ids)."""
+def _distinct(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct anchors of a group, does each occur under two ids, its places)."""
     anchors, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for at, row, _, _, anchor in group.runs():
         anchors.append(anchor)
@@ -227,11 +232,13 @@ def _distinct(group: Group) -> tuple[np.ndarray, np.ndarray]:
     other = np.zeros(len(anchors), bool)
     other[1:] = ~new[1:] & (owners[1:] != owners[:-1])
     at = np.flatnonzero(new)
-    return anchors[at], (np.add.reduceat(other.astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool))
+    twice = np.add.reduceat(other.astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
+    return anchors[at], twice, np.diff(np.append(at, len(anchors))).astype(np.uint32)
 
 
 SEGMENT = (np.int32, np.int32, np.int64, np.int64, np.uint8)  # of a segment: bytes, windows, smallest and largest id; all text
-MEMBER = (np.int32, np.int64, np.int32, np.int64)  # of a place of a segment: the segment, id, row, first window
+MEMBER = (np.int32, np.int32, np.int64)  # of a place of a class of equal segments: the class, row, first window
+ALIAS = (np.int32, np.int32, np.int32)  # of what a segment that was sent stands for: the segment, a class, the first of its windows
 ANSWER = (np.int32, np.int32, np.int32, np.int64)  # of a stretch of windows: the segment, first window, windows, smallest id
 
 
@@ -242,28 +249,44 @@ def _batch(names: str, kinds: tuple, rows: list[tuple]) -> pa.Table:
 
 def _ask(cfg: RepeatConfig, shards: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        anchors, twice = _distinct(Group(rows, cfg))
-        out = [(s, key[0].as_py(), _pack(anchors[a:b], np.packbits(twice[a:b]))) for s, a, b in _by_shard(anchors, shards)]
+        anchors, twice, places = _distinct(Group(rows, cfg))
+        out = [(s, key[0].as_py(), _pack(anchors[a:b], np.packbits(twice[a:b]), places[a:b])) for s, a, b in _by_shard(anchors, shards)]
         return _batch("shard gid blob", (pa.int64(), pa.int64(), pa.binary()), out)
 
     return run
 
 
-def _answer(key: tuple, rows: pa.Table) -> pa.Table:
-    found = [_unpack(b, (np.uint64, np.uint8)) for b in rows["blob"].to_pylist()]
-    anchors = np.concatenate([a for a, _ in found])
-    known = np.concatenate([np.unpackbits(t, count=len(a)).astype(bool) for a, t in found])
-    order = np.argsort(anchors, kind="stable")
-    again = np.zeros(len(anchors), bool)
-    equal = anchors[order[1:]] == anchors[order[:-1]]
-    again[order[1:]] |= equal
-    again[order[:-1]] |= equal
-    known |= again
-    out, at = [], 0
-    for gid, (a, _) in zip(rows["gid"].to_pylist(), found):
-        out.append((gid, key[0].as_py(), np.packbits(known[at : at + len(a)]).tobytes()))
-        at += len(a)
-    return _batch("gid shard blob", (pa.int64(), pa.int64(), pa.binary()), out)
+def _answer(hot: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        found = [_unpack(b, (np.uint64, np.uint8, np.uint32)) for b in rows["blob"].to_pylist()]
+        anchors = np.concatenate([a for a, _, _ in found])
+        own = np.concatenate([np.unpackbits(t, count=len(a)).astype(bool) for a, t, _ in found])
+        _, of = np.unique(anchors, return_inverse=True)
+        groups, places = np.bincount(of), np.bincount(of, np.concatenate([n for _, _, n in found]))
+        told = np.packbits(np.stack([own | (groups[of] > 1), places[of] > hot], axis=1), axis=1)[:, 0] >> 6
+        out, at = [], 0
+        for gid, (a, _, _) in zip(rows["gid"].to_pylist(), found):
+            out.append((gid, key[0].as_py(), _pack(told[at : at + len(a)])))
+            at += len(a)
+        return _batch("gid shard blob", (pa.int64(), pa.int64(), pa.binary()), out)
+
+    return run
+
+
+def _taken_apart(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, cfg: RepeatConfig) -> tuple:
+    """The different windows of segments, as segments of their own: (text, starts, sizes, hashes, smallest ids, largest ids) of each,
+    and for each place of one (window, segment, place in it)."""
+    piece = piece_of(gather(text, starts, sizes), np.concatenate([[0], np.cumsum(sizes)]), cfg)
+    count = np.diff(piece.bounds) - cfg.window + 1
+    segment = np.repeat(np.arange(len(starts)), count)
+    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    unit = piece.bounds[:-1][segment] + inside
+    begin, end = piece.at[unit], piece.to[unit + cfg.window - 1]
+    hashes = mix(PrefixHash(piece.symbols).of(unit, unit + cfg.window))
+    window, reps = classes_of(piece.text, begin, end - begin, hashes, low[segment])
+    most = np.full(len(reps), np.iinfo(np.int64).min)
+    np.maximum.at(most, window, high[segment])
+    return piece.text, begin[reps], (end - begin)[reps], hashes[reps], low[segment][reps], most, window, segment, inside
 
 
 def _send(cfg: RepeatConfig, shards: int):
@@ -272,10 +295,11 @@ def _send(cfg: RepeatConfig, shards: int):
         if not rows.num_rows or not answers.num_rows:
             return _batch(SENT, kinds, [])
         gid, group = key[0].as_py(), Group(rows, cfg)
-        anchors, _ = _distinct(group)
+        anchors, _, _ = _distinct(group)
         told = dict(zip(answers["shard"].to_pylist(), answers["blob"].to_pylist()))
-        known = [np.unpackbits(np.frombuffer(told[s], np.uint8), count=b - a).astype(bool) for s, a, b in _by_shard(anchors, shards)]
-        wanted = anchors[np.concatenate(known)] if known else anchors[:0]
+        known = [_unpack(told[s], (np.uint8,))[0] for s, _, _ in _by_shard(anchors, shards)]
+        known = np.concatenate(known) if known else np.zeros(0, np.uint8)
+        wanted, hot = anchors[known >= 2], (known == 3)[known >= 2]
         parts = []
         for (_, _, piece), (at, row, first, count, anchor) in zip(group.pieces(), group.runs()):
             own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor) if len(wanted) else np.zeros(0, np.int64)
@@ -290,21 +314,36 @@ def _send(cfg: RepeatConfig, shards: int):
         ids, row, first, count, size, anchor, hashes, text = (np.concatenate(x) for x in zip(*parts))
         starts = np.cumsum(size) - size
         classes, reps = classes_of(text, starts, size, hashes, ids)
-        high = np.zeros(len(reps), np.int64)
-        high[:] = ids[reps]
+        high = ids[reps].copy()
         np.maximum.at(high, classes, ids)
-        order = np.argsort(anchor[reps], kind="stable")
+        apart = hot[np.searchsorted(wanted, anchor[reps])]
+        # segments to send, and what each of them stands for: a class as a whole, or a window at places of some classes
+        whole = np.flatnonzero(~apart)
+        own = reps[whole]
+        sent = [(anchor[own], size[own], count[own], ids[own], high[whole], gather(text, starts[own], size[own]))]
+        alias = [(np.arange(len(whole)), whole, np.zeros(len(whole), np.int64))]
+        if apart.any():
+            some = np.flatnonzero(apart)
+            own = reps[some]
+            window_text, begin, sizes, window_anchor, low, most, window, segment, inside = _taken_apart(text, starts[own], size[own], ids[own], high[some], cfg)
+            sent.append((window_anchor, sizes, np.ones(len(begin), np.int32), low, most, gather(window_text, begin, sizes)))
+            alias.append((window + len(whole), some[segment], inside))
+        anchor, size, count, low, high, text = (np.concatenate(x) for x in zip(*sent))
+        starts = np.cumsum(size) - size
+        segment, stands_for, inside = (np.concatenate(x) for x in zip(*alias))
+        order = np.argsort(anchor, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        place = place[classes]
-        members = np.argsort(place, kind="stable")
-        ends = np.searchsorted(place[members], np.arange(len(order) + 1))
-        out = []
-        for s, a, b in _by_shard(anchor[reps][order], shards):
-            own, there = reps[order[a:b]], members[ends[a] : ends[b]]
-            out.append((s, gid, s, False, _pack(size[own].astype(np.int32), count[own].astype(np.int32), ids[own], high[order[a:b]], gather(text, starts[own], size[own]))))
-            # where its segments stand is for the group itself to know: no shard needs it
-            out.append((gid % shards, gid, s, True, _pack((place[there] - a).astype(np.int32), ids[there], row[there], first[there])))
+        by_place = np.argsort(place[segment], kind="stable")
+        segment, stands_for, inside = place[segment][by_place], stands_for[by_place], inside[by_place]
+        by_class = np.argsort(classes, kind="stable")
+        # where its segments stand is for the group itself to know: no shard reads it
+        out = [(gid % shards, gid, -1, True, _pack(classes[by_class].astype(np.int32), row[by_class], first[by_class]))]
+        for s, a, b in _by_shard(anchor[order], shards):
+            own = order[a:b]
+            out.append((s, gid, s, False, _pack(size[own].astype(np.int32), count[own].astype(np.int32), low[own], high[own], gather(text, starts[own], size[own]))))
+            x, y = np.searchsorted(segment, [a, b])
+            out.append((gid % shards, gid, s, True, _pack((segment[x:y] - a).astype(np.int32), stands_for[x:y].astype(np.int32), inside[x:y].astype(np.int32))))
         give_back()
         return _batch(SENT, kinds, out)
 
@@ -347,22 +386,30 @@ def _resolve(resolver: Resolver):
     return run
 
 
-def _spans(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _met(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with keys[i] == among[j]; among is sorted."""
+    low, high = np.searchsorted(among, keys), np.searchsorted(among, keys, "right")
+    each = high - low
+    return np.repeat(np.arange(len(keys)), each), np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)
+
+
+def _spans(told: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, windows) of the stretches of windows that also start under a smaller id, sorted by row."""
     places, answers = {}, {}
     for part, is_place, blob in zip(told["part"].to_pylist(), told["places"].to_pylist(), told["blob"].to_pylist()):
         (places if is_place else answers)[part] = blob
     found = [(np.zeros(0, np.int64),) * 3]
-    for part, blob in answers.items():
-        of, begin, n, least = _unpack(blob, ANSWER)
-        segment, ids, row, first = _unpack(places[part], MEMBER)
-        low, high = np.searchsorted(of, segment), np.searchsorted(of, segment, "right")
-        each = high - low
-        place = np.repeat(np.arange(len(segment)), each)
-        i = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)
-        gone = least[i] < ids[place]
-        place, i = place[gone], i[gone]
-        found.append((row[place].astype(np.int64), first[place] + begin[i], n[i].astype(np.int64)))
+    if answers:
+        classes, row, first = _unpack(places[-1], MEMBER)
+        for part, blob in answers.items():
+            of, begin, n, least = _unpack(blob, ANSWER)
+            segment, stands_for, inside = _unpack(places[part], ALIAS)
+            i, j = _met(of, segment)
+            k, place = _met(stands_for[j], classes)
+            i, j = i[k], j[k]
+            gone = least[i] < ids[row[place]]
+            i, j, place = i[gone], j[gone], place[gone]
+            found.append((row[place].astype(np.int64), first[place] + inside[j] + begin[i], n[i].astype(np.int64)))
     row, first, n = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(row, kind="stable")
     return row[order], first[order], n[order]
@@ -377,7 +424,7 @@ def _finish(cfg: RepeatConfig, finisher: Finisher, schema: pa.Schema):
         if not rows.num_rows:
             return schema.empty_table()
         group = Group(rows, cfg)
-        row, first, count = _spans(spans)
+        row, first, count = _spans(spans, group.ids)
         parts = []
         for at, to, piece in group.pieces():
             a, b = np.searchsorted(row, [at, to])
@@ -429,7 +476,7 @@ def remove_repeats(documents: DataFrame, resolver: Resolver, finisher: Finisher,
     more = [F.col("text").isNull().alias("nothing")] if with_text else []
     rows = documents.select(gid, number.alias("id"), text.alias("t"), *more, *(F.col(f"`{c}`").alias(f"own_{c}") for c in others))
     asked = rows.groupBy("gid").applyInArrow(_ask(cfg, shards), "shard long, gid long, blob binary")
-    answers = asked.groupBy("shard").applyInArrow(_answer, "gid long, shard long, blob binary")
+    answers = asked.groupBy("shard").applyInArrow(_answer(cfg.hot), "gid long, shard long, blob binary")
     sent = rows.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_send(cfg, shards), "shard long, gid long, part long, places boolean, blob binary")
     spans = sent.groupBy("shard").applyInArrow(_resolve(resolver), "gid long, part long, places boolean, blob binary")
     schema = StructType()

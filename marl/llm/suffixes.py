@@ -30,6 +30,7 @@ class Suffixes:
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, limit: int) -> None:
         self.text, self.starts, self.limit = text, starts, limit
+        self.heads = _heads(text)
         self.hash = PrefixHash(text)
         self.whole = self.hash.of(starts, starts + limit)
 
@@ -55,17 +56,22 @@ class Suffixes:
 
     def order(self) -> np.ndarray:
         """Indexes of the suffixes, sorted; equal ones in the order of their indexes."""
-        heads = _heads(self.text)
-        first = heads[self.starts]
-        second = heads[np.minimum(self.starts + 8, len(heads) - 1)] if self.limit >= 16 else np.zeros(len(first), np.uint64)
+        first = self.heads[self.starts]
+        second = self.heads[np.minimum(self.starts + 8, len(self.heads) - 1)] if self.limit >= 16 else np.zeros(len(first), np.uint64)
         if self.limit < 8:
             first = first >> np.uint64(8 * (8 - self.limit))
         order = np.lexsort([second, first])
+        first, second = first[order], second[order]
         tied = np.zeros(len(order), bool)
-        tied[1:] = (first[order[1:]] == first[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
+        tied[1:] = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
         begin = np.flatnonzero(~tied)
         sizes = np.diff(np.append(begin, len(order)))
-        begin, sizes = begin[sizes > 1], sizes[sizes > 1]
+        # a tie whose suffixes are all equal is one run already, in the order of their indexes
+        whole = self.whole[order]
+        differ = np.zeros(len(order), np.int64)
+        differ[1:] = tied[1:] & (whole[1:] != whole[:-1])
+        mixed = np.add.reduceat(differ, begin) > 0 if len(begin) else np.zeros(0, bool)
+        begin, sizes = begin[mixed], sizes[mixed]
         width = 1
         while len(sizes):
             self._merge(order, begin, sizes, width)
@@ -102,11 +108,14 @@ class Suffixes:
         new = np.ones(len(order), bool)
         new[1:] = self.whole[order[1:]] != self.whole[order[:-1]]
         check = np.flatnonzero(~new)
-        for at in range(0, len(check), 1 << 15):
-            part = check[at : at + (1 << 15)]
+        # eight bytes at a time, the last eight overlapping those before; fewer than eight by what they start with
+        steps = [*range(0, self.limit - 7, 8), *([self.limit - 8] if self.limit % 8 and self.limit > 8 else [])] or [0]
+        shift = np.uint64(8 * max(0, 8 - self.limit))
+        for at in range(0, len(check), 1 << 18):
+            part = check[at : at + (1 << 18)]
             a, b = self.starts[order[part]], self.starts[order[part - 1]]
-            step = np.arange(self.limit)
-            new[part] |= (self.text[a[:, None] + step] != self.text[b[:, None] + step]).any(axis=1)
+            for step in steps:
+                new[part] |= (self.heads[a + step] >> shift) != (self.heads[b + step] >> shift)
         return order, new
 
 

@@ -54,8 +54,9 @@ def corpus(rng, n=120):
     return rows
 
 
+@pytest.mark.parametrize("hot", [8192, 3])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_bytes_against_brute_force(spark, seed):
+def test_bytes_against_brute_force(spark, seed, hot):
     rows = corpus(random.Random(seed))
     split, flags = brute(rows, 50, lambda t: list(t.encode()))
     want = []
@@ -63,7 +64,7 @@ def test_bytes_against_brute_force(spark, seed):
         spans = sum(1 for a, b in zip([False, *f], f) if b and not a)
         want.append((i, len(u), sum(f), spans, sha256(bytes(x for x, gone in zip(u, f) if not gone)).hexdigest()))
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, gid int").repartition(4)
-    cfg = RepeatConfig(window=50, gram=24, unit="byte", group_bytes=20000, shard_bytes=9000)
+    cfg = RepeatConfig(window=50, gram=24, unit="byte", group_bytes=20000, shard_bytes=9000, hot=hot)
     got = suffixes.digests(docs, cfg)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
@@ -71,13 +72,14 @@ def test_bytes_against_brute_force(spark, seed):
     assert kept == {(w[0], w[4]) for w in want}
 
 
+@pytest.mark.parametrize("hot", [8192, 3])
 @pytest.mark.parametrize("seed", [3, 4])
-def test_words_against_brute_force(spark, seed):
+def test_words_against_brute_force(spark, seed, hot):
     rows = corpus(random.Random(seed))
     split, flags = brute(rows, 50, lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w])
     want = [(i, len(u), sum(f), sha256(" ".join(x for x, gone in zip(u, f) if not gone).encode()).hexdigest()) for (i, t), u, f in zip(rows, split, flags)]
     docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, kept string").repartition(4)
-    cfg = RepeatConfig(window=50, gram=10, unit="word", group_bytes=20000, shard_bytes=9000)
+    cfg = RepeatConfig(window=50, gram=10, unit="word", group_bytes=20000, shard_bytes=9000, hot=hot)
     assert sorted(tuple(r) for r in fmindex.digests(docs, cfg).collect()) == sorted(want)
     cut = fmindex.dedup_words(docs, cfg)
     assert cut.columns == docs.columns and cut.schema == docs.schema
