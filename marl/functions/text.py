@@ -95,6 +95,11 @@ def normalize_question(c: Column | str) -> Column:
     return squeeze(F.regexp_replace(c, f"[^\\p{{L}}\\p{{N}}_{SPACE}{ARABIC}]", " "))
 
 
+def stem(c: Column | str) -> Column:
+    """Words without vowel marks and tatweel, single blanks between them."""
+    return squeeze(F.regexp_replace(col(c), "[\\u064B-\\u0652\\u0640]", ""))
+
+
 def tokens(c: Column | str) -> Column:
     """Runs of letters, digits and underscores in lower case."""
     return F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))

@@ -1,23 +1,26 @@
-"""First-copy deduplication by fingerprints. The survivor is the copy with the smallest key, found by an aggregate that
-combines on the map side, so that no group of copies meets in one task."""
+"""First-copy deduplication by fingerprints. The survivor is the copy with the smallest key; every task puts forward its
+own first one before anything is exchanged, so that no group of copies meets in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
-def fingerprint_groups(rows: DataFrame, fingerprint: Column, key: str) -> DataFrame:
-    """(fingerprint, first, copies)."""
-    return rows.select(fingerprint.alias("fingerprint"), F.col(key)).groupBy("fingerprint").agg(F.min(key).alias("first"), F.count("*").alias("copies"))
+def fingerprint_groups(rows: DataFrame, fingerprint: Column, key: str, *order: str) -> DataFrame:
+    """(fingerprint, first, copies): the key that comes first, by order if columns are named."""
+    first = F.min_by(key, F.struct(*order)) if order else F.min(key)
+    return rows.select(fingerprint.alias("fingerprint"), key, *order).groupBy("fingerprint").agg(first.alias("first"), F.count("*").alias("copies"))
 
 
-def first_copies(rows: DataFrame, fingerprint: Column, key: str) -> DataFrame:
-    """rows without those that have a copy with a smaller key."""
-    firsts = fingerprint_groups(rows, fingerprint, key).select("first")
-    return rows.join(firsts, F.col(key).eqNullSafe(F.col("first")), "left_semi")
+def first_copies(rows: DataFrame, fingerprint: Column, *keys: str) -> DataFrame:
+    """One row for each fingerprint: that with the smallest keys; of rows with equal keys that with the smallest hash, of repeated rows one.
+
+    Rows without a fingerprint are copies of one another."""
+    order = Window.partitionBy("_fp").orderBy(*keys, F.xxhash64(*(f"`{c}`" for c in rows.columns)))
+    return rows.withColumn("_fp", fingerprint).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_fp", "_n")
 
 
 def not_seen(rows: DataFrame, fingerprint: Column, known: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exhaustive inner-product search: blocks of queries against blocks of vectors."""
+"""Exhaustive inner-product search: blocks of queries, of bounded size, against the vectors of every task."""
 
 from __future__ import annotations
 
@@ -6,40 +6,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from ..shared import cut
+from .best import Best, ranked
 
-def _blocks(vectors: DataFrame, key: str, column: str, rows: int, number: int) -> DataFrame:
-    """(ids array<long>, flat array<double>): about `rows` vectors each, of one length."""
-    tagged = vectors.where(f"{column} is not null and {key} is not null").select(
-        F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), F.size(column).alias("dim"), F.pmod(F.xxhash64(key), F.lit(number)).alias("block")
-    )
-    packed = tagged.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("r"))
-    return packed.select("dim", F.col("r.id").alias("ids"), F.flatten("r.v").alias("flat"))
+#: Bytes of query vectors that a task holds at a time, and products that it makes at a time.
+BLOCK_BYTES, PRODUCTS = 32 << 20, 4 << 20
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", block: int = 4096, digits: int = 6) -> DataFrame:
-    """(question_id, passage_id, score, rank): the k largest inner products of each query, ties by id.
+def _usable(rows: DataFrame, key: str, column: str, name: str, normalize: bool, corpus: str | None) -> DataFrame:
+    """(name, corpus_id, v): vectors with an id, as doubles, of unit length if asked for (zero vectors stay)."""
+    v = F.col(column).cast("array<double>")
+    if normalize:
+        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+        unit = F.transform("v", lambda x: x / F.when(F.col("length") > 0, F.col("length")).otherwise(1.0))
+    own = F.col(corpus).cast("long") if corpus else F.lit(0).cast("long")
+    found = rows.where(f"`{column}` is not null and `{key}` is not null").select(F.col(key).alias(name), own.alias("corpus_id"), v.alias("v"))
+    return found.withColumn("length", length).select(name, "corpus_id", unit.alias("v")) if normalize else found
 
-    Both sides are packed into blocks; every pair of blocks is one matrix product, of which k of each query go on.
-    """
-    counts = (queries.count(), vectors.count())
-    q, v = (_blocks(x, key, column, block, max(1, -(-n // block))) for x, n in zip((queries, vectors), counts))
-    q = q.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
-    pairs = v.join(q, F.col("dim") == F.col("q_dim"))
+
+def _products(block: pa.Table, k: int, digits: int, kind: pa.DataType):
+    lengths = block["v"].combine_chunks().value_lengths().to_numpy()
+    every = np.array(block["question_id"].to_pylist(), dtype=object)
+    corpus = block["corpus_id"].to_numpy()
+    groups = {}
+    for dim, own in {(int(d), int(c)) for d, c in zip(lengths, corpus)}:
+        at = np.flatnonzero((lengths == dim) & (corpus == own))
+        groups[dim, own] = (at, block["v"].combine_chunks().take(pa.array(at)).flatten().to_numpy().reshape(-1, dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k, len(every))
         for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda name, at=i: batch.column(name)[at].values.to_numpy(zero_copy_only=False)
-                ids, q_ids = get("ids"), get("q_ids")
-                dim = batch.column("dim")[i].as_py()
-                product = np.round(get("q_flat").reshape(-1, dim) @ get("flat").reshape(-1, dim).T, digits)
-                n = min(k, len(ids))
-                order = np.lexsort([np.broadcast_to(ids, product.shape), -product], axis=1)[:, :n]
-                yield pa.RecordBatch.from_pydict({"question_id": np.repeat(q_ids, n), "passage_id": ids[order].ravel(), "score": np.take_along_axis(product, order, axis=1).ravel()})
-
-    found = pairs.select("dim", "ids", "flat", "q_ids", "q_flat").mapInArrow(run, "question_id long, passage_id long, score double")
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "passage_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            size, own = batch.column("v").value_lengths().to_numpy(), batch.column("corpus_id").to_numpy()
+            for (dim, mine), (of, queries) in groups.items():
+                rows = np.flatnonzero((size == dim) & (own == mine))
+                step = max(1, PRODUCTS // len(of))
+                for at in range(0, len(rows), step):
+                    part = pa.array(rows[at : at + step])
+                    v = batch.column("v").take(part).flatten().to_numpy().reshape(-1, dim)
+                    score = np.round(queries @ v.T, digits)
+                    q, r = np.nonzero(score >= best.floor[of][:, None])
+                    best.add(of[q], score[q, r], batch.column("passage_id").take(part).take(pa.array(r)))
+        found = best.pick()
+        if found is not None:
+            columns = [pa.array(every[found["question"].to_numpy()].tolist(), kind), found["id"].combine_chunks(), found["score"].combine_chunks()]
+            yield pa.RecordBatch.from_arrays(columns, ["question_id", "passage_id", "score"])
+
+    return run
+
+
+def search(
+    queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", column: str = "embedding", query_key: str | None = None,
+    normalize: bool = False, digits: int = 6, corpus: str | None = None, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """(question_id, passage_id, score, rank): the k largest inner products of each query, ties by id. Only vectors of one length, and of one
+    corpus where a column of corpora is named, are compared. normalize: vectors of unit length, so that products are cosines."""
+    asked = cut(_usable(queries, query_key or key, column, "question_id", normalize, corpus))
+    known = _usable(vectors, key, column, "passage_id", normalize, corpus)
+    total = asked.agg(F.sum(8 * F.size("v"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    schema = StructType([asked.schema["question_id"], known.schema["passage_id"]]).add("score", "double")
+    kind = to_arrow_type(asked.schema["question_id"].dataType)
+    hits = None
+    for i in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i).toArrow()
+        part = known.mapInArrow(_products(block, k, digits, kind), schema) if block.num_rows else asked.sparkSession.createDataFrame([], schema)
+        hits = part if hits is None else hits.unionByName(part)
+    return ranked(hits, k)

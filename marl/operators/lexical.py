@@ -1,65 +1,152 @@
-"""Okapi BM25 over a table of passages, for many questions at once."""
+"""Okapi BM25 over an index of passages, for many questions at once.
+
+The index has one row for each passage: its size, its distinct terms and their counts. It is made in one pass over the
+texts without an exchange, can be kept as Parquet, and all statistics follow from it. A search sends the weighted terms of
+the questions, in blocks of bounded size, to the tasks that read the index; each task keeps the k best passages of every
+question. Passages and questions may belong to corpora: statistics are those of a corpus, and questions see their own only.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import text
+from ..shared import cut, look_up
+from .best import Best, ranked
 
 
 @dataclass(frozen=True)
 class Bm25Config:
-    """floor: terms in more than half of the passages get this share of the mean idf in place of their negative one."""
+    """floor: terms in more than half of the passages get this share of the mean idf in place of their negative one. block: weighted terms
+    of questions that a task holds at a time."""
 
     k1: float = 1.5
     b: float = 0.75
     floor: float = 0.25
-
-
-def passages(rows: DataFrame, key: str, column: str) -> DataFrame:
-    return rows.select(F.col(key).alias("passage_id"), text.tokens(column).alias("terms"))
-
-
-def postings(rows: DataFrame) -> DataFrame:
-    """(passage_id, size, term, tf)."""
-    return rows.select("passage_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("passage_id", "size", "term").agg(F.count("*").alias("tf"))
-
-
-def inverse_frequencies(rows: DataFrame, cfg: Bm25Config = Bm25Config()) -> DataFrame:
-    """(term, df, idf) for every term; the counts combine before they are exchanged."""
-    n = rows.agg(F.count("*").alias("passages"))
-    df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("passages") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
+    block: int = 1_000_000
+
+
+def passages(rows: DataFrame, key: str, column: str, corpus: str | None = None) -> DataFrame:
+    """(corpus_id, passage_id, terms); without a column of corpora all passages are one corpus, 0."""
+    own = F.col(corpus).cast("long") if corpus else F.lit(0).cast("long")
+    return rows.select(own.alias("corpus_id"), F.col(key).alias("passage_id"), text.tokens(column).alias("terms"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("terms")
+        size = pc.fill_null(lists.value_lengths(), 0).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        place, count = np.unique(np.repeat(np.arange(len(size)), size) * width + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+        offsets = pa.array(np.searchsorted(place, np.arange(len(size) + 1) * width), pa.int32())
+        terms = pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(place % width)))
+        counts = pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("corpus_id"), batch.column("passage_id"), pa.array(size, pa.int32()), terms, counts], ["corpus_id", "passage_id", "size", "terms", "counts"])
+
+
+def index(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """(corpus_id, passage_id, size, terms, counts) of passages(), written to path, or to the shared folder for as long as the session lasts."""
+    schema = StructType([StructField("corpus_id", LongType()), rows.schema["passage_id"], StructField("size", IntegerType()), StructField("terms", ArrayType(StringType())), StructField("counts", ArrayType(IntegerType()))])
+    made = rows.mapInArrow(_counted, schema)
+    if path is None:
+        return cut(made)
+    made.write.parquet(path)
+    return read_index(rows.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def inverse_frequencies(indexed: DataFrame, cfg: Bm25Config = Bm25Config()) -> DataFrame:
+    """(corpus_id, term, df, idf, mean_size) for every term; the counts combine before they are exchanged."""
+    df = cut(indexed.select("corpus_id", F.explode("terms").alias("term")).groupBy("corpus_id", "term").agg(F.count("*").alias("df")))
+    sizes = indexed.groupBy("corpus_id").agg(F.count("*").alias("passages"), F.avg("size").alias("mean_size"))
+    terms = df.groupBy("corpus_id").agg(F.count("*").alias("n"))
+    total = df.count()
+    raw = look_up(df, sizes.join(terms, "corpus_id"), "corpus_id", "n", total)
+    raw = cut(raw.withColumn("raw", F.log(F.col("passages") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    mean = raw.groupBy("corpus_id").agg(F.avg("raw").alias("mean"), F.count("*").alias("n"))
     floored = F.when(F.col("raw") < 0, cfg.floor * F.col("mean")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", floored.alias("idf"))
-
-
-def scores(questions: DataFrame, rows: DataFrame, cfg: Bm25Config = Bm25Config()) -> DataFrame:
-    """(question_id, passage_id, score) for pairs that share a term. questions: (question_id, question).
-
-    Only postings of the questions' terms are kept before they are exchanged.
-    """
-    asked = questions.select("question_id", F.explode(text.tokens("question")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("term").distinct()
-    mean = rows.agg(F.avg(F.size("terms")).alias("mean_size"))
-    own = rows.select("passage_id", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(terms, "term", "left_semi")
-    own = own.groupBy("passage_id", "size", "term").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(mean))
-    weight = F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("size") / F.col("mean_size")))
-    idf = inverse_frequencies(rows, cfg).join(terms, "term", "left_semi").select("term", "idf")
-    weighted = asked.join(idf, "term").join(own.select("passage_id", "term", weight.alias("weight")), "term")
-    return weighted.groupBy("question_id", "passage_id").agg(F.sum(F.col("times") * F.col("idf") * F.col("weight")).alias("score"))
-
-
-def top(found: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """The k best passages with a positive score of each question, ties by passage_id."""
-    if digits is not None:
-        found = found.withColumn("score", F.round("score", digits))
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "passage_id")
-    return found.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return look_up(raw, mean, "corpus_id", "n", total).select("corpus_id", "term", "df", floored.alias("idf"), "mean_size")
+
+
+def weights(questions: DataFrame, indexed: DataFrame, cfg: Bm25Config = Bm25Config()) -> DataFrame:
+    """(corpus_id, term, question_id, weight, mean_size): what a question's terms weigh in its corpus. questions: (question_id, question[, corpus_id])."""
+    own = F.col("corpus_id").cast("long") if "corpus_id" in questions.columns else F.lit(0).cast("long")
+    asked = questions.select(own.alias("corpus_id"), "question_id", F.explode(text.tokens("question")).alias("term")).groupBy("corpus_id", "term", "question_id").agg(F.count("*").alias("times"))
+    known = inverse_frequencies(indexed, cfg)
+    return asked.join(known, ["corpus_id", "term"]).select("corpus_id", "term", "question_id", (F.col("times") * F.col("idf")).alias("weight"), "mean_size")
+
+
+def _scored(block: pa.Table, k: int, digits: int | None, cfg: Bm25Config, kind: pa.DataType):
+    """Scores all passages of a task for the questions of a block: sums over (passage, question) pairs of what they share."""
+    names, question = np.unique(block["question_id"].to_numpy(), return_inverse=True)
+    terms = block["term"].combine_chunks().dictionary_encode()
+    corpora, corpus = np.unique(block["corpus_id"].to_numpy(), return_inverse=True)
+    key = corpus * len(terms.dictionary) + terms.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    keys, first = np.unique(key[order], return_index=True)
+    first = np.append(first, len(order))
+    question, weight, mean = question[order], block["weight"].to_numpy()[order], block["mean_size"].to_numpy()[order]
+    dictionary = terms.dictionary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k, len(names))
+        for batch in batches:
+            ids, lists = batch.column("passage_id"), batch.column("terms")
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            code = pc.fill_null(pc.index_in(lists.flatten(), value_set=dictionary), -1).to_numpy()
+            own = np.searchsorted(corpora, batch.column("corpus_id").to_numpy())
+            own[(corpora[np.minimum(own, len(corpora) - 1)] != batch.column("corpus_id").to_numpy())] = -1
+            asked = np.flatnonzero((code >= 0) & (own[row] >= 0))
+            wanted = own[row[asked]] * len(dictionary) + code[asked]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            asked, at = asked[keys[at] == wanted], at[keys[at] == wanted]
+            each = first[at + 1] - first[at]
+            posting = np.repeat(asked, each)
+            pair = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[at], each)
+            tf = batch.column("counts").flatten().to_numpy().astype(np.float64)[posting]
+            size = batch.column("size").to_numpy()[row[posting]]
+            part = weight[pair] * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * size / mean[pair]))
+            met, of = np.unique(row[posting] * len(names) + question[pair], return_inverse=True)
+            score = np.bincount(of, part, len(met))
+            if digits is not None:
+                score = np.round(score, digits)
+            some = np.flatnonzero(score > 0)
+            best.add(met[some] % len(names), score[some], ids.take(pa.array(met[some] // len(names))))
+        found = best.pick()
+        if found is not None:
+            columns = [pa.array(names[found["question"].to_numpy()], kind), found["id"].combine_chunks(), found["score"].combine_chunks()]
+            yield pa.RecordBatch.from_arrays(columns, ["question_id", "passage_id", "score"])
+
+    return run
+
+
+def search(questions: DataFrame, indexed: DataFrame, k: int, digits: int | None = 6, cfg: Bm25Config = Bm25Config()) -> DataFrame:
+    """(question_id, passage_id, score, rank): the k best passages with a positive score of each question, ties by passage_id.
+
+    Tasks hold the weights of one block of questions; more questions make more blocks, each one more pass over the index."""
+    found = cut(weights(questions, indexed, cfg))
+    blocks = max(1, -(-found.count() // cfg.block))
+    schema = StructType([questions.schema["question_id"], indexed.schema["passage_id"]]).add("score", "double")
+    kind = to_arrow_type(schema["question_id"].dataType)
+    hits = None
+    for i in range(blocks):
+        block = found.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i).toArrow()
+        part = indexed.mapInArrow(_scored(block, k, digits, cfg, kind), schema) if block.num_rows else found.sparkSession.createDataFrame([], schema)
+        hits = part if hits is None else hits.unionByName(part)
+    return ranked(hits, k)
 
 
 def token_overlap(question: str, passage: str):

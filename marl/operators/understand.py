@@ -33,30 +33,47 @@ class AnalyzerConfig:
 
 
 def has_any(c: Column, patterns: list[str]) -> Column:
-    found = F.lit(False)
-    for p in dict.fromkeys(patterns):
-        found = found | F.contains(c, F.lit(p))
-    return found
+    return F.exists(F.lit(list(dict.fromkeys(patterns))), lambda p: F.contains(c, p))
+
+
+def _listed(patterns: dict[str, list[str]]) -> Column:
+    """A dictionary as one literal, array<struct<key, ways>>."""
+    return F.array(*[F.struct(F.lit(k).alias("key"), F.lit(list(dict.fromkeys(v))).alias("ways")) for k, v in patterns.items()])
+
+
+def _found(c: Column, patterns: dict[str, list[str]]) -> Column:
+    return F.filter(_listed(patterns), lambda e: F.exists(e["ways"], lambda p: F.contains(c, p)))
 
 
 def first_key(c: Column, patterns: dict[str, list[str]]) -> Column:
     """The first key, in the dictionary's order, of which a pattern occurs."""
-    return F.coalesce(*[F.when(has_any(c, v), F.lit(k)) for k, v in patterns.items()])
+    return F.get(_found(c, patterns), F.lit(0))["key"]
 
 
 def all_keys(c: Column, patterns: dict[str, list[str]]) -> Column:
     """All keys of which a pattern occurs, in the dictionary's order."""
-    return F.array_compact(F.array(*[F.when(has_any(c, v), F.lit(k)) for k, v in patterns.items()]))
+    return F.transform(_found(c, patterns), lambda e: e["key"])
 
 
-def votes(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> dict[str, Column]:
-    return {k: sum((F.when(F.contains(c, F.lit(p)), w).otherwise(0.0) for p, w in v), F.lit(0.0)) for k, v in cfg.of(lexicon.INTENTS).items()}
+def votes(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
+    """array<struct<score, at, intent>>: what the rules of each intent add up to; at counts down."""
+    rules = F.array(
+        *[
+            F.struct(F.lit(-i).alias("at"), F.lit(k).alias("intent"), F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in v]).alias("rules"))
+            for i, (k, v) in enumerate(cfg.of(lexicon.INTENTS).items())
+        ]
+    )
+
+    def vote(e: Column) -> Column:
+        total = F.aggregate(e["rules"], F.lit(0.0), lambda acc, r: acc + F.when(F.contains(c, r["p"]), r["w"]).otherwise(0.0))
+        return F.struct(total.alias("score"), e["at"].alias("at"), e["intent"].alias("intent"))
+
+    return F.transform(rules, vote)
 
 
 def best_vote(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
-    """struct<score, intent>: the highest vote, the first intent of equals."""
-    every = [F.struct(v.alias("score"), F.lit(-i).alias("at"), F.lit(k).alias("intent")) for i, (k, v) in enumerate(votes(c, cfg).items())]
-    return F.array_max(F.array(*every))
+    """struct<score, at, intent>: the highest vote, the first intent of equals."""
+    return F.array_max(votes(c, cfg))
 
 
 def word_grams(sentence: str, low: int = 2, high: int = 4) -> list[str]:
@@ -89,60 +106,67 @@ def _question(sentence: str) -> str:
 
 
 def similar_intent(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
-    """(question_id, like, similarity): the intent of the most similar example sentence, for questions without a clear vote."""
+    """(question_id, like, similarity): the intent of the most similar example sentence, for questions without a clear vote (vote.score).
+
+    Two small tables are broadcast: the n-grams of the fixed example sentences with their idf, and with their unit weights."""
     spark = questions.sparkSession
     idf, weights = example_weights()
     known = F.broadcast(spark.createDataFrame(idf, "gram string, idf double"))
     examples = F.broadcast(spark.createDataFrame(weights, "example int, like string, gram string, w double"))
-    unclear = questions.where(best_vote(F.col("normalized"), cfg)["score"] < cfg.clear_vote)
     padded = F.transform(F.filter(F.split("normalized", " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
-    def grams(w: Column, n: int) -> Column:
-        count = F.greatest(F.length(w) - n + 1, F.lit(1))
-        own = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(w, i, F.lit(n)))
-        return own if n == 2 else F.when(F.length(w) <= n - 1, F.array().cast("array<string>")).otherwise(own)
-
-    every = F.flatten(F.transform(padded, lambda w: F.concat(grams(w, 2), grams(w, 3), grams(w, 4))))
-    own = unclear.select("question_id", F.explode(every).alias("gram")).groupBy("question_id", "gram").agg(F.count("*").alias("n")).join(known, "gram")
-    own = own.withColumn("w0", F.col("n") * F.col("idf"))
-    norm = own.groupBy("question_id").agg(F.sqrt(F.sum(F.col("w0") * F.col("w0"))).alias("norm"))
-    dots = own.join(examples, "gram").groupBy("question_id", "example", "like").agg(F.sum(F.col("w0") * F.col("w")).alias("dot"))
-    cosine = dots.join(norm, "question_id").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 9))
-    best = F.max(F.struct("similarity", (-F.col("example")).alias("at"), "like"))
+    def grams(w: Column) -> Column:
+        # a padded word has three letters at least; one shorter than n + 1 has no n-grams beyond the first n that covers it
+        sizes = F.filter(F.lit([2, 3, 4]), lambda n: (n == 2) | (F.length(w) >= n))
+        return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))))
+
+    unclear = questions.where(F.col("vote.score") < cfg.clear_vote).select("question_id", F.explode(F.flatten(F.transform(padded, grams))).alias("gram"))
+    # n-grams that no example has weigh nothing: they go before anything is exchanged
+    own = unclear.join(known, "gram").groupBy("question_id", "gram").agg((F.count("*") * F.first("idf")).alias("w0"))
+    listed = own.groupBy("question_id").agg(F.sqrt(F.sum(F.col("w0") * F.col("w0"))).alias("norm"), F.collect_list(F.struct("gram", "w0")).alias("l"))
+    parts = listed.select("question_id", "norm", F.explode("l").alias("g")).select("question_id", "norm", "g.gram", "g.w0").join(examples, "gram")
+    cosine = parts.groupBy("question_id", "norm", "example", "like").agg(F.sum(F.col("w0") * F.col("w")).alias("dot"))
+    best = F.max(F.struct(F.round(F.col("dot") / F.col("norm"), 9).alias("similarity"), (-F.col("example")).alias("at"), "like"))
     return cosine.groupBy("question_id").agg(best.alias("b")).select("question_id", F.col("b.like").alias("like"), F.col("b.similarity").alias("similarity"))
 
 
 def detect_intent(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
     """questions (question_id, normalized, ...) with intent and intent_confidence."""
-    joined = questions.join(similar_intent(questions, cfg), "question_id", "left").withColumn("_vote", best_vote(F.col("normalized"), cfg))
-    vote, intent = F.col("_vote.score"), F.col("_vote.intent")
+    # one exchange, by which all that follows is grouped and joined; a stated number of tasks, as questions are small and their work isn't
+    tasks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    voted = questions.repartition(tasks, "question_id").withColumn("vote", best_vote(F.col("normalized"), cfg))
+    joined = voted.join(similar_intent(voted, cfg), "question_id", "left")
+    vote, intent = F.col("vote.score"), F.col("vote.intent")
     by_vote = text.two_places(F.least(vote / 4.0, F.lit(1.0)))
     close = F.col("similarity") >= cfg.similar
     return (
         joined.withColumn("intent", F.when(vote >= cfg.clear_vote, intent).when(close, F.col("like")).when(vote > 0, intent).otherwise("general"))
         .withColumn("intent_confidence", F.when(vote >= cfg.clear_vote, by_vote).when(close, text.two_places(F.col("similarity"))).when(vote > 0, by_vote).otherwise(0.0))
-        .drop("_vote", "like", "similarity")
+        .drop("vote", "like", "similarity")
     )
 
 
 def topic(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
     """The first words left after grade names and function words are taken out; null if there are none."""
-    for p in [p for v in cfg.of(lexicon.GRADES).values() for p in v]:
-        c = F.replace(c, F.lit(p), F.lit(""))
+    names = F.lit([p for v in cfg.of(lexicon.GRADES).values() for p in v])
     stop = cfg.words(lexicon.TOPIC_STOP_WORDS)
-    words = F.filter(F.split(c, f"[{text.SPACE}]+"), lambda w: (F.length(w) > 2) & ~w.isin(stop))
-    return F.when(F.size(words) > 0, F.array_join(F.slice(words, 1, cfg.topic_words), " "))
+    bare = F.aggregate(names, c, lambda acc, p: F.replace(acc, p, F.lit("")))
+    words = F.filter(F.split(bare, f"[{text.SPACE}]+"), lambda w: (F.length(w) > 2) & ~w.isin(stop))
+    return text.let(words, lambda l: F.when(F.size(l) > 0, F.array_join(F.slice(l, 1, cfg.topic_words), " ")))
 
 
 def keywords(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
     """The most frequent words that are not stop words; of equals the one that comes first."""
     stop = cfg.words(lexicon.STOP_WORDS)
-    words = F.filter(F.split(c, " "), lambda w: (F.length(w) >= cfg.word_chars) & ~w.isin(stop))
-    counted = F.transform(
-        F.array_distinct(words),
-        lambda w, i: F.struct((-(F.size(words) - F.size(F.filter(words, lambda x: x != w)))).alias("n"), i.alias("at"), w.alias("w")),
-    )
-    return F.transform(F.slice(F.array_sort(counted), 1, cfg.keywords), lambda x: x["w"])
+
+    def counted(words: Column) -> Column:
+        each = F.transform(
+            F.array_distinct(words),
+            lambda w, i: F.struct((F.size(F.filter(words, lambda x: x != w)) - F.size(words)).alias("n"), i.alias("at"), w.alias("w")),
+        )
+        return F.transform(F.slice(F.array_sort(each), 1, cfg.keywords), lambda x: x["w"])
+
+    return text.let(F.filter(F.split(c, " "), lambda w: (F.length(w) >= cfg.word_chars) & ~w.isin(stop)), counted)
 
 
 def year(c: Column) -> Column:
@@ -168,30 +192,27 @@ def _by_key(key: Column, table: dict[str, list[str]]) -> Column:
 
 def expansions(cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
     t, s, g, i = (F.col(x) for x in ("topic", "subject", "grade", "intent"))
-    with_topic = (
-        F.when(i == "explanation", F.array(F.concat(F.lit("شرح "), t), F.concat(F.lit("خطوات "), t)))
-        .when(i == "summary", F.array(F.concat(F.lit("ملخص "), t)))
-        .when(i == "comparison", F.array(F.concat(F.lit("مقارنة "), t), F.concat(F.lit("الفرق بين "), t)))
-        .otherwise(F.array(t))
-    )
+    with_topic = F.array(t)
+    for intent, words in lexicon.EXPANSIONS.items():
+        with_topic = F.when(i == intent, F.array(*[F.concat(F.lit(f"{w} "), t) for w in words])).otherwise(with_topic)
     own = F.when(t.isNotNull(), with_topic).otherwise(F.array().cast("array<string>"))
     return F.slice(F.concat(own, _strings(s, F.concat(s, F.lit(" "), g))), 1, cfg.expanded)
 
 
 def rewritten() -> Column:
     t, s, g, st, i, y, tm = (F.col(x) for x in ("topic", "subject", "grade", "stage", "intent", "year", "term"))
-    lead = lambda word: F.when(t.isNotNull(), F.concat(F.lit(f"{word} "), t))
-    parts = (
-        F.when(i.isin("explanation", "summary"), _strings(lead("شرح"), s))
-        .when(i == "solution", _strings(lead("حل")))
-        .when(i == "definition", _strings(lead("تعريف")))
-        .when(i == "comparison", _strings(lead("مقارنة"), s))
-        .when(i == "exam", _strings(s, F.coalesce(g, st), F.lit("اسئلة امتحان"), F.coalesce(y, F.lit("2025"))))
+    lead = lambda intent: F.concat(F.lit(f"{lexicon.REWRITES[intent]} "), t)
+    own = (
+        F.when(i.isin("explanation", "summary"), _strings(lead("explanation"), s))
+        .when(i == "solution", _strings(lead("solution")))
+        .when(i == "definition", _strings(lead("definition")))
+        .when(i == "comparison", _strings(lead("comparison"), s))
+        .when(i == "exam", _strings(s, F.coalesce(g, st), F.lit(lexicon.EXAM_PHRASE), F.coalesce(y, F.lit(lexicon.EXAM_YEAR))))
         .otherwise(F.array().cast("array<string>"))
     )
-    more = F.filter(F.slice("expanded_keywords", 1, 4), lambda k: ~F.array_contains(parts, k))
-    whole = F.array_join(F.concat(parts, more, _strings(g, tm)), " ")
-    return F.when(whole == "", F.col("search_query")).otherwise(whole)
+    more = lambda parts: F.filter(F.slice("expanded_keywords", 1, 4), lambda k: ~F.array_contains(parts, k))
+    whole = text.let(own, lambda parts: F.array_join(F.concat(parts, more(parts), _strings(g, tm)), " "))
+    return F.coalesce(F.nullif(whole, F.lit("")), F.col("search_query"))
 
 
 def confidence(cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
@@ -250,11 +271,11 @@ def answer_style(intent: Column) -> Column:
 def search_strings(analyzed: DataFrame) -> DataFrame:
     """(question_id, pos, search): all strings to search for, in order, each once."""
     q, t, s, g = (F.col(c) for c in ("search_query", "topic", "subject", "grade"))
-    with_topic = [F.concat(t, F.lit(f" {x}")) for x in ("شرح", "منهج مصر", "كتاب الوزارة", "بنك المعرفة المصري")]
-    more = [F.concat(s, F.lit(" "), t, F.lit(" شرح")), F.concat(s, F.lit(" "), g, F.lit(" وزارة التربية والتعليم"))]
-    by_keyword = F.transform("keywords", lambda k: F.concat(k, F.lit(" شرح تعليمي")))
+    with_topic = [F.concat(t, F.lit(f" {x}")) for x in lexicon.TOPIC_SEARCHES]
+    more = [F.concat(s, F.lit(" "), t, F.lit(f" {lexicon.SUBJECT_TOPIC_SEARCH}")), F.concat(s, F.lit(" "), g, F.lit(f" {lexicon.SUBJECT_GRADE_SEARCH}"))]
+    by_keyword = F.transform("keywords", lambda k: F.concat(k, F.lit(f" {lexicon.KEYWORD_SEARCH}")))
     first = F.filter(F.transform(F.concat(_strings(q, *with_topic, *more), by_keyword), text.strip), lambda x: x != "")
-    last = F.array(*[F.concat(q, F.lit(f" {x}")) for x in ("شرح درس", "منهج وزارة التربية والتعليم", "بنك المعرفة المصري", "علوم")])
+    last = F.array(*[F.concat(q, F.lit(f" {x}")) for x in lexicon.QUERY_SEARCHES])
     return analyzed.select("question_id", F.posexplode(F.array_distinct(F.concat(first, last))).alias("pos", "search"))
 
 
@@ -270,10 +291,27 @@ def paragraph_relevance(paragraph: Column, topic_: Column, subject: Column, grad
     return F.least(part(topic_, 0.40) + part(subject, 0.20) + part(grade, 0.20) + F.least(hits * 0.05, F.lit(0.20)), F.lit(1.0))
 
 
+def _ranked_paragraphs(documents: DataFrame, metas: DataFrame, on: str, key: str, column: str, k: int, empty: bool) -> DataFrame:
+    each = (F.posexplode_outer if empty else F.posexplode)(F.col("_p")).alias("pos", "paragraph")
+    split = documents.select(key, on, text.split_paragraphs(column).alias("_p")).withColumn("paragraph_count", F.size("_p"))
+    rows = split.select(key, on, "paragraph_count", each).join(metas, on)
+    relevance = F.round(paragraph_relevance(F.col("paragraph"), F.col("topic"), F.col("subject"), F.col("grade"), F.col("keywords")), 6)
+    rows = rows.withColumn("relevance", F.when(F.col("paragraph").isNull(), 0.0).otherwise(relevance))
+    order = Window.partitionBy(key, "query_id").orderBy(F.desc("relevance"), "pos")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def best_paragraphs(documents: DataFrame, metas: DataFrame, on: str, key: str = "doc_id", column: str = "text", k: int = 25) -> DataFrame:
     """(key, query_id, pos, relevance, paragraph, rank): the k most relevant paragraphs of each document for each question it is
     paired with by `on`; ties in the order of the document."""
-    rows = documents.select(key, on, F.posexplode(text.split_paragraphs(column)).alias("pos", "paragraph")).join(metas, on)
-    rows = rows.withColumn("relevance", F.round(paragraph_relevance(F.col("paragraph"), F.col("topic"), F.col("subject"), F.col("grade"), F.col("keywords")), 6))
-    order = Window.partitionBy(key, "query_id").orderBy(F.desc("relevance"), "pos")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "query_id", "pos", "relevance", "paragraph", "rank")
+    return _ranked_paragraphs(documents, metas, on, key, column, k, False).select(key, "query_id", "pos", "relevance", "paragraph", "rank")
+
+
+def ranked_content(documents: DataFrame, metas: DataFrame, on: str, key: str = "doc_id", column: str = "text", k: int = 25) -> DataFrame:
+    """(key, query_id, content, paragraph_count, selected_paragraphs, top_relevance): each document cut down to its k most relevant
+    paragraphs, in order of relevance. A document without paragraphs is empty, with relevance 0."""
+    rows = _ranked_paragraphs(documents, metas, on, key, column, k, True)
+    listed = F.array_sort(F.collect_list(F.when(F.col("paragraph").isNotNull(), F.struct("rank", "paragraph"))))
+    found = rows.groupBy(key, "query_id").agg(listed.alias("_l"), F.max("paragraph_count").alias("paragraph_count"), F.max("relevance").alias("top_relevance"))
+    content = F.array_join(F.transform("_l", lambda x: x["paragraph"]), "\n\n")
+    return found.select(key, "query_id", content.alias("content"), "paragraph_count", F.size("_l").alias("selected_paragraphs"), "top_relevance")

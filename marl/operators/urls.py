@@ -96,6 +96,28 @@ def allowed_by_robots(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(rules, (host("url") == F.col("_host")) & F.startswith(own, F.col("_prefix")), "left_anti")
 
 
+def robots_rules(files: DataFrame, host_column: str = "host", body: str = "body") -> DataFrame:
+    """(host, prefix): what the sections for all agents of robots files disallow, in lower case."""
+
+    def step(acc: Column, line: Column) -> Column:
+        agent = F.startswith(line, F.lit("user-agent"))
+        inside = F.when(agent, F.contains(line, F.lit("*"))).otherwise(acc["inside"])
+        prefix = text.strip(F.substring(line, len("disallow:") + 1, 1 << 30))
+        told = inside & F.startswith(line, F.lit("disallow:")) & (prefix != "")
+        return F.struct(inside.alias("inside"), F.when(told, F.concat(acc["found"], F.array(prefix))).otherwise(acc["found"]).alias("found"))
+
+    lines = F.transform(text.lines(F.lower(F.coalesce(F.col(body), F.lit("")))), text.strip)
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("found"))
+    return files.select(F.col(host_column).alias("host"), F.explode(F.aggregate(lines, start, step, lambda acc: F.array_distinct(acc["found"]))).alias("prefix"))
+
+
+def fetch_waves(urls: DataFrame, per_host: int = 8, order: str = "pos") -> DataFrame:
+    """urls with host and wave: of the URLs of a host at most per_host are fetched in one wave, in order."""
+    own = urls.withColumn("host", host("url"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(order, "url"))
+    return own.withColumn("wave", F.floor((place - 1) / per_host).cast("long"))
+
+
 def document_type(content_type: Column | str, url: Column | str) -> Column:
     kind = F.lower(F.coalesce(text.col(content_type), F.lit("")))
     return F.when(F.contains(kind, F.lit("application/pdf")) | F.endswith(F.lower(text.col(url)), F.lit(".pdf")), "pdf").when(F.contains(kind, F.lit("text/html")), "web")

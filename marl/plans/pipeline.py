@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import clean, dedup, fusion, lexical, urls
+from ..operators import clean, dedup, dense, fusion, lexical, urls
 from ..sources import html
-from .shared import cut
+from ..shared import cut
 
 
 @dataclass(frozen=True)
@@ -18,6 +18,7 @@ class AnswerConfig:
     cleaning: clean.CleanConfig = clean.CleanConfig()
     chunking: clean.ChunkConfig = clean.ChunkConfig()
     bm25: lexical.Bm25Config = lexical.Bm25Config()
+    hybrid: fusion.HybridConfig = fusion.HybridConfig()
     retrieved: int = 20
     reranked: int = 4
     budget: int = 12_000
@@ -42,26 +43,59 @@ def ingest_pages(pages: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataFr
 
 
 def chunk_table(documents: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
-    """Unique chunks of cleaned documents (doc_id, text)."""
-    chunks = cut(clean.chunk_documents(clean.clean_documents(documents, cfg.cleaning), cfg.chunking))
-    return dedup.first_copies(chunks, dedup.chunk_hash(), "chunk_id")
-
-
-def retrieve(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
-    """The best chunks of each question by BM25, reranked by the overlap of their terms with the question's."""
-    rows = lexical.passages(chunks, "chunk_id", "chunk_text")
-    hits = lexical.top(lexical.scores(questions, rows, cfg.bm25), cfg.retrieved, 6)
+    """Unique chunks of cleaned documents (doc_id, text); of equal chunks the first one of the smallest doc_id stays."""
+    chunks = clean.chunk_documents(clean.clean_documents(documents, cfg.cleaning), cfg.chunking)
+    return cut(dedup.first_copies(chunks, dedup.chunk_hash(), "doc_id", "chunk_index"))
+
+
+def hits(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", indexed: DataFrame | None = None) -> DataFrame:
+    """(question_id, passage_id, score, rank): the best chunks of each question.
+
+    strategy: "bm25"; "dense", for which questions and chunks have a column embedding; or "hybrid", both fused. Questions and chunks with a
+    column corpus_id are searched corpus by corpus, with the statistics of each: a corpus for each question, say. indexed: an index of the
+    chunks that was made before (lexical.index, lexical.read_index)."""
+    corpus = "corpus_id" if "corpus_id" in chunks.columns else None
+    many = cfg.retrieved if strategy != "hybrid" else cfg.hybrid.k * cfg.hybrid.over_fetch
+    found = {}
+    if strategy in ("bm25", "hybrid"):
+        indexed = lexical.index(lexical.passages(chunks, "chunk_id", "chunk_text", corpus)) if indexed is None else indexed
+        found["bm25"] = lexical.search(questions, indexed, many, 6, cfg.bm25)
+    if strategy in ("dense", "hybrid"):
+        found["dense"] = dense.search(questions, chunks, many, "chunk_id", "embedding", "question_id", normalize=True, corpus=corpus)
+    if not found:
+        raise ValueError(f"no strategy {strategy!r}")
+    return fusion.fuse(found["bm25"], found["dense"], cfg.hybrid) if strategy == "hybrid" else found[strategy]
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", indexed: DataFrame | None = None) -> DataFrame:
+    """The best chunks of each question, reranked by the overlap of their terms with the question's. What is found is small (cfg.retrieved for
+    each question) and is joined to the texts by its ids."""
+    found = hits(questions, chunks, cfg, strategy, indexed)
     texts = chunks.select(F.col("chunk_id").alias("passage_id"), "doc_id", "chunk_text")
-    return fusion.rerank(hits.join(texts, "passage_id").join(questions, "question_id"), lexical.token_overlap("question", "chunk_text"), cfg.reranked)
+    return fusion.rerank(found.join(texts, "passage_id").join(questions.select("question_id", "question"), "question_id"), lexical.token_overlap("question", "chunk_text"), cfg.reranked)
 
 
-def answer_context(questions: DataFrame, documents: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
-    """(question_id, n_texts, context) of every question that has evidence."""
-    hits = retrieve(questions, chunk_table(documents, cfg), cfg)
-    packed = fusion.packed_hits(hits, "question_id", ["rank"], "chunk_text", cfg.budget)
+def answer_context(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25") -> DataFrame:
+    """(question_id, n_texts, context) of every question that has evidence among the chunks (chunk_table)."""
+    found = retrieve(questions, chunks, cfg, strategy)
+    packed = fusion.packed_hits(found, "question_id", ["rank"], "chunk_text", cfg.budget)
     return fusion.contexts(packed, "question_id", ["rank"], "chunk_text")
 
 
+def collection_report(pages: DataFrame) -> DataFrame:
+    """One row of counts over pages with the boolean columns allowed, robots_allowed, cached, fetched and collected: what became of search results."""
+    tried = F.col("allowed") & F.col("robots_allowed") & ~F.col("cached")
+    return pages.agg(
+        F.count_if(F.col("collected") & F.col("fetched") & F.col("allowed") & F.col("robots_allowed")).alias("documents"),
+        F.count_if(tried & F.col("fetched")).alias("fetch_success"),
+        F.count_if(tried & ~F.col("fetched")).alias("errors"),
+        F.count_if(F.col("allowed") & F.col("robots_allowed") & F.col("cached")).alias("cache_hits"),
+        F.count_if(~F.col("allowed")).alias("blocked"),
+        F.count_if(F.col("allowed") & ~F.col("robots_allowed")).alias("robots_blocked"),
+        F.count("*").alias("search_results"),
+    )
+
+
 def final_metadata(pages: DataFrame, query: str = "query", created_at: float | None = None) -> DataFrame:
     """ingested pages with metadata, the struct that documents carry: source, type, score, hash, query, title, length and time."""
     created = F.unix_timestamp().cast("double") if created_at is None else F.lit(created_at)

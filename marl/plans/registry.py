@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import clean, dedup, dense, fusion, lexical, understand, urls
-from ..sources import html
+from ..sources import html, pdf
 from ..streaming import state
 from . import pipeline, twins
-from .shared import fresh_path
+from ..shared import cut, fresh_path
 
 LATIN_CLEAN = clean.CleanConfig(script=text.LATIN, noise=("as.", "von.", "les.", "es.", "of."), education=("the ", "and ", " que ", " des ", " und "), fold=False)
 LATIN_ANSWER = pipeline.AnswerConfig(cleaning=LATIN_CLEAN, domains=urls.DomainConfig(credibility=(("example.com", 0.9), ("example.org", 0.6)), blocked=("example.net",), first=("example.org",), last=("example.net",)))
@@ -108,6 +108,16 @@ def normalize_questions(spark, sf_dir):
     return asked(spark, sf_dir).select("question_id", text.normalize_question("question").alias("normalized"))
 
 
+@query(f"SELECT question_id, {twins.squeeze(f"regexp_replace(question, '[{chr(92)}x{{064B}}-{chr(92)}x{{0652}}{chr(92)}x{{0640}}]', '', 'g')")} AS stemmed FROM (WITH {twins.questions(QUESTIONS)} SELECT * FROM questions)")
+def stem_questions(spark, sf_dir):
+    return asked(spark, sf_dir).select("question_id", text.stem("question").alias("stemmed"))
+
+
+@query("SELECT doc_id, substr(replace(replace(replace(text, chr(13), ' '), chr(10), ' '), chr(9), ' '), 1, 300) AS line FROM documents")
+def log_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.log_line("text").alias("line"))
+
+
 @query(f"SELECT doc_id, md5({twins.noise_removed('text', LATIN_CLEAN.noise)}) AS kept_md5 FROM documents")
 def noise_line_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.md5_text(clean.noise_lines_removed("text", list(LATIN_CLEAN.noise))).alias("kept_md5"))
@@ -209,9 +219,9 @@ def dedup_against_known(spark, sf_dir):
     return dedup.not_seen(d, fp, d.where("lang = 'en'").select(fp.alias("fingerprint"))).select("doc_id")
 
 
-@query(_cleaned("SELECT md5(chunk_text) AS fingerprint, min(concat(doc_id, '_', chunk_index)) AS first, count(*) AS copies FROM chunks GROUP BY 1", chunks=True))
+@query(_cleaned("SELECT md5(chunk_text) AS fingerprint, first(concat(doc_id, '_', chunk_index) ORDER BY doc_id, chunk_index) AS first, count(*) AS copies FROM chunks GROUP BY 1", chunks=True))
 def dedup_chunks(spark, sf_dir):
-    return dedup.fingerprint_groups(clean.chunk_documents(clean.clean_documents(table(spark, sf_dir, "documents"), LATIN_CLEAN)), dedup.chunk_hash(), "chunk_id")
+    return dedup.fingerprint_groups(clean.chunk_documents(clean.clean_documents(table(spark, sf_dir, "documents"), LATIN_CLEAN)), dedup.chunk_hash(), "chunk_id", "doc_id", "chunk_index")
 
 
 @query(f"SELECT doc_id, sha256(concat(source, substr(text, 1, 500))) AS document_id, sha256(substr(text, 1, 15000)) AS content_hash, md5(text) AS document_hash, CASE WHEN text = '' THEN 'empty' ELSE sha256(lower({twins.strip('text')})) END AS pipeline_key, md5(lower({twins.strip('text')})) AS analyzer_key FROM documents")
@@ -282,26 +292,73 @@ def robots_filter(spark, sf_dir):
     return urls.allowed_by_robots(pages, spark.createDataFrame(ROBOTS, "host string, prefix string")).select("page_id")
 
 
+ROBOTS_FILES = [
+    ("example.com", "User-agent: one\nDisallow: /en/\n\nUser-Agent: *\nDisallow: /fr/\nDisallow:\nAllow: /x\n"),
+    ("example.net", "# nothing for all\nuser-agent: other\ndisallow: /\n"),
+    ("example.org", "USER-AGENT: *\r\n  DISALLOW: /De/  \r\nUser-agent: two\r\nDisallow: /es/\r\nuser-agent: * # again\r\ndisallow: /es/1\r\n"),
+    ("empty.com", None),
+]
+
+
+@query(f"""WITH files AS (SELECT * FROM (VALUES {', '.join(f"('{h}', {'NULL' if b is None else twins.q(b)})" for h, b in ROBOTS_FILES)}) AS f(host, body)),
+  line AS (SELECT host, {twins.strip('l[i]')} AS line, i FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT host, string_split_regex(lower(coalesce(body, '')), '{twins.BREAK}') AS l FROM files))),
+  inside AS (SELECT *, coalesce(last_value(CASE WHEN starts_with(line, 'user-agent') THEN contains(line, '*') END IGNORE NULLS) OVER (PARTITION BY host ORDER BY i), false) AS inside FROM line),
+  rules AS (SELECT DISTINCT host, {twins.strip("substr(line, 10)")} AS prefix FROM inside WHERE inside AND starts_with(line, 'disallow:') AND {twins.strip("substr(line, 10)")} <> '')
+  SELECT page_id FROM (SELECT page_id, {_HOST} AS host, lower(coalesce(nullif(regexp_extract(url, '{_PARTS}', 3), ''), '/')) AS path FROM pages) p
+  WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE regexp_replace(p.host, '^[^.]+\\.(.*\\..*)$', '\\1') = r.host AND starts_with(p.path, r.prefix))""")
+def robots_sections(spark, sf_dir):
+    """Rules read from robots files: only their sections for all agents count."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "//(?:www\\.)?[^./]+\\.([^/]*\\.[^/]*)", "//$1").alias("url"))
+    rules = urls.robots_rules(spark.createDataFrame(ROBOTS_FILES, "host string, body string"))
+    return urls.allowed_by_robots(pages, rules).select("page_id")
+
+
+@query(f"SELECT page_id, host, CAST(floor((row_number() OVER (PARTITION BY host ORDER BY page_id, url) - 1) / 8) AS BIGINT) AS wave FROM (SELECT page_id, url, {_HOST} AS host FROM pages)")
+def fetch_waves(spark, sf_dir):
+    return urls.fetch_waves(table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("pos"), "url")).select("page_id", "host", "wave")
+
+
+@query(f"""SELECT doc_id, {twins.squeeze("array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10))")} AS content, 'pdf' AS document_type, 0.9::DOUBLE AS source_score,
+  CASE WHEN {twins.squeeze("text")} <> '' THEN sha256(substr({twins.squeeze("array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10))")}, 1, 15000)) END AS content_hash FROM documents""")
+def pdf_text(spark, sf_dir):
+    """Documents as decoded files, each line a page."""
+    files = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("pages"), F.concat(F.lit("https://example.com/"), "doc_id", F.lit(".pdf")).alias("url"))
+    return pdf.extract_pdfs(files, cfg=DOMAINS).drop("url")
+
+
 @query("SELECT page_id, CASE WHEN ends_with(lower(url), '.pdf') THEN 'pdf' WHEN starts_with(lower(html), '<!doctype html') THEN 'web' END AS kind FROM pages")
 def document_type(spark, sf_dir):
     kind = F.when(F.startswith(F.lower("html"), F.lit("<!doctype html")), "text/html; charset=utf-8")
     return table(spark, sf_dir, "pages").select("page_id", urls.document_type(kind, "url").alias("kind"))
 
 
-@query()
+@query(f"WITH {twins.extracted()} SELECT page_id, url, title, content FROM extracted")
 def html_extract(spark, sf_dir):
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
-@query()
+_VALID = f"length(content) BETWEEN 250 AND 600000 AND length(content) - length(regexp_replace(content, '[{twins.LATIN}{twins.ARABIC}]', '', 'g')) >= 100"
+
+
+@query(f"WITH {twins.extracted()} SELECT page_id, length(content) AS n_chars, {_VALID} AS valid FROM (SELECT page_id, outer_content AS content FROM extracted)")
 def validate_pages(spark, sf_dir):
     return html.extract_pages(table(spark, sf_dir, "pages"), once=True).select("page_id", F.length("content").cast("long").alias("n_chars"), text.is_valid_content("content").alias("valid"))
 
 
-@query()
+_NORMAL = f"""lower(regexp_extract(url, '{_PARTS}', 1)) || '://' || lower(regexp_extract(url, '{_PARTS}', 2)) ||
+  coalesce(nullif(regexp_replace(regexp_extract(url, '{_PARTS}', 3), ';[^/]*$', ''), ''), '/') || regexp_extract(url, '{_PARTS}', 4)"""
+
+
+@query(f"""WITH allowed AS (SELECT * FROM (SELECT page_id, url, html, {_HOST} AS host FROM (SELECT page_id, html, {_NORMAL} AS url FROM pages)) WHERE {_ALLOWED}), {twins.extracted('allowed')},
+  one AS (SELECT * FROM (SELECT page_id, url, title, content FROM extracted) WHERE {_VALID} QUALIFY row_number() OVER (PARTITION BY sha256(substr(content, 1, 1000)) ORDER BY page_id) = 1),
+  told AS (SELECT *, {_HOST} AS host, sha256(url || substr(content, 1, 500)) AS doc_id, sha256(substr(content, 1, 15000)) AS content_hash, length(content) AS content_length, regexp_extract(url, '{_PARTS}', 2) AS source FROM one),
+  scored AS (SELECT *, CAST(CASE {' '.join(f'WHEN {_under(d)} THEN {v}' for d, v in DOMAINS.credibility)} ELSE {DOMAINS.unknown} END AS DOUBLE) AS source_score FROM told)
+  SELECT page_id, doc_id, url, title, source_score, content_hash, CAST(content_length AS INTEGER) AS content_length, content, md5(url || '|' || source || '|web|' || source_score || '|' || content_hash || '|all pages|' || title || '|' || content_length || '|0.0') AS metadata_md5 FROM scored""")
 def ingest_pages(spark, sf_dir):
     ingested = pipeline.ingest_pages(table(spark, sf_dir, "pages"), LATIN_ANSWER)
-    return pipeline.final_metadata(ingested.withColumn("query", F.lit("all pages")), "query", 0.0).drop("query")
+    told = pipeline.final_metadata(ingested.withColumn("query", F.lit("all pages")), "query", 0.0).drop("query")
+    fields = ("source_url", "source", "document_type", "source_score", "content_hash", "query", "title", "content_length", "created_at")
+    return told.withColumn("metadata_md5", text.md5_text(F.concat_ws("|", *(F.col(f"metadata.{x}").cast("string") for x in fields)))).drop("metadata")
 
 
 # Questions
@@ -310,8 +367,7 @@ def ingest_pages(spark, sf_dir):
 @query(_analyzed("SELECT question_id, intent, round(score, 6) AS votes FROM v WHERE score > 0"))
 def intent_votes(spark, sf_dir):
     n = asked(spark, sf_dir).withColumn("normalized", text.normalize_question("question"))
-    every = F.array(*[F.struct(F.lit(k).alias("intent"), v.alias("votes")) for k, v in understand.votes(F.col("normalized")).items()])
-    return n.select("question_id", F.explode(every).alias("v")).select("question_id", "v.intent", F.round("v.votes", 6).alias("votes")).where("votes > 0")
+    return n.select("question_id", F.explode(understand.votes(F.col("normalized"))).alias("v")).select("question_id", "v.intent", F.round("v.score", 6).alias("votes")).where("votes > 0")
 
 
 def _analysis_query(name: str, columns: list[str], sql: str | None = None):
@@ -394,6 +450,21 @@ def paragraph_top25(spark, sf_dir):
     return best.select("doc_id", "query_id", F.col("pos").cast("long").alias("pos"), "relevance", text.md5_text("paragraph").alias("paragraph_md5"), "rank")
 
 
+@query(f"""WITH metas AS (SELECT * FROM (VALUES {', '.join(f"('{a}', {b}, '{c}', '{d}', {'NULL' if e is None else twins.q(e)}, {f!r})" for a, b, c, d, e, f in METAS)}) AS t(lang, query_id, topic, subject, grade, keywords)),
+d AS (SELECT doc_id, lang, {twins.paragraphs('text')} AS l FROM documents),
+p AS (SELECT doc_id, lang, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+s AS (SELECT doc_id, query_id, i, l[i] AS paragraph, round(least((CASE WHEN contains(lower(l[i]), topic) THEN 0.4::DOUBLE ELSE 0 END) + (CASE WHEN contains(lower(l[i]), subject) THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN grade IS NOT NULL AND contains(lower(l[i]), grade) THEN 0.2::DOUBLE ELSE 0 END)
+  + least(len(list_filter(keywords, lambda k: contains(lower(l[i]), k))) * 0.05::DOUBLE, 0.2::DOUBLE), 1.0), 6) AS relevance FROM p JOIN metas USING (lang)),
+r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, query_id ORDER BY relevance DESC, i) <= 25),
+c AS (SELECT doc_id, query_id, string_agg(paragraph, chr(10) || chr(10) ORDER BY relevance DESC, i) AS content, count(*) AS n, max(relevance) AS top FROM r GROUP BY ALL)
+SELECT d.doc_id, metas.query_id, md5(coalesce(content, '')) AS content_md5, CAST(len(l) AS BIGINT) AS paragraph_count, coalesce(n, 0) AS selected_paragraphs, coalesce(top, 0.0::DOUBLE) AS top_relevance
+FROM d JOIN metas USING (lang) LEFT JOIN c ON c.doc_id = d.doc_id AND c.query_id = metas.query_id""")
+def rank_content(spark, sf_dir):
+    metas = spark.createDataFrame(METAS, "lang string, query_id int, topic string, subject string, grade string, keywords array<string>")
+    found = understand.ranked_content(table(spark, sf_dir, "documents"), F.broadcast(metas), "lang")
+    return found.select("doc_id", "query_id", text.md5_text("content").alias("content_md5"), F.col("paragraph_count").cast("long").alias("paragraph_count"), F.col("selected_paragraphs").cast("long").alias("selected_paragraphs"), "top_relevance")
+
+
 # Retrieval
 
 _ITEMS = "asked_items AS (SELECT item_id AS question_id, text AS question FROM benchmark)"
@@ -403,14 +474,17 @@ def _bm25(final: str, k: int = 20, more: str = "") -> str:
     return f"WITH {_ITEMS}, {twins.bm25('documents', 'doc_id', 'text', 'asked_items', k)}{more} {final}"
 
 
+def _index(spark, sf_dir) -> DataFrame:
+    return lexical.index(lexical.passages(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 def _lexical(spark, sf_dir, k: int) -> DataFrame:
-    rows = lexical.passages(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return lexical.top(lexical.scores(items(spark, sf_dir), rows), k, 6)
+    return lexical.search(items(spark, sf_dir), _index(spark, sf_dir), k)
 
 
 @query(_bm25("SELECT term, df, round(idf, 6) AS idf FROM idf"))
 def bm25_idf(spark, sf_dir):
-    return lexical.inverse_frequencies(lexical.passages(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumn("idf", F.round("idf", 6))
+    return lexical.inverse_frequencies(_index(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(_bm25("SELECT * FROM hits"), ranked=True)
@@ -418,6 +492,25 @@ def bm25_topk(spark, sf_dir):
     return _lexical(spark, sf_dir, 20)
 
 
+@query(
+    f"""WITH asked AS (SELECT conv_id, question_id, question FROM (SELECT conv_id, conv_id * 100000 + turn AS question_id, text AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL)),
+  docs AS MATERIALIZED (SELECT conv_id, turn, {twins.tokens('text')} AS terms FROM conversations WHERE role = 'assistant'),
+  post AS MATERIALIZED (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest(terms) AS term FROM docs) GROUP BY ALL),
+  many AS MATERIALIZED (SELECT conv_id, count(*) AS n, avg(len(terms)) AS mean_size FROM docs GROUP BY conv_id),
+  raw AS MATERIALIZED (SELECT conv_id, term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT conv_id, term, count(*) AS df FROM post GROUP BY ALL) JOIN many USING (conv_id)),
+  idf AS MATERIALIZED (SELECT conv_id, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY conv_id) ELSE raw END AS idf FROM raw),
+  terms AS (SELECT conv_id, question_id, term, count(*) AS times FROM (SELECT conv_id, question_id, unnest({twins.tokens('question')}) AS term FROM asked) GROUP BY ALL),
+  scored AS (SELECT question_id, turn AS passage_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.terms) / mean_size))), 6) AS score
+    FROM terms JOIN idf USING (conv_id, term) JOIN post USING (conv_id, term) JOIN docs d USING (conv_id, turn) JOIN many USING (conv_id) GROUP BY ALL)
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, passage_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 3""", ranked=True)
+def bm25_by_corpus(spark, sf_dir):
+    """Each conversation's questions over that conversation's answers only: statistics of its own for every corpus."""
+    said = table(spark, sf_dir, "conversations")
+    known = lexical.index(lexical.passages(said.where("role = 'assistant'"), "turn", "text", "conv_id"))
+    own = said.where("role = 'user' and text is not null").select((F.col("conv_id") * 100000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"), F.col("conv_id").alias("corpus_id"))
+    return lexical.search(own, known, 3)
+
+
 def _dense(where: str, k: int) -> str:
     return f"""dense AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, passage_id) AS rank FROM (
   SELECT a.vec_id AS question_id, b.vec_id AS passage_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE {where}) QUALIFY rank <= {k})"""
@@ -426,7 +519,18 @@ def _dense(where: str, k: int) -> str:
 @query(f"WITH {_dense('a.vec_id % 50 = 0', 20)} SELECT * FROM dense", ranked=True)
 def dense_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return dense.dense_scores(e.where("vec_id % 50 = 0"), e, 20)
+    return dense.search(e.where("vec_id % 50 = 0"), e, 20)
+
+
+_COSINE = """dense AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, passage_id) AS rank FROM (
+  SELECT a.id AS question_id, b.id AS passage_id, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 6) AS score FROM ASKED a, KNOWN b) QUALIFY rank <= LIMIT_K)"""
+
+
+@query(f"""WITH v AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings),
+  w AS (SELECT * FROM v WHERE id % 50 = 0), {_COSINE.replace('ASKED', 'w').replace('KNOWN', 'v').replace('LIMIT_K', '20')} SELECT * FROM dense""", ranked=True)
+def dense_cosine_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return dense.search(e.where("vec_id % 50 = 0"), e, 20, normalize=True)
 
 
 @query(
@@ -442,7 +546,7 @@ def hybrid_topk(spark, sf_dir):
     """Vectors and documents share numbers only by convention: a synthetic pairing of vec_id with doc_id, and of item_id with the query's vector."""
     e, cfg = table(spark, sf_dir, "embeddings"), fusion.HybridConfig()
     wanted = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return fusion.fuse(_lexical(spark, sf_dir, cfg.k * cfg.over_fetch), dense.dense_scores(wanted, e, cfg.k * cfg.over_fetch), cfg)
+    return fusion.fuse(_lexical(spark, sf_dir, cfg.k * cfg.over_fetch), dense.search(wanted, e, cfg.k * cfg.over_fetch), cfg)
 
 
 @query(
@@ -455,25 +559,36 @@ def rerank_top4(spark, sf_dir):
     return fusion.rerank(hits, lexical.token_overlap("question", "text")).select("question_id", "passage_id", "score", "rank")
 
 
-@query(_bm25(f"""SELECT b.question_id, coalesce(n, 0) AS n_hits, CASE WHEN n IS NULL THEN {twins.q(pipeline.NO_EVIDENCE)} END AS fallback
-  FROM asked_items b LEFT JOIN (SELECT question_id, count(*) AS n FROM hits GROUP BY question_id) USING (question_id)"""))
+@query(_bm25(f"""SELECT b.question_id, coalesce(n, 0) AS n_hits, CASE WHEN n IS NULL THEN {twins.q(pipeline.NO_EVIDENCE)} WHEN coalesce(chars, 0) = 0 THEN {twins.q(pipeline.NO_CONTEXT)} END AS fallback
+  FROM asked_items b LEFT JOIN (SELECT question_id, count(*) AS n, max(CASE WHEN rank = 1 THEN CASE WHEN length({twins.strip('text')}) BETWEEN 1 AND 12000 AND length(text) <= 12000 THEN length(text) END END) AS chars
+  FROM hits JOIN documents ON passage_id = doc_id GROUP BY question_id) USING (question_id)"""))
 def answer_fallback(spark, sf_dir):
-    asked_items = items(spark, sf_dir)
-    hits = _lexical(spark, sf_dir, 20)
-    context = hits.where("rank = 1").select("question_id", F.lit("evidence").alias("context"))
-    return pipeline.with_fallback(asked_items, hits, context).select("question_id", "n_hits", "fallback")
+    """Contexts of the best hit only, so that a text beyond the budget leaves a question without one."""
+    hits = cut(_lexical(spark, sf_dir, 20))
+    first = hits.where("rank = 1").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text"), "passage_id")
+    context = fusion.contexts(fusion.packed_hits(first, "question_id", ["rank"], "text"), "question_id", ["rank"], "text")
+    return pipeline.with_fallback(items(spark, sf_dir), hits, context).select("question_id", "n_hits", "fallback")
 
 
 _PACKED = f"""packed AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS total FROM (
-  SELECT * FROM conversations WHERE coalesce({twins.strip('text')}, '') <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, md5(text) ORDER BY turn) = 1) QUALIFY total <= 3000)"""
+  SELECT * FROM conversations WHERE coalesce({twins.strip('text')}, '') <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, md5(text) ORDER BY turn) = 1) QUALIFY total <= BUDGET)"""
 
 
-@query(f"WITH {_PACKED} SELECT conv_id, count(*) AS n_texts, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS context_md5 FROM packed GROUP BY conv_id")
+@query(f"WITH {_PACKED.replace('BUDGET', '3000')} SELECT conv_id, count(*) AS n_texts, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS context_md5 FROM packed GROUP BY conv_id")
 def context_pack(spark, sf_dir):
     packed = fusion.packed_hits(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", 3000)
     return fusion.contexts(packed, "conv_id", ["turn"], "text").select("conv_id", F.col("n_texts").cast("long").alias("n_texts"), text.md5_text("context").alias("context_md5"))
 
 
+@query(f"""WITH packed AS (SELECT *, sum(length(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM (
+  SELECT * FROM documents WHERE coalesce({twins.strip('text')}, '') <> '' QUALIFY row_number() OVER (PARTITION BY lang, md5(text) ORDER BY doc_id) = 1) QUALIFY total <= 12000)
+  SELECT lang, count(*) AS n_texts, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS context_md5 FROM packed GROUP BY lang""")
+def context_pack_default(spark, sf_dir):
+    """The documents of each language as the hits of one question, within the default budget."""
+    packed = fusion.packed_hits(table(spark, sf_dir, "documents"), "lang", ["doc_id"], "text")
+    return fusion.contexts(packed, "lang", ["doc_id"], "text").select("lang", F.col("n_texts").cast("long").alias("n_texts"), text.md5_text("context").alias("context_md5"))
+
+
 @query(
     _bm25(
         f"""SELECT question_id, rank, block_md5 FROM (SELECT question_id, rank, md5(block) AS block_md5, sum(length(block)) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM (
@@ -491,13 +606,14 @@ def citations(spark, sf_dir):
     return fusion.citations(hits, "question_id", ["rank"], "url").select("question_id", "url", "rank")
 
 
-@query(_bm25("SELECT question_id, len(list(passage_id)) AS n_sources, round(max(round_even(score, 4)), 4) AS best FROM hits GROUP BY question_id"))
+@query(_bm25("SELECT question_id, count(*) AS n_sources, md5(string_agg(concat_ws('|', rank, passage_id, printf('%.4f', round_even(score, 4))), ';' ORDER BY rank)) AS sources_md5 FROM hits GROUP BY question_id"))
 def answer_sources(spark, sf_dir):
     hits = _lexical(spark, sf_dir, 20).withColumns({"title": F.lit(""), "url": F.col("passage_id").cast("string")})
-    return fusion.sources(hits).select("question_id", F.size("sources").cast("long").alias("n_sources"), F.array_max(F.transform("sources", lambda s: s["score"])).alias("best"))
+    entries = F.transform("sources", lambda s: F.concat_ws("|", s["rank"].cast("string"), s["url"], F.format_string("%.4f", s["score"])))
+    return fusion.sources(hits).select("question_id", F.size("sources").cast("long").alias("n_sources"), text.md5_text(F.array_join(entries, ";")).alias("sources_md5"))
 
 
-@query("SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) AS n_messages FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id")
+@query("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS answer_md5, count(*) AS n_messages FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id")
 def llm_stream_parse(spark, sf_dir):
     """Assistant turns written as event lines of a stream, parsed back."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant' and text is not null")
@@ -507,15 +623,26 @@ def llm_stream_parse(spark, sf_dir):
     end = turns.groupBy("conv_id").agg((F.max("turn") * 2 + 2).alias("pos")).withColumn("line", F.lit("data: [DONE]"))
     late = end.select("conv_id", F.col("pos") + 1, F.lit('data: {"choices":[{"delta":{"content":"late"}}]}'))
     answers = state.stream_text(rows.union(more).union(end).union(late), by="conv_id")
-    return answers.join(turns.groupBy("conv_id").agg(F.count("*").alias("n_messages")), "conv_id").select("conv_id", F.length("answer").cast("long").alias("n_chars"), "n_messages")
+    return answers.join(turns.groupBy("conv_id").agg(F.count("*").alias("n_messages")), "conv_id").select("conv_id", text.md5_text("answer").alias("answer_md5"), "n_messages")
 
 
-@query("SELECT conv_id, turn, length(text) AS n_chars FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+@query("SELECT conv_id, turn, md5('Context:' || chr(10) || 'evidence ' || turn || chr(10) || chr(10) || 'Question:' || chr(10) || text) AS message_md5, 'Answer from the context and cite it.' AS system, 1200 AS tokens FROM conversations WHERE role = 'user' AND text IS NOT NULL")
 def prompt_payload(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").withColumn("context", F.lit(""))
+    """Requests as JSON, read back field by field."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").withColumn("context", F.concat(F.lit("evidence "), "turn"))
     sent = turns.withColumn("payload", pipeline.payload("text", "context", "Answer from the context and cite it."))
-    back = F.get_json_object("payload", "$.messages[1].content")
-    return sent.select("conv_id", "turn", (F.length(back) - F.length(F.lit("Context:\n\n\nQuestion:\n"))).cast("long").alias("n_chars"))
+    told = F.from_json("payload", "max_tokens int, messages array<struct<role: string, content: string>>")
+    back = sent.withColumn("told", told).withColumn("user", F.filter("told.messages", lambda m: m["role"] == "user")[0]["content"])
+    return back.select("conv_id", "turn", text.md5_text("user").alias("message_md5"), F.filter("told.messages", lambda m: m["role"] == "system")[0]["content"].alias("system"), F.col("told.max_tokens").alias("tokens"))
+
+
+@query(f"SELECT conv_id, turn, trim(text) AS answer FROM conversations WHERE role = 'assistant' AND text IS NOT NULL UNION ALL SELECT conv_id, -1, '' FROM (SELECT DISTINCT conv_id FROM conversations)")
+def answer_extract(spark, sf_dir):
+    """Answers taken out of responses that are not streamed, and out of ones that hold none."""
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant' and text is not null")
+    response = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
+    none = table(spark, sf_dir, "conversations").select("conv_id", F.lit(-1).cast("long").alias("turn")).distinct().withColumn("response", F.lit('{"error": 1}'))
+    return said.select("conv_id", F.col("turn").cast("long").alias("turn"), response.alias("response")).unionByName(none).select("conv_id", "turn", state.answer_of("response").alias("answer"))
 
 
 # State and metrics
@@ -526,6 +653,14 @@ def chunk_cache_ttl(spark, sf_dir):
     return state.latest_within(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 36_000).select("user_id", "event_id", "value")
 
 
+@query("""WITH m AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+  e AS (SELECT user_id, max(ts) AS last, count(*) FILTER (before IS NOT NULL AND ts - before < INTERVAL 36000 SECOND) AS hits, count(*) AS n FROM m GROUP BY user_id)
+  SELECT count(*) AS entries, count(*) FILTER (last > now - INTERVAL 36000 SECOND) AS live, count(*) FILTER (last <= now - INTERVAL 36000 SECOND) AS expired, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(n - hits) AS BIGINT) AS misses
+  FROM e, (SELECT max(ts) AS now FROM events)""")
+def cache_stats(spark, sf_dir):
+    return state.cache_stats(table(spark, sf_dir, "events"), "user_id", "ts", 36_000)
+
+
 @query("SELECT DISTINCT sha256(concat(user_id, '|', event_type)) AS fingerprint FROM events")
 def stream_dedup_events(spark, sf_dir):
     """The events as a stream of files, without rows whose user and type have been seen (the delay covers the table)."""
@@ -546,10 +681,60 @@ def pipeline_metrics(spark, sf_dir):
     )
 
 
-@query()
+def _report() -> str:
+    allowed = f"({_ALLOWED})"
+    robots = "NOT EXISTS (SELECT 1 FROM (VALUES " + ", ".join(f"('{h}', '{p}')" for h, p in ROBOTS) + ") AS r(h, prefix) WHERE regexp_replace(host, '^[^.]+\\.(.*\\..*)$', '\\1') = h AND starts_with(path, prefix))"
+    valid = f"(length(html) BETWEEN 250 AND 600000 AND length(html) - length(regexp_replace(html, '[{twins.LATIN}{twins.ARABIC}]', '', 'g')) >= 100)"
+    flags = f"SELECT {allowed} AS a, {robots} AS r, page_id % 3 = 0 AS c, html IS NOT NULL AND html <> '' AND page_id % 7 <> 0 AS f, coalesce({valid}, false) AS v FROM p"
+    return f"""WITH p AS (SELECT *, {_HOST} AS host, lower(coalesce(nullif(regexp_extract(url, '{_PARTS}', 3), ''), '/')) AS path FROM pages), x AS ({flags})
+  SELECT count(*) FILTER (v AND f AND a AND r) AS documents, count(*) FILTER (a AND r AND NOT c AND f) AS fetch_success, count(*) FILTER (a AND r AND NOT c AND NOT f) AS errors, count(*) FILTER (a AND r AND c) AS cache_hits,
+  count(*) FILTER (NOT a) AS blocked, count(*) FILTER (a AND NOT r) AS robots_blocked, count(*) AS search_results FROM x"""
+
+
+@query(_report())
+def collection_report(spark, sf_dir):
+    """The counts of a collection run, in which every third page is cached and every seventh can't be fetched."""
+    pages = table(spark, sf_dir, "pages").withColumn("stem", F.regexp_replace("url", "//(?:www\\.)?[^./]+\\.([^/]*\\.[^/]*)", "//$1"))
+    free = urls.allowed_by_robots(pages.select("page_id", F.col("stem").alias("url")), spark.createDataFrame(ROBOTS, "host string, prefix string")).select("page_id", F.lit(True).alias("free"))
+    marked = pages.join(free, "page_id", "left").select(
+        urls.is_allowed("url", DOMAINS).alias("allowed"),
+        F.coalesce("free", F.lit(False)).alias("robots_allowed"),
+        (F.col("page_id") % 3 == 0).alias("cached"),
+        ((F.coalesce("html", F.lit("")) != "") & (F.col("page_id") % 7 != 0)).alias("fetched"),
+        F.coalesce(text.is_valid_content("html"), F.lit(False)).alias("collected"),
+    )
+    return pipeline.collection_report(marked)
+
+
+def _answers() -> str:
+    uniq = f"uniq AS MATERIALIZED (SELECT doc_id, concat(doc_id, '_', chunk_index) AS chunk_id, chunk_text FROM chunks QUALIFY row_number() OVER (PARTITION BY md5({twins.strip('chunk_text')}) ORDER BY doc_id, chunk_index) = 1)"
+    bm25 = twins.bm25("uniq", "chunk_id", "chunk_text", "asked_items", 60)
+    norm = "sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))"
+    vectors = f"""known AS MATERIALIZED (SELECT chunk_id AS id, CAST(embedding AS DOUBLE[]) AS e, {norm} AS norm FROM uniq JOIN embeddings ON doc_id = vec_id),
+  wanted AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, {norm} AS norm FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark))"""
+    dense_ = _COSINE.replace("ASKED", "wanted").replace("KNOWN", "known").replace("LIMIT_K", "60")
+    part = "SELECT question_id, passage_id, {w}::DOUBLE * (score - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS part, {l} AS l_rank, {d} AS d_rank FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM {t} WINDOW w AS (PARTITION BY question_id))"
+    both = part.format(w=0.35, l="rank", d="NULL", t="hits") + " UNION ALL " + part.format(w=0.65, l="NULL", d="rank", t="dense")
+    fused = f"""fused AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, l_rank NULLS LAST, d_rank NULLS LAST, passage_id) AS rank FROM (
+  SELECT question_id, passage_id, round(sum(part), 6) AS score, min(l_rank) AS l_rank, min(d_rank) AS d_rank FROM ({both}) GROUP BY ALL) QUALIFY rank <= 20)"""
+    own = f"list_distinct({twins.tokens('question')})"
+    overlap = f"round(CASE WHEN len({own}) > 0 THEN len(list_intersect({own}, list_distinct({twins.tokens('chunk_text')}))) / len({own})::DOUBLE ELSE 0 END, 6)"
+    reranked = f"""best AS (SELECT question_id, chunk_text, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, hit, passage_id) AS rank FROM (
+  SELECT question_id, passage_id, f.rank AS hit, chunk_text, {overlap} AS overlap FROM fused f JOIN uniq ON passage_id = chunk_id JOIN asked_items USING (question_id)) QUALIFY rank <= 4),
+  packed AS (SELECT *, sum(length(chunk_text)) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM best WHERE {twins.strip('chunk_text')} <> '' QUALIFY total <= 12000)"""
+    final = "SELECT question_id, CAST(count(*) AS INTEGER) AS n_texts, string_agg(chunk_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM packed GROUP BY question_id"
+    return _cleaned(f", {_ITEMS}, {uniq}, {bm25}, {vectors}, {dense_}, {fused}, {reranked} {final}", chunks=True)
+
+
+@query(_answers())
 def answer_context(spark, sf_dir):
-    """Flagship: benchmark texts as questions, evidence from all documents, contexts with their size."""
-    return pipeline.answer_context(items(spark, sf_dir), table(spark, sf_dir, "documents"), LATIN_ANSWER)
+    """Flagship: benchmark texts as questions, lexical and dense evidence from the chunks of all documents, contexts with their size.
+
+    The driver's vectors are paired with documents (whose chunks share them) and questions by number: a synthetic association."""
+    e = table(spark, sf_dir, "embeddings")
+    chunks = pipeline.chunk_table(table(spark, sf_dir, "documents"), LATIN_ANSWER).join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    questions = items(spark, sf_dir).join(e.select(F.col("vec_id").alias("question_id"), "embedding"), "question_id", "left")
+    return pipeline.answer_context(questions, chunks, LATIN_ANSWER, "hybrid")
 
 
 def queries() -> dict:

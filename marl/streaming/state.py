@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 
 def unseen(stream: DataFrame, fingerprint: str, ts: str, delay: str) -> DataFrame:
@@ -26,24 +30,75 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def latest_within(rows: DataFrame, key: str, ts: str, tie: str, seconds: int, now: str | None = None) -> DataFrame:
     """The latest row of each key that is younger than the time to live, seen from `now` or from the table's last moment."""
-    order = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie))
-    newest = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in rows.columns)), F.struct(ts, tie)).alias("r")).select("r.*")
     if now is not None:
         return newest.where(F.col(ts) > F.to_timestamp(F.lit(now)) - F.make_dt_interval(secs=F.lit(seconds)))
     last = rows.agg(F.max(ts).alias("_last"))
     return newest.crossJoin(F.broadcast(last)).where(F.col(ts) > F.col("_last") - F.make_dt_interval(secs=F.lit(seconds))).drop("_last")
 
 
-def stream_text(lines: DataFrame, by: str = "stream_id", order: str = "pos", line: str = "line") -> DataFrame:
-    """(by, answer): text that the event lines of each stream carry up to [DONE]; other and malformed lines are passed over."""
+def cache_stats(rows: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """One row: what a cache with a time to live holds at the table's last moment: entries, live and expired ones, and rows that found theirs
+    live when they came (hits) or did not (misses). An entry lives from its last row on."""
+    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
+    met = rows.select(F.col(key).alias("key"), F.col(ts).alias("at"), before.alias("before"))
+    ttl = F.make_dt_interval(secs=F.lit(seconds))
+    hit = F.col("before").isNotNull() & (F.col("at") - F.col("before") < ttl)
+    each = met.groupBy("key").agg(F.max("at").alias("last"), F.count_if(hit).alias("hits"), F.count("*").alias("n"))
+    total = each.agg(F.max("last").alias("now"))
+    live = F.col("last") > F.col("now") - ttl
+    return each.crossJoin(F.broadcast(total)).agg(
+        F.count("*").alias("entries"), F.count_if(live).alias("live"), F.count_if(~live).alias("expired"), F.sum("hits").alias("hits"), F.sum(F.col("n") - F.col("hits")).alias("misses")
+    )
+
+
+def event_tokens(lines: DataFrame, line: str = "line") -> DataFrame:
+    """lines that carry something, with its token, or done = true for the end of a stream; other and malformed lines are passed over.
+
+    Works on streams, too: it looks at one line at a time."""
     data = F.trim(F.regexp_extract(line, "^data:(.*)$", 1))
-    kept = lines.where(F.col(line).startswith("data:")).select(by, order, data.alias("data"))
-    done = kept.where("data = '[DONE]'").groupBy(by).agg(F.min(order).alias("_end"))
-    token = F.from_json("data", "choices array<struct<delta: struct<content: string>>>")
-    before = kept.join(done, by, "left").where(F.col("_end").isNull() | (F.col(order) < F.col("_end")))
-    tokens = before.select(by, order, F.get(token["choices"], F.lit(0))["delta"]["content"].alias("token")).where("token is not null")
+    token = F.get(F.from_json(data, "choices array<struct<delta: struct<content: string>>>")["choices"], F.lit(0))["delta"]["content"]
+    found = lines.where(F.col(line).startswith("data:")).withColumn("token", token).withColumn("done", data == "[DONE]")
+    return found.where("done or token is not null")
+
+
+def stream_text(lines: DataFrame, by: str = "stream_id", order: str = "pos", line: str = "line") -> DataFrame:
+    """(by, answer): text that the event lines of each stream carry up to [DONE], for a table of lines."""
+    found = event_tokens(lines, line)
+    done = found.where("done").groupBy(by).agg(F.min(order).alias("_end"))
+    before = found.where("not done").join(done, by, "left").where(F.col("_end").isNull() | (F.col(order) < F.col("_end")))
     listed = F.array_sort(F.collect_list(F.struct(order, "token")))
-    return tokens.groupBy(by).agg(listed.alias("l")).select(by, F.array_join(F.transform("l", lambda x: x["token"]), "").alias("answer"))
+    return before.groupBy(by).agg(listed.alias("l")).select(by, F.array_join(F.transform("l", lambda x: x["token"]), "").alias("answer"))
+
+
+def growing_text(lines: DataFrame, by: str = "stream_id", order: str = "pos", line: str = "line", ts: str = "ts", idle: str = "10 minutes") -> DataFrame:
+    """(by, answer, done): the text of each stream of lines so far, a row whenever a micro-batch adds to it. lines is a stream; ts its time.
+
+    State is kept for streams that have not ended, and dropped once the watermark is `idle` past their last line."""
+
+    def grow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, ended = state.get if state.exists else ("", False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        latest = 0
+        for rows in [pd.concat(list(batches)).sort_values("_order", kind="stable")]:
+            latest = int(rows["_ms"].max())
+            for token, done in zip(rows["token"], rows["done"]):
+                if done:
+                    ended = True
+                if ended:
+                    break
+                text += token
+        state.update((text, ended))
+        if latest + 1 > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(latest + 1)
+        yield pd.DataFrame({by: [key[0]], "answer": [text], "done": [ended]})
+
+    found = event_tokens(lines.withWatermark(ts, idle), line)
+    rows = found.select(by, F.col(order).alias("_order"), F.coalesce("token", F.lit("")).alias("token"), "done", F.unix_millis(ts).alias("_ms"), ts)
+    kind = lines.schema[by].dataType.simpleString()
+    return rows.groupBy(by).applyInPandasWithState(grow, f"{by} {kind}, answer string, done boolean", "text string, ended boolean", "update", "EventTimeTimeout")
 
 
 def answer_of(response: str):

@@ -1,6 +1,7 @@
 """Literal fixtures with expected values written by hand or by a plain-Python model."""
 
 import random
+import time
 import unicodedata
 from hashlib import md5, sha256
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from marl.functions import lexicon, text
 from marl.operators import clean, dedup, dense, fusion, lexical, understand, urls
 from marl.plans import pipeline
-from marl.sources import html
+from marl.sources import html, pdf
 from marl.streaming import state
 
 
@@ -34,7 +35,7 @@ def test_ratio_counts_code_points(spark):
 
 def test_letters_and_normal_form(spark):
     items = ["أحمد إلى آخر ٱسم", "مُؤَسَّسَة", "شيء ئ ى", "plain", unicodedata.normalize("NFD", "é أ")]
-    model = lambda t: "".join(c for c in unicodedata.normalize("NFC", t).translate(str.maketrans(*text.HAMZA)) if not ("ً" <= c <= "ٟ" or c == "ٰ"))
+    model = lambda t: "".join(c for c in unicodedata.normalize("NFC", t).translate(str.maketrans(lexicon.LETTERS, lexicon.FOLDED_LETTERS)) if not ("ً" <= c <= "ٟ" or c == "ٰ"))
     assert values(spark, text.fold_letters(text.nfc("x")), items) == [model(t) for t in items]
 
 
@@ -63,7 +64,7 @@ def test_hashes(spark):
 def test_markup_noise_and_lines(spark):
     assert values(spark, text.squeeze(clean.strip_markup("x")), ["<b>a</b> http://x.y/z me@x.org [صفحة 12] b"]) == ["a b"]
     noise, _ = clean.CleanConfig().lists()
-    folded = "الرئيسية".translate(str.maketrans(*text.HAMZA))
+    folded = "الرئيسية".translate(str.maketrans(lexicon.LETTERS, lexicon.FOLDED_LETTERS))
     assert values(spark, clean.noise_lines_removed("x", noise), [f" {folded} \nكتاب\n\nتابعنا\nتابعنا هنا"]) == ["كتاب\nتابعنا هنا"]
     assert values(spark, clean.noise_lines_removed("x", list(lexicon.NOISE_LINES)), [f"{folded}\na"]) == [f"{folded}\na"]
     assert values(spark, clean.lines_deduplicated("x"), ["b\na \n\n b\na"]) == ["b\na"]
@@ -161,8 +162,8 @@ def test_html():
     assert html.extract(None) == ("", "") and html.extract("<p>unclosed <p>" + long)[1].count(long) == 2
 
 
-def test_grades_by_rule():
-    found = lexicon.grades()
+def test_grades():
+    found = lexicon.GRADES
     assert len(found) == 12 and sum(map(len, found.values())) == 85
     assert found["الأول الإعدادي"][:2] == ["اول اعدادي", "اول الاعدادي"] and "الثانوية العامة" in found["الثالث الثانوي"]
 
@@ -203,7 +204,7 @@ def test_example_sentences_find_themselves(spark):
     cfg = understand.AnalyzerConfig(clear_vote=99.0)
     questions = spark.createDataFrame(rows, "question_id long, question string").withColumn("normalized", text.normalize_question("question"))
     own = [k for k, v in lexicon.INTENT_EXAMPLES.items() for _ in v]
-    got = understand.similar_intent(questions, cfg).collect()
+    got = understand.similar_intent(questions.withColumn("vote", understand.best_vote(F.col("normalized"))), cfg).collect()
     assert len(got) == len(own) and all(abs(r.similarity - 1) < 1e-6 and r.like == own[r.question_id] for r in got)
 
 
@@ -223,29 +224,50 @@ def bm25_model(question, docs, k1=1.5, b=0.75, floor=0.25):
     return [sum(idf.get(t, 0) * d.count(t) * (k1 + 1) / (d.count(t) + k1 * (1 - b + b * len(d) / mean)) for t in re.findall(r"\w+", question.lower())) for d in split]
 
 
-def test_bm25_equals_the_formula(spark):
+def test_bm25_equals_the_formula(spark, tmp_path):
     docs = ["the cat sat on the mat", "dogs and cats", "", "the the the", "a bird sat", "mat mat cat"]
     asked = ["cat mat mat", "the bird", "zebra", ""]
-    rows = lexical.passages(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string"), "doc_id", "text")
+    indexed = lexical.index(lexical.passages(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string").repartition(3), "doc_id", "text"), f"{tmp_path}/index")
     questions = spark.createDataFrame(list(enumerate(asked)), "question_id int, question string")
-    got = {(r.question_id, r.passage_id): r.score for r in lexical.scores(questions, rows).collect()}
-    for i, q in enumerate(asked):
-        for j, want in enumerate(bm25_model(q, docs)):
-            assert abs(got.get((i, j), 0.0) - want) < 1e-9
-    top = lexical.top(lexical.scores(questions, rows), 1).collect()
+    for cfg in (lexical.Bm25Config(), lexical.Bm25Config(block=2)):
+        got = {(r.question_id, r.passage_id): (r.score, r.rank) for r in lexical.search(questions, lexical.read_index(spark, f"{tmp_path}/index"), 10, None, cfg).collect()}
+        for i, q in enumerate(asked):
+            want = bm25_model(q, docs)
+            for j, score in enumerate(want):
+                assert abs(got.get((i, j), (0.0,))[0] - max(score, 0)) < 1e-9
+            order = sorted((-s, j) for j, s in enumerate(want) if s > 0)
+            assert [got[i, j][1] for _, j in order] == list(range(1, len(order) + 1))
+    top = lexical.search(questions, indexed, 1).collect()
     assert {r.question_id for r in top} == {0, 1} and all(r.score > 0 for r in top)
+    assert lexical.search(questions.limit(0), indexed, 3).collect() == [] and lexical.search(questions, indexed.limit(0), 3).collect() == []
 
 
-def test_dense_search_equals_brute_force(spark):
+def test_bm25_keeps_corpora_apart(spark):
+    rng = random.Random(5)
+    words = ["a", "b", "c", "d", "e"]
+    corpora = {c: [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 7))] for c in range(6)}
+    rows = [(c, f"{c}-{j}", t) for c, texts in corpora.items() for j, t in enumerate(texts)]
+    asked = [(f"q{c}", " ".join(rng.choice(words) for _ in range(3)), c) for c in range(7)]
+    indexed = lexical.index(lexical.passages(spark.createDataFrame(rows, "c int, id string, text string").repartition(4), "id", "text", "c"))
+    got = {(r.question_id, r.passage_id): r.score for r in lexical.search(spark.createDataFrame(asked, "question_id string, question string, corpus_id int"), indexed, 20, 9).collect()}
+    want = {(q, f"{c}-{j}"): round(s, 9) for q, t, c in asked if c in corpora for j, s in enumerate(bm25_model(t, corpora[c])) if round(s, 9) > 0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
+
+
+@pytest.mark.parametrize("held", [dense.BLOCK_BYTES, 100])
+def test_dense_search_equals_brute_force(spark, held):
     rng = random.Random(2)
-    vectors = [(i, [float(rng.randrange(-4, 5)) for _ in range(6)]) for i in range(90)] + [(900, None)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    got = {}
-    for r in dense.dense_scores(df.where("vec_id % 10 = 0"), df, 5, block=16).collect():
-        got.setdefault(r.question_id, []).append((r.rank, r.passage_id, r.score))
-    for q, v in vectors[:90:10]:
-        want = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if w)[:5]
-        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    vectors = [(i, [float(rng.randrange(-4, 5)) for _ in range(6)]) for i in range(90)] + [(900, None), (901, [1.0, 2.0]), (902, [0.0] * 6)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(5)
+    for unit in (False, True):
+        got = {}
+        for r in dense.search(df.where("vec_id % 10 = 0"), df, 5, normalize=unit, block_bytes=held).collect():
+            got.setdefault(r.question_id, []).append((r.rank, r.passage_id, r.score))
+        length = lambda v: (sum(a * a for a in v) ** 0.5 or 1.0) if unit else 1.0  # noqa: B023, E731
+        for q, v in vectors[:90:10]:
+            want = sorted((-round(sum(a * b for a, b in zip(v, w)) / length(v) / length(w), 6), i) for i, w in vectors if w and len(w) == 6)[:5]
+            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    assert dense.search(df.limit(0), df, 5).collect() == [] and dense.search(df, df.limit(0), 5).collect() == []
 
 
 HITS = "question_id int, passage_id int, score double, rank int"
@@ -298,12 +320,74 @@ def test_stream_deduplication(spark, tmp_path):
     assert sorted(r.fingerprint for r in done.collect()) == ["0", "1", "2"]
 
 
+def parts_of_a_stream(spark, path, rows, schema):
+    """A stream that reads one part a micro-batch, in order."""
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1 if i + 1 < len(rows) else 0)  # files are read in the order of their times
+    made = spark.read.parquet(path).schema
+    return spark.readStream.schema(made).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_state_is_dropped_behind_the_watermark(spark, tmp_path):
+    day = "2024-01-01"
+    rows = [[(f"{day} 10:00:00", "a"), (f"{day} 10:01:00", "a")], [(f"{day} 10:30:00", "a"), (f"{day} 13:00:00", "b")], [(f"{day} 13:10:00", "b")], [(f"{day} 13:20:00", "a")]]
+    stream = parts_of_a_stream(spark, f"{tmp_path}/in", rows, "ts string, fingerprint string")
+    done = state.run_once(state.unseen(stream, "fingerprint", "ts", "1 hour"), f"{tmp_path}/out").collect()
+    assert sorted((r.fingerprint, r.ts.hour) for r in done) == [("a", 10), ("a", 13), ("b", 13)]  # the first a had been forgotten
+
+
+def test_answers_grow_with_their_streams(spark, tmp_path):
+    token = lambda t: f'data: {{"choices":[{{"delta":{{"content":"{t}"}}}}]}}'
+    day = "2024-01-01"
+    rows = [
+        [(f"{day} 10:00:00", 1, 1, token("b")), (f"{day} 10:00:00", 1, 0, token("a")), (f"{day} 10:00:00", 2, 0, token("z"))],
+        [(f"{day} 10:00:05", 1, 2, token("c")), (f"{day} 10:00:05", 1, 3, "data: [DONE]"), (f"{day} 10:00:05", 1, 4, token("late")), (f"{day} 10:00:05", 2, 1, "data: {broken")],
+        [(f"{day} 10:00:09", 2, 2, token("y"))],
+    ]
+    stream = parts_of_a_stream(spark, f"{tmp_path}/in", rows, "ts string, stream_id int, pos int, line string")
+    seen = []
+    query = state.growing_text(stream).writeStream.outputMode("update").trigger(availableNow=True).foreachBatch(lambda df, i: seen.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").start()
+    query.awaitTermination()
+    assert [(r.answer, r.done) for r in seen if r.stream_id == 1] == [("ab", False), ("abc", True)]
+    assert [(r.answer, r.done) for r in seen if r.stream_id == 2] == [("z", False), ("zy", False)]
+
+
+def test_first_copies_keeps_one_row_of_each(spark):
+    rows = spark.createDataFrame([(1, "a", "p"), (1, "a", "p"), (2, "a", "q"), (2, "b", "r"), (3, "b", "s"), (3, "c", "t"), (3, "c", "u"), (4, None, "v")], "id int, t string, _x string")
+    got = sorted((r.id, r.t) for r in dedup.first_copies(rows, F.col("t"), "id").where("t is not null").collect())
+    assert got == [(1, "a"), (2, "b"), (3, "c")] and dedup.first_copies(rows, F.col("t"), "id").count() == 4
+    chunks = spark.createDataFrame([(10, 2, "10_2", "x"), (9, 0, "9_0", "x"), (9, 11, "9_11", "y"), (9, 2, "9_2", "y")], "doc_id int, chunk_index int, chunk_id string, t string")
+    assert {r.chunk_id for r in dedup.first_copies(chunks, F.col("t"), "doc_id", "chunk_index").collect()} == {"9_0", "9_2"}
+
+
+def test_robots_files_and_waves(spark):
+    files = spark.createDataFrame([("h", "Disallow: /early\nUser-agent: *\nDISALLOW: /A\ndisallow:\nuser-agent: x\ndisallow: /no"), ("g", None)], "host string, body string")
+    assert [(r.host, r.prefix) for r in urls.robots_rules(files).collect()] == [("h", "/a")]
+    pages = spark.createDataFrame([(i, f"http://h{i % 2}.com/{i}") for i in range(10)], "pos int, url string")
+    assert sorted((r.pos, r.wave) for r in urls.fetch_waves(pages, 2).collect()) == [(i, i // 4) for i in range(10)]
+
+
+def test_pdf_pages(spark):
+    files = spark.createDataFrame([(1, ["a  b", "", None, "c"], "https://moe.gov.eg/x.pdf"), (2, None, "u"), (3, [], "u")], "id int, pages array<string>, url string")
+    got = {r.id: (r.content, r.document_type, r.source_score, r.content_hash is None) for r in pdf.extract_pdfs(files).collect()}
+    assert got == {1: ("a b c", "pdf", 1.0, False), 2: ("", "pdf", 0.3, True), 3: ("", "pdf", 0.3, True)}
+
+
 def test_whole_pipeline_finds_the_passage(spark):
     docs = [(i, " ".join(f"Filler sentence {j} of text {i} about nothing." for j in range(30))) for i in range(6)]
     docs[3] = (3, docs[3][1] + " The zebra crossed the quiet river at dawn. " + docs[3][1])
     questions = spark.createDataFrame([(1, "where did the zebra cross the river")], "question_id long, question string")
     cfg = pipeline.AnswerConfig(cleaning=clean.CleanConfig(script=text.LATIN))
-    got = pipeline.answer_context(questions, spark.createDataFrame(docs, "doc_id long, text string"), cfg).first()
+    chunks = pipeline.chunk_table(spark.createDataFrame(docs, "doc_id long, text string"), cfg)
+    got = pipeline.answer_context(questions, chunks, cfg).first()
+    zebra = F.when(F.contains("chunk_text", F.lit("zebra")), F.array(F.lit(1.0), F.lit(0.1))).otherwise(F.array(F.lit(0.1), F.lit(1.0)))
+    seen, asked = chunks.withColumn("embedding", zebra), questions.withColumn("embedding", F.array(F.lit(2.0), F.lit(0.0)))
+    for strategy in ("bm25", "dense", "hybrid"):
+        best = pipeline.hits(asked, seen, cfg, strategy).where("rank = 1").join(chunks, F.col("passage_id") == F.col("chunk_id")).first()
+        assert "zebra" in best.chunk_text
+    with pytest.raises(ValueError):
+        pipeline.hits(asked, seen, cfg, "none")
     assert "zebra" in got.context.split("\n\n---\n\n")[0] and got.n_texts <= 4 and len(got.context) <= 12_100
     sent = spark.createDataFrame([("q?", "c")], "question string, context string").select(pipeline.payload("question", "context", "s").alias("p")).first().p
     assert '"role":"user"' in sent and "q?" in sent
