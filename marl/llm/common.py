@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut, fresh_path, is_hot, look_up, remove
+from ..shared import cut, fresh_path, is_hot, look_up, remove
 
 __all__ = ["connected_components", "cut", "fresh_path", "is_hot", "local_forest", "look_up", "read_all", "remove", "table"]
 
