@@ -31,6 +31,8 @@ from .text import mix
 
 #: Rows of one direction that are compared with the others at a time.
 BLOCK = 512
+#: Codes of a block that are laid out at a time.
+CODES = 2048
 #: A direction of more vectors than this, and than one in HOT_DIRECTIONS of all that are filed, is dealt to cells of about so many each way.
 CELL, HOT_DIRECTIONS = 4096, 100_000
 
@@ -181,45 +183,82 @@ def _file(cfg: CapFilters, kind: str, hot: dict[int, int]):
     return run
 
 
-def _shared(codes: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the code lists at i and j have a code in common. Only codes that several of the lists hold are laid out."""
-    rows, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-    lists = [np.frombuffer(codes[r], "<i4") for r in rows.tolist()]
-    flat, of = np.concatenate(lists), np.repeat(np.arange(len(rows)), [len(x) for x in lists])
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    several = count[column] > 1
-    kept, column = np.unique(column[several], return_inverse=True)
-    member = np.zeros((len(rows), len(kept)), bool)
-    member[of[several], column] = True
-    packed = np.packbits(member, axis=1)
-    a, b = place[: len(i)], place[len(i) :]
-    found = np.zeros(len(i), bool)
-    step = max(1, (16 << 20) // max(1, packed.shape[1]))
-    for at in range(0, len(i), step):
-        found[at : at + step] = (packed[a[at : at + step]] & packed[b[at : at + step]]).any(axis=1)
-    return found
+class _Codes:
+    """The code lists of a group's members, laid end to end."""
+
+    def __init__(self, codes: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(codes), "<i4")
+        self.sizes = np.array([len(c) // 4 for c in codes], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def common(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Which of rows x columns have a code in common. Only codes that several of these members have are looked at, some at a time."""
+        every, place = np.unique(np.concatenate([rows, columns]), return_inverse=True)
+        n = self.sizes[every]
+        of = np.repeat(np.arange(len(every)), n)
+        flat = self.flat[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + self.starts[every][of]]
+        _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+        several = count[code] > 1
+        kept, code = np.unique(code[several], return_inverse=True)
+        of = of[several]
+        found = np.zeros((len(rows), len(columns)), bool)
+        for at in range(0, len(kept), CODES):
+            own = (code >= at) & (code < at + CODES)
+            member = np.zeros((len(every), min(CODES, len(kept) - at)), np.float32)
+            member[of[own], code[own] - at] = 1
+            found |= member[place[: len(rows)]] @ member[place[len(rows) :]].T > 0
+        return found
+
+
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) links that connect all that a block of pairs connects, each row and column met once."""
+    rows_left, columns_left = near.any(axis=1), near.any(axis=0)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while rows_left.any():
+        queue = [int(rows_left.argmax())]
+        rows_left[queue[0]] = False
+        while queue:
+            row = queue.pop()
+            new = np.flatnonzero(near[row] & columns_left)
+            if not len(new):
+                continue
+            columns_left[new] = False
+            a.append(np.full(len(new), row))
+            b.append(new)
+            beside = np.flatnonzero(rows_left)
+            beside = beside[near[np.ix_(beside, new)].any(axis=1)]
+            if len(beside):
+                rows_left[beside] = False
+                a.append(beside)
+                b.append(new[near[np.ix_(beside, new)].argmax(axis=1)])
+                queue.extend(beside.tolist())
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _meet(least: float, kind: str):
     """Per direction or cell: links that connect its members, and for each member the rows linked to it by pairs whose first common direction this is."""
 
-    def group(cell: int, own: np.ndarray, ids: np.ndarray, n: np.ndarray, unit: np.ndarray, codes: list[bytes]) -> tuple:
+    def group(cell: int, own: np.ndarray, ids: np.ndarray, n: np.ndarray, unit: np.ndarray, codes: _Codes) -> tuple:
         across = cell >= 0 and cell >> 20 != cell & 0xFFFFF
         one = np.flatnonzero(own == cell >> 20) if across else np.arange(len(ids))
         two = np.flatnonzero(own == cell & 0xFFFFF) if across else one
         total, u, v = np.zeros(len(ids), dtype=np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(one), BLOCK):
-            i, j = np.nonzero(unit[one[at : at + BLOCK]] @ unit[two].T >= least)
-            i, j = one[at + i], two[j]
-            once = np.arange(len(i)) if across else np.flatnonzero(i < j)
-            i, j = i[once], j[once]
-            if len(i):
-                first = ~_shared(codes, i, j)
-                np.add.at(total, i[first], n[j[first]])
-                np.add.at(total, j[first], n[i[first]])
-                a, b = local_forest(i, j)
-                u.append(ids[a])
-                v.append(ids[b])
+            rows = one[at : at + BLOCK]
+            near = unit[rows] @ unit[two].T >= least
+            if not across:
+                near[np.arange(len(rows)), at + np.arange(len(rows))] = False
+            some, others = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(some):
+                continue
+            near, rows, columns = near[np.ix_(some, others)], rows[some], two[others]
+            first = near & ~codes.common(rows, columns)
+            total[rows] += first @ n[columns]
+            if across:
+                total[columns] += n[rows] @ first
+            a, b = _spanning(near)
+            u.append(ids[rows[a]])
+            v.append(ids[columns[b]])
         return total, np.concatenate(u), np.concatenate(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +276,7 @@ def _meet(least: float, kind: str):
             at = order[a:b]
             rows = found.take(pa.array(at))
             v = np.frombuffer(b"".join(rows["v"].to_pylist()), dtype=kind).astype(np.float64).reshape(-1, int(keys[at[0]]) >> 32)
-            total, u, w = group(int(cells[at[0]]), own[at], ids[at], n[at], _units(v), rows["codes"].to_pylist())
+            total, u, w = group(int(cells[at[0]]), own[at], ids[at], n[at], _units(v), _Codes(rows["codes"].to_pylist()))
             some = total > 0
             named.append(ids[at][some])
             totals.append(total[some])
