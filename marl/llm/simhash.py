@@ -149,7 +149,9 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
             u, v = local_forest(*links_of(*(found[c].to_numpy() for c in ("key", "fp")), distance))
             yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
-    return variants(classes).repartition("key").mapInArrow(verified, "u long, v long")
+    # fingerprints are small and their variants aren't: a stated number of tasks
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return variants(classes.repartition(tasks, "fp")).repartition("key").mapInArrow(verified, "u long, v long")
 
 
 def components(documents: DataFrame, distance: int = 4) -> DataFrame:
