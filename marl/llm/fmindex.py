@@ -14,6 +14,7 @@ from __future__ import annotations
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,13 +123,22 @@ class FMIndex:
 
 
 def numbers(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The segments' words as numbers from 1, each segment closed by 0."""
-    known: dict[bytes, int] = {}
-    out: list[int] = []
-    for a, n in zip(starts.tolist(), lengths.tolist()):
-        out.extend([known.setdefault(w, len(known) + 1) for w in text[a : a + n].tobytes().split(b" ")])
-        out.append(0)
-    return np.array(out, np.int64)
+    """The segments' words, which single blanks part, as numbers from 1, each segment closed by 0."""
+    laid = gather(text, starts, lengths)
+    ends = np.cumsum(lengths)
+    blank = laid == 32
+    blanks = np.flatnonzero(blank)
+    parts = np.concatenate([blanks, ends])  # where words end: at a blank, which belongs to no word, or with their segment
+    order = np.argsort(parts, kind="stable")
+    sizes = np.diff(np.concatenate([[0], parts[order]]))
+    sizes[1:] -= order[:-1] < len(blanks)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(laid[~blank].tobytes())])
+    found = np.zeros(len(sizes) + len(ends), np.int64)
+    closing = np.searchsorted(parts[order], ends) + 1 + np.arange(len(ends))
+    place = np.ones(len(found), bool)
+    place[closing] = False
+    found[place] = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    return found
 
 
 def resolve(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, windows: np.ndarray, ids: np.ndarray, size: int = 50) -> np.ndarray:
