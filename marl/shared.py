@@ -42,6 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def enough_tasks(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks for so many rows that a task has about `each` of them, as many as the session asks for at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def is_hot(count: Column | str, total: int) -> Column:
     """Whether a key has so many of `total` rows that at most HOT_KEYS keys can have as many."""
     return (F.col(count) if isinstance(count, str) else count) > max(LEAST_ROWS, -(-total // HOT_KEYS))
