@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marl.llm import bpe, decontaminate, fmindex, simhash, toxicity
-from marl.llm.common import fresh_path, table
+from marl.llm.common import fresh_path, remove, table
 from marl.llm.settings import toxicity_model, vocabulary_path
 from marl.llm.text import as_bytes
 
@@ -49,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:  # what the stage read is no longer needed once its own result is written
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
