@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, local_forest, look_up, read_all
+from .common import connected_components, cut, enough_tasks, local_forest, look_up, read_all
 from .text import mix
 
 #: Rows of one direction that are compared with the others at a time.
 BLOCK = 512
 #: Codes of a block that are laid out at a time.
 CODES = 2048
+#: Filed vectors that one task holds.
+FILED = 200_000
 #: A direction of more vectors than this, and than one in HOT_DIRECTIONS of all that are filed, is dealt to cells of about so many each way.
 CELL, HOT_DIRECTIONS = 4096, 100_000
 
@@ -300,10 +302,12 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, cfg: CapFilters =
     classes = cut(classes_of(embeddings))
     cfg = cfg.sized(classes.count())
     counted = cut(classes.mapInArrow(_directions(cfg), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    bound = max(cell, -(-(counted.agg(F.sum("n")).first()[0] or 0) // HOT_DIRECTIONS))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    bound = max(cell, -(-total // HOT_DIRECTIONS))
+    tasks = enough_tasks(embeddings.sparkSession, total, FILED)
     hot = {r["key"]: -(-r["n"] // bound) for r in counted.where(F.col("n") > bound).collect()}  # HOT_DIRECTIONS rows at most
     filed = classes.mapInArrow(_file(cfg, kind, hot), "key long, cell long, own long, id long, n long, v binary, codes binary")
-    met = cut(filed.repartition("key", "cell").mapInArrow(_meet(least, kind), "u long, v long, count long"))
+    met = cut(filed.repartition(tasks, "key", "cell").mapInArrow(_meet(least, kind), "u long, v long, count long"))
     roots = connected_components(met.where("v is not null").select("u", "v"))
     counts = met.where("v is null").groupBy("u").agg(F.sum("count").alias("linked"))
     found = classes.join(counts, classes["id"] == counts["u"], "left").join(roots, classes["id"] == roots["node"], "left")

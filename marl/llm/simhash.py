@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, local_forest, look_up, read_all
+from .common import connected_components, cut, enough_tasks, local_forest, look_up, read_all
 from .text import long_texts
 
 #: First bit and width of the segments.
@@ -31,6 +31,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 COUNTED, SMALL = 1 << 16, 24
 #: Parts of the bits outside a segment; more than bits that may differ.
 PARTS = 5
+#: Variants that one task holds, 16 bytes each and some ten times that while they are compared.
+VARIANTS = 2_000_000
 
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
@@ -149,9 +151,9 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
             u, v = local_forest(*links_of(*(found[c].to_numpy() for c in ("key", "fp")), distance))
             yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
-    # fingerprints are small and their variants aren't: a stated number of tasks
-    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return variants(classes.repartition(tasks, "fp")).repartition("key").mapInArrow(verified, "u long, v long")
+    # a task holds its variants, and fingerprints are small: stated numbers of tasks, that follow from the count of fingerprints
+    tasks = enough_tasks(classes.sparkSession, 64 * classes.count(), VARIANTS)
+    return variants(classes.repartition(tasks, "fp")).repartition(tasks, "key").mapInArrow(verified, "u long, v long")
 
 
 def components(documents: DataFrame, distance: int = 4) -> DataFrame:

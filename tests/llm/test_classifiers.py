@@ -140,3 +140,30 @@ def test_samples_are_bounded_by_rows_and_bytes(spark):
     assert toxicity.labelled_sample(docs, labels, "toxic", 5, 7, 8).count() == 8
     some = toxicity.labelled_sample(docs, labels, "toxic", 5, 7, 1000, 700).collect()
     assert 0 < sum(len(r.text.encode()) for r in some) <= 700
+
+
+def test_a_text_of_very_many_lines(spark):
+    model = quality.fit([b"Fine prose, it is.\nMore of it."] * 20 + [b"%%% $$$\n### !!!"] * 20, np.array([1] * 20 + [0] * 20))
+    docs = spark.createDataFrame([(1, "Fine prose, it is.\n" * 60000), (2, "%%% $$$\n" * 60000), (3, "\n" * 60000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert got[1] > 0.5 > got[2] and 0 <= got[3] <= 1
+
+
+def test_repeated_and_tied_samples_give_one_model(spark):
+    rows = [(i, "fine words here" if i % 2 else "junk %%%", i % 2) for i in range(40)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    one = quality.fit_sample(toxicity.labelled_sample(docs.repartition(3), labels, "quality", 3, 1, 20))
+    two = quality.fit_sample(toxicity.labelled_sample(docs.union(docs).repartition(5), labels.repartition(4), "quality", 3, 1, 20))
+    assert np.array_equal(one.weights, two.weights) and one.bias == two.bias
+
+
+def test_ties_at_the_cut_of_features_and_texts_without_blanks(spark):
+    rows = [(i, "alphabad betabad gammabad" if i % 2 else "plain", i % 2) for i in range(40)] + [(50, "alphabadbetabad", 1), (51, "一二三" * 50, 0)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    cfg = toxicity.ToxicityConfig(evidence=2, beginnings=(), neutral=0)
+    model = toxicity.fit(sample, cfg)
+    assert set(model.weights) == {"alphabad", "betabad"}  # three features tie, names decide
+    docs = spark.createDataFrame([(1, "alphabad"), (2, "alphabadbetabad" * 2000), (3, "一二三" * 20000)], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from hashlib import sha256
@@ -8,6 +9,7 @@ import tiktoken
 import corpus_pipeline
 from marl.llm import bpe
 from marl.llm.settings import vocabulary_path
+from marl.shared import folder
 
 from .test_repeats import brute
 from .test_similar import plain_fingerprint, roots
@@ -70,8 +72,20 @@ def test_stages_keep_columns(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, gid int"
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.createDataFrame([(1, "a b", None, "s", 3, 4, 5), (2, None, "en", None, None, 1, 2)], schema)
+    docs = spark.createDataFrame([(1, "a b", None, "s", 3, 4, 5), (2, None, "en", None, None, 1, 2), (None, "c d e", "en", None, 5, 1, 2), (None, None, None, None, None, None, None)], schema)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
-        assert (out.columns, out.count()) == (docs.columns, 2), name
+        assert (out.columns, out.count()) == (docs.columns, 4), name
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+
+
+def test_folders_of_earlier_stages_are_removed(spark, tmp_path):
+    spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    shared = folder(spark).removeprefix("file://")
+    stages = [n for n, _ in corpus_pipeline.STAGES]
+    before = {x for x in os.listdir(shared) if x.split("-")[0] in stages}
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
+    left = {x for x in os.listdir(shared) if x.split("-")[0] in stages} - before
+    assert [x.split("-")[0] for x in left] == ["benchmark_decontamination"]
