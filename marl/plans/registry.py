@@ -14,7 +14,7 @@ from ..operators import clean, dedup, dense, fusion, lexical, understand, urls
 from ..sources import html, pdf
 from ..streaming import state
 from . import pipeline, twins
-from ..shared import cut, fresh_path
+from ..shared import cut, fresh_path, spread
 
 LATIN_CLEAN = clean.CleanConfig(script=text.LATIN, noise=("as.", "von.", "les.", "es.", "of."), education=("the ", "and ", " que ", " des ", " und "), fold=False)
 LATIN_ANSWER = pipeline.AnswerConfig(cleaning=LATIN_CLEAN, domains=urls.DomainConfig(credibility=(("example.com", 0.9), ("example.org", 0.6)), blocked=("example.net",), first=("example.org",), last=("example.net",)))
@@ -39,7 +39,7 @@ QUESTIONS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def transliterated(spark: SparkSession, sf_dir: str) -> DataFrame:

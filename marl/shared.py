@@ -42,6 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over the session's cores if it has fewer partitions: a file with one row group is read by one task, whatever its size.
+    Inputs with a partition for each core stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def enough_tasks(spark: SparkSession, rows: int, each: int) -> int:
     """Tasks for so many rows that a task has about `each` of them, as many as the session asks for at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
