@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, enough_tasks, fresh_path, look_up, remove
+from ..shared import cut, enough_tasks, fresh_path, look_up, remove, spread
 
 __all__ = ["connected_components", "cut", "enough_tasks", "fresh_path", "local_forest", "look_up", "read_all", "remove", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
