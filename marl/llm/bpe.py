@@ -16,14 +16,14 @@ from __future__ import annotations
 import base64
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from .text import give_back, text_batches
+from .text import gather, give_back, text_batches
 
 #: Cached slices of one Python worker; on overflow the cache starts anew.
 CACHED = 200_000
@@ -199,7 +199,7 @@ class Vocabulary:
                 lower = np.flatnonzero(made < low)
                 if len(lower) and lower[0] + 1 < len(at):  # undone from there on, to come after the lower pairs
                     keep = lower[0] + 1
-                    self._undo(symbols, after, before, rank)
+                    self._undo()
                     at = at[:keep]
                     places = np.concatenate([every[every > at[-1]], places])
                     self._round(symbols, after, before, rank, at, low)
@@ -237,25 +237,23 @@ class Vocabulary:
         made[first] = np.minimum(made[first], rank[left[first]])
         return made
 
-    def _undo(self, *_arrays: np.ndarray) -> None:
+    def _undo(self) -> None:
         for x, i, was in reversed(self._before):
             x[i] = was
 
-    @property
+    @cached_property
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted (left id, right id) keys of all pairs that merge, the ids they merge to, and the ids of single bytes."""
-        if not hasattr(self, "_pairs"):
-            keys, ids = [], []
-            for piece, i in self.ranks.items():
-                for at in range(1, len(piece)):
-                    left, right = self.ranks.get(piece[:at]), self.ranks.get(piece[at:])
-                    if left is not None and right is not None:
-                        keys.append(left << 20 | right)
-                        ids.append(i)
-            keys, ids = np.array([*keys, np.iinfo(np.int64).max]), np.array([*ids, NEVER])
-            order = np.argsort(keys)
-            self._pairs = keys[order], ids[order], np.array([self.ranks[bytes([i])] for i in range(256)])
-        return self._pairs
+        keys, ids = [], []
+        for piece, i in self.ranks.items():
+            for at in range(1, len(piece)):
+                left, right = self.ranks.get(piece[:at]), self.ranks.get(piece[at:])
+                if left is not None and right is not None:
+                    keys.append(left << 20 | right)
+                    ids.append(i)
+        keys, ids = np.array([*keys, np.iinfo(np.int64).max]), np.array([*ids, NEVER])
+        order = np.argsort(keys)
+        return keys[order], ids[order], np.array([self.ranks[bytes([i])] for i in range(256)])
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys, ids, _ = self.pairs
@@ -330,35 +328,36 @@ class Vocabulary:
         points = np.frombuffer(whole.decode("utf-8").encode("utf-32-le"), "<u4")
         at = np.flatnonzero((raw & 0xC0) != 0x80)  # the byte at which each code point starts
         begins = np.searchsorted(at, np.unique(offsets[:-1] - base))
-        cut = np.concatenate([at[boundaries(points, begins)], [len(whole)]]).tolist()
-        slices = [whole[a:b] for a, b in zip(cut, cut[1:])]
-        self.learn(slices)
-        known = list(map(self.cache.__getitem__, slices))
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        ids = np.fromiter(chain.from_iterable(known), np.int32, int(sizes.sum()))
+        cut = np.concatenate([at[boundaries(points, begins)], [len(whole)]]).astype(np.int64)
+        slices = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(whole)]).dictionary_encode()
+        distinct, code = slices.dictionary.to_pylist(), slices.indices.to_numpy()
+        self.learn(distinct)
+        known = list(map(self.cache.__getitem__, distinct))
+        counts = np.fromiter(map(len, known), np.int64, len(known))
+        flat_ids = np.fromiter(chain.from_iterable(known), np.int32, int(counts.sum()))
+        sizes = counts[code]
+        ids = gather(flat_ids, (np.cumsum(counts) - counts)[code], sizes)
         before = np.concatenate([[0], np.cumsum(sizes)])
-        counts = before[np.searchsorted(np.array(cut), offsets - base)]
-        lengths = self.lengths[ids]
+        counts = before[np.searchsorted(cut, offsets - base)]
+        lengths = self.pieced[2][ids]
         return ids, counts, np.cumsum(lengths) - lengths
 
-    @property
-    def lengths(self) -> np.ndarray:
-        if not hasattr(self, "_lengths"):
-            self._lengths = np.zeros(max(self.pieces) + 1, np.int64)
-            for i, b in self.pieces.items():
-                self._lengths[i] = len(b)
-        return self._lengths
-
-    @property
-    def printed(self) -> list[str]:
-        if not hasattr(self, "_printed"):
-            self._printed = [str(i) for i in range(max(self.pieces) + 1)]
-            self._bytes = [self.pieces.get(i, b"") for i in range(max(self.pieces) + 1)]
-        return self._printed
+    def _laid(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.array([len(x) for x in texts], np.int64)
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+    @cached_property
+    def pieced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all ids laid end to end, where those of each id start, and how many they are."""
+        return self._laid([self.pieces.get(i, b"") for i in range(max(self.pieces) + 1)])
+
+    @cached_property
+    def printed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of all ids as decimal numbers with a comma behind each."""
+        return self._laid([b"%d," % i for i in range(max(self.pieces) + 1)])
 
     def decode(self, ids: list[int]) -> bytes:
-        self.printed  # noqa: B018
-        return b"".join(map(self._bytes.__getitem__, ids))
+        return b"".join(map(self.pieces.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -381,10 +380,11 @@ def encode_decode(path: str, ids: bool = False, digest: bool = True):
             found, counts, starts = vocab.encode_batch(data, offsets)
             out = {"doc_id": keys, "n_tokens": pa.array(np.diff(counts))}
             if digest:
-                listed, printed = found.tolist(), vocab.printed
-                spans = list(zip(counts[:-1].tolist(), counts[1:].tolist()))
-                out["ids_sha256"] = pa.array([sha256(",".join(map(printed.__getitem__, listed[a:b])).encode()).hexdigest() for a, b in spans], pa.string())
-                out["decoded_sha256"] = pa.array([sha256(vocab.decode(listed[a:b])).hexdigest() for a, b in spans], pa.string())
+                for name, table, spare in (("ids_sha256", vocab.printed, 1), ("decoded_sha256", vocab.pieced, 0)):
+                    lengths = table[2][found]
+                    laid = gather(table[0], table[1][found], lengths).tobytes()
+                    ends = np.concatenate([[0], np.cumsum(lengths)])[counts].tolist()
+                    out[name] = pa.array([sha256(laid[a : max(a, b - spare)]).hexdigest() for a, b in zip(ends, ends[1:])], pa.string())
             if ids:
                 where = pa.array(counts, pa.int32())
                 out["ids"] = pa.ListArray.from_arrays(where, pa.array(found))

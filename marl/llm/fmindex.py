@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Piece, RepeatConfig, gather, kept_of, plain, remove_repeats
+from .repeats import Piece, RepeatConfig, kept_of, plain, remove_repeats
+from .text import gather
 
 
 class Bits:

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import PrefixHash, flat, give_back, mix, words_in
+from .text import PrefixHash, flat, gather, give_back, mix, words_in
 
 #: Windows of a run at most; longer ones (of repetitive text) are cut.
 LONGEST_RUN = 4096
@@ -60,11 +60,6 @@ class RepeatConfig:
     hot: int = HOT
 
 
-def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    before = np.cumsum(lengths) - lengths
-    return data[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
-
-
 @dataclass
 class Piece:
     """Texts laid end to end: symbols of their units, bounds of each text in units, and the bytes of units [begin, end) as text[at[begin] : to[end - 1]]."""
@@ -207,6 +202,15 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return found
 
 
+def _thin(ascending: np.ndarray) -> np.ndarray:
+    """Sorted numbers as bytes that compress: differences, their highest bytes first, which are nearly all zero."""
+    return np.diff(ascending, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8).T.copy()
+
+
+def _thick(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.reshape(8, -1).T.copy().view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
 def _shard(anchors: np.ndarray, shards: int) -> np.ndarray:
     return ((anchors >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -250,7 +254,7 @@ def _batch(names: str, kinds: tuple, rows: list[tuple]) -> pa.Table:
 def _ask(cfg: RepeatConfig, shards: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         anchors, twice, places = _distinct(Group(rows, cfg))
-        out = [(s, key[0].as_py(), _pack(anchors[a:b], np.packbits(twice[a:b]), places[a:b])) for s, a, b in _by_shard(anchors, shards)]
+        out = [(s, key[0].as_py(), _pack(_thin(anchors[a:b]), np.packbits(twice[a:b]), places[a:b])) for s, a, b in _by_shard(anchors, shards)]
         return _batch("shard gid blob", (pa.int64(), pa.int64(), pa.binary()), out)
 
     return run
@@ -258,7 +262,7 @@ def _ask(cfg: RepeatConfig, shards: int):
 
 def _answer(hot: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        found = [_unpack(b, (np.uint64, np.uint8, np.uint32)) for b in rows["blob"].to_pylist()]
+        found = [(_thick(a), t, n) for a, t, n in (_unpack(b, (np.uint8, np.uint8, np.uint32)) for b in rows["blob"].to_pylist())]
         anchors = np.concatenate([a for a, _, _ in found])
         own = np.concatenate([np.unpackbits(t, count=len(a)).astype(bool) for a, t, _ in found])
         _, of = np.unique(anchors, return_inverse=True)

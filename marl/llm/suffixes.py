@@ -13,8 +13,8 @@ from hashlib import sha256
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import Piece, RepeatConfig, gather, kept_of, plain, remove_repeats
-from .text import PrefixHash
+from .repeats import Piece, RepeatConfig, kept_of, plain, remove_repeats
+from .text import PrefixHash, gather
 
 
 def _heads(text: np.ndarray) -> np.ndarray:

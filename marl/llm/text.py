@@ -58,6 +58,12 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), places
 
 
+def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Stretches of data laid end to end."""
+    before = np.cumsum(lengths) - lengths
+    return data[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], step: int = STEP_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(first column, bytes, offsets) in pieces of about step bytes; the second column holds the texts."""
     for batch in batches:
