@@ -43,7 +43,7 @@ LONGEST_RUN = 4096
 #: Bytes of text worked on at a time within a group or shard.
 STEP = 1 << 18
 #: Places of an anchor above which its windows are dealt one by one: what an anchor brings to its shard is bounded by it.
-HOT = 8192
+HOT = 16_384
 LAST_ID = (1 << 63) - 1
 
 
@@ -202,6 +202,11 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return found
 
 
+def _steps(numbers: np.ndarray, kind: type = np.int64) -> np.ndarray:
+    """Differences from one number to the next; np.cumsum takes them back, overflows included."""
+    return np.diff(numbers, prepend=numbers.dtype.type(0)).astype(kind)
+
+
 def _thin(ascending: np.ndarray) -> np.ndarray:
     """Sorted numbers as bytes that compress: differences, their highest bytes first, which are nearly all zero."""
     return np.diff(ascending, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8).T.copy()
@@ -240,9 +245,9 @@ def _distinct(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return anchors[at], twice, np.diff(np.append(at, len(anchors))).astype(np.uint32)
 
 
-SEGMENT = (np.int32, np.int32, np.int64, np.int64, np.uint8)  # of a segment: bytes, windows, smallest and largest id; all text
-MEMBER = (np.int32, np.int32, np.int64)  # of a place of a class of equal segments: the class, row, first window
-ALIAS = (np.int32, np.int32, np.int32)  # of what a segment that was sent stands for: the segment, a class, the first of its windows
+SEGMENT = (np.int32, np.int32, np.int64, np.int64, np.uint8)  # of a segment: bytes, windows, smallest id in steps, largest id less the smallest; all text
+MEMBER = (np.int32, np.int32, np.int32)  # in steps, of a place of a class of equal segments: the class, row, first window
+ALIAS = (np.int32, np.int32, np.int32)  # in steps, of what a segment that was sent stands for: the segment, a class, the first of its windows
 ANSWER = (np.int32, np.int32, np.int32, np.int64)  # of a stretch of windows: the segment, first window, windows, smallest id
 
 
@@ -318,6 +323,11 @@ def _send(cfg: RepeatConfig, shards: int):
         ids, row, first, count, size, anchor, hashes, text = (np.concatenate(x) for x in zip(*parts))
         starts = np.cumsum(size) - size
         classes, reps = classes_of(text, starts, size, hashes, ids)
+        # classes in the order in which they are met: numbers that belong together then differ little and are sent in few bytes
+        order = np.argsort(reps)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        classes, reps = place[classes], reps[order]
         high = ids[reps].copy()
         np.maximum.at(high, classes, ids)
         apart = hot[np.searchsorted(wanted, anchor[reps])]
@@ -332,22 +342,22 @@ def _send(cfg: RepeatConfig, shards: int):
             window_text, begin, sizes, window_anchor, low, most, window, segment, inside = _taken_apart(text, starts[own], size[own], ids[own], high[some], cfg)
             sent.append((window_anchor, sizes, np.ones(len(begin), np.int32), low, most, gather(window_text, begin, sizes)))
             alias.append((window + len(whole), some[segment], inside))
+        # where its segments stand is for the group itself to know: no shard reads it
+        out = [(gid % shards, gid, -1, True, _pack(_steps(classes, np.int32), _steps(row, np.int32), _steps(first, np.int32)))]
         anchor, size, count, low, high, text = (np.concatenate(x) for x in zip(*sent))
         starts = np.cumsum(size) - size
         segment, stands_for, inside = (np.concatenate(x) for x in zip(*alias))
-        order = np.argsort(anchor, kind="stable")
+        shard = _shard(anchor, shards)
+        order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         by_place = np.argsort(place[segment], kind="stable")
         segment, stands_for, inside = place[segment][by_place], stands_for[by_place], inside[by_place]
-        by_class = np.argsort(classes, kind="stable")
-        # where its segments stand is for the group itself to know: no shard reads it
-        out = [(gid % shards, gid, -1, True, _pack(classes[by_class].astype(np.int32), row[by_class], first[by_class]))]
         for s, a, b in _by_shard(anchor[order], shards):
             own = order[a:b]
-            out.append((s, gid, s, False, _pack(size[own].astype(np.int32), count[own].astype(np.int32), low[own], high[own], gather(text, starts[own], size[own]))))
+            out.append((s, gid, s, False, _pack(size[own].astype(np.int32), count[own].astype(np.int32), _steps(low[own]), high[own] - low[own], gather(text, starts[own], size[own]))))
             x, y = np.searchsorted(segment, [a, b])
-            out.append((gid % shards, gid, s, True, _pack((segment[x:y] - a).astype(np.int32), stands_for[x:y].astype(np.int32), inside[x:y].astype(np.int32))))
+            out.append((gid % shards, gid, s, True, _pack(_steps(segment[x:y] - a, np.int32), _steps(stands_for[x:y], np.int32), _steps(inside[x:y], np.int32))))
         give_back()
         return _batch(SENT, kinds, out)
 
@@ -367,8 +377,9 @@ def _resolve(resolver: Resolver):
         out = [(*h, True, b) for h, p, b in zip(heads, places, blobs) if p]
         asked = [(h, _unpack(b, SEGMENT)) for h, p, b in zip(heads, places, blobs) if not p]
         if asked:
-            size, windows, low, high, text = (np.concatenate(x) for x in zip(*(x for _, x in asked)))
-            size, windows = size.astype(np.int64), windows.astype(np.int64)
+            low = np.concatenate([np.cumsum(x[2], dtype=np.int64) for _, x in asked])
+            size, windows, _, high, text = (np.concatenate(x) for x in zip(*(x for _, x in asked)))
+            size, windows, high = size.astype(np.int64), windows.astype(np.int64), high + low
             least = resolver(text, np.cumsum(size) - size, size, windows, low)
             base = np.cumsum(windows) - windows
             new = np.ones(len(least), bool)
@@ -404,16 +415,18 @@ def _spans(told: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         (places if is_place else answers)[part] = blob
     found = [(np.zeros(0, np.int64),) * 3]
     if answers:
-        classes, row, first = _unpack(places[-1], MEMBER)
+        classes, row, first = (np.cumsum(x, dtype=np.int64) for x in _unpack(places[-1], MEMBER))
+        by_class = np.argsort(classes, kind="stable")
+        classes, row, first = classes[by_class], row[by_class], first[by_class]
         for part, blob in answers.items():
             of, begin, n, least = _unpack(blob, ANSWER)
-            segment, stands_for, inside = _unpack(places[part], ALIAS)
+            segment, stands_for, inside = (np.cumsum(x, dtype=np.int64) for x in _unpack(places[part], ALIAS))
             i, j = _met(of, segment)
             k, place = _met(stands_for[j], classes)
             i, j = i[k], j[k]
             gone = least[i] < ids[row[place]]
             i, j, place = i[gone], j[gone], place[gone]
-            found.append((row[place].astype(np.int64), first[place] + inside[j] + begin[i], n[i].astype(np.int64)))
+            found.append((row[place], first[place] + inside[j] + begin[i], n[i].astype(np.int64)))
     row, first, n = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(row, kind="stable")
     return row[order], first[order], n[order]
