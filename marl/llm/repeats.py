@@ -227,8 +227,8 @@ def _by_shard(anchors: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]
     yield from zip(where[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist())
 
 
-def _distinct(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct anchors of a group, does each occur under two ids, its places)."""
+def _distinct(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct anchors of a group, does each occur under two ids, its places), and which of them each run has."""
     anchors, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for at, row, _, _, anchor in group.runs():
         anchors.append(anchor)
@@ -242,7 +242,9 @@ def _distinct(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     other[1:] = ~new[1:] & (owners[1:] != owners[:-1])
     at = np.flatnonzero(new)
     twice = np.add.reduceat(other.astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
-    return anchors[at], twice, np.diff(np.append(at, len(anchors))).astype(np.uint32)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return anchors[at], twice, np.diff(np.append(at, len(anchors))).astype(np.uint32), of
 
 
 SEGMENT = (np.int32, np.int32, np.int64, np.int64, np.uint8)  # of a segment: bytes, windows, smallest id in steps, largest id less the smallest; all text
@@ -258,7 +260,7 @@ def _batch(names: str, kinds: tuple, rows: list[tuple]) -> pa.Table:
 
 def _ask(cfg: RepeatConfig, shards: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        anchors, twice, places = _distinct(Group(rows, cfg))
+        anchors, twice, places, _ = _distinct(Group(rows, cfg))
         out = [(s, key[0].as_py(), _pack(_thin(anchors[a:b]), np.packbits(twice[a:b]), places[a:b])) for s, a, b in _by_shard(anchors, shards)]
         return _batch("shard gid blob", (pa.int64(), pa.int64(), pa.binary()), out)
 
@@ -304,23 +306,25 @@ def _send(cfg: RepeatConfig, shards: int):
         if not rows.num_rows or not answers.num_rows:
             return _batch(SENT, kinds, [])
         gid, group = key[0].as_py(), Group(rows, cfg)
-        anchors, _, _ = _distinct(group)
+        anchors, _, _, of = _distinct(group)
         told = dict(zip(answers["shard"].to_pylist(), answers["blob"].to_pylist()))
         known = [_unpack(told[s], (np.uint8,))[0] for s, _, _ in _by_shard(anchors, shards)]
         known = np.concatenate(known) if known else np.zeros(0, np.uint8)
-        wanted, hot = anchors[known >= 2], (known == 3)[known >= 2]
-        parts = []
+        told = known[of]
+        parts, done = [], 0
         for (_, _, piece), (at, row, first, count, anchor) in zip(group.pieces(), group.runs()):
-            own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor) if len(wanted) else np.zeros(0, np.int64)
+            answer = told[done : done + len(anchor)]
+            done += len(anchor)
+            own = np.flatnonzero(answer >= 2)
             if not len(own):
                 continue
             row, first, count, anchor = row[own], first[own], count[own], anchor[own]
             begin, size = piece.at[first], piece.to[first + count + cfg.window - 2] - piece.at[first]
             hashes = PrefixHash(piece.text).of(begin, begin + size)
-            parts.append((group.ids[at + row], (at + row).astype(np.int32), first - piece.bounds[row], count.astype(np.int32), size, anchor, hashes, gather(piece.text, begin, size)))
+            parts.append((group.ids[at + row], (at + row).astype(np.int32), first - piece.bounds[row], count.astype(np.int32), size, anchor, answer[own] == 3, hashes, gather(piece.text, begin, size)))
         if not parts:
             return _batch(SENT, kinds, [])
-        ids, row, first, count, size, anchor, hashes, text = (np.concatenate(x) for x in zip(*parts))
+        ids, row, first, count, size, anchor, hot, hashes, text = (np.concatenate(x) for x in zip(*parts))
         starts = np.cumsum(size) - size
         classes, reps = classes_of(text, starts, size, hashes, ids)
         # classes in the order in which they are met: numbers that belong together then differ little and are sent in few bytes
@@ -330,7 +334,7 @@ def _send(cfg: RepeatConfig, shards: int):
         classes, reps = place[classes], reps[order]
         high = ids[reps].copy()
         np.maximum.at(high, classes, ids)
-        apart = hot[np.searchsorted(wanted, anchor[reps])]
+        apart = hot[reps]
         # segments to send, and what each of them stands for: a class as a whole, or a window at places of some classes
         whole = np.flatnonzero(~apart)
         own = reps[whole]

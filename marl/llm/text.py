@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,6 @@ def long_texts(spark: SparkSession) -> None:
 
 def give_back() -> None:
     """Returns freed memory to the system: Python workers live on from stage to stage beside others."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
