@@ -391,3 +391,28 @@ def test_whole_pipeline_finds_the_passage(spark):
     assert "zebra" in got.context.split("\n\n---\n\n")[0] and got.n_texts <= 4 and len(got.context) <= 12_100
     sent = spark.createDataFrame([("q?", "c")], "question string, context string").select(pipeline.payload("question", "context", "s").alias("p")).first().p
     assert '"role":"user"' in sent and "q?" in sent
+
+
+def test_weights_of_example_ngrams():
+    import math
+
+    assert understand.word_grams("ab") == [" a", "ab", "b ", " ab", "ab ", " ab "] and understand.word_grams("c") == [" c", "c ", " c "]
+    idf, weights = understand.example_weights()
+    sentences = [lexicon.fold(s) for v in lexicon.INTENT_EXAMPLES.values() for s in v]
+    grams = [understand.word_grams(s) for s in sentences]
+    for gram, value in idf:
+        holding = sum(gram in g for g in grams)
+        assert holding and math.isclose(value, math.log((1 + len(grams)) / (1 + holding)) + 1)
+    by = {}
+    for i, _, gram, w in weights:
+        by.setdefault(i, {})[gram] = w
+    known = dict(idf)
+    for i, own in by.items():
+        raw = {g: grams[i].count(g) * known[g] for g in set(grams[i])}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        assert own.keys() == raw.keys() and all(math.isclose(own[g], raw[g] / norm) for g in raw)
+
+
+def test_folding_by_hand():
+    assert lexicon.fold("أإآٱ ىئ ؤ ة ٣ مُـدٌ AB") == "اااا يي و ه 3 مد ab"
+    assert len(lexicon.LETTERS) == len(lexicon.FOLDED_LETTERS) and len(lexicon.INDIC_DIGITS) == len(lexicon.ASCII_DIGITS) == 10
