@@ -82,7 +82,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, share
     rounds = max(1, -(-sum(r["bytes"] for r in told) // broadcast_bytes))
     sizes = sorted(r["size"] for r in told)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = documents.select("doc_id", F.xxhash64(text).alias("text_key"), F.spark_partition_id().alias("part"), words_of(text).alias("w"))
+    part = F.spark_partition_id() if rounds == 1 else F.lit(0)  # several rounds need not see the same partitions
+    source = documents.select("doc_id", F.xxhash64(text).alias("text_key"), part.alias("part"), words_of(text).alias("w"))
     one = "struct<at:int,size:int,hash:long>"
     found = [_placed(window_hashes(F.col("w"), k), k) for k in sizes]
     itself = F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash"))  # stands for the document, hit or not
@@ -98,7 +99,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, share
         met = rows.join(F.broadcast(known), "hash").where("size = n and (at = 0 or words = slice(w, greatest(at, 1), n))")
         parts.append(met.select("doc_id", "text_key", "part", F.size("w").cast("long").alias("n_words"), "at", "n", "items"))
     span = F.when(F.col("at") > 0, F.struct(F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to")))
-    # rows of a document are of one part: a hot one is as many groups as there are parts
+    # a document's windows are of one partition: in one round a hot document is as many groups as there are partitions that hold it
     grouped = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "text_key", "part", "n_words").agg(
         F.count_if(F.col("at") == 0).alias("copies"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
