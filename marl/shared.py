@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Keys that are looked up by broadcast at most, and rows of a key below which it never is.
 HOT_KEYS, LEAST_ROWS = 10_000, 100
+#: Rows up to which a whole table of a few numbers is broadcast (some 10 MB as a hash table).
+SMALL_ROWS = 200_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -59,11 +61,13 @@ def is_hot(count: Column | str, total: int) -> Column:
     return (F.col(count) if isinstance(count, str) else count) > max(LEAST_ROWS, -(-total // HOT_KEYS))
 
 
-def look_up(rows: DataFrame, side: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def look_up(rows: DataFrame, side: DataFrame, key: str, count: str, total: int, small: int = SMALL_ROWS) -> DataFrame:
     """rows joined with side, which has each key once and in `count` how many of the `total` rows have it.
 
-    Rows of hot keys meet their row of side by broadcast, of at most HOT_KEYS rows whatever the input; the others by an exchange.
-    """
+    Rows of hot keys meet their row of side by broadcast, of at most HOT_KEYS rows whatever the input; the others by an exchange. Where there
+    are no more than `small` rows at all, and so no more in side, all of side is broadcast."""
+    if total <= small:
+        return rows.join(F.broadcast(side.drop(count)), key)
     hot = F.broadcast(side.where(is_hot(count, total)).drop(count))
     cold = side.where(~is_hot(count, total)).drop(count)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")

@@ -16,10 +16,11 @@ def test_look_up_meets_hot_and_other_keys(spark):
     total = rows.count()
     hot = counts.where(shared.is_hot("n", total)).collect()
     assert [r.k for r in hot] == [7]
-    got = shared.look_up(rows, counts, "k", "n", total)
-    assert set(got.columns) == {"k", "id", "name"} and got.count() == 2990
-    assert got.where("name <> concat('v', k)").count() == 0
-    assert shared.look_up(rows.limit(0), counts, "k", "n", 0).collect() == []
+    for small in (0, shared.SMALL_ROWS):
+        got = shared.look_up(rows, counts, "k", "n", total, small)
+        assert set(got.columns) == {"k", "id", "name"} and got.count() == 2990
+        assert got.where("name <> concat('v', k)").count() == 0
+        assert shared.look_up(rows.limit(0), counts, "k", "n", 0, small).collect() == []
 
 
 def test_hot_keys_are_few_whatever_the_total(spark):
