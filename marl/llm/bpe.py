@@ -28,7 +28,7 @@ from .text import gather, give_back, text_batches
 #: Cached slices of one Python worker; on overflow the cache starts anew.
 CACHED = 200_000
 #: Bytes of text encoded at a time: ids and slices take about fifty times their text while they are made.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Slices up to this many bytes are merged side by side, those up to LISTED as lists; rank of a pair that doesn't merge.
 SIDE_BY_SIDE, LISTED, NEVER = 64, 512, 1 << 30
 #: Pairs of one rank that a long slice merges at a time once a merge has made a pair of lower rank.

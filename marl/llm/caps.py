@@ -33,6 +33,8 @@ from .text import mix
 BLOCK = 512
 #: Codes of a block that are laid out at a time.
 CODES = 2048
+#: Rows up to which classes with their vectors are broadcast whole.
+WHOLE = 10_000
 #: Filed vectors that one task holds.
 FILED = 200_000
 #: A direction of more vectors than this, and than one in HOT_DIRECTIONS of all that are filed, is dealt to cells of about so many each way.
@@ -314,7 +316,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, cfg: CapFilters =
     found = cut(found.select("v", "rep", "n", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "id").alias("root")))
     lowest = found.groupBy("root").agg(F.min("rep").alias("component"))
     rows = _rows(embeddings)
-    told = look_up(rows.where(USABLE), found.join(lowest, "root").select("v", "n", "links", "component"), "v", "n", rows.count())
+    told = look_up(rows.where(USABLE), found.join(lowest, "root").select("v", "n", "links", "component"), "v", "n", rows.count(), WHOLE)
     told = told.select("vec_id", F.col("links").cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     others = rows.where(f"not {USABLE}").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return told.unionByName(others).withColumn("kept", F.col("vec_id") == F.col("component_id"))

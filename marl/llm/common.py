@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, enough_tasks, fresh_path, look_up, remove, spread
+from ..shared import SMALL_ROWS, cut, enough_tasks, fresh_path, look_up, remove, spread
 
 __all__ = ["connected_components", "cut", "enough_tasks", "fresh_path", "local_forest", "look_up", "read_all", "remove", "table"]
 
@@ -47,13 +47,14 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, small: int = SMALL_ROWS) -> DataFrame:
     """Rows (node, root) for every node of a component that isn't its smallest node.
 
     links: (u long, v long), in any direction, repeats allowed. Each task first reduces its own
     links to a star forest; large-star and small-star rounds then run until nothing moves. The
     edge table is written between rounds, nothing but two totals reaches the driver. A node with a
-    hot share of the links gets its least neighbour by broadcast, so that no task holds a hub's links.
+    hot share of the links gets its least neighbour by broadcast, so that no task holds a hub's links;
+    up to `small` links all nodes get it so.
     """
     edges = links.select("u", "v").where("u <> v").mapInArrow(_shrink, "u long, v long")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -61,10 +62,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = look_up(both.where("v > u"), low, "u", "n", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = look_up(both.where("v > u"), low, "u", "n", 2 * state[0], small).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = look_up(large, low, "u", "n", 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        star = look_up(large, low, "u", "n", 2 * state[0], small).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(star.union(low.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
         if before == state:
             break

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import PrefixHash, flat, gather, give_back, mix, words_in
+from .text import PrefixHash, flat, gather, mix, trim, words_in
 
 #: Windows of a run at most; longer ones (of repetitive text) are cut.
 LONGEST_RUN = 4096
@@ -362,7 +362,7 @@ def _send(cfg: RepeatConfig, shards: int):
             out.append((s, gid, s, False, _pack(size[own].astype(np.int32), count[own].astype(np.int32), _steps(low[own]), high[own] - low[own], gather(text, starts[own], size[own]))))
             x, y = np.searchsorted(segment, [a, b])
             out.append((gid % shards, gid, s, True, _pack(_steps(segment[x:y] - a, np.int32), _steps(stands_for[x:y], np.int32), _steps(inside[x:y], np.int32))))
-        give_back()
+        trim()
         return _batch(SENT, kinds, out)
 
     return run
@@ -399,7 +399,7 @@ def _resolve(resolver: Resolver):
                 if y > x:
                     own = of[x:y]
                     out.append((*head, False, _pack((own - b).astype(np.int32), (at[x:y] - base[own]).astype(np.int32), n[x:y].astype(np.int32), least[at[x:y]])))
-        give_back()
+        trim()
         return _batch(TOLD, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), out)
 
     return run

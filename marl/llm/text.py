@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ def long_texts(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: Python workers live on from stage to stage beside others."""
+def trim() -> None:
+    """Returns freed memory to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -34,6 +35,12 @@ def give_back() -> None:
         pass
 
 
+def give_back() -> None:
+    """The same at the end of a task: Python workers live on from stage to stage beside others."""
+    gc.collect()
+    trim()
+
+
 def as_bytes(documents: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, t): UTF-8 bytes of the text, null as empty."""
     long_texts(documents.sparkSession)

@@ -101,11 +101,12 @@ def test_empty_benchmark_and_documents(spark):
     assert decontaminate.contamination(docs.limit(0), none).collect() == []
 
 
-def test_components_of_links(spark):
+@pytest.mark.parametrize("small", [0, common.SMALL_ROWS])
+def test_components_of_links(spark, small):
     rng = random.Random(2)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 640)] + [(900, i) for i in range(901, 1200)] + [(7, 7)]
     want = roots(1200, pairs)
-    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(pairs, "u long, v long").repartition(7)).collect()}
+    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(pairs, "u long, v long").repartition(7), small).collect()}
     assert got == {i: want[i] for i in range(1200) if want[i] != i}
-    assert common.connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+    assert common.connected_components(spark.createDataFrame([], "u long, v long"), small).collect() == []
 
