@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, enough_tasks, local_forest, look_up, read_all
-from .text import mix
+from .text import mix, trimmed_batches
 
 #: Rows of one direction that are compared with the others at a time.
 BLOCK = 512
@@ -308,8 +308,8 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, cfg: CapFilters =
     bound = max(cell, -(-total // HOT_DIRECTIONS))
     tasks = enough_tasks(embeddings.sparkSession, total, FILED)
     hot = {r["key"]: -(-r["n"] // bound) for r in counted.where(F.col("n") > bound).collect()}  # HOT_DIRECTIONS rows at most
-    filed = classes.mapInArrow(_file(cfg, kind, hot), "key long, cell long, own long, id long, n long, v binary, codes binary")
-    met = cut(filed.repartition(tasks, "key", "cell").mapInArrow(_meet(least, kind), "u long, v long, count long"))
+    filed = classes.mapInArrow(trimmed_batches(_file(cfg, kind, hot)), "key long, cell long, own long, id long, n long, v binary, codes binary")
+    met = cut(filed.repartition(tasks, "key", "cell").mapInArrow(trimmed_batches(_meet(least, kind)), "u long, v long, count long"))
     roots = connected_components(met.where("v is not null").select("u", "v"))
     counts = met.where("v is null").groupBy("u").agg(F.sum("count").alias("linked"))
     found = classes.join(counts, classes["id"] == counts["u"], "left").join(roots, classes["id"] == roots["node"], "left")

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import PrefixHash, flat, gather, mix, trim, words_in
+from .text import PrefixHash, flat, gather, mix, trimmed, trimmed_pair, words_in
 
 #: Windows of a run at most; longer ones (of repetitive text) are cut.
 LONGEST_RUN = 4096
@@ -362,7 +362,6 @@ def _send(cfg: RepeatConfig, shards: int):
             out.append((s, gid, s, False, _pack(size[own].astype(np.int32), count[own].astype(np.int32), _steps(low[own]), high[own] - low[own], gather(text, starts[own], size[own]))))
             x, y = np.searchsorted(segment, [a, b])
             out.append((gid % shards, gid, s, True, _pack(_steps(segment[x:y] - a, np.int32), _steps(stands_for[x:y], np.int32), _steps(inside[x:y], np.int32))))
-        trim()
         return _batch(SENT, kinds, out)
 
     return run
@@ -399,7 +398,6 @@ def _resolve(resolver: Resolver):
                 if y > x:
                     own = of[x:y]
                     out.append((*head, False, _pack((own - b).astype(np.int32), (at[x:y] - base[own]).astype(np.int32), n[x:y].astype(np.int32), least[at[x:y]])))
-        trim()
         return _batch(TOLD, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), out)
 
     return run
@@ -496,10 +494,10 @@ def remove_repeats(documents: DataFrame, resolver: Resolver, finisher: Finisher,
     others, with_text = [c for c in keep if c != "text"], "text" in keep
     more = [F.col("text").isNull().alias("nothing")] if with_text else []
     rows = documents.select(gid, number.alias("id"), text.alias("t"), *more, *(F.col(f"`{c}`").alias(f"own_{c}") for c in others))
-    asked = rows.groupBy("gid").applyInArrow(_ask(cfg, shards), "shard long, gid long, blob binary")
-    answers = asked.groupBy("shard").applyInArrow(_answer(cfg.hot), "gid long, shard long, blob binary")
-    sent = rows.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(_send(cfg, shards), "shard long, gid long, part long, places boolean, blob binary")
-    spans = sent.groupBy("shard").applyInArrow(_resolve(resolver), "gid long, part long, places boolean, blob binary")
+    asked = rows.groupBy("gid").applyInArrow(trimmed(_ask(cfg, shards)), "shard long, gid long, blob binary")
+    answers = asked.groupBy("shard").applyInArrow(trimmed(_answer(cfg.hot)), "gid long, shard long, blob binary")
+    sent = rows.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(trimmed_pair(_send(cfg, shards)), "shard long, gid long, part long, places boolean, blob binary")
+    spans = sent.groupBy("shard").applyInArrow(trimmed(_resolve(resolver)), "gid long, part long, places boolean, blob binary")
     schema = StructType()
     for c in others:
         schema.add(f"own_{c}", documents.schema[c].dataType)
@@ -507,7 +505,7 @@ def remove_repeats(documents: DataFrame, resolver: Resolver, finisher: Finisher,
         schema.add("t", BinaryType()).add("nothing", BooleanType())
     for field in StructType.fromDDL(made):
         schema.add(f"made_{field.name}", field.dataType)
-    found = rows.groupBy("gid").cogroup(spans.groupBy("gid")).applyInArrow(_finish(cfg, finisher, to_arrow_schema(schema)), schema)
+    found = rows.groupBy("gid").cogroup(spans.groupBy("gid")).applyInArrow(trimmed_pair(_finish(cfg, finisher, to_arrow_schema(schema))), schema)
     if with_text:
         found = found.withColumn("own_text", F.when(~F.col("nothing"), F.col("t").cast("string"))).drop("t", "nothing")
     return found

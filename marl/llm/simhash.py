@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, enough_tasks, local_forest, look_up, read_all
-from .text import long_texts
+from .text import long_texts, trimmed_batches
 
 #: First bit and width of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -64,7 +64,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     long_texts(documents.sparkSession)
     text = F.col("text").cast("string")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, text_key long, fp long")
+    return rows.mapInArrow(trimmed_batches(_fingerprints), "doc_id long, text_key long, fp long")
 
 
 def variants(classes: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
 
     # a task holds its variants, and fingerprints are small: stated numbers of tasks, that follow from the count of fingerprints
     tasks = enough_tasks(classes.sparkSession, 64 * classes.count(), VARIANTS)
-    return variants(classes.repartition(tasks, "fp")).repartition(tasks, "key").mapInArrow(verified, "u long, v long")
+    return variants(classes.repartition(tasks, "fp")).repartition(tasks, "key").mapInArrow(trimmed_batches(verified), "u long, v long")
 
 
 def components(documents: DataFrame, distance: int = 4) -> DataFrame:

@@ -41,6 +41,38 @@ def give_back() -> None:
     trim()
 
 
+def trimmed(run):
+    """A function of a group's key and rows that returns freed memory once all it worked with is gone."""
+
+    def wrapped(key, rows):
+        found = run(key, rows)
+        trim()
+        return found
+
+    return wrapped
+
+
+def trimmed_pair(run):
+    """The same for a function of a key and the rows of both sides."""
+
+    def wrapped(key, rows, others):
+        found = run(key, rows, others)
+        trim()
+        return found
+
+    return wrapped
+
+
+def trimmed_batches(run):
+    """The same for a function of batches, at the end of a task."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def as_bytes(documents: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, t): UTF-8 bytes of the text, null as empty."""
     long_texts(documents.sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .text import as_bytes, long_texts, text_batches
+from .text import as_bytes, long_texts, text_batches, trimmed_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -307,14 +307,14 @@ def train(y: np.ndarray, x: list[list[int]], pairs: list[tuple[list[int], list[i
 def _changes(sample: DataFrame, features: list[str], exchanges: dict[str, list[str]], cfg: ToxicityConfig) -> tuple[DataFrame, list[tuple]]:
     """(rows of _differences, its changes with their counts over the whole sample). Changes differ by term, partner and beginnings only, so
     that their number doesn't grow with the sample."""
-    rows = sample.select("y", "text").mapInArrow(_differences(features, exchanges, cfg), "y int, one array<int>, two array<int>, n long")
+    rows = sample.select("y", "text").mapInArrow(trimmed_batches(_differences(features, exchanges, cfg)), "y int, one array<int>, two array<int>, n long")
     found = rows.where("y < 0").groupBy("one", "two").agg(F.sum("n").alias("n")).toArrow()
     return rows, sorted(zip(found["one"].to_pylist(), found["two"].to_pylist(), found["n"].to_pylist()))
 
 
 def fit(sample: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """sample: (doc_id, text, y), bounded by cfg.sample."""
-    counts = cut(sample.select("y", "text").mapInArrow(_count(cfg), "trait string, bad long, good long"))
+    counts = cut(sample.select("y", "text").mapInArrow(trimmed_batches(_count(cfg)), "trait string, bad long, good long"))
     sums = counts.where("trait = ''").agg(F.sum("bad"), F.sum("good")).first()
     bad, good = int(sums[0] or 0), int(sums[1] or 0)
     base = float(np.log((bad + 0.5) / (good + 0.5)))
