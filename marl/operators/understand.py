@@ -33,7 +33,8 @@ class AnalyzerConfig:
 
 
 def has_any(c: Column, patterns: list[str]) -> Column:
-    return F.exists(F.lit(list(dict.fromkeys(patterns))), lambda p: F.contains(c, p))
+    # let: the optimizer would put the expression behind c into the lambda, to be evaluated for every pattern
+    return text.let(c, lambda x: F.exists(F.lit(list(dict.fromkeys(patterns))), lambda p: F.contains(x, p)))
 
 
 def _listed(patterns: dict[str, list[str]]) -> Column:
@@ -42,7 +43,7 @@ def _listed(patterns: dict[str, list[str]]) -> Column:
 
 
 def _found(c: Column, patterns: dict[str, list[str]]) -> Column:
-    return F.filter(_listed(patterns), lambda e: F.exists(e["ways"], lambda p: F.contains(c, p)))
+    return text.let(c, lambda x: F.filter(_listed(patterns), lambda e: F.exists(e["ways"], lambda p: F.contains(x, p))))
 
 
 def first_key(c: Column, patterns: dict[str, list[str]]) -> Column:
@@ -64,11 +65,11 @@ def votes(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
         ]
     )
 
-    def vote(e: Column) -> Column:
-        total = F.aggregate(e["rules"], F.lit(0.0), lambda acc, r: acc + F.when(F.contains(c, r["p"]), r["w"]).otherwise(0.0))
+    def vote(x: Column, e: Column) -> Column:
+        total = F.aggregate(e["rules"], F.lit(0.0), lambda acc, r: acc + F.when(F.contains(x, r["p"]), r["w"]).otherwise(0.0))
         return F.struct(total.alias("score"), e["at"].alias("at"), e["intent"].alias("intent"))
 
-    return F.transform(rules, vote)
+    return text.let(c, lambda x: F.transform(rules, lambda e: vote(x, e)))
 
 
 def best_vote(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
