@@ -183,8 +183,53 @@ FROM embeddings LEFT JOIN counts ON vec_id = counts.u LEFT JOIN least_id ON vec_
 """
 
 
+def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .translog import document_log, epoch_states, resolve
+
+    found = resolve(document_log(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    states = epoch_states(found).select(F.lit("state").alias("kind"), F.col("epoch").alias("id"), F.col("keys").alias("n"), F.col("total").alias("value"))
+    return states.unionByName(found.undone.select(F.col("how").alias("kind"), F.col("lsn").alias("id"), F.col("by").alias("n"), F.col("key").alias("value")))
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a string's bytes, half a byte at a time."""
+    table = [0] * 16
+    for i in range(16):
+        c = i
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table[i] = c
+    h = f"hex(encode({text}))"
+    nibbles = f"list_transform(range(length({h})), lambda i: instr('0123456789ABCDEF', {h}[i + 2 - 2 * (i % 2)]) - 1)"
+    start = "[CAST(4294967295 AS BIGINT)]"
+    return f"xor(list_reduce(list_concat({start}, CAST({nibbles} AS BIGINT[])), lambda c, b: xor(c >> 4, {table}[(xor(c, b) & 15) + 1])), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH h AS (SELECT doc_id, source, text, {_crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents WHERE doc_id IS NOT NULL),
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+ops AS (SELECT doc_id, source, h % 23 AS m, h // 100 % 300 AS key, CASE WHEN t.doc_id IS NULL THEN h.text END AS text FROM h LEFT JOIN toxic t USING (doc_id)),
+named AS (SELECT *, CASE WHEN m <= 1 THEN 'commit' WHEN m = 2 THEN 'abort' WHEN m <= 4 THEN 'savepoint' WHEN m <= 6 THEN 'rollback' ELSE 'change' END AS op FROM ops),
+txns AS (SELECT *, coalesce(count(*) FILTER (op IN ('commit', 'abort')) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS txn FROM named),
+steps AS (SELECT *, sum(CASE op WHEN 'savepoint' THEN 1 WHEN 'rollback' THEN -1 ELSE 0 END) OVER w AS s FROM txns WINDOW w AS (PARTITION BY source, txn ORDER BY doc_id)),
+after_ AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY source, txn ORDER BY doc_id)) AS depth FROM steps),
+levels AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY source, txn ORDER BY doc_id), 0) AS came FROM after_),
+undo AS (SELECT c.doc_id, min(r.doc_id) AS by_ FROM levels c JOIN levels r ON c.source IS NOT DISTINCT FROM r.source AND c.txn = r.txn AND r.op = 'rollback' AND r.came = c.came AND r.doc_id > c.doc_id WHERE c.op = 'change' GROUP BY c.doc_id),
+ends AS (SELECT source, txn, doc_id AS end_, op AS how, CASE WHEN op = 'commit' THEN count(*) FILTER (op = 'commit') OVER (ORDER BY doc_id) - 1 END AS n FROM txns WHERE op IN ('commit', 'abort')),
+fates AS (SELECT c.doc_id, c.key, c.text, u.by_, e.end_, e.how, e.n FROM levels c LEFT JOIN undo u USING (doc_id) LEFT JOIN ends e ON c.source IS NOT DISTINCT FROM e.source AND c.txn = e.txn WHERE c.op = 'change'),
+writes AS (SELECT key, n // 4 AS epoch, arg_max(doc_id, (n, doc_id)) AS doc_id FROM fates WHERE by_ IS NULL AND how = 'commit' GROUP BY key, n // 4),
+vals AS (SELECT key, epoch, CASE WHEN text IS NOT NULL THEN {_crc_sql("CAST(key AS VARCHAR) || ':' || text")} END AS v FROM writes JOIN (SELECT doc_id, text FROM fates) USING (doc_id)),
+deltas AS (SELECT epoch, CAST(v IS NOT NULL AS INT) - CAST(coalesce(lag(v) OVER k, -1) >= 0 AS INT) AS dn, coalesce(v, 0) - coalesce(lag(v) OVER k, 0) AS dv FROM vals WINDOW k AS (PARTITION BY key ORDER BY epoch)),
+epochs AS (SELECT unnest(range((max(n) + 4) // 4)) AS epoch FROM ends)
+SELECT 'state' AS kind, epoch + 1 AS id, CAST(sum(coalesce(dn, 0)) OVER (ORDER BY epoch) AS BIGINT) AS n, CAST(sum(coalesce(dv, 0)) OVER (ORDER BY epoch) AS BIGINT) AS value
+FROM epochs LEFT JOIN (SELECT epoch, sum(dn) AS dn, sum(dv) AS dv FROM deltas GROUP BY epoch) USING (epoch)
+UNION ALL SELECT 'rollback', doc_id, by_, CAST(key AS BIGINT) FROM fates WHERE by_ IS NOT NULL
+UNION ALL SELECT 'abort', doc_id, end_, CAST(key AS BIGINT) FROM fates WHERE by_ IS NULL AND (how IS NULL OR how = 'abort')
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_chat_formatting, op4_warc, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_chat_formatting, op4_warc, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup, op10_substring_dedup, op12_log_reassembly)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
@@ -196,4 +241,5 @@ def oracle_sql() -> dict:
         "op5_benchmark_decontamination": OP5_SQL,
         "op9_embedding_near_dedup": OP9_SQL,
         "op10_substring_dedup": OP10_SQL,
+        "op12_log_reassembly": OP12_SQL,
     }
