@@ -183,6 +183,31 @@ FROM embeddings LEFT JOIN counts ON vec_id = counts.u LEFT JOIN least_id ON vec_
 """
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+occ AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+vocab AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+width AS (SELECT lang, count(*) AS v FROM vocab GROUP BY lang),
+posted AS (SELECT lang, source, term, count(*) AS n FROM occ JOIN vocab USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, v.term, coalesce(p.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g JOIN vocab v ON g.lang = v.lang LEFT JOIN posted p ON p.lang = g.lang AND p.source = g.source AND p.term = v.term),
+own AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM grid),
+whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM (SELECT lang, term, sum(n) AS n FROM grid GROUP BY lang, term)),
+sides AS (SELECT a.lang, a.source, b.source AS item FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT lang, source, 'pair' AS part, item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM sides LEFT JOIN summed USING (lang, source, item)
+  UNION ALL SELECT o.lang, source, 'term', o.term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM own o JOIN whole w ON o.lang = w.lang AND o.term = w.term WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def op12_log_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .translog import document_log, epoch_states, resolve
 
@@ -228,8 +253,39 @@ UNION ALL SELECT 'abort', doc_id, end_, CAST(key AS BIGINT) FROM fates WHERE by_
 """
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+
+
+def _op13_sql() -> str:
+    from .licenses import LicenseConfig, word_sets
+
+    cfg, quote = LicenseConfig(), lambda x: "'" + x.replace("'", "''") + "'"
+    phrases = ", ".join(f"({quote(label)}, {p.split()})" for p, label in cfg.phrases)
+    templates = ", ".join(f"({i}, {quote(label)}, {sorted(words)}, {cfg.least(len(words))})" for i, (label, words) in enumerate(word_sets(cfg)))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrases(label, p) AS (VALUES {phrases}), templates(t, label, words, least) AS (VALUES {templates}),
+starts AS (SELECT r, i, label FROM (SELECT r, w, unnest(range(len(w))) AS i FROM d) JOIN phrases ON w[i + 1:i + len(p)] = p),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM starts GROUP BY r),
+blocks AS (SELECT r, b, list_distinct(w[b + 1:b + {2 * cfg.stride}]) AS own FROM (SELECT r, w, unnest(range(0, len(w), {cfg.stride})) AS b FROM d)),
+common AS (SELECT r, b, t, count(*) AS n FROM (SELECT r, b, unnest(own) AS x FROM blocks) JOIN (SELECT t, unnest(words) AS x FROM templates) USING (x) GROUP BY r, b, t),
+met AS (SELECT r, label, max(n / len(words)) AS part FROM common JOIN templates USING (t) WHERE n >= least GROUP BY r, label),
+labels AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM met UNION SELECT r, label FROM starts) GROUP BY r),
+base_labels AS (SELECT r, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT r, label FROM starts) GROUP BY r),
+most AS (SELECT r, max(part) AS most FROM met GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(most, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN base_labels USING (r) LEFT JOIN labels USING (r) LEFT JOIN most USING (r)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_chat_formatting, op4_warc, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup, op10_substring_dedup, op12_log_reassembly)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_quality, op2_suffix_dedup, op3_chat_formatting, op4_warc, op5_benchmark_decontamination, op6_simhash_near_dedup, op7_toxicity, op8_byte_bpe, op9_embedding_near_dedup, op10_substring_dedup, op11_source_divergence, op12_log_reassembly, op13_license_scan)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
@@ -241,5 +297,7 @@ def oracle_sql() -> dict:
         "op5_benchmark_decontamination": OP5_SQL,
         "op9_embedding_near_dedup": OP9_SQL,
         "op10_substring_dedup": OP10_SQL,
+        "op11_source_divergence": OP11_SQL,
         "op12_log_reassembly": OP12_SQL,
+        "op13_license_scan": _op13_sql(),
     }
