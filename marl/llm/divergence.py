@@ -1,14 +1,15 @@
 """Source divergence audit: how far the word use of each source is from that of its language's other sources.
 
 Two passes over texts that are dealt once to groups of bounded bytes. The first counts, exactly, in how many documents of a language
-each term stands; those of enough documents are kept. The second tells each group which of its own terms are kept: these, padded
-with a delimiter on both sides, make an automaton for each language of the group, and the group's texts, their other characters
-turned to delimiters, are run through it, which counts every occurrence. No task holds a vocabulary of more than a group's text, and
-none is broadcast. The counts of (language, source, term) that are not zero, the postings, give everything else:
+each term stands: groups send their terms to shards by the term's hash, shards add up and answer each group with those of its own
+terms that are kept. The second pads these with a delimiter on both sides, makes an automaton of them for each language of the group
+and runs the group's texts, their other characters turned to delimiters, through it, which counts every occurrence. No task holds a
+vocabulary of more than a group's text, and none is broadcast. Shards add the counts up to postings (language, source, term, count),
+none of them zero, which give everything else:
 
 - a source's p of a term follows from its count and its total, so that all terms that it lacks share one p;
-- the value of a pair is a sum over all kept terms. Terms that only one side has are summed by equal counts; only terms that both
-  have are met, by an equality join of postings on (language, term); what neither has is one product;
+- the value of a pair is a sum over all kept terms. Terms that only one side has are summed by equal counts; terms that both have
+  meet in the shard of the term; what neither has is one product;
 - ranks of terms are cut to the first ones by each task before they are exchanged.
 
 All arithmetic is in whole numbers: 64 bits where that is proven to do (p is at most SCALE + 1, so a square is below 2**63, and the
@@ -26,11 +27,13 @@ from collections import Counter
 from dataclasses import dataclass
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_path
 from .text import flat, long_texts, trimmed, trimmed_pair
 
 SCALE = 1_000_000_000
@@ -40,11 +43,13 @@ TERM_BYTES = bytes(i if i >= 0x80 or chr(i).isalpha() and chr(i).islower() else
 
 @dataclass(frozen=True)
 class AuditConfig:
-    """least_documents: documents of a language that a kept term stands in; ranks: terms of a source that are told; group_bytes: text for which there is one group."""
+    """least_documents: documents of a language that a kept term stands in; ranks: terms of a source that are told; group_bytes, shard_bytes:
+    text for which there is one group, one shard."""
 
     least_documents: int = 3
     ranks: int = 200
     group_bytes: int = 8 << 20
+    shard_bytes: int = 16 << 20
 
 
 def _by_language(rows: pa.Table) -> dict[str, list[int]]:
@@ -60,75 +65,202 @@ def _texts(rows: pa.Table) -> list[bytes]:
     return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def _documents_of(key: tuple, rows: pa.Table) -> pa.Table:
-    """(gid, lang, term, df): in how many documents of the group each term stands."""
-    texts, out = _texts(rows), []
-    for lang, own in _by_language(rows).items():
-        seen: Counter = Counter()
-        for i in own:
-            seen.update(set(texts[i].split()))
-        out.append(pa.table({"gid": pa.array([key[0].as_py()] * len(seen), pa.int64()), "lang": pa.array([lang] * len(seen), pa.string()), "term": pa.array([t.decode() for t in seen], pa.string()), "df": pa.array(list(seen.values()), pa.int64())}))
-    return pa.concat_tables(out)
-
-
-def _recount(key: tuple, rows: pa.Table, kept: pa.Table) -> pa.Table:
-    """(lang, source, term, count) of a group's texts, by an automaton of the kept terms that stand in it. Bytes are taken for characters."""
-    from ahocorasick import Automaton
-
-    columns = {"lang": pa.string(), "source": pa.string(), "term": pa.string(), "n": pa.int64()}
-    if not rows.num_rows or not kept.num_rows:
-        return pa.schema(columns).empty_table()
-    terms: dict[str, list[str]] = {}
-    for lang, term in zip(kept["lang"].to_pylist(), kept["term"].to_pylist()):
-        terms.setdefault(lang, []).append(term)
-    texts, sources, out = _texts(rows), rows["source"].to_pylist(), []
-    for lang, own in _by_language(rows).items():
-        if lang not in terms:
-            continue
-        automaton = Automaton()
-        for number, term in enumerate(terms[lang]):
-            automaton.add_word(f" {term.encode().decode('latin-1')} ", number)
-        automaton.make_automaton()
-        counts: dict[str, Counter] = {}
-        for i in own:
-            counts.setdefault(sources[i], Counter()).update(map(itemgetter(1), automaton.iter(f" {texts[i].decode('latin-1')} ")))
-        for source, found in counts.items():
-            out.append(pa.table([pa.array([lang] * len(found), pa.string()), pa.array([source] * len(found), pa.string()), pa.array([terms[lang][t] for t in found], pa.string()), pa.array(list(found.values()), pa.int64())], list(columns)))
-    return pa.concat_tables(out) if out else pa.schema(columns).empty_table()
+def _pack(terms: list[bytes], *numbers: list[int]) -> bytes:
+    """Terms (which hold no blanks) and as many numbers of each kind."""
+    raw = b" ".join(terms)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(raw)], np.int64).tobytes(), raw, *(np.array(n, np.int64).tobytes() for n in numbers)]))
+
+
+def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    size = int(np.frombuffer(raw, np.int64, 1)[0])
+    terms = raw[8 : 8 + size].split()
+    return terms, np.frombuffer(raw[8 + size :], np.int64).reshape(-1, len(terms)) if terms else np.zeros((0, 0), np.int64)
+
+
+def _shards_of(terms: list[bytes], shards: int) -> dict[int, list[int]]:
+    """Which terms go to which shard. Any hash will do, as long as all workers agree on it."""
+    from zlib import crc32
+
+    found: dict[int, list[int]] = {}
+    for i, t in enumerate(terms):
+        found.setdefault(crc32(t) % shards, []).append(i)
+    return found
+
+
+SENT = pa.schema({"shard": pa.int64(), "gid": pa.int64(), "lang": pa.string(), "source": pa.string(), "blob": pa.binary()})
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[] for _ in SENT]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SENT)], schema=SENT)
+
+
+def _ask(shards: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """In how many documents of the group each term stands, to the terms' shards."""
+        texts, out = _texts(rows), []
+        for lang, own in _by_language(rows).items():
+            seen: Counter = Counter()
+            for i in own:
+                seen.update(set(texts[i].split()))
+            terms = sorted(seen)
+            for shard, places in _shards_of(terms, shards).items():
+                some = [terms[i] for i in places]
+                out.append((shard, key[0].as_py(), lang, None, _pack(some, [seen[t] for t in some])))
+        return _sent(out)
+
+    return run
+
+
+def _answer(least: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """Which terms are kept, to the groups that have them, those of most documents first."""
+        asked: dict[str, list] = {}
+        for gid, lang, blob in zip(rows["gid"].to_pylist(), rows["lang"].to_pylist(), rows["blob"].to_pylist()):
+            asked.setdefault(lang, []).append((gid, blob))
+        out = []
+        for lang, parts in asked.items():
+            df: Counter = Counter()
+            for _, blob in parts:
+                terms, numbers = _unpack(blob)
+                for t, n in zip(terms, numbers[0].tolist()):
+                    df[t] += n
+            for gid, blob in parts:
+                kept = [t for t in _unpack(blob)[0] if df[t] >= least]
+                if kept:
+                    out.append((key[0].as_py(), gid, lang, None, _pack(kept, [df[t] for t in kept])))
+        return _sent(out)
+
+    return run
+
+
+def _recount(shards: int):
+    def run(_key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
+        """Occurrences in a group's texts, by an automaton of the kept terms that stand in it, to the terms' shards. Bytes are taken for characters."""
+        from ahocorasick import Automaton
+
+        if not rows.num_rows or not told.num_rows:
+            return _sent([])
+        kept: dict[str, list[tuple[int, bytes]]] = {}
+        for lang, blob in zip(told["lang"].to_pylist(), told["blob"].to_pylist()):
+            terms, df = _unpack(blob)
+            kept.setdefault(lang, []).extend(zip((-df[0]).tolist(), terms))
+        texts, sources, out = _texts(rows), rows["source"].to_pylist(), []
+        for lang, own in _by_language(rows).items():
+            terms = [t for _, t in sorted(kept.pop(lang, []))]  # the most frequent first: an automaton looks at its branches in this order
+            if not terms:
+                continue
+            automaton = Automaton()
+            for number, term in enumerate(terms):
+                automaton.add_word(f" {term.decode('latin-1')} ", number)
+            automaton.make_automaton()
+            counts: dict[str, Counter] = {}
+            for i in own:
+                counts.setdefault(sources[i], Counter()).update(map(itemgetter(1), automaton.iter(f" {texts[i].decode('latin-1')} ")))
+            shard_of = {t: s for s, places in _shards_of(terms, shards).items() for t in places}
+            for source, found in counts.items():
+                by_shard: dict[int, list[int]] = {}
+                for t in sorted(found, key=terms.__getitem__):
+                    by_shard.setdefault(shard_of[t], []).append(t)
+                for shard, some in by_shard.items():
+                    out.append((shard, -1, lang, source, _pack([terms[t] for t in some], [found[t] for t in some])))
+        return _sent(out)
+
+    return run
+
+
+POSTED = pa.schema({"shard": pa.int64(), "lang": pa.string(), "source": pa.string(), "term": pa.string(), "n": pa.int64(), "lang_n": pa.int64(), "first": pa.bool_()})
+
+
+def _post(key: tuple, rows: pa.Table) -> pa.Table:
+    """The shard's postings; first: on one posting of each term."""
+    counts: dict[tuple[str, str], Counter] = {}
+    for lang, source, blob in zip(rows["lang"].to_pylist(), rows["source"].to_pylist(), rows["blob"].to_pylist()):
+        terms, numbers = _unpack(blob)
+        own = counts.setdefault((lang, source), Counter())
+        for t, n in zip(terms, numbers[0].tolist()):
+            own[t] += n
+    whole: dict[str, Counter] = {}
+    for (lang, _), own in counts.items():
+        whole.setdefault(lang, Counter()).update(own)
+    told: set = set()
+    parts = []
+    for (lang, source), own in sorted(counts.items()):
+        terms = list(own)
+        fresh = [(lang, t) not in told for t in terms]
+        told.update((lang, t) for t in terms)
+        n = len(terms)
+        parts.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(([key[0].as_py()] * n, [lang] * n, [source] * n, [t.decode() for t in terms], list(own.values()), [whole[lang][t] for t in terms], fresh), POSTED)], schema=POSTED))
+    return pa.concat_tables(parts) if parts else POSTED.empty_table()
+
+
+#: (source, other source) values of a shard that are worked on at a time.
+STEP = 1 << 20
+
+
+def _meet(_key: tuple, rows: pa.Table) -> pa.Table:
+    """(lang, source, item, value): what terms that both sources have add to the sum over terms that one of them has."""
+    found = []
+    langs = rows["lang"].combine_chunks().dictionary_encode()
+    lang_of = langs.indices.to_numpy()
+    for number, lang in enumerate(langs.dictionary.to_pylist()):
+        own = rows.filter(pa.array(lang_of == number))
+        named = own["source"].combine_chunks().dictionary_encode()
+        source, names = named.indices.to_numpy().astype(np.int64), named.dictionary.to_pylist()
+        term = own["term"].combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.argsort(term, kind="stable")
+        source, p, p0 = source[order], own["p"].to_numpy()[order], own["p0"].to_numpy()[order]
+        begin = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
+        size = np.diff(np.append(begin, len(order)))
+        start, many = np.repeat(begin, size), np.repeat(size, size)  # of each posting: its term's postings
+        sums, ends = np.zeros(len(names) ** 2, np.int64), np.cumsum(many)
+        at = 0
+        while at < len(order):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, "right")))
+            n = many[at:to]
+            left = np.repeat(np.arange(at, to), n)
+            right = np.repeat(start[at:to] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            a, b, a0, b0 = p[left], p[right], p0[left], p0[right]
+            value = (a - b) ** 2 // b - (a - b0) ** 2 // b0 - (a0 - b) ** 2 // b + (a0 - b0) ** 2 // b0
+            np.add.at(sums, source[left] * len(names) + source[right], value)
+            at = to
+        pair = np.flatnonzero(sums)
+        pair = pair[pair // len(names) != pair % len(names)]
+        found.append(pa.table({"lang": pa.array([lang] * len(pair), pa.string()), "source": pa.array([names[i] for i in pair // len(names)], pa.string()), "item": pa.array([names[i] for i in pair % len(names)], pa.string()), "value": pa.array(sums[pair], pa.int64())}))
+    return pa.concat_tables(found)
 
 
 @dataclass
 class Audit:
     """groups: (lang, source, total, terms, kept) for every occurring group, total being the sum of its counts of kept terms, terms how many
-    of them it has, kept how many its language keeps; postings: (lang, source, term, n), n > 0; language: (lang, term, n)."""
+    of them it has, kept how many its language keeps; postings: (shard, lang, source, term, n, lang_n), n > 0, lang_n that of the language."""
 
     groups: DataFrame
     postings: DataFrame
-    language: DataFrame
 
 
 def postings(documents: DataFrame, cfg: AuditConfig = AuditConfig()) -> Audit:
-    long_texts(documents.sparkSession)
+    spark = documents.sparkSession
+    long_texts(spark)
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     total = documents.agg(F.sum(F.length(text))).first()[0] or 0
-    groups = max(1, math.ceil(total / cfg.group_bytes))
+    groups, shards = (max(1, math.ceil(total / size)) for size in (cfg.group_bytes, cfg.shard_bytes))
     gid = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), named("source"), text), F.lit(groups)).cast("long").alias("gid")
     rows = documents.select(gid, named("lang"), named("source"), text.alias("t"))
-    seen = rows.groupBy("gid").applyInArrow(trimmed(_documents_of), "gid long, lang string, term string, df long")
-    # one exchange by (lang, term) for both the counts and what is told of them, as there is one of texts for both passes
-    seen = seen.repartition(max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (4 * cfg.group_bytes))), "lang", "term")
-    kept = seen.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= cfg.least_documents).select("lang", "term")
-    told = seen.join(kept, ["lang", "term"]).select("gid", "lang", "term")
-    counted = rows.groupBy("gid").cogroup(told.groupBy("gid")).applyInArrow(trimmed_pair(_recount), "lang string, source string, term string, n long")
-    posted = cut(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
-    language = posted.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    sent = "shard long, gid long, lang string, source string, blob binary"
+    answers = rows.groupBy("gid").applyInArrow(trimmed(_ask(shards)), sent).groupBy("shard").applyInArrow(trimmed(_answer(cfg.least_documents)), sent)
+    counted = rows.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(trimmed_pair(_recount(shards)), sent)
+    path = fresh_path(spark, "postings")
+    counted.groupBy("shard").applyInArrow(trimmed(_post), "shard long, lang string, source string, term string, n long, lang_n long, first boolean").write.parquet(path)
+    posted = spark.read.parquet(path)
     # a kept term stands in its language's documents, so that the postings hold all of them
-    width = language.groupBy("lang").agg(F.count("*").alias("kept"))
+    width = posted.groupBy("lang").agg(F.count_if("first").alias("kept"))
     sums = posted.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     found = documents.select(named("lang"), named("source")).distinct().join(sums, ["lang", "source"], "left").join(width, "lang", "left")
-    return Audit(cut(found.select("lang", "source", zero("total"), zero("terms"), zero("kept"))), posted, language)
+    return Audit(cut(found.select("lang", "source", zero("total"), zero("terms"), zero("kept"))), posted)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -149,22 +281,19 @@ def pairs(found: Audit) -> DataFrame:
     left = found.groups.select("lang", "source", F.col("total").alias("ls"), F.col("terms").alias("ts"), F.col("kept").alias("v"), share(none, F.col("total"), F.col("kept")).alias("p0"))
     right = found.groups.select("lang", F.col("source").alias("item"), F.col("total").alias("lt"), F.col("terms").alias("tt"), share(none, F.col("total"), F.col("kept")).alias("q0"))
     every = cut(left.join(right, "lang").where("source <> item"))
-    same = found.postings.groupBy("lang", "source", "n").agg(F.count("*").alias("many"))
+    same = cut(found.postings.groupBy("lang", "source", "n").agg(F.count("*").alias("many")))
     mine = every.join(same, ["lang", "source"]).select("lang", "source", "item", (F.col("many") * weight(share(F.col("n"), F.col("ls"), F.col("v")), F.col("q0"))).alias("value"))
     theirs = every.join(same.withColumnRenamed("source", "item"), ["lang", "item"]).select("lang", "source", "item", (F.col("many") * weight(F.col("p0"), share(F.col("n"), F.col("lt"), F.col("v")))).alias("value"))
-    sized = cut(found.postings.join(found.groups, ["lang", "source"]).select("lang", "term", "source", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), share(none, F.col("total"), F.col("kept")).alias("p0")))
-    other = sized.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("p0").alias("q0"))
-    p, q, p0, q0 = (F.col(c) for c in ("p", "q", "p0", "q0"))
-    both = sized.join(other, ["lang", "term"]).where("source <> item").select("lang", "source", "item", (weight(p, q) - weight(p, q0) - weight(p0, q) + weight(p0, q0)).alias("value"))
-    rest = every.select("lang", "source", "item", F.when(F.col("v") > 0, (F.col("v") - F.col("ts") - F.col("tt")) * weight(p0, q0)).otherwise(0).alias("value"))
+    sized = found.postings.join(found.groups, ["lang", "source"]).select("shard", "lang", "term", "source", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), share(none, F.col("total"), F.col("kept")).alias("p0"))
+    both = sized.groupBy("shard").applyInArrow(trimmed(_meet), "lang string, source string, item string, value long")
+    rest = every.select("lang", "source", "item", F.when(F.col("v") > 0, (F.col("v") - F.col("ts") - F.col("tt")) * weight(F.col("p0"), F.col("q0"))).otherwise(0).alias("value"))
     return mine.unionByName(theirs).unionByName(both).unionByName(rest).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
 def terms(found: Audit) -> DataFrame:
     """(lang, source, item, value): terms that a source uses more than its language does."""
     width = found.groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    groups = found.groups.join(width, "lang")
-    used = found.postings.join(groups, ["lang", "source"]).join(found.language.withColumnRenamed("n", "lang_n"), ["lang", "term"])
+    used = found.postings.join(found.groups.join(width, "lang"), ["lang", "source"])
     shares = used.select("lang", "source", F.col("term").alias("item"), share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"))
     return shares.where("p > q").select("lang", "source", "item", weight(F.col("p"), F.col("q")).alias("value"))
 
