@@ -1,12 +1,14 @@
 """Substring dedup: a compressed FM-index per shard, searched backward over a wavelet tree.
 
-A shard's segments are laid end to end as word numbers. Of their suffix array only three things stay: the Burrows-Wheeler
-transform as a wavelet matrix of packed bits with 32-bit rank blocks, a bit for each suffix that begins another word
-sequence of threshold length than the one before it, and the smallest id of each such class. All segments are streamed
-through the index side by side, from their last word to their first: a step of backward search extends the match to the
-left, and a match that has reached the threshold is cut to it on the right by going to the whole class it lies in. That
-gives the matching statistics up to the threshold in one step for each word. Where they reach it, the class tells the
-smallest id under which the window starts; neighbouring windows with one such id are reported as an interval.
+A shard's segments are laid end to end as word numbers. Of their suffix array the index keeps the Burrows-Wheeler transform as a
+wavelet matrix of packed bits with 32-bit rank blocks, the common lengths of neighbouring suffixes up to the threshold with the
+nearest shorter ones on both sides, and the least document ids of blocks of suffixes; the suffix array itself isn't kept, so that
+where a text stands in it is found by searching only. Every segment is streamed through the index side by side with others, from
+its last word to its first, and matched with documents of smaller ids alone: a step of backward search extends the match by one
+word to the left; an interval that is empty or holds no smaller id is refused, and the match gives up words on the right, to the
+next longest one that stands elsewhere, until the step succeeds or nothing is left. That gives the matching statistics, the length
+of the longest match with an earlier document that begins at each word, up to the threshold. Where they reach it, the least id of
+the interval is the smallest under which the window starts; neighbouring windows with one such id are reported as an interval.
 """
 
 from __future__ import annotations
@@ -57,72 +59,162 @@ class WaveletMatrix:
         return place
 
 
+class LeastId:
+    """Least values of ranges: those of blocks by doubling, the rest beside them."""
+
+    BLOCK = 16
+
+    def __init__(self, values: np.ndarray) -> None:
+        n, k = len(values), self.BLOCK
+        most = np.iinfo(values.dtype).max
+        self.values = np.append(values, np.full(-n % k + k, most, values.dtype))
+        blocks = self.values.reshape(-1, k)
+        self.left = np.minimum.accumulate(blocks, axis=1).ravel()
+        self.right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.levels = [blocks.min(axis=1)]
+        while len(self.levels[-1]) > 1 << (len(self.levels) - 1):
+            half = 1 << (len(self.levels) - 1)
+            now = self.levels[-1].copy()
+            now[:-half] = np.minimum(now[:-half], self.levels[-1][half:])
+            self.levels.append(now)
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least value of each [low, high), none of them empty."""
+        k = self.BLOCK
+        a, b = low // k, (high - 1) // k
+        found = np.minimum(self.right[low], self.left[high - 1])
+        within = np.flatnonzero(a == b)
+        if len(within):
+            start, size = low[within], (high - low)[within]
+            widest = int(size.max())
+            place = start[:, None] + np.minimum(np.arange(widest), size[:, None] - 1)
+            found[within] = self.values[place].min(axis=1)
+        between = np.flatnonzero(b - a > 1)
+        if len(between):
+            start, count = a[between] + 1, b[between] - a[between] - 1
+            level = np.frexp(count.astype(np.float64))[1] - 1
+            for one in np.unique(level).tolist():
+                own = level == one
+                some = between[own]
+                least = self.levels[one]
+                found[some] = np.minimum(found[some], np.minimum(least[start[own]], least[start[own] + count[own] - (1 << one)]))
+        return found
+
+
 class FMIndex:
     def __init__(self, text: np.ndarray, depth: int, owners: np.ndarray | None = None) -> None:
-        """text: numbers, each segment closed by 0; owners: an id for each place. Patterns of up to `depth` symbols can be searched."""
+        """text: numbers, each segment closed by 0; owners: an id for each place. Matches of up to `depth` symbols can be searched."""
         n, self.depth = len(text), depth
         most = int(text.max(initial=0)) + 1
-        # as many symbols in one number as fit, then twice as many each time
-        bits, step, short = most.bit_length(), 1, None
-        while step * 2 * bits <= 62 and step * 2 <= depth:
-            text_now = text if step == 1 else rank
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - step)] = text_now[step:]
-            rank = text_now << (step * bits) | after
-            step *= 2
-        _, rank = np.unique(text if step == 1 else rank, return_inverse=True)
-        while step < depth:
-            if 2 * step >= depth:
-                short = (step, rank)
-            after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1 if n > step else 0
-            _, rank = np.unique(rank.astype(np.int64) * (n + 2) + after, return_inverse=True)
-            step *= 2
-        order = np.argsort(rank, kind="stable")
-        # suffixes with the same first `depth` symbols: the same first `step` ones, and again from `depth - step` on
-        new = np.ones(n, bool)
-        if short:
-            step, rank = short
-            later = np.minimum(order + depth - step, n - 1)
-            new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (rank[later[1:]] != rank[later[:-1]])
-        else:
-            new[1:] = rank[order[1:]] != rank[order[:-1]]
-        self.classes, self.begin = Bits(new), np.append(np.flatnonzero(new), n)
-        self.least = np.minimum.reduceat((owners if owners is not None else np.arange(n))[order], self.begin[:-1])
+        order, self.common = _sorted_suffixes(text, most, depth)
+        # nearest suffixes on both sides whose common length is shorter: a match gives up words by going to them
+        self.before, self.after = _shorter(self.common, depth)
+        self.owners = LeastId((owners if owners is not None else np.arange(n))[order])
+        short = np.flatnonzero(self.common < depth - 1)  # where suffixes differ before the last but one symbol of the depth
+        self.cut, self.cuts = Bits(np.isin(np.arange(n), short)), np.append(short, n)
         self.tree = WaveletMatrix(text[order - 1], max(1, most.bit_length()))  # before the first suffix the last symbol, a 0
         count = np.bincount(text, minlength=most)
-        self.first = np.cumsum(count) - count
+        self.size, self.first = n, np.cumsum(count) - count
         self.zero = self.tree.descend(np.arange(most), np.zeros(most, np.int64))
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Interval of suffixes that begin with the symbol and go on as those of [low, high) do."""
         base = self.first[symbols] - self.zero[symbols]
-        return base + self.tree.descend(symbols, low), base + self.tree.descend(symbols, high)
-
-    def class_of(self, low: np.ndarray) -> np.ndarray:
-        return self.classes.rank(low + 1) - 1
-
-    def statistics(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(match, class) for each place of the streamed stretches, one after the other: the length of the match that begins there, up to the
-        index's depth and within its stretch, and the class of those that reach it (else -1). The stretches must be part of the indexed text."""
+        both = self.tree.descend(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
+        return base + both[: len(low)], base + both[len(low) :]
+
+    def shorter(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(low, high, length): the suffixes that share the next shorter beginning with those of [low, high), which aren't all."""
+        left = np.where(low > 0, self.common[low], -1)
+        right = np.where(high < self.size, self.common[np.minimum(high, self.size - 1)], -1)
+        at = np.where(left >= right, low, np.minimum(high, self.size - 1))
+        return self.before[at], self.after[at], np.maximum(left, right)
+
+    def statistics(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(match, least) for each place of the streamed stretches, one after the other: the length, up to the depth and within its stretch, of
+        the longest match that begins there with an owner smaller than the stretch's `below`, and the least owner of such matches of full depth
+        (else -1)."""
         order = np.argsort(-lengths, kind="stable")
-        start, length = starts[order], lengths[order]
+        start, length, below = starts[order], lengths[order], below[order]
         base = (np.cumsum(lengths) - lengths)[order]
         match, found = np.zeros(int(lengths.sum()), np.int32), np.full(int(lengths.sum()), -1, np.int64)
-        low = np.zeros(len(order), np.int64)  # of the interval of suffixes that begin with the match; it never is empty, so that its end isn't needed
+        low, high, have = np.zeros(len(order), np.int64), np.full(len(order), self.size), np.zeros(len(order), np.int64)
         for step in range(1, int(length[0]) + 1 if len(length) else 1):
             live = int(np.searchsorted(-length, -step, "right"))  # the longest come first
-            at = length[:live] - step
-            symbol = text[start[:live] + at]
-            low = self.first[symbol] - self.zero[symbol] + self.tree.descend(symbol, low[:live])
-            match[base[:live] + at] = min(step, self.depth)
-            if step >= self.depth:
-                own = self.class_of(low)
-                low = self.begin[own]
-                found[base[:live] + at] = own
+            symbol = text[start[:live] + length[:live] - step]
+            full = np.flatnonzero(have[:live] == self.depth)
+            if len(full):  # a match of full depth gives up its last word first
+                own = self.cut.rank(low[full] + 1) - 1
+                low[full], high[full], have[full] = self.cuts[own], self.cuts[own + 1], self.depth - 1
+            waiting = np.arange(live)
+            while len(waiting):
+                a, b = self.extend(symbol[waiting], low[waiting], high[waiting])
+                good = a < b
+                least = np.full(len(waiting), -1)
+                some = np.flatnonzero(good)
+                least[some] = self.owners.of(a[some], b[some])
+                good[some] = least[some] < below[waiting[some]]
+                some = np.flatnonzero(good)
+                done = waiting[some]
+                low[done], high[done] = a[some], b[some]
+                have[done] += 1
+                match[base[done] + length[done] - step] = have[done]
+                deep = have[done] == self.depth
+                found[(base[done] + length[done] - step)[deep]] = least[some][deep]
+                waiting = waiting[~good]
+                waiting = waiting[have[waiting] > 0]  # a symbol that no earlier owner has matches nothing
+                if len(waiting):
+                    low[waiting], high[waiting], have[waiting] = self.shorter(low[waiting], high[waiting])
         return match, found
 
 
+def _sorted_suffixes(text: np.ndarray, most: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes by their first `depth` symbols, at least; how many symbols each shares with the one before, up to `depth`)."""
+    n, bits, step = len(text), most.bit_length(), 1
+    ranks = [(1, text.astype(np.int64))]  # equal ranks: equal first symbols, as many as the step says
+    rank = text.astype(np.int64)
+    while step < depth:
+        after = np.zeros(n, np.int64)
+        if 2 * step * bits <= 62:  # as many symbols in one number as fit
+            after[: max(0, n - step)] = rank[step:]
+            rank = rank << (step * bits) | after
+        else:
+            if int(rank.max(initial=0)) >= n:
+                rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+            after[: max(0, n - step)] = rank[step:] + 1
+            rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
+        step *= 2
+        ranks.append((step, rank))
+    order = np.argsort(rank, kind="stable")
+    common = np.zeros(n, np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    same = np.zeros(len(a), np.int64)
+    for step, rank in reversed(ranks):
+        inside = np.flatnonzero((a < n) & (b < n) & (same < depth))
+        equal = inside[rank[a[inside]] == rank[b[inside]]]
+        same[equal] += step
+        a[equal] += step
+        b[equal] += step
+    common[1:] = np.minimum(same, depth)
+    return order, common.astype(np.int32)
+
+
+def _shorter(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after): the nearest place on the left, and on the right, with a smaller number; 0 and the length where there is none."""
+    n = len(common)
+    before, after = np.zeros(n, np.int32), np.full(n, n, np.int32)
+    by = np.argsort(common, kind="stable")
+    edges = np.searchsorted(common[by], np.arange(depth + 2))
+    for value in range(1, depth + 1):
+        own = by[edges[value] : edges[value + 1]]
+        if len(own):
+            smaller = np.sort(by[: edges[value]])
+            at = np.searchsorted(smaller, own)
+            before[own] = np.where(at > 0, smaller[np.maximum(at - 1, 0)], 0)
+            after[own] = np.where(at < len(smaller), smaller[np.minimum(at, len(smaller) - 1)], n)
+    return before, after
+
+
 def numbers(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The segments' words, which single blanks part, as numbers from 1, each segment closed by 0."""
     laid = gather(text, starts, lengths)
@@ -142,14 +234,24 @@ def numbers(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return found
 
 
-def resolve(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, windows: np.ndarray, ids: np.ndarray, size: int = 50) -> np.ndarray:
-    """The smallest id under which each window of `size` words starts, from the matching statistics of its segment."""
+#: Windows of a stretch that is streamed: longer segments are streamed in several, side by side, each from the words that its last window needs.
+STREAMED = 256
+
+
+def resolve(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, windows: np.ndarray, ids: np.ndarray, highest: np.ndarray, size: int = 50) -> np.ndarray:
+    """The smallest id under which each window of `size` words starts, from the matching statistics of its segment with documents below the
+    segment's highest id; a window without such a match starts under its own."""
     laid = numbers(text, starts, lengths)
     words = windows + size - 1
     begin = np.cumsum(words + 1) - words - 1
     index = FMIndex(laid, size, np.repeat(ids, words + 1))
-    match, found = index.statistics(laid, begin, words)
-    return index.least[found[match == size]]
+    parts = -(-windows // STREAMED)
+    segment = np.repeat(np.arange(len(windows)), parts)
+    first = (np.arange(len(segment)) - np.repeat(np.cumsum(parts) - parts, parts)) * STREAMED
+    count = np.minimum(STREAMED, windows[segment] - first)
+    match, least = index.statistics(laid, begin[segment] + first, count + size - 1, highest[segment])
+    place = np.repeat(np.cumsum(count + size - 1) - (count + size - 1) - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    return np.where(match[place] == size, least[place], np.repeat(ids, windows))
 
 
 def _digests(piece: Piece, removed: np.ndarray) -> dict:

@@ -367,8 +367,8 @@ def _send(cfg: RepeatConfig, shards: int):
     return run
 
 
-#: (text, starts, lengths, windows, smallest ids) of segments -> for their windows, one after the other, the smallest id under which each starts.
-Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: (text, starts, lengths, windows, smallest ids, largest ids) of segments -> for their windows, one after the other, the smallest id under which each starts.
+Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 SENT, TOLD = "shard gid part places blob", "gid part places blob"
 
 
@@ -383,7 +383,7 @@ def _resolve(resolver: Resolver):
             low = np.concatenate([np.cumsum(x[2], dtype=np.int64) for _, x in asked])
             size, windows, _, high, text = (np.concatenate(x) for x in zip(*(x for _, x in asked)))
             size, windows, high = size.astype(np.int64), windows.astype(np.int64), high + low
-            least = resolver(text, np.cumsum(size) - size, size, windows, low)
+            least = resolver(text, np.cumsum(size) - size, size, windows, low, high)
             base = np.cumsum(windows) - windows
             new = np.ones(len(least), bool)
             new[1:] = least[1:] != least[:-1]

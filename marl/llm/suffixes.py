@@ -119,7 +119,7 @@ class Suffixes:
         return order, new
 
 
-def resolve(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, windows: np.ndarray, ids: np.ndarray, limit: int = 50) -> np.ndarray:
+def resolve(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, windows: np.ndarray, ids: np.ndarray, _highest: np.ndarray, limit: int = 50) -> np.ndarray:
     """The smallest id under which each window starts: that of the equal suffixes beside it in the sorted order."""
     own = gather(text, starts, lengths)
     begin = np.cumsum(lengths) - lengths

@@ -132,7 +132,7 @@ def test_backward_search_counts_occurrences():
 def test_nothing_but_the_resolver_removes(spark):
     rows = corpus(random.Random(7), 60)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    silent = lambda text, starts, lengths, windows, ids: np.full(int(windows.sum()), np.iinfo(np.int64).max)
+    silent = lambda text, starts, lengths, windows, ids, highest: np.full(int(windows.sum()), np.iinfo(np.int64).max)
     for module, made, least in ((suffixes, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", 1000), (fmindex, "n_words long, n_removed long, kept_sha256 string", 300)):
         cfg = RepeatConfig(**{**module.CONFIG.__dict__, "group_bytes": 9000, "shard_bytes": 5000})
         total = lambda resolver: sum(r.made_n_removed for r in remove_repeats(docs, resolver, module._digests, made, cfg).collect())  # noqa: B023, E731
@@ -165,19 +165,59 @@ def test_long_runs_and_long_texts(spark):
         assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in module.digests(docs).collect()) == sorted(want)
 
 
-def test_statistics_are_match_lengths():
-    rng = np.random.default_rng(2)
-    parts = [rng.integers(1, 4, n) for n in (9, 30, 5, 30)]
+def _plain_statistics(parts, ids, below, depth):
+    """(match, least id of a match of full depth) by comparing every place with every other one of a smaller id."""
+    match, least = [], []
+    for p, limit in zip(parts, below):
+        for i in range(len(p)):
+            best, low = 0, -1
+            for other, own in zip(parts, ids):
+                if own >= limit:
+                    continue
+                for j in range(len(other)):
+                    n = 0
+                    while n < depth and i + n < len(p) and j + n < len(other) and p[i + n] == other[j + n]:
+                        n += 1
+                    best = max(best, n)
+                    if n == depth:
+                        low = own if low < 0 else min(low, own)
+            match.append(best)
+            least.append(low)
+    return match, least
+
+
+@pytest.mark.parametrize("seed, symbols, depth", [(2, 4, 7), (3, 3, 5), (4, 9, 6), (5, 2, 12), (6, 300, 9)])
+def test_statistics_are_lengths_of_matches_with_smaller_ids(seed, symbols, depth):
+    rng = np.random.default_rng(seed)
+    parts = [rng.integers(1, symbols, n) for n in (9, 30, 5, 30, 12, 40, 1, 25)]
     parts[3][4:20] = parts[1][10:26]
+    parts[5][:12] = parts[4]
     laid = np.concatenate([np.append(p, 0) for p in parts])
     lengths = np.array([len(p) for p in parts])
     starts = np.cumsum(lengths + 1) - lengths - 1
-    ids = np.array([4, 3, 2, 1])
-    index = fmindex.FMIndex(laid, 7, np.repeat(ids, lengths + 1))
-    match, found = index.statistics(laid, starts, lengths)
-    assert match.tolist() == [min(7, n - i) for n in lengths for i in range(n)]
-    whole = {}
-    for p, i in zip(parts, ids):
-        for a in range(len(p) - 6):
-            whole[tuple(p[a : a + 7])] = min(whole.get(tuple(p[a : a + 7]), 9), i)
-    assert index.least[found[match == 7]].tolist() == [whole[tuple(p[a : a + 7])] for p in parts for a in range(len(p) - 6)]
+    ids = np.array([4, 3, 9, 1, 2, 7, 5, 6])
+    below = ids + np.array([0, 0, 3, 0, 0, 0, 2, 0])
+    index = fmindex.FMIndex(laid, depth, np.repeat(ids, lengths + 1))
+    match, least = index.statistics(laid, starts, lengths, below)
+    want = _plain_statistics([p.tolist() for p in parts], ids, below, depth)
+    assert match.tolist() == want[0] and least.tolist() == want[1]
+    assert any(0 < m < depth for m in match[9:]) and (match[lengths[:3].sum() : lengths[:4].sum()] == 0).all()  # matches fall short; the smallest id has none
+
+
+def test_no_answer_without_the_wavelet_matrix(monkeypatch):
+    words = [f"w{i % 70}" for i in range(140)]
+    text = np.frombuffer(" ".join(words).encode(), np.uint8)
+    half = len(" ".join(words[:70]))
+    starts, lengths = np.array([0, half + 1]), np.array([half, len(text) - half - 1])
+    asked = (text, starts, lengths, np.array([21, 21]), np.array([3, 8]), np.array([3, 8]))
+    assert fmindex.resolve(*asked).tolist() == [3] * 42
+    monkeypatch.setattr(fmindex.WaveletMatrix, "descend", lambda self, symbols, place: np.zeros(len(place), np.int64))
+    assert fmindex.resolve(*asked).tolist() == [3] * 21 + [8] * 21
+
+
+def test_least_of_ranges():
+    rng = np.random.default_rng(9)
+    values = rng.integers(0, 1000, 777)
+    low = rng.integers(0, 777, 3000)
+    high = np.minimum(777, low + 1 + (rng.random(3000) ** 4 * 776).astype(int))
+    assert fmindex.LeastId(values).of(low, high).tolist() == [values[a:b].min() for a, b in zip(low, high)]
