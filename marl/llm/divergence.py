@@ -23,8 +23,9 @@ ties go by the item's bytes; extra columns are ignored. A text is never split: o
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -34,11 +35,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_path
-from .text import flat, long_texts, trimmed, trimmed_pair
+from .text import PrefixHash, flat, gather, long_texts, mix, trimmed, trimmed_pair, words_in
 
 SCALE = 1_000_000_000
 #: Bytes of terms stay as they are, A-Z lower-cased; all others become the delimiter.
-TERM_BYTES = bytes(i if i >= 0x80 or chr(i).isalpha() and chr(i).islower() else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256))
+TERM_BYTES = np.array([i if i >= 0x80 or 0x61 <= i <= 0x7A else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
@@ -52,43 +53,64 @@ class AuditConfig:
     shard_bytes: int = 16 << 20
 
 
-def _by_language(rows: pa.Table) -> dict[str, list[int]]:
-    found: dict[str, list[int]] = {}
-    for i, lang in enumerate(rows["lang"].to_pylist()):
-        found.setdefault(lang, []).append(i)
-    return found
+@dataclass
+class Words:
+    """Texts as words: binary terms, the term of each word, and the row it stands in."""
+
+    terms: pa.BinaryArray
+    codes: np.ndarray
+    rows: np.ndarray
+
+
+def _laid(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.BinaryArray:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(gather(data, starts, lengths))])
 
 
-def _texts(rows: pa.Table) -> list[bytes]:
+def _translated(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat(rows["t"])
-    raw = data.tobytes().translate(TERM_BYTES)
-    return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return TERM_BYTES[data], offsets
 
 
-def _pack(terms: list[bytes], *numbers: list[int]) -> bytes:
-    """Terms (which hold no blanks) and as many numbers of each kind."""
-    raw = b" ".join(terms)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(raw)], np.int64).tobytes(), raw, *(np.array(n, np.int64).tobytes() for n in numbers)]))
+def _words(rows: pa.Table) -> Words:
+    data, offsets = _translated(rows)
+    starts, stops, counts = words_in(data, offsets)
+    coded = _laid(data, starts, stops - starts).dictionary_encode()
+    return Words(coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(rows.num_rows), np.diff(counts)))
 
 
-def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    size = int(np.frombuffer(raw, np.int64, 1)[0])
-    terms = raw[8 : 8 + size].split()
-    return terms, np.frombuffer(raw[8 + size :], np.int64).reshape(-1, len(terms)) if terms else np.zeros((0, 0), np.int64)
+def _pack(terms: pa.BinaryArray, *numbers: np.ndarray) -> bytes:
+    """Terms and arrays of numbers, in few bytes."""
+    data, offsets = flat(terms)
+    parts = [np.diff(offsets).astype(np.int32), *(n.astype(np.int64) for n in numbers)]
+    head = np.array([len(parts), *(x.nbytes for x in parts)], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(x.tobytes() for x in parts), data[int(offsets[0]) : int(offsets[-1])].tobytes()]))
+
 
+def _unpack(blob: bytes) -> tuple[pa.BinaryArray, list[np.ndarray]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    many = int(np.frombuffer(raw, np.int64, 1)[0])
+    sizes = np.frombuffer(raw, np.int64, many + 1)[1:].tolist()
+    at, parts = 8 * (many + 1), []
+    for i, size in enumerate(sizes):
+        kind = np.int64 if i else np.int32
+        parts.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    offsets = np.concatenate([[0], np.cumsum(parts[0])]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(parts[0]), [None, pa.py_buffer(offsets), pa.py_buffer(raw[at:])]), parts[1:]
 
-def _shards_of(terms: list[bytes], shards: int) -> dict[int, list[int]]:
-    """Which terms go to which shard. Any hash will do, as long as all workers agree on it."""
-    from zlib import crc32
 
-    found: dict[int, list[int]] = {}
-    for i, t in enumerate(terms):
-        found.setdefault(crc32(t) % shards, []).append(i)
-    return found
+def _by_shard(terms: pa.BinaryArray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its terms), by a hash of the terms' bytes."""
+    data, offsets = flat(terms)
+    shard = (mix(PrefixHash(data).of(offsets[:-1], offsets[1:])) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cut_ = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(order) else np.zeros(0, np.int64)
+    for a, b in zip(cut_[:-1].tolist(), cut_[1:].tolist()):
+        yield int(shard[order[a]]), order[a:b]
 
 
-SENT = pa.schema({"shard": pa.int64(), "gid": pa.int64(), "lang": pa.string(), "source": pa.string(), "blob": pa.binary()})
+SENT = pa.schema({"shard": pa.int64(), "gid": pa.int64(), "lang": pa.string(), "blob": pa.binary()})
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
@@ -96,40 +118,59 @@ def _sent(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SENT)], schema=SENT)
 
 
+def _codes(values: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
+    coded = values.combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+
+
+def _runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct numbers, how often each occurs)."""
+    numbers = np.sort(numbers)
+    at = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])) if len(numbers) else np.zeros(0, np.int64)
+    return numbers[at], np.diff(np.append(at, len(numbers)))
+
+
 def _ask(shards: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """In how many documents of the group each term stands, to the terms' shards."""
-        texts, out = _texts(rows), []
-        for lang, own in _by_language(rows).items():
-            seen: Counter = Counter()
-            for i in own:
-                seen.update(set(texts[i].split()))
-            terms = sorted(seen)
-            for shard, places in _shards_of(terms, shards).items():
-                some = [terms[i] for i in places]
-                out.append((shard, key[0].as_py(), lang, None, _pack(some, [seen[t] for t in some])))
+        words = _words(rows)
+        langs, lang = _codes(rows["lang"])
+        width, out = max(1, len(words.terms)), []
+        pair, _ = _runs(words.rows * width + words.codes)  # each term of a document once
+        found, df = _runs(lang[pair // width] * width + pair % width)
+        for number, name in enumerate(langs):
+            own = found // width == number
+            terms, n = words.terms.take(pa.array(found[own] % width)), df[own]
+            out += [(shard, key[0].as_py(), name, _pack(terms.take(pa.array(at)), n[at])) for shard, at in _by_shard(terms, shards)]
         return _sent(out)
 
     return run
 
 
+def _together(parts: list[tuple]) -> tuple[pa.BinaryArray, list[np.ndarray]]:
+    """(distinct terms of all parts, the place of each part's terms among them)."""
+    coded = pa.concat_arrays([t for t, _ in parts]).dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    return coded.dictionary, np.split(codes, np.cumsum([len(t) for t, _ in parts])[:-1])
+
+
 def _answer(least: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        """Which terms are kept, to the groups that have them, those of most documents first."""
-        asked: dict[str, list] = {}
-        for gid, lang, blob in zip(rows["gid"].to_pylist(), rows["lang"].to_pylist(), rows["blob"].to_pylist()):
-            asked.setdefault(lang, []).append((gid, blob))
-        out = []
-        for lang, parts in asked.items():
-            df: Counter = Counter()
-            for _, blob in parts:
-                terms, numbers = _unpack(blob)
-                for t, n in zip(terms, numbers[0].tolist()):
-                    df[t] += n
-            for gid, blob in parts:
-                kept = [t for t in _unpack(blob)[0] if df[t] >= least]
-                if kept:
-                    out.append((key[0].as_py(), gid, lang, None, _pack(kept, [df[t] for t in kept])))
+        """Which terms are kept, and in how many documents they stand, to the groups that have them."""
+        langs, lang = _codes(rows["lang"])
+        gids, blobs, out = rows["gid"].to_pylist(), rows["blob"].to_pylist(), []
+        for number, name in enumerate(langs):
+            own = np.flatnonzero(lang == number).tolist()
+            parts = [_unpack(blobs[i]) for i in own]
+            terms, codes = _together(parts)
+            df = np.zeros(len(terms), np.int64)
+            for code, (_, numbers) in zip(codes, parts):
+                df[code] += numbers[0]  # a part has each of its terms once
+            for i, code in zip(own, codes):
+                kept = code[df[code] >= least]
+                if len(kept):
+                    out.append((key[0].as_py(), gids[i], name, _pack(terms.take(pa.array(kept)), df[kept])))
         return _sent(out)
 
     return run
@@ -137,34 +178,50 @@ def _answer(least: int):
 
 def _recount(shards: int):
     def run(_key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
-        """Occurrences in a group's texts, by an automaton of the kept terms that stand in it, to the terms' shards. Bytes are taken for characters."""
+        """Occurrences in a group's texts, by an automaton of the kept terms that stand in it, to the terms' shards. Bytes are taken for characters.
+
+        A blob has the names of as many sources as gid says, then a shard's terms, and for each posting the number of its source, that of its
+        term, and its count."""
         from ahocorasick import Automaton
 
         if not rows.num_rows or not told.num_rows:
             return _sent([])
-        kept: dict[str, list[tuple[int, bytes]]] = {}
-        for lang, blob in zip(told["lang"].to_pylist(), told["blob"].to_pylist()):
-            terms, df = _unpack(blob)
-            kept.setdefault(lang, []).extend(zip((-df[0]).tolist(), terms))
-        texts, sources, out = _texts(rows), rows["source"].to_pylist(), []
-        for lang, own in _by_language(rows).items():
-            terms = [t for _, t in sorted(kept.pop(lang, []))]  # the most frequent first: an automaton looks at its branches in this order
-            if not terms:
+        langs, lang = _codes(rows["lang"])
+        sources, source = _codes(rows["source"])
+        asked, blobs = told["lang"].to_pylist(), told["blob"].to_pylist()
+        data, offsets = _translated(rows)
+        raw, out = data.tobytes(), []
+        for number, name in enumerate(langs):
+            parts = [_unpack(b) for x, b in zip(asked, blobs) if x == name]
+            if not parts:
                 continue
+            terms = pa.concat_arrays([t for t, _ in parts])
+            terms = terms.take(pa.array(np.argsort(-np.concatenate([n[0] for _, n in parts]), kind="stable")))  # the most frequent first: an automaton looks at its branches in this order
             automaton = Automaton()
-            for number, term in enumerate(terms):
-                automaton.add_word(f" {term.decode('latin-1')} ", number)
+            for place, term in enumerate(terms.to_pylist()):
+                automaton.add_word(f" {term.decode('latin-1')} ", place)
             automaton.make_automaton()
-            counts: dict[str, Counter] = {}
-            for i in own:
-                counts.setdefault(sources[i], Counter()).update(map(itemgetter(1), automaton.iter(f" {texts[i].decode('latin-1')} ")))
-            shard_of = {t: s for s, places in _shards_of(terms, shards).items() for t in places}
-            for source, found in counts.items():
-                by_shard: dict[int, list[int]] = {}
-                for t in sorted(found, key=terms.__getitem__):
-                    by_shard.setdefault(shard_of[t], []).append(t)
-                for shard, some in by_shard.items():
-                    out.append((shard, -1, lang, source, _pack([terms[t] for t in some], [found[t] for t in some])))
+            counts = []
+            for who in np.unique(source[lang == number]).tolist():
+                own = np.flatnonzero((lang == number) & (source == who)).tolist()
+                met = chain.from_iterable(automaton.iter(f" {raw[offsets[i] : offsets[i + 1]].decode('latin-1')} ") for i in own)
+                n = np.bincount(np.fromiter(map(itemgetter(1), met), np.int64), minlength=len(terms))
+                some = np.flatnonzero(n)
+                counts.append((np.full(len(some), who), some, n[some]))
+            who, term, n = (np.concatenate(x) for x in zip(*counts))
+            place = np.empty(len(terms), np.int64)
+            shard_of = np.empty(len(terms), np.int64)
+            for shard, at in _by_shard(terms, shards):
+                place[at], shard_of[at] = np.arange(len(at)), shard
+            order = np.argsort(shard_of[term], kind="stable")
+            bounds = np.searchsorted(shard_of[term][order], np.arange(shards + 1))
+            for shard, at in _by_shard(terms, shards):
+                own = order[bounds[shard] : bounds[shard + 1]]
+                if len(own):
+                    used, local = np.unique(who[own], return_inverse=True)
+                    names = pa.array([sources[i].encode() for i in used.tolist()], pa.binary())
+                    both = pa.concat_arrays([names, terms.take(pa.array(at))])
+                    out.append((shard, len(names), name, _pack(both, local, place[term[own]], n[own])))
         return _sent(out)
 
     return run
@@ -175,24 +232,24 @@ POSTED = pa.schema({"shard": pa.int64(), "lang": pa.string(), "source": pa.strin
 
 def _post(key: tuple, rows: pa.Table) -> pa.Table:
     """The shard's postings; first: on one posting of each term."""
-    counts: dict[tuple[str, str], Counter] = {}
-    for lang, source, blob in zip(rows["lang"].to_pylist(), rows["source"].to_pylist(), rows["blob"].to_pylist()):
-        terms, numbers = _unpack(blob)
-        own = counts.setdefault((lang, source), Counter())
-        for t, n in zip(terms, numbers[0].tolist()):
-            own[t] += n
-    whole: dict[str, Counter] = {}
-    for (lang, _), own in counts.items():
-        whole.setdefault(lang, Counter()).update(own)
-    told: set = set()
-    parts = []
-    for (lang, source), own in sorted(counts.items()):
-        terms = list(own)
-        fresh = [(lang, t) not in told for t in terms]
-        told.update((lang, t) for t in terms)
-        n = len(terms)
-        parts.append(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(([key[0].as_py()] * n, [lang] * n, [source] * n, [t.decode() for t in terms], list(own.values()), [whole[lang][t] for t in terms], fresh), POSTED)], schema=POSTED))
-    return pa.concat_tables(parts) if parts else POSTED.empty_table()
+    langs, lang = _codes(rows["lang"])
+    names_in, blobs, parts = rows["gid"].to_pylist(), rows["blob"].to_pylist(), []
+    for number, name in enumerate(langs):
+        own = np.flatnonzero(lang == number).tolist()
+        found = [(t.slice(names_in[i]), t.slice(0, names_in[i]), numbers) for i, (t, numbers) in ((i, _unpack(blobs[i])) for i in own)]
+        terms, codes = _together([(t, []) for t, _, _ in found])
+        sources, owners = _together([(s, []) for _, s, _ in found])
+        pair = np.concatenate([code[n[1]] * len(sources) + owner[n[0]] for code, owner, (_, _, n) in zip(codes, owners, found)])
+        pair, of = np.unique(pair, return_inverse=True)
+        n = np.zeros(len(pair), np.int64)
+        np.add.at(n, of, np.concatenate([x[2] for _, _, x in found]))
+        term = pair // len(sources)
+        whole = np.zeros(len(terms), np.int64)
+        np.add.at(whole, term, n)
+        first = np.concatenate([[True], term[1:] != term[:-1]])
+        columns = [pa.array(np.full(len(pair), key[0].as_py())), pa.array([name] * len(pair)), sources.take(pa.array(pair % len(sources))).cast(pa.string()), terms.take(pa.array(term)).cast(pa.string()), pa.array(n), pa.array(whole[term]), pa.array(first)]
+        parts.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, POSTED)], schema=POSTED))
+    return pa.concat_tables(parts)
 
 
 #: (source, other source) values of a shard that are worked on at a time.
@@ -249,7 +306,7 @@ def postings(documents: DataFrame, cfg: AuditConfig = AuditConfig()) -> Audit:
     groups, shards = (max(1, math.ceil(total / size)) for size in (cfg.group_bytes, cfg.shard_bytes))
     gid = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), named("source"), text), F.lit(groups)).cast("long").alias("gid")
     rows = documents.select(gid, named("lang"), named("source"), text.alias("t"))
-    sent = "shard long, gid long, lang string, source string, blob binary"
+    sent = "shard long, gid long, lang string, blob binary"
     answers = rows.groupBy("gid").applyInArrow(trimmed(_ask(shards)), sent).groupBy("shard").applyInArrow(trimmed(_answer(cfg.least_documents)), sent)
     counted = rows.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(trimmed_pair(_recount(shards)), sent)
     path = fresh_path(spark, "postings")
