@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
+from ..shared import unused
 
 
 @dataclass(frozen=True)
@@ -110,37 +109,74 @@ def clean_documents(documents: DataFrame, cfg: CleanConfig = CleanConfig(), colu
     return cleaned.withColumn("quality", F.when(some, quality_score("content", cfg.script, education)).otherwise(0.0)).withColumn("hash", F.when(some, text.md5_text("content")))
 
 
-def pack_sentences(sentences: list[str], cfg: ChunkConfig = ChunkConfig()) -> list[str]:
-    """Greedy packing of sentences into chunks; each starts with the longest run of whole closing sentences of the one before
-    that fits the overlap. Blanks between sentences don't count."""
-    chunks: list[str] = []
-    held: list[str] = []
-    size = 0
-    for s in sentences:
-        if held and size + len(s) > cfg.chars:
-            chunks.append(" ".join(held))
-            n, size = 0, 0
-            while n < len(held) and size + len(held[-n - 1]) <= cfg.overlap:
-                n += 1
-                size += len(held[-n])
-            held = held[len(held) - n :]
-        held.append(s)
-        size += len(s)
-    return [*chunks, " ".join(held)] if held else chunks
-
-
-def chunk_documents(cleaned: DataFrame, cfg: ChunkConfig = ChunkConfig(), column: str = "content") -> DataFrame:
-    """A row for each chunk: doc_id, chunk_id, chunk_index, chunk_total, characters, chunk_text.
-
-    The fold runs over Arrow batches: as an expression it would copy its state for every sentence.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [pack_sentences(s, cfg) for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["doc_id", "chunks"])
-
-    sentences = cleaned.select(F.col("doc_id").cast("long").alias("doc_id"), text.split_sentences(column).alias("s"))
-    chunks = sentences.mapInArrow(run, "doc_id long, chunks array<string>")
-    rows = chunks.select("doc_id", F.size("chunks").alias("chunk_total"), F.posexplode("chunks").alias("chunk_index", "chunk_text"))
-    return rows.select("doc_id", F.concat_ws("_", "doc_id", "chunk_index").alias("chunk_id"), "chunk_index", "chunk_total", F.length("chunk_text").alias("characters"), "chunk_text")
+def _first_above(sums: Column, x: Column, low: Column, high: Column) -> Column:
+    """First place in [low, high) at which ascending sums are above x, else high, by bisection."""
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["low"] + s["high"], 1)
+        above = F.get(sums, mid) > x
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(above, s["low"]).otherwise(mid + 1).alias("low"), F.when(above, mid).otherwise(s["high"]).alias("high")))
+
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(high - low, F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(steps, F.struct(low.cast("int").alias("low"), high.cast("int").alias("high")), halve, lambda s: s["low"])
+
+
+def _running(lengths: Column) -> Column:
+    """Prefix sums, by doubling the stretch that each sum covers."""
+    powers = F.filter(F.lit([1 << i for i in range(31)]), lambda p: p < F.size(lengths))
+    return F.aggregate(powers, lengths, lambda acc, p: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - p), F.lit(0))))
+
+
+def packed_sentences(sentences: Column, cfg: ChunkConfig = ChunkConfig()) -> Column:
+    """array<struct<chunk_index, chunk_total, chunk_text>>: greedy packing of sentences into chunks; each starts with the longest run of whole
+    closing sentences of the one before that fits the overlap. Blanks between sentences don't count.
+
+    A chunk is told by its first sentence that is new: where it begins follows from the prefix sums of lengths (the first sentence from
+    which what stands before fits the overlap), and so does where the next one has its first new sentence (the first that exceeds the
+    size). So chunks are a chain of pointers, each found by bisection, and no sentence is looked at one by one."""
+
+    def chain(s: Column, sums: Column) -> Column:
+        n = F.size(s)
+        before = lambda i: F.when(i > 0, F.get(sums, i - 1)).otherwise(0)
+
+        def step(acc: Column, _: Column) -> Column:
+            end = _first_above(sums, before(acc["first"]) + cfg.chars, acc["new"] + 1, n)
+
+            def told(b: Column) -> Column:
+                rest = before(b) - cfg.overlap
+                first = F.when(rest <= 0, F.lit(0)).otherwise(_first_above(sums, rest - 1, F.lit(0), b) + 1)
+                return F.struct(F.concat(acc["made"], F.array(F.struct(acc["first"].alias("first"), b.alias("end")))).alias("made"), first.alias("first"), b.alias("new"))
+
+            return F.when(acc["new"] >= n, acc).otherwise(text.let(end, told))
+
+        none = F.array().cast("array<struct<first:int,end:int>>")
+        zero = F.lit(0)
+        # two chunks in a row hold more new text than a chunk's size without the overlap
+        most = F.least(n, F.floor(2 * before(n) / max(1, cfg.chars - cfg.overlap)).cast("int") + 2) if cfg.chars > cfg.overlap else n
+        ranges = F.aggregate(F.sequence(F.lit(0), most), F.struct(none.alias("made"), zero.alias("first"), zero.alias("new")), step, lambda acc: acc["made"])
+
+        def laid(made: Column) -> Column:
+            return F.transform(
+                made,
+                lambda r, i: F.struct(i.alias("chunk_index"), F.size(made).alias("chunk_total"), F.array_join(F.slice(s, r["first"] + 1, r["end"] - r["first"]), " ").alias("chunk_text")),
+            )
+
+        return text.let(ranges, laid)
+
+    return text.let(sentences, lambda s: text.let(_running(F.transform(s, lambda x: F.length(x))), lambda sums: chain(s, sums)))
+
+
+#: Columns that chunk_documents makes; a document's own of these names give way.
+CHUNK_COLUMNS = ("chunk_id", "chunk_index", "chunk_total", "characters", "chunk_text")
+
+
+def chunk_documents(cleaned: DataFrame, cfg: ChunkConfig = ChunkConfig(), column: str = "content", key: str = "doc_id") -> DataFrame:
+    """A row for each chunk: the document's columns as they are but for the text itself (column), then chunk_id (key_index; null without a key),
+    chunk_index, chunk_total, characters and chunk_text. Documents without a sentence have no chunk."""
+    kept = [c for c in cleaned.columns if c != column and c not in CHUNK_COLUMNS]
+    made, one = unused(cleaned, "chunks"), unused(cleaned, "chunk")
+    # the array is made in a projection of its own: exploding a mere column is compiled. Outer, as else a filter on its size makes it once more
+    whole = cleaned.select(*kept, packed_sentences(text.split_sentences(column), cfg).alias(made))
+    rows = whole.select(*kept, F.explode_outer(made).alias(one)).where(F.col(one).isNotNull())
+    body = F.col(one)["chunk_text"]
+    return rows.select(*kept, F.concat(F.col(key).cast("string"), F.lit("_"), F.col(one)["chunk_index"].cast("string")).alias("chunk_id"), F.col(one)["chunk_index"].alias("chunk_index"), F.col(one)["chunk_total"].alias("chunk_total"), F.length(body).alias("characters"), body.alias("chunk_text"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..shared import unused
 
 
 def fingerprint_groups(rows: DataFrame, fingerprint: Column, key: str, *order: str) -> DataFrame:
@@ -18,14 +19,16 @@ def fingerprint_groups(rows: DataFrame, fingerprint: Column, key: str, *order: s
 def first_copies(rows: DataFrame, fingerprint: Column, *keys: str) -> DataFrame:
     """One row for each fingerprint: that with the smallest keys; of rows with equal keys that with the smallest hash, of repeated rows one.
 
-    Rows without a fingerprint are copies of one another."""
-    order = Window.partitionBy("_fp").orderBy(*keys, F.xxhash64(*(f"`{c}`" for c in rows.columns)))
-    return rows.withColumn("_fp", fingerprint).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_fp", "_n")
+    Rows without a fingerprint are copies of one another. Columns of any name stay as they are."""
+    own, place = unused(rows, "fingerprint"), unused(rows, "place")
+    order = Window.partitionBy(own).orderBy(*(F.col(f"`{k}`") for k in keys), F.xxhash64(*(f"`{c}`" for c in rows.columns)))
+    return rows.withColumn(own, fingerprint).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(own, place)
 
 
 def not_seen(rows: DataFrame, fingerprint: Column, known: DataFrame) -> DataFrame:
-    """rows whose fingerprint is not in the table known (fingerprint) of earlier batches."""
-    return rows.withColumn("_fp", fingerprint).join(known.select(F.col("fingerprint").alias("_fp")), "_fp", "left_anti").drop("_fp")
+    """rows whose fingerprint is not in the table known (fingerprint) of earlier batches. A row without one has not been seen."""
+    own = unused(rows, "fingerprint")
+    return rows.withColumn(own, fingerprint).join(known.select(F.col("fingerprint").alias(own)), own, "left_anti").drop(own)
 
 
 def document_prefix(chars: int, column: str = "text") -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
+from ..shared import unused
+from .running import running_ranks
 
 PARTS = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\\?[^#]*)?"
 
@@ -90,10 +92,19 @@ def candidates(results: DataFrame, cfg: DomainConfig = DomainConfig()) -> DataFr
 
 
 def allowed_by_robots(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """pages (url) without those whose lower-case path starts with a prefix that rules (host, prefix) disallow for its host."""
-    rules = rules.where("prefix <> ''").select(F.col("host").alias("_host"), F.lower("prefix").alias("_prefix"))
+    """pages (url) without those whose lower-case path starts with a prefix that rules (host, prefix) disallow for its host.
+
+    A path is not compared with its host's rules one by one: it is cut to the lengths that these have, few however many rules there are,
+    and what is left meets the rules by equality of host and prefix."""
+    rules = rules.where("prefix <> '' and host is not null").select("host", F.lower("prefix").alias("prefix")).distinct()
+    host_, path_ = unused(pages, "host"), unused(pages, "path")
     own = F.when(path("url") == "", "/").otherwise(F.lower(path("url")))
-    return pages.join(rules, (host("url") == F.col("_host")) & F.startswith(own, F.col("_prefix")), "left_anti")
+    named = pages.withColumn(host_, host("url")).withColumn(path_, own)
+    sizes = rules.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("sizes"))
+    paths = named.select(F.col(host_).alias("host"), F.col(path_).alias("path")).distinct().join(sizes, "host")
+    tries = paths.select("host", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n")).withColumn("prefix", F.col("path").substr(F.lit(1), F.col("n")))
+    blocked = tries.join(rules, ["host", "prefix"], "left_semi").select(F.col("host").alias(host_), F.col("path").alias(path_)).distinct()
+    return named.join(blocked, [host_, path_], "left_anti").select(*(f"`{c}`" for c in pages.columns))
 
 
 def robots_rules(files: DataFrame, host_column: str = "host", body: str = "body") -> DataFrame:
@@ -111,11 +122,11 @@ def robots_rules(files: DataFrame, host_column: str = "host", body: str = "body"
     return files.select(F.col(host_column).alias("host"), F.explode(F.aggregate(lines, start, step, lambda acc: F.array_distinct(acc["found"]))).alias("prefix"))
 
 
-def fetch_waves(urls: DataFrame, per_host: int = 8, order: str = "pos") -> DataFrame:
-    """urls with host and wave: of the URLs of a host at most per_host are fetched in one wave, in order."""
+def fetch_waves(urls: DataFrame, per_host: int = 8, order: str = "pos", each: int = 100_000) -> DataFrame:
+    """urls with host and wave: of the URLs of a host at most per_host are fetched in one wave, in order. A host of any size is dealt to tasks."""
     own = urls.withColumn("host", host("url"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(order, "url"))
-    return own.withColumn("wave", F.floor((place - 1) / per_host).cast("long"))
+    place = unused(own, "place")
+    return running_ranks(own, ["host"], [order, "url"], place, each).withColumn("wave", F.floor((F.col(place) - 1) / per_host).cast("long")).drop(place)
 
 
 def document_type(content_type: Column | str, url: Column | str) -> Column:

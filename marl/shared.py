@@ -44,6 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, stem: str, *more: DataFrame) -> str:
+    """A name that no column of the tables has, in whatever case, so that helpers never clash with a caller's columns."""
+    taken = {c.lower() for d in (df, *more) for c in d.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over the session's cores if it has fewer partitions: a file with one row group is read by one task, whatever its size.
     Inputs with a partition for each core stay as they are."""
