@@ -1,4 +1,6 @@
-"""Exhaustive inner-product search: blocks of queries, of bounded size, against the vectors of every task."""
+"""Exhaustive inner-product search: blocks of queries, of bounded size, against the vectors of every task.
+
+A vector that is null or has a null, infinite or NaN component, or no id, or no corpus where corpora are named, takes no part."""
 
 from __future__ import annotations
 
@@ -18,14 +20,15 @@ from .best import Best, ranked
 BLOCK_BYTES, PRODUCTS = 32 << 20, 4 << 20
 
 
-def _usable(rows: DataFrame, key: str, column: str, name: str, normalize: bool, corpus: str | None) -> DataFrame:
+def usable(rows: DataFrame, key: str, column: str, name: str, normalize: bool, corpus: str | None) -> DataFrame:
     """(name, corpus_id, v): vectors with an id, as doubles, of unit length if asked for (zero vectors stay)."""
     v = F.col(column).cast("array<double>")
     if normalize:
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
         unit = F.transform("v", lambda x: x / F.when(F.col("length") > 0, F.col("length")).otherwise(1.0))
-    own = F.col(corpus).cast("long") if corpus else F.lit(0).cast("long")
-    found = rows.where(f"`{column}` is not null and `{key}` is not null").select(F.col(key).alias(name), own.alias("corpus_id"), v.alias("v"))
+    own = F.col(corpus) if corpus else F.lit(0).cast("long")
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    found = rows.where(F.col(column).isNotNull() & F.col(key).isNotNull() & own.isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(key).alias(name), own.alias("corpus_id"), v.alias("v"))
     return found.withColumn("length", length).select(name, "corpus_id", unit.alias("v")) if normalize else found
 
 
@@ -34,14 +37,14 @@ def _products(block: pa.Table, k: int, digits: int, kind: pa.DataType):
     every = np.array(block["question_id"].to_pylist(), dtype=object)
     corpus = block["corpus_id"].to_numpy()
     groups = {}
-    for dim, own in {(int(d), int(c)) for d, c in zip(lengths, corpus)}:
+    for dim, own in set(zip(lengths.tolist(), corpus.tolist())):
         at = np.flatnonzero((lengths == dim) & (corpus == own))
         groups[dim, own] = (at, block["v"].combine_chunks().take(pa.array(at)).flatten().to_numpy().reshape(-1, dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k, len(every))
         for batch in batches:
-            size, own = batch.column("v").value_lengths().to_numpy(), batch.column("corpus_id").to_numpy()
+            size, own = batch.column("v").value_lengths().to_numpy(), batch.column("corpus_id").to_numpy(zero_copy_only=False)
             for (dim, mine), (of, queries) in groups.items():
                 rows = np.flatnonzero((size == dim) & (own == mine))
                 step = max(1, PRODUCTS // len(of))
@@ -65,8 +68,8 @@ def search(
 ) -> DataFrame:
     """(question_id, passage_id, score, rank): the k largest inner products of each query, ties by id. Only vectors of one length, and of one
     corpus where a column of corpora is named, are compared. normalize: vectors of unit length, so that products are cosines."""
-    asked = cut(_usable(queries, query_key or key, column, "question_id", normalize, corpus))
-    known = _usable(vectors, key, column, "passage_id", normalize, corpus)
+    asked = cut(usable(queries, query_key or key, column, "question_id", normalize, corpus))
+    known = usable(vectors, key, column, "passage_id", normalize, corpus)
     total = asked.agg(F.sum(8 * F.size("v"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     schema = StructType([asked.schema["question_id"], known.schema["passage_id"]]).add("score", "double")
@@ -75,5 +78,6 @@ def search(
     for i in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i).toArrow()
         part = known.mapInArrow(_products(block, k, digits, kind), schema) if block.num_rows else asked.sparkSession.createDataFrame([], schema)
+        part = cut(part) if blocks > 1 else part  # k hits of a query and task: the block itself is let go
         hits = part if hits is None else hits.unionByName(part)
     return ranked(hits, k)

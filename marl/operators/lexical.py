@@ -4,6 +4,8 @@ The index has one row for each passage: its size, its distinct terms and their c
 texts without an exchange, can be kept as Parquet, and all statistics follow from it. A search sends the weighted terms of
 the questions, in blocks of bounded size, to the tasks that read the index; each task keeps the k best passages of every
 question. Passages and questions may belong to corpora: statistics are those of a corpus, and questions see their own only.
+
+A passage or question without an id, or without a corpus where corpora are named, takes no part. Null and empty texts have no terms.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text
 from ..shared import cut, look_up
@@ -37,8 +39,8 @@ class Bm25Config:
 
 def passages(rows: DataFrame, key: str, column: str, corpus: str | None = None) -> DataFrame:
     """(corpus_id, passage_id, terms); without a column of corpora all passages are one corpus, 0."""
-    own = F.col(corpus).cast("long") if corpus else F.lit(0).cast("long")
-    return rows.select(own.alias("corpus_id"), F.col(key).alias("passage_id"), text.tokens(column).alias("terms"))
+    own = F.col(corpus) if corpus else F.lit(0).cast("long")
+    return rows.where(F.col(key).isNotNull() & own.isNotNull()).select(own.alias("corpus_id"), F.col(key).alias("passage_id"), text.tokens(column).alias("terms"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +58,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def index(rows: DataFrame, path: str | None = None) -> DataFrame:
     """(corpus_id, passage_id, size, terms, counts) of passages(), written to path, or to the shared folder for as long as the session lasts."""
-    schema = StructType([StructField("corpus_id", LongType()), rows.schema["passage_id"], StructField("size", IntegerType()), StructField("terms", ArrayType(StringType())), StructField("counts", ArrayType(IntegerType()))])
+    schema = StructType([rows.schema["corpus_id"], rows.schema["passage_id"], StructField("size", IntegerType()), StructField("terms", ArrayType(StringType())), StructField("counts", ArrayType(IntegerType()))])
     made = rows.mapInArrow(_counted, schema)
     if path is None:
         return cut(made)
@@ -83,8 +85,8 @@ def inverse_frequencies(indexed: DataFrame, cfg: Bm25Config = Bm25Config()) -> D
 
 def weights(questions: DataFrame, indexed: DataFrame, cfg: Bm25Config = Bm25Config()) -> DataFrame:
     """(corpus_id, term, question_id, weight, mean_size): what a question's terms weigh in its corpus. questions: (question_id, question[, corpus_id])."""
-    own = F.col("corpus_id").cast("long") if "corpus_id" in questions.columns else F.lit(0).cast("long")
-    asked = questions.select(own.alias("corpus_id"), "question_id", F.explode(text.tokens("question")).alias("term")).groupBy("corpus_id", "term", "question_id").agg(F.count("*").alias("times"))
+    own = F.col("corpus_id") if "corpus_id" in questions.columns else F.lit(0).cast("long")
+    asked = questions.where(F.col("question_id").isNotNull() & own.isNotNull()).select(own.alias("corpus_id"), "question_id", F.explode(text.tokens("question")).alias("term")).groupBy("corpus_id", "term", "question_id").agg(F.count("*").alias("times"))
     known = inverse_frequencies(indexed, cfg)
     return asked.join(known, ["corpus_id", "term"]).select("corpus_id", "term", "question_id", (F.col("times") * F.col("idf")).alias("weight"), "mean_size")
 
@@ -107,8 +109,9 @@ def _scored(block: pa.Table, k: int, digits: int | None, cfg: Bm25Config, kind:
             ids, lists = batch.column("passage_id"), batch.column("terms")
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             code = pc.fill_null(pc.index_in(lists.flatten(), value_set=dictionary), -1).to_numpy()
-            own = np.searchsorted(corpora, batch.column("corpus_id").to_numpy())
-            own[(corpora[np.minimum(own, len(corpora) - 1)] != batch.column("corpus_id").to_numpy())] = -1
+            theirs = batch.column("corpus_id").to_numpy(zero_copy_only=False)
+            own = np.searchsorted(corpora, theirs)
+            own[corpora[np.minimum(own, len(corpora) - 1)] != theirs] = -1
             asked = np.flatnonzero((code >= 0) & (own[row] >= 0))
             wanted = own[row[asked]] * len(dictionary) + code[asked]
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -136,7 +139,8 @@ def _scored(block: pa.Table, k: int, digits: int | None, cfg: Bm25Config, kind:
 def search(questions: DataFrame, indexed: DataFrame, k: int, digits: int | None = 6, cfg: Bm25Config = Bm25Config()) -> DataFrame:
     """(question_id, passage_id, score, rank): the k best passages with a positive score of each question, ties by passage_id.
 
-    Tasks hold the weights of one block of questions; more questions make more blocks, each one more pass over the index."""
+    Tasks hold the weights of one block of questions, and so does the driver: more questions make more blocks, each one more pass over the
+    index, which is over and written before the next block is read."""
     found = cut(weights(questions, indexed, cfg))
     blocks = max(1, -(-found.count() // cfg.block))
     schema = StructType([questions.schema["question_id"], indexed.schema["passage_id"]]).add("score", "double")
@@ -145,6 +149,7 @@ def search(questions: DataFrame, indexed: DataFrame, k: int, digits: int | None
     for i in range(blocks):
         block = found.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i).toArrow()
         part = indexed.mapInArrow(_scored(block, k, digits, cfg, kind), schema) if block.num_rows else found.sparkSession.createDataFrame([], schema)
+        part = cut(part) if blocks > 1 else part  # k hits of a question and task: the block itself is let go
         hits = part if hits is None else hits.unionByName(part)
     return ranked(hits, k)
 
