@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import clean, dedup, dense, fusion, lexical, urls
 from ..sources import html
-from ..shared import cut
+from ..shared import SMALL_ROWS, cut
 
 
 @dataclass(frozen=True)
@@ -25,11 +26,36 @@ class AnswerConfig:
     domains: urls.DomainConfig = field(default_factory=urls.DomainConfig)
 
 
-def ingest_pages(pages: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
-    """Allowed pages as documents: cheap URL rules first, then extraction, validation, score and first-copy deduplication."""
-    allowed = pages.withColumn("url", urls.normalize_url("url")).where(urls.is_allowed("url", cfg.domains))
-    found = cut(html.extract_pages(allowed).where(text.is_valid_content("content")))
-    unique = dedup.first_copies(found, text.sha256_text("content", 1000), "page_id")
+class Counters:
+    """Counts that a run's own plan takes on its way (Dataset.observe). They are there once the run is over: counts() waits for it."""
+
+    def __init__(self) -> None:
+        self.observed: dict[str, Observation] = {}
+
+    def seen(self, rows: DataFrame, stage: str, **counts) -> DataFrame:
+        self.observed[stage] = Observation(f"{stage}-{uuid.uuid4().hex}")
+        return rows.observe(self.observed[stage], *(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in counts.items()))
+
+    def counts(self) -> dict[str, int]:
+        return {n: v for o in self.observed.values() for n, v in o.get.items()}
+
+
+def ingest_pages(pages: DataFrame, cfg: AnswerConfig = AnswerConfig(), counters: Counters | None = None) -> DataFrame:
+    """Allowed pages as documents: cheap URL rules first, then extraction, validation, score and first-copy deduplication.
+
+    pages: (page_id, url, html) and whatever else is known of them, which stays. A column corpus_id says to whose search a page belongs (a
+    question's, say): copies are then looked for within a corpus, and a page that several searches found is a document of each.
+    counters: takes the counts of the run from its own plan, without another pass."""
+    seen = counters.seen if counters else lambda rows, *_, **__: rows
+    normal = seen(pages.withColumn("url", urls.normalize_url("url")), "pages", pages=F.count("*"), without_url=F.count_if(F.col("url") == ""))
+    allowed = seen(normal.where(urls.is_allowed("url", cfg.domains)), "allowed", allowed=F.count("*"))
+    extracted = seen(html.extract_pages(allowed), "extracted", characters=F.sum(F.length("content")), empty=F.count_if(F.col("content") == ""))
+    found = cut(seen(extracted.where(text.is_valid_content("content")), "valid", valid=F.count("*")))
+    copy = text.sha256_text("content", 1000)
+    if "corpus_id" in pages.columns:
+        copy = F.concat_ws("|", F.col("corpus_id").cast("string"), copy)
+    unique = seen(dedup.first_copies(found, copy, "page_id"), "unique", documents=F.count("*"))
+    made = ("page_id", "doc_id", "url", "title", "source_score", "content_hash", "content_length", "content")
     return unique.select(
         "page_id",
         text.document_id("url", "content").alias("doc_id"),
@@ -39,13 +65,23 @@ def ingest_pages(pages: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataFr
         text.sha256_text("content", 15_000).alias("content_hash"),
         F.length("content").alias("content_length"),
         "content",
+        *(f"`{c}`" for c in unique.columns if c not in made),
     )
 
 
-def chunk_table(documents: DataFrame, cfg: AnswerConfig = AnswerConfig()) -> DataFrame:
-    """Unique chunks of cleaned documents (doc_id, text); of equal chunks the first one of the smallest doc_id stays."""
-    chunks = clean.chunk_documents(clean.clean_documents(documents, cfg.cleaning), cfg.chunking)
-    return cut(dedup.first_copies(chunks, dedup.chunk_hash(), "doc_id", "chunk_index"))
+def chunk_table(documents: DataFrame, cfg: AnswerConfig = AnswerConfig(), column: str = "text") -> DataFrame:
+    """Unique chunks of cleaned documents (doc_id of any type, a text column, and whatever else, which stays: url, title and corpus_id among
+    it); of equal chunks, within a corpus if there are corpora, the first one of the smallest doc_id stays. ingest_pages gives documents
+    whose text is the column content."""
+    cleaned = clean.clean_documents(documents, cfg.cleaning, column)
+    others = [c for c in documents.columns if c not in (column, "content", "quality", "hash")]
+    chunks = clean.chunk_documents(cleaned.select("content", *(f"`{c}`" for c in others)), cfg.chunking)
+    copy = dedup.chunk_hash()
+    if "corpus_id" in others:
+        copy = F.concat_ws("|", F.col("corpus_id").cast("string"), copy)
+        # a document may be in several corpora: its chunks are told apart by theirs
+        chunks = chunks.withColumn("chunk_id", F.concat_ws("/", F.col("corpus_id").cast("string"), "chunk_id"))
+    return cut(dedup.first_copies(chunks, copy, "doc_id", "chunk_index"))
 
 
 def hits(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", indexed: DataFrame | None = None) -> DataFrame:
@@ -68,11 +104,17 @@ def hits(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConf
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", indexed: DataFrame | None = None) -> DataFrame:
-    """The best chunks of each question, reranked by the overlap of their terms with the question's. What is found is small (cfg.retrieved for
-    each question) and is joined to the texts by its ids."""
-    found = hits(questions, chunks, cfg, strategy, indexed)
-    texts = chunks.select(F.col("chunk_id").alias("passage_id"), "doc_id", "chunk_text")
-    return fusion.rerank(found.join(texts, "passage_id").join(questions.select("question_id", "question"), "question_id"), lexical.token_overlap("question", "chunk_text"), cfg.reranked)
+    """The best chunks of each question with all their columns, reranked by the overlap of their terms with the question's.
+
+    What is found is bounded: cfg.retrieved hits a question, told by their ids. Where these are few (shared.SMALL_ROWS, counted), they go to the
+    chunks' texts, which are then not exchanged; otherwise the texts come to them."""
+    found = cut(hits(questions, chunks, cfg, strategy, indexed))
+    few = F.broadcast if found.count() <= SMALL_ROWS else lambda df: df
+    texts = chunks.drop("embedding").withColumnRenamed("chunk_id", "passage_id")
+    clashing = [c for c in texts.columns if c in ("question_id", "question", "score", "rank")]
+    joined = texts.drop(*clashing).join(few(found), "passage_id")
+    asked = questions.select("question_id", "question")
+    return fusion.rerank(joined.join(asked, "question_id"), lexical.token_overlap("question", "chunk_text"), cfg.reranked)
 
 
 def answer_context(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25") -> DataFrame:
@@ -82,6 +124,21 @@ def answer_context(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig =
     return fusion.contexts(packed, "question_id", ["rank"], "chunk_text")
 
 
+def answer_pages(questions: DataFrame, pages: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25") -> DataFrame:
+    """(question_id, n_hits, context, sources, fallback) of every question, from pages as they were fetched to the evidence for an answer.
+
+    pages: (page_id, url, html), and with a column corpus_id (the questions have it, too) the search that found each: every question then
+    has an index of its own pages, with their statistics. sources: array<struct<rank, title, url, source, type, score>>, the first hit of each
+    URL among the evidence. fallback: the fixed answer where there is no evidence, or none that fits the budget."""
+    documents = ingest_pages(pages, cfg)
+    chunks = chunk_table(documents.select("doc_id", "url", "title", "source_score", "content", *(c for c in ("corpus_id",) if c in documents.columns)), cfg, "content")
+    found = cut(retrieve(questions, chunks, cfg, strategy))
+    context = fusion.contexts(fusion.packed_hits(found, "question_id", ["rank"], "chunk_text", cfg.budget), "question_id", ["rank"], "chunk_text")
+    told = with_fallback(questions.select("question_id"), found, context)
+    cited = fusion.citations(found.withColumn("source", urls.host("url")).withColumn("type", F.lit("web")), "question_id", ["rank"], "url")
+    return told.join(fusion.sources(cited, "question_id", ("rank", "title", "url", "source", "type")), "question_id", "left")
+
+
 def collection_report(pages: DataFrame) -> DataFrame:
     """One row of counts over pages with the boolean columns allowed, robots_allowed, cached, fetched and collected: what became of search results."""
     tried = F.col("allowed") & F.col("robots_allowed") & ~F.col("cached")

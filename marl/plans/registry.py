@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import clean, dedup, dense, fusion, lexical, understand, urls
+from ..operators import cells, clean, dedup, dense, fusion, lexical, postings, understand, urls
 from ..sources import html, pdf
 from ..streaming import state
 from . import pipeline, twins
@@ -55,6 +55,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
+_LABELS = understand.lexicon.BLOCK_LABELS
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -334,7 +335,7 @@ def document_type(spark, sf_dir):
 
 @query(f"WITH {twins.extracted()} SELECT page_id, url, title, content FROM extracted")
 def html_extract(spark, sf_dir):
-    return html.extract_pages(table(spark, sf_dir, "pages"))
+    return html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 _VALID = f"length(content) BETWEEN 250 AND 600000 AND length(content) - length(regexp_replace(content, '[{twins.LATIN}{twins.ARABIC}]', '', 'g')) >= 100"
@@ -559,14 +560,16 @@ def rerank_top4(spark, sf_dir):
     return fusion.rerank(hits, lexical.token_overlap("question", "text")).select("question_id", "passage_id", "score", "rank")
 
 
-@query(_bm25(f"""SELECT b.question_id, coalesce(n, 0) AS n_hits, CASE WHEN n IS NULL THEN {twins.q(pipeline.NO_EVIDENCE)} WHEN coalesce(chars, 0) = 0 THEN {twins.q(pipeline.NO_CONTEXT)} END AS fallback
-  FROM asked_items b LEFT JOIN (SELECT question_id, count(*) AS n, max(CASE WHEN rank = 1 THEN CASE WHEN length({twins.strip('text')}) BETWEEN 1 AND 12000 AND length(text) <= 12000 THEN length(text) END END) AS chars
-  FROM hits JOIN documents ON passage_id = doc_id GROUP BY question_id) USING (question_id)"""))
+@query(_bm25(f"""SELECT b.question_id, coalesce(n, 0) AS n_hits, CASE WHEN n IS NULL THEN {twins.q(pipeline.NO_EVIDENCE)} WHEN coalesce(packed, 0) = 0 THEN {twins.q(pipeline.NO_CONTEXT)} END AS fallback
+  FROM asked_items b LEFT JOIN (SELECT question_id, count(*) AS n FROM hits GROUP BY question_id) USING (question_id)
+  LEFT JOIN (SELECT question_id, count(*) AS packed FROM (SELECT question_id, sum(length(text)) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM (
+    SELECT question_id, rank, text FROM hits JOIN documents ON passage_id = doc_id WHERE question_id % 3 <> 1 AND {twins.strip('text')} <> '' QUALIFY row_number() OVER (PARTITION BY question_id, md5(text) ORDER BY rank) = 1)) WHERE total <= 12000 GROUP BY question_id) USING (question_id)"""))
 def answer_fallback(spark, sf_dir):
-    """Contexts of the best hit only, so that a text beyond the budget leaves a question without one."""
+    """All hits of every question are packed; those of every third question are blank, so that it is left without a context."""
     hits = cut(_lexical(spark, sf_dir, 20))
-    first = hits.where("rank = 1").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text"), "passage_id")
-    context = fusion.contexts(fusion.packed_hits(first, "question_id", ["rank"], "text"), "question_id", ["rank"], "text")
+    texts = hits.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text"), "passage_id")
+    texts = texts.withColumn("text", F.when(F.col("question_id") % 3 == 1, F.lit(" \n ")).otherwise(F.col("text")))
+    context = fusion.contexts(fusion.packed_hits(texts, "question_id", ["rank"], "text"), "question_id", ["rank"], "text")
     return pipeline.with_fallback(items(spark, sf_dir), hits, context).select("question_id", "n_hits", "fallback")
 
 
@@ -585,14 +588,14 @@ def context_pack(spark, sf_dir):
   SELECT lang, count(*) AS n_texts, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS context_md5 FROM packed GROUP BY lang""")
 def context_pack_default(spark, sf_dir):
     """The documents of each language as the hits of one question, within the default budget."""
-    packed = fusion.packed_hits(table(spark, sf_dir, "documents"), "lang", ["doc_id"], "text")
+    packed = fusion.packed_groups(table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), "lang", ["doc_id"], "text")
     return fusion.contexts(packed, "lang", ["doc_id"], "text").select("lang", F.col("n_texts").cast("long").alias("n_texts"), text.md5_text("context").alias("context_md5"))
 
 
 @query(
     _bm25(
         f"""SELECT question_id, rank, block_md5 FROM (SELECT question_id, rank, md5(block) AS block_md5, sum(length(block)) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM (
-  SELECT question_id, rank, chr(10) || '[' || rank || ']' || chr(10) || 'المصدر:' || chr(10) || source || chr(10) || 'العنوان:' || chr(10) || lang || chr(10) || 'المحتوى:' || chr(10) || {twins.squeeze('text')} || chr(10) AS block
+  SELECT question_id, rank, chr(10) || '[' || rank || ']' || chr(10) || '{_LABELS[0]}' || chr(10) || source || chr(10) || '{_LABELS[1]}' || chr(10) || lang || chr(10) || '{_LABELS[2]}' || chr(10) || {twins.squeeze('text')} || chr(10) AS block
   FROM hits JOIN documents ON passage_id = doc_id WHERE rank <= 5 AND {twins.squeeze('text')} <> '')) WHERE total <= 12000"""
     ), ranked=True)
 def context_blocks(spark, sf_dir):
@@ -737,6 +740,99 @@ def answer_context(spark, sf_dir):
     return pipeline.answer_context(questions, chunks, LATIN_ANSWER, "hybrid")
 
 
+def _pages_answers(page_corpus: str, item_corpus: str) -> str:
+    script, (noise, words) = twins.LATIN, LATIN_CLEAN.lists()
+    own = f"list_distinct({twins.tokens('question')})"
+    overlap = f"round(CASE WHEN len({own}) > 0 THEN len(list_intersect({own}, list_distinct({twins.tokens('chunk_text')}))) / len({own})::DOUBLE ELSE 0 END, 6)"
+    return f"""WITH RECURSIVE allowed AS (SELECT * FROM (SELECT page_id, url, html, {_HOST} AS host FROM (SELECT page_id, html, {_NORMAL} AS url FROM pages)) WHERE {_ALLOWED}), {twins.extracted('allowed')},
+  one AS (SELECT *, {page_corpus} AS corpus FROM extracted WHERE {_VALID} QUALIFY row_number() OVER (PARTITION BY {page_corpus}, sha256(substr(content, 1, 1000)) ORDER BY page_id) = 1),
+  ingested AS MATERIALIZED (SELECT corpus, concat(corpus, '/', sha256(url || substr(content, 1, 500))) AS doc_id, url, title, content AS text FROM one),
+  {twins.cleaned('ingested', script, tuple(noise), tuple(words))}, {twins.chunked()},
+  uniq AS MATERIALIZED (SELECT corpus, concat(doc_id, '_', chunk_index) AS passage_id, url, title, chunk_text, {twins.tokens('chunk_text')} AS terms FROM chunks JOIN ingested USING (doc_id)
+    QUALIFY row_number() OVER (PARTITION BY corpus, md5({twins.strip('chunk_text')}) ORDER BY doc_id, chunk_index) = 1),
+  asked_items AS (SELECT item_id AS question_id, text AS question, {item_corpus} AS corpus FROM benchmark),
+  {twins.bm25_in_corpora('uniq', 'asked_items', 20)},
+  best AS (SELECT * FROM (SELECT question_id, passage_id, url, title, chunk_text, overlap, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, rank, passage_id) AS rank FROM (
+    SELECT h.*, u.url, u.title, u.chunk_text, {overlap} AS overlap FROM hits h JOIN uniq u USING (passage_id) JOIN asked_items USING (question_id))) WHERE rank <= 4),
+  packed AS (SELECT *, sum(length(chunk_text)) OVER (PARTITION BY question_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM best WHERE {twins.strip('chunk_text')} <> '' QUALIFY total <= 12000),
+  context AS (SELECT question_id, md5(string_agg(chunk_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM packed GROUP BY question_id),
+  cited AS (SELECT question_id, count(*) AS n_sources, md5(string_agg(concat_ws('|', rank, title, url, {_HOST}, 'web', printf('%.4f', round_even(overlap, 4))), ';' ORDER BY rank)) AS sources_md5 FROM (
+    SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY question_id, url ORDER BY rank) = 1) GROUP BY question_id)
+  SELECT question_id, coalesce(n, 0) AS n_hits, coalesce(context_md5, md5('')) AS context_md5, n_sources, sources_md5, CASE WHEN n IS NULL THEN {twins.q(pipeline.NO_EVIDENCE)} WHEN context_md5 IS NULL THEN {twins.q(pipeline.NO_CONTEXT)} END AS fallback
+  FROM asked_items LEFT JOIN (SELECT question_id, count(*) AS n FROM best GROUP BY question_id) USING (question_id) LEFT JOIN context USING (question_id) LEFT JOIN cited USING (question_id)"""
+
+
+def _told_pages(found: DataFrame) -> DataFrame:
+    entries = F.transform("sources", lambda s: F.concat_ws("|", s["rank"].cast("string"), s["title"], s["url"], s["source"], s["type"], F.format_string("%.4f", s["score"])))
+    return found.select("question_id", "n_hits", text.md5_text("context").alias("context_md5"), F.when(F.col("sources").isNotNull(), F.size("sources")).cast("long").alias("n_sources"), text.md5_text(F.array_join(entries, ";")).alias("sources_md5"), "fallback")
+
+
+@query(_pages_answers("0", "0"))
+def answer_pages(spark, sf_dir):
+    """From pages as they were fetched to contexts with their sources: benchmark texts as questions over one corpus of all pages."""
+    return _told_pages(pipeline.answer_pages(items(spark, sf_dir), table(spark, sf_dir, "pages"), LATIN_ANSWER))
+
+
+@query(_pages_answers("page_id % 7", "item_id % 7"))
+def answer_pages_by_corpus(spark, sf_dir):
+    """The same with seven searches: a question sees the pages of its own search only, and their statistics."""
+    asked_ = items(spark, sf_dir).withColumn("corpus_id", F.col("question_id") % 7)
+    return _told_pages(pipeline.answer_pages(asked_, table(spark, sf_dir, "pages").withColumn("corpus_id", F.col("page_id") % 7), LATIN_ANSWER))
+
+
+# Pruned searches, streams with state, and counters
+
+
+@query(_bm25("SELECT * FROM hits"), ranked=True)
+def bm25_pruned_topk(spark, sf_dir):
+    """The rows of bm25_topk from an inverted index of which only blocks that can hold a hit are read."""
+    return postings.search(items(spark, sf_dir), postings.build(lexical.passages(table(spark, sf_dir, "documents"), "doc_id", "text")), 20).hits
+
+
+@query(f"WITH {_dense('a.vec_id % 50 = 0', 20)} SELECT * FROM dense", ranked=True)
+def dense_cells_topk(spark, sf_dir):
+    """The rows of dense_topk from a persisted index of cells of which only those that can hold a hit are read."""
+    e = table(spark, sf_dir, "embeddings")
+    return cells.search(e.where("vec_id % 50 = 0"), cells.build(e), 20).hits
+
+
+@query("""WITH b AS (SELECT user_id, event_type, CAST(floor(epoch(ts) / 432000) AS BIGINT) AS slice FROM events GROUP BY ALL),
+  n AS (SELECT slice, row_number() OVER (ORDER BY slice) AS batch FROM (SELECT DISTINCT slice FROM b)),
+  k AS (SELECT user_id, event_type, batch FROM b JOIN n USING (slice)),
+  told AS (SELECT user_id, event_type, min(batch) AS batch FROM k GROUP BY ALL),
+  later AS (SELECT t.user_id, t.event_type, min(k.batch) AS batch FROM told t JOIN k USING (user_id, event_type) WHERE k.batch > t.batch + 3 GROUP BY ALL)
+  SELECT sha256(concat(user_id, '|', event_type)) AS fingerprint, CAST(n.slice * 432000 AS BIGINT) AS at FROM (SELECT * FROM told UNION ALL SELECT * FROM later) JOIN n USING (batch)""")
+def stream_unseen_events(spark, sf_dir):
+    """The events in micro-batches of five days, each dated by its first day: a user's kind of event is told again once its state is gone, which
+    is when the watermark, five days behind, has passed its five days."""
+    events = table(spark, sf_dir, "events").select(F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 432_000) * 432_000).alias("ts"), text.sha256_text(F.concat_ws("|", "user_id", "event_type")).alias("fingerprint"))
+    stream = state.replay(events, "ts", "5 days", fresh_path(spark, "replay"))
+    return state.run_once(state.unseen(stream, "fingerprint", "ts", "5 days"), fresh_path(spark, "stream")).select("fingerprint", F.unix_seconds("ts").alias("at"))
+
+
+@query("""WITH m AS (SELECT user_id, epoch_ms(ts) AS ms, lag(epoch_ms(ts)) OVER w AS before, lead(epoch_ms(ts)) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  x AS (SELECT user_id, CASE WHEN ms - before < 36000000 THEN 'hit' ELSE 'miss' END AS what FROM m
+    UNION ALL SELECT user_id, 'expired' FROM m, (SELECT max(epoch_ms(ts)) AS last FROM events) WHERE after - ms >= 36000000 OR (after IS NULL AND ms + 36000000 <= last - 3600000))
+  SELECT user_id, what, count(*) AS n FROM x GROUP BY ALL""")
+def stream_lives(spark, sf_dir):
+    """Requests of users, as micro-batches of five days, that find their value alive or not; values live for ten hours after the last request."""
+    stream = state.replay(table(spark, sf_dir, "events").select("user_id", "ts"), "ts", "5 days", fresh_path(spark, "replay"))
+    told = state.run_once(state.lives(stream, "user_id", "ts", 36_000, "1 hour"), fresh_path(spark, "stream"))
+    return told.groupBy("user_id", "what").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH p AS (SELECT page_id, html, {_NORMAL} AS url FROM pages), allowed AS (SELECT * FROM (SELECT *, {_HOST} AS host FROM p) WHERE {_ALLOWED}), {twins.extracted('allowed')},
+  valid AS (SELECT * FROM extracted WHERE {_VALID})
+  SELECT (SELECT count(*) FROM p) AS pages, (SELECT count(*) FROM p WHERE url = '') AS without_url, (SELECT count(*) FROM allowed) AS allowed, (SELECT CAST(sum(length(content)) AS BIGINT) FROM extracted) AS characters,
+    (SELECT count(*) FROM extracted WHERE content = '') AS empty, (SELECT count(*) FROM valid) AS valid, (SELECT count(DISTINCT sha256(substr(content, 1, 1000))) FROM valid) AS documents""")
+def ingest_counters(spark, sf_dir):
+    """What became of all pages, counted by the run that ingests them."""
+    counters = pipeline.Counters()
+    pipeline.ingest_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), LATIN_ANSWER, counters).write.format("noop").mode("overwrite").save()
+    counts = counters.counts()
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

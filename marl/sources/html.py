@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 DROPPED = frozenset(("script", "style", "nav", "footer", "header", "aside", "form", "noscript", "svg"))
 KEPT = frozenset(("p", "article", "section"))
@@ -74,12 +75,14 @@ def extract(html: str | None, longer_than: int = 50, once: bool = False) -> tupl
 
 
 def extract_pages(pages: DataFrame, once: bool = False) -> DataFrame:
-    """(page_id, url, title, content)."""
+    """pages with title and content in place of html; all other columns stay, a title or content of their own gives way."""
+    kept = [f for f in pages.schema.fields if f.name not in ("html", "title", "content")]
+    schema = StructType([*kept, StructField("title", StringType()), StructField("content", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(h, once=once) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], ["page_id", "url", "title", "content"])
+            found = [extract(h, once=once) for h in batch.column(0).to_pylist()]
+            made = [pa.array([t for t, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [f.name for f in schema])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return rows.mapInArrow(run, "page_id long, url string, title string, content string")
+    return pages.select(F.col("html").cast("string"), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)

@@ -1,4 +1,4 @@
-"""Streams: bounded deduplication, latest values within a time to live, and token streams of language models."""
+"""Streams: bounded deduplication, values with a time to live, and token streams of language models."""
 
 from __future__ import annotations
 
@@ -7,21 +7,39 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
 
+from ..shared import unused
+
 
 def unseen(stream: DataFrame, fingerprint: str, ts: str, delay: str) -> DataFrame:
     """The first row of each fingerprint within the delay; state older than the watermark is dropped."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([fingerprint])
 
 
-def run_once(stream: DataFrame, path: str) -> DataFrame:
+def run_once(stream: DataFrame, path: str, name: str | None = None) -> DataFrame:
     """Drains a stream into Parquet files under path (with its progress beside them) and reads them back."""
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
+    (writer.queryName(name) if name else writer).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def replay(rows: DataFrame, ts: str, every: str, path: str) -> DataFrame:
+    """A table as a stream that brings one slice of time with each micro-batch, in order: rows are written slice by slice under path first.
+
+    every: the width of a slice, a whole number of seconds ("6 hours"). Rows without a time are left out: no watermark can judge them."""
+    spark = rows.sparkSession
+    seconds = spark.range(1).select(F.expr(f"unix_seconds(timestamp'1970-01-01 00:00:00Z' + interval {every})")).first()[0]
+    dated = rows.where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
+    slice_ = unused(rows, "slice")
+    dated.withColumn(slice_, F.floor(F.unix_micros(ts) / (seconds * 1_000_000))).repartition(slice_).write.partitionBy(slice_).parquet(f"{path}/slices")
+    slices = [r[0] for r in spark.read.parquet(f"{path}/slices").select(slice_).distinct().orderBy(slice_).collect()]  # one number for each micro-batch to come
+    for i, value in enumerate(slices):  # files are read in the order in which they were finished
+        spark.read.schema(dated.schema).parquet(f"{path}/slices/{slice_}={value}").coalesce(1).write.mode("append").parquet(f"{path}/batches")
+    return spark.readStream.schema(dated.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/batches")
+
+
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table as a stream of files: a file, or a folder of files, named name.parquet."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -37,6 +55,59 @@ def latest_within(rows: DataFrame, key: str, ts: str, tie: str, seconds: int, no
     return newest.crossJoin(F.broadcast(last)).where(F.col(ts) > F.col("_last") - F.make_dt_interval(secs=F.lit(seconds))).drop("_last")
 
 
+class _Lives(StatefulProcessor):
+    """One value of a key: when it was last renewed."""
+
+    def __init__(self, key: str, millis: int) -> None:
+        self.key, self.millis = key, millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+
+    def _told(self, key: tuple, at: list[int], what: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(at), "at_ms": at, "what": what})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = self.last.get()[0] if self.last.exists() else None
+        if before is not None:
+            self.handle.deleteTimer(before + self.millis)
+        at, what = [], []
+        for now in sorted(int(x) for batch in rows for x in batch["at_ms"]):
+            if before is not None and now - before >= self.millis:
+                at.append(before)
+                what.append("expired")
+                before = None
+            at.append(now)
+            what.append("miss" if before is None else "hit")
+            before = now
+        self.last.update((before,))
+        self.handle.registerTimer(before + self.millis)
+        yield self._told(key, at, what)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = self.last.get()[0]
+        self.last.clear()
+        yield self._told(key, [before], ["expired"])
+
+    def close(self) -> None:
+        pass
+
+
+def lives(stream: DataFrame, key: str, ts: str, seconds: int, delay: str) -> DataFrame:
+    """(key, at_ms, what) of a stream of rows that each ask for their key's value and renew it: "hit" where it was younger than the time to live,
+    "miss" where there was none, and "expired", with the time of its last renewal, once for each value that was not renewed in time.
+
+    The state of a key is one number. It goes when the watermark, `delay` behind the latest time, has passed the value's end, so that what is
+    kept follows from the keys of one time to live, not from all that ever came. Rows behind the watermark, and rows without key or time, take
+    no part. Sets the session's state store to RocksDB, which this kind of state asks for."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay).select(F.col(key).alias(key), ts, F.unix_millis(ts).alias("at_ms"))
+    kind = stream.schema[key].dataType.simpleString()
+    return rows.groupBy(key).transformWithStateInPandas(_Lives(key, seconds * 1000), f"{key} {kind}, at_ms long, what string", "Append", "EventTime")
+
+
 def cache_stats(rows: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """One row: what a cache with a time to live holds at the table's last moment: entries, live and expired ones, and rows that found theirs
     live when they came (hits) or did not (misses). An entry lives from its last row on."""
