@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import SMALL_ROWS
 from .common import cut, fresh_path
 from .text import PrefixHash, flat, gather, long_texts, mix, trimmed, trimmed_pair, words_in
 
@@ -295,6 +296,11 @@ class Audit:
 
     groups: DataFrame
     postings: DataFrame
+    #: Whether groups are few enough (SMALL_ROWS, counted) to be broadcast to the postings, which then are not exchanged by source.
+    few: bool
+
+    def met(self, groups: DataFrame) -> DataFrame:
+        return self.postings.join(F.broadcast(groups) if self.few else groups, ["lang", "source"])
 
 
 def postings(documents: DataFrame, cfg: AuditConfig = AuditConfig()) -> Audit:
@@ -317,7 +323,8 @@ def postings(documents: DataFrame, cfg: AuditConfig = AuditConfig()) -> Audit:
     sums = posted.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     found = documents.select(named("lang"), named("source")).distinct().join(sums, ["lang", "source"], "left").join(width, "lang", "left")
-    return Audit(cut(found.select("lang", "source", zero("total"), zero("terms"), zero("kept"))), posted)
+    found = cut(found.select("lang", "source", zero("total"), zero("terms"), zero("kept")))
+    return Audit(found, posted, found.count() <= SMALL_ROWS)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -341,7 +348,7 @@ def pairs(found: Audit) -> DataFrame:
     same = cut(found.postings.groupBy("lang", "source", "n").agg(F.count("*").alias("many")))
     mine = every.join(same, ["lang", "source"]).select("lang", "source", "item", (F.col("many") * weight(share(F.col("n"), F.col("ls"), F.col("v")), F.col("q0"))).alias("value"))
     theirs = every.join(same.withColumnRenamed("source", "item"), ["lang", "item"]).select("lang", "source", "item", (F.col("many") * weight(F.col("p0"), share(F.col("n"), F.col("lt"), F.col("v")))).alias("value"))
-    sized = found.postings.join(found.groups, ["lang", "source"]).select("shard", "lang", "term", "source", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), share(none, F.col("total"), F.col("kept")).alias("p0"))
+    sized = found.met(found.groups).select("shard", "lang", "term", "source", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), share(none, F.col("total"), F.col("kept")).alias("p0"))
     both = sized.groupBy("shard").applyInArrow(trimmed(_meet), "lang string, source string, item string, value long")
     rest = every.select("lang", "source", "item", F.when(F.col("v") > 0, (F.col("v") - F.col("ts") - F.col("tt")) * weight(F.col("p0"), F.col("q0"))).otherwise(0).alias("value"))
     return mine.unionByName(theirs).unionByName(both).unionByName(rest).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
@@ -350,7 +357,7 @@ def pairs(found: Audit) -> DataFrame:
 def terms(found: Audit) -> DataFrame:
     """(lang, source, item, value): terms that a source uses more than its language does."""
     width = found.groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    used = found.postings.join(found.groups.join(width, "lang"), ["lang", "source"])
+    used = found.met(found.groups.join(width, "lang"))
     shares = used.select("lang", "source", F.col("term").alias("item"), share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"))
     return shares.where("p > q").select("lang", "source", "item", weight(F.col("p"), F.col("q")).alias("value"))
 
