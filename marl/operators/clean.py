@@ -163,7 +163,7 @@ def packed_sentences(sentences: Column, cfg: ChunkConfig = ChunkConfig()) -> Col
 
         return text.let(ranges, laid)
 
-    return text.let(sentences, lambda s: text.let(_running(F.transform(s, lambda x: F.length(x))), lambda sums: chain(s, sums)))
+    return text.let(F.coalesce(sentences, F.array().cast("array<string>")), lambda s: text.let(_running(F.transform(s, lambda x: F.length(x))), lambda sums: chain(s, sums)))
 
 
 #: Columns that chunk_documents makes; a document's own of these names give way.
