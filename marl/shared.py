@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +29,31 @@ def folder(spark: SparkSession) -> str:
     return found.replace("file:/", "file:///") if found.startswith("file:/") and not found.startswith("file://") else found
 
 
+#: Paths of intermediate tables made within the innermost scope.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """All intermediate tables that are made within (by cut and fresh_path) are deleted at its end. What is read from them must be done by
+    then: collected, or written elsewhere. Scopes may lie within each other. Outside of any scope tables stay for as long as the shared folder
+    does, since a DataFrame that was returned may still read them (spark.cleaner.referenceTracking.cleanCheckpoints lets Spark delete those of
+    cut once nothing refers to them)."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    if _scope.get() is not None:
+        _scope.get().append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -41,7 +67,12 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    found = df.checkpoint(eager=True)
+    if _scope.get() is not None:
+        kept = found._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if kept.isDefined():
+            _scope.get().append(kept.get())
+    return found
 
 
 def unused(df: DataFrame, stem: str, *more: DataFrame) -> str:
@@ -81,3 +112,31 @@ def look_up(rows: DataFrame, side: DataFrame, key: str, count: str, total: int,
     cold = side.where(~is_hot(count, total)).drop(count)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(hot, key).unionByName(others.join(cold, key))
+
+
+#: Bits of the set that stands for keys too many to be broadcast themselves: 2 MB, in rows of 64.
+BITS = 1 << 24
+
+
+def leave_out(rows: DataFrame, gone: DataFrame, same: dict[str, Column], small: int = SMALL_ROWS, bits: int = BITS) -> DataFrame:
+    """rows without those that a row of gone matches; same: for each of gone's columns the expression over rows that equals it (nulls equal nulls).
+
+    rows may be wide and are not exchanged where that can be helped: up to `small` keys of gone are broadcast. Beyond, a set of `bits` bits of
+    their hashes is, whatever their number; rows whose bit is not set stay where they are, and only the others meet gone by an exchange."""
+    names = {c: unused(rows, f"gone_{c}") for c in same}
+    gone = cut(gone.select(*(F.col(c).alias(n) for c, n in names.items())).distinct())
+    match = F.lit(True)
+    for c, n in names.items():
+        match = match & same[c].eqNullSafe(F.col(n))
+    if gone.count() <= small:
+        return rows.join(F.broadcast(gone), match, "left_anti")
+    place, mask, word = unused(rows, "place"), unused(rows, "mask"), unused(rows, "word")
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    hashed = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(bits))
+    kinds = {n: gone.schema[n].dataType for n in names.values()}
+    marks = gone.select(hashed([F.col(n) for n in names.values()]).alias(place)).groupBy(F.floor(F.col(place) / 64).alias(word)).agg(F.bit_or(one(F.col(place))).alias(mask))
+    told = rows.withColumn(place, hashed([same[c].cast(kinds[n]) for c, n in names.items()]))
+    told = told.join(F.broadcast(marks), F.floor(F.col(place) / 64) == F.col(word), "left")
+    met = F.coalesce(F.col(mask), F.lit(0).cast("long")).bitwiseAND(one(F.col(place))) != 0
+    columns = [f"`{c}`" for c in rows.columns]
+    return told.where(~met).select(*columns).unionByName(told.where(met).select(*columns).join(gone, match, "left_anti"))

@@ -66,3 +66,28 @@ def test_best_keeps_the_first_of_equals():
     found = best.pick().to_pydict()
     assert list(zip(found["question"], found["score"], found["id"])) == [(0, 2.0, "a"), (0, 2.0, "b"), (1, 5.0, "z")]
     assert Best(3, 1).pick() is None
+
+
+def test_a_scope_deletes_what_was_cut_within(spark):
+    def files():
+        top = shared.folder(spark).removeprefix("file://")
+        return sum(len(names) for _, _, names in os.walk(top))
+
+    before = files()
+    with shared.scope(spark):
+        inner = shared.cut(spark.range(10).repartition(3))
+        path = shared.fresh_path(spark, "kind")
+        inner.write.parquet(path)
+        with shared.scope(spark):
+            assert shared.cut(spark.range(5)).count() == 5
+        assert inner.count() == 10 and files() > before
+    assert files() == before
+
+
+@pytest.mark.parametrize("small, bits", [(100, 1 << 24), (0, 1 << 24), (0, 64)])
+def test_leave_out_with_and_without_an_exchange(spark, small, bits):
+    rows = spark.range(300).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit(1).alias("_place"), F.lit(2).alias("gone_id"))
+    gone = spark.createDataFrame([(1, "t1"), (2, "other"), (None, "t20"), (None, None), (1, "t1"), (299, "t299")], "id long, text string")
+    left = shared.leave_out(rows, gone, {"id": F.col("id"), "text": F.col("text")}, small, bits)
+    assert left.columns == rows.columns and {r.text for r in rows.collect()} - {r.text for r in left.collect()} == {"t1", "t20", "t299"} and left.count() == 297
+    assert shared.leave_out(rows, gone.limit(0), {"id": F.col("id")}, small, bits).count() == 300
