@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import SMALL_ROWS, cut, enough_tasks, fresh_path, look_up, remove, spread
+from ..shared import SMALL_ROWS, cut, enough_tasks, fresh_path, leave_out, look_up, remove, spread
 
-__all__ = ["connected_components", "cut", "enough_tasks", "fresh_path", "local_forest", "look_up", "read_all", "remove", "table"]
+__all__ = ["connected_components", "cut", "enough_tasks", "fresh_path", "leave_out", "local_forest", "look_up", "read_all", "remove", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import cut
+from .common import cut, leave_out
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words of lower-cased text.
@@ -116,7 +116,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, share
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
     """documents without the contaminated ones, with its columns."""
-    bad = contamination(documents.select("doc_id", "text"), benchmark, n, share).where("contaminated").select("doc_id", "text_key").distinct()
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same = [documents["doc_id"].eqNullSafe(bad["doc_id"]), key == bad["text_key"]]
-    return documents.join(bad, same[0] & same[1], "left_anti")
+    bad = contamination(documents.select("doc_id", "text"), benchmark, n, share).where("contaminated").select("doc_id", "text_key")
+    return leave_out(documents, bad, {"doc_id": F.col("doc_id"), "text_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, enough_tasks, local_forest, look_up, read_all
+from .common import connected_components, cut, enough_tasks, leave_out, local_forest, look_up, read_all
 from .text import long_texts, trimmed_batches
 
 #: First bit and width of the segments.
@@ -170,6 +170,5 @@ def components(documents: DataFrame, distance: int = 4) -> DataFrame:
 def near_dedup(documents: DataFrame, distance: int = 4) -> DataFrame:
     """documents with one document of each component: that with the smallest doc_id. A row without doc_id stays, as does a row whose doc_id
     another row of a different component has and which is the smallest of its own; of repeated rows all stay or none."""
-    gone = components(documents.select("doc_id", "text"), distance).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return documents.join(gone, (F.col("doc_id") == F.col("_id")) & (key == F.col("_key")), "left_anti").select(*documents.columns)
+    gone = components(documents.select("doc_id", "text"), distance).where("doc_id <> component_id").select("doc_id", "text_key")
+    return leave_out(documents, gone, {"doc_id": F.col("doc_id"), "text_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})

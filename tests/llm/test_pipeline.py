@@ -69,10 +69,12 @@ def test_against_plain_versions(spark, tmp_path):
 
 
 def test_stages_keep_columns(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, gid int"
+    names = "fp long, gid int, _id long, _key int, key string, part int, w string, h long, own int, copy int, gone_doc_id int, _place int, score double, score_ double"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {names}"
+    more = [None] * len(names.split(", "))
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.createDataFrame([(1, "a b", None, "s", 3, 4, 5), (2, None, "en", None, None, 1, 2), (None, "c d e", "en", None, 5, 1, 2), (None, None, None, None, None, None, None)], schema)
+    docs = spark.createDataFrame([(1, "a b", None, "s", 3, 4, 5, *more[2:]), (2, None, "en", None, None, 1, 2, *more[2:]), (None, "c d e", "en", None, 5, 1, 2, *more[2:]), (None, None, None, None, None, *more)], schema)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert (out.columns, out.count()) == (docs.columns, 4), name
