@@ -41,63 +41,83 @@ class Bits:
         return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
 
 
+#: The lowest bits of a number, as many as the place says.
+BELOW = (np.int64(1) << np.arange(32, dtype=np.int64)) - 1
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """For each 32 places one number: how many ones come before, and the places' own bits below that."""
+    padded = np.zeros(len(bits) + 32 - len(bits) % 32, bool)
+    padded[: len(bits)] = bits
+    words = np.packbits(padded, bitorder="little").view(np.uint32).astype(np.int64)
+    ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+    return (np.concatenate([[0], ones[:-1]]) << 32) | words
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, one bit vector for each bit of the symbols."""
+    """Ranks of symbols in a sequence: a tree of four branches a level, two bits of the symbols each, one bit vector for each branch."""
 
     def __init__(self, symbols: np.ndarray, bits: int) -> None:
         self.levels = []
-        for level in range(bits - 1, -1, -1):
-            bit = (symbols >> level) & 1 == 1
-            self.levels.append((level, Bits(bit), int(len(bit) - bit.sum())))
-            symbols = np.concatenate([symbols[~bit], symbols[bit]])
+        for shift in range(2 * (-(-bits // 2) - 1), -1, -2):
+            digit = (symbols >> shift) & 3
+            branches = [digit == d for d in range(4)]
+            tables = [_packed(x) for x in branches]
+            sizes = np.array([int(x.sum()) for x in branches])
+            self.levels.append((shift, np.concatenate(tables), np.arange(4) * len(tables[0]), np.cumsum(sizes) - sizes))
+            symbols = np.concatenate([symbols[x] for x in branches])
 
     def descend(self, symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Where the place ends up among the symbols ordered by their last bits: for two places, the difference counts the symbol between them."""
-        for level, bits, zeros in self.levels:
-            ones = bits.rank(place)
-            place = np.where((symbols >> level) & 1 == 1, zeros + ones, place - ones)
+        """Where places (in rows, all for the same symbols) end up among the symbols ordered by their last bits: for two places, the difference
+        counts the symbol between them."""
+        for shift, table, base, start in self.levels:
+            digit = (symbols >> shift) & 3
+            entry = table[(place >> 5) + base[digit]]
+            place = (entry >> 32) + np.bitwise_count(entry & BELOW[place & 31])
+            place += start[digit]
         return place
 
 
 class LeastId:
-    """Least values of ranges: those of blocks by doubling, the rest beside them."""
+    """Least values of ranges: each is covered by two stretches of a power of two, which are tabled for every place up to BLOCK and for every
+    BLOCK places beyond."""
 
     BLOCK = 16
 
     def __init__(self, values: np.ndarray) -> None:
-        n, k = len(values), self.BLOCK
-        most = np.iinfo(values.dtype).max
-        self.values = np.append(values, np.full(-n % k + k, most, values.dtype))
-        blocks = self.values.reshape(-1, k)
-        self.left = np.minimum.accumulate(blocks, axis=1).ravel()
-        self.right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        self.levels = [blocks.min(axis=1)]
-        while len(self.levels[-1]) > 1 << (len(self.levels) - 1):
-            half = 1 << (len(self.levels) - 1)
-            now = self.levels[-1].copy()
-            now[:-half] = np.minimum(now[:-half], self.levels[-1][half:])
-            self.levels.append(now)
+        self.kinds, ranks = np.unique(values, return_inverse=True)
+        self.n, k = len(values), self.BLOCK
+        self.near = [ranks.astype(np.int32)]
+        for j in range(k.bit_length() - 1):
+            self.near.append(self._doubled(self.near[-1], 1 << j))
+        self.near = np.concatenate(self.near)
+        self.far = [self.near[-self.n :][::k]]  # of BLOCK places from every BLOCK-th on
+        while len(self.far[-1]) > 1 << (len(self.far) - 1):
+            self.far.append(self._doubled(self.far[-1], 1 << (len(self.far) - 1)))
+
+    @staticmethod
+    def _doubled(least: np.ndarray, by: int) -> np.ndarray:
+        now = least.copy()
+        now[:-by] = np.minimum(now[:-by], least[by:])
+        return now
 
     def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The least value of each [low, high), none of them empty."""
-        k = self.BLOCK
-        a, b = low // k, (high - 1) // k
-        found = np.minimum(self.right[low], self.left[high - 1])
-        within = np.flatnonzero(a == b)
-        if len(within):
-            start, size = low[within], (high - low)[within]
-            widest = int(size.max())
-            place = start[:, None] + np.minimum(np.arange(widest), size[:, None] - 1)
-            found[within] = self.values[place].min(axis=1)
-        between = np.flatnonzero(b - a > 1)
-        if len(between):
-            start, count = a[between] + 1, b[between] - a[between] - 1
+        """The rank, among kinds, of the least value of each [low, high), none of them empty."""
+        size = high - low
+        level = np.minimum(np.frexp(size.astype(np.float32))[1] - 1, self.BLOCK.bit_length() - 1).astype(np.int64)
+        base = level * self.n
+        found = np.minimum(self.near[base + low], self.near[base + high - (np.int64(1) << level)])
+        long = np.flatnonzero(size > 2 * self.BLOCK)
+        if len(long):
+            start, stop = -(-low[long] // self.BLOCK), high[long] // self.BLOCK
+            count = stop - start
             level = np.frexp(count.astype(np.float64))[1] - 1
-            for one in np.unique(level).tolist():
-                own = level == one
-                some = between[own]
-                least = self.levels[one]
-                found[some] = np.minimum(found[some], np.minimum(least[start[own]], least[start[own] + count[own] - (1 << one)]))
+            for one in range(int(level.max(initial=-1)) + 1):
+                own = np.flatnonzero((level == one) & (count > 0))
+                if not len(own):
+                    continue
+                least = self.far[one]
+                found[long[own]] = np.minimum(found[long[own]], np.minimum(least[start[own]], least[stop[own] - (1 << one)]))
         return found
 
 
@@ -119,9 +139,8 @@ class FMIndex:
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Interval of suffixes that begin with the symbol and go on as those of [low, high) do."""
-        base = self.first[symbols] - self.zero[symbols]
-        both = self.tree.descend(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
-        return base + both[: len(low)], base + both[len(low) :]
+        both = self.tree.descend(symbols, np.stack([low, high])) + (self.first[symbols] - self.zero[symbols])
+        return both[0], both[1]
 
     def shorter(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(low, high, length): the suffixes that share the next shorter beginning with those of [low, high), which aren't all."""
@@ -135,9 +154,9 @@ class FMIndex:
         the longest match that begins there with an owner smaller than the stretch's `below`, and the least owner of such matches of full depth
         (else -1)."""
         order = np.argsort(-lengths, kind="stable")
-        start, length, below = starts[order], lengths[order], below[order]
+        start, length, below = starts[order], lengths[order], np.searchsorted(self.owners.kinds, below[order])
         base = (np.cumsum(lengths) - lengths)[order]
-        match, found = np.zeros(int(lengths.sum()), np.int32), np.full(int(lengths.sum()), -1, np.int64)
+        match, found = np.zeros(int(lengths.sum()), np.int32), np.full(int(lengths.sum()), -1, np.int64)  # ids by their rank
         low, high, have = np.zeros(len(order), np.int64), np.full(len(order), self.size), np.zeros(len(order), np.int64)
         for step in range(1, int(length[0]) + 1 if len(length) else 1):
             live = int(np.searchsorted(-length, -step, "right"))  # the longest come first
@@ -165,7 +184,7 @@ class FMIndex:
                 waiting = waiting[have[waiting] > 0]  # a symbol that no earlier owner has matches nothing
                 if len(waiting):
                     low[waiting], high[waiting], have[waiting] = self.shorter(low[waiting], high[waiting])
-        return match, found
+        return match, np.where(found >= 0, self.owners.kinds[found], -1)
 
 
 def _sorted_suffixes(text: np.ndarray, most: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,13 +224,15 @@ def _shorter(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     before, after = np.zeros(n, np.int32), np.full(n, n, np.int32)
     by = np.argsort(common, kind="stable")
     edges = np.searchsorted(common[by], np.arange(depth + 2))
+    smaller = np.zeros(n, bool)
     for value in range(1, depth + 1):
+        smaller[by[edges[value - 1] : edges[value]]] = True
         own = by[edges[value] : edges[value + 1]]
         if len(own):
-            smaller = np.sort(by[: edges[value]])
-            at = np.searchsorted(smaller, own)
-            before[own] = np.where(at > 0, smaller[np.maximum(at - 1, 0)], 0)
-            after[own] = np.where(at < len(smaller), smaller[np.minimum(at, len(smaller) - 1)], n)
+            places = np.flatnonzero(smaller)
+            at = np.searchsorted(places, own)
+            before[own] = np.where(at > 0, places[np.maximum(at - 1, 0)], 0)
+            after[own] = np.where(at < len(places), places[np.minimum(at, len(places) - 1)], n)
     return before, after
 
 
