@@ -1,16 +1,21 @@
 """Question analysis: one chain of expressions gives every question its intent, subject, level, topic, keywords, search
-strings and confidence. The comparison with example sentences is the only join, with a fixed table of their n-grams."""
+strings and confidence. All patterns of all dictionaries are looked for by one automaton in one pass of a question; the
+comparison with example sentences is the only join, with a fixed table of their n-grams."""
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
+from ..shared import unused
 
 
 @dataclass(frozen=True)
@@ -32,49 +37,90 @@ class AnalyzerConfig:
         return list(dict.fromkeys([*words, *map(lexicon.fold, words)])) if self.fold else words
 
 
-def has_any(c: Column, patterns: list[str]) -> Column:
-    # let: the optimizer would put the expression behind c into the lambda, to be evaluated for every pattern
-    return text.let(c, lambda x: F.exists(F.lit(list(dict.fromkeys(patterns))), lambda p: F.contains(x, p)))
+@functools.cache
+def _automaton(patterns: tuple[str, ...]):
+    """An automaton that tells the places of all patterns that end at a letter; a pattern may be listed several times. Made once by a worker."""
+    from ahocorasick import Automaton
 
+    places: dict[str, list[int]] = {}
+    for i, p in enumerate(patterns):
+        places.setdefault(p, []).append(i)
+    found = Automaton()
+    for p, own in places.items():
+        found.add_word(p, own)
+    found.make_automaton()
+    return found
 
-def _listed(patterns: dict[str, list[str]]) -> Column:
-    """A dictionary as one literal, array<struct<key, ways>>."""
-    return F.array(*[F.struct(F.lit(k).alias("key"), F.lit(list(dict.fromkeys(v))).alias("ways")) for k, v in patterns.items()])
 
+@dataclass(frozen=True)
+class Patterns:
+    """The patterns of several dictionaries one after the other: of each dictionary its keys, and of each pattern the place of its key and its
+    weight. What is found in a text is the ascending list of patterns that occur in it."""
 
-def _found(c: Column, patterns: dict[str, list[str]]) -> Column:
-    return text.let(c, lambda x: F.filter(_listed(patterns), lambda e: F.exists(e["ways"], lambda p: F.contains(x, p))))
+    tables: dict[str, dict[str, list[tuple[str, float]]]]
 
+    @functools.cached_property
+    def listed(self) -> list[tuple[str, int, str, float]]:
+        """(dictionary, place of the key, pattern, weight) by number."""
+        return [(name, k, p, w) for name, table in self.tables.items() for k, ways in enumerate(table.values()) for p, w in ways]
 
-def first_key(c: Column, patterns: dict[str, list[str]]) -> Column:
-    """The first key, in the dictionary's order, of which a pattern occurs."""
-    return F.get(_found(c, patterns), F.lit(0))["key"]
+    def find(self, c: Column) -> Column:
+        """array<int>: the numbers of all patterns that a text contains."""
+        patterns = tuple(p for _, _, p, _ in self.listed)
 
+        @F.pandas_udf("array<int>")
+        def numbers(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            met = _automaton(patterns) if patterns else None
+            for batch in texts:
+                yield pd.Series([[] if t is None or met is None else sorted({n for _, own in met.iter(t) for n in own}) for t in batch], dtype=object)
 
-def all_keys(c: Column, patterns: dict[str, list[str]]) -> Column:
-    """All keys of which a pattern occurs, in the dictionary's order."""
-    return F.transform(_found(c, patterns), lambda e: e["key"])
+        return numbers(c)
 
+    def of(self, name: str, found: Column) -> Column:
+        """What was found of one dictionary."""
+        own = [i for i, x in enumerate(self.listed) if x[0] == name]
+        return F.filter(found, lambda n: (n >= own[0]) & (n <= own[-1])) if own else F.array().cast("array<int>")
 
-def votes(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
-    """array<struct<score, at, intent>>: what the rules of each intent add up to; at counts down."""
-    rules = F.array(
-        *[
-            F.struct(F.lit(-i).alias("at"), F.lit(k).alias("intent"), F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in v]).alias("rules"))
-            for i, (k, v) in enumerate(cfg.of(lexicon.INTENTS).items())
-        ]
-    )
+    def keys(self, name: str, found: Column) -> Column:
+        """The keys of one dictionary of which a pattern was found, in its order."""
+        place, names = F.lit([k for _, k, _, _ in self.listed]), F.lit(list(self.tables[name]))
+        return F.transform(F.array_distinct(F.transform(self.of(name, found), lambda n: F.get(place, n))), lambda k: F.get(names, k))
+
+    def first_key(self, name: str, found: Column) -> Column:
+        return F.get(self.keys(name, found), F.lit(0))
+
+    def any(self, name: str, found: Column) -> Column:
+        return F.size(self.of(name, found)) > 0
+
+    def votes(self, name: str, found: Column) -> Column:
+        """array<struct<score, at, intent>>: what the patterns of each key add up to; at counts down."""
+        place, weight = F.lit([k for _, k, _, _ in self.listed]), F.lit([float(w) for _, _, _, w in self.listed])
+        keys = F.array(*[F.struct(F.lit(-k).alias("at"), F.lit(x).alias("intent")) for k, x in enumerate(self.tables[name])])
 
-    def vote(x: Column, e: Column) -> Column:
-        total = F.aggregate(e["rules"], F.lit(0.0), lambda acc, r: acc + F.when(F.contains(x, r["p"]), r["w"]).otherwise(0.0))
-        return F.struct(total.alias("score"), e["at"].alias("at"), e["intent"].alias("intent"))
+        def vote(own: Column, e: Column) -> Column:
+            total = F.aggregate(F.filter(own, lambda n: F.get(place, n) == -e["at"]), F.lit(0.0), lambda acc, n: acc + F.get(weight, n))
+            return F.struct(total.alias("score"), e["at"].alias("at"), e["intent"].alias("intent"))
 
-    return text.let(c, lambda x: F.transform(rules, lambda e: vote(x, e)))
+        return text.let(self.of(name, found), lambda own: F.transform(keys, lambda e: vote(own, e)))
+
+
+def plain_patterns(**tables: dict[str, list[str]]) -> Patterns:
+    """Dictionaries of patterns without weights, as they are."""
+    return Patterns({name: {k: [(p, 1.0) for p in dict.fromkeys(v)] for k, v in table.items()} for name, table in tables.items()})
+
+
+@functools.cache
+def patterns_of(cfg: AnalyzerConfig = AnalyzerConfig()) -> Patterns:
+    """All dictionaries that questions are analysed by."""
+    plain = plain_patterns(
+        subject=cfg.of(lexicon.SUBJECTS), stage=cfg.of(lexicon.STAGES), grade=cfg.of(lexicon.GRADES), term=cfg.of(lexicon.TERMS), live={"live": cfg.words(lexicon.LIVE_SIGNALS)}
+    )
+    return Patterns({"intent": cfg.of(lexicon.INTENTS), **plain.tables})
 
 
-def best_vote(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
+def best_vote(found: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
     """struct<score, at, intent>: the highest vote, the first intent of equals."""
-    return F.array_max(votes(c, cfg))
+    return F.array_max(patterns_of(cfg).votes("intent", found))
 
 
 def word_grams(sentence: str, low: int = 2, high: int = 4) -> list[str]:
@@ -131,11 +177,11 @@ def similar_intent(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig())
     return cosine.groupBy("question_id").agg(best.alias("b")).select("question_id", F.col("b.like").alias("like"), F.col("b.similarity").alias("similarity"))
 
 
-def detect_intent(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
-    """questions (question_id, normalized, ...) with intent and intent_confidence."""
+def detect_intent(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), met: str = "found") -> DataFrame:
+    """questions (question_id, normalized, ...) with intent and intent_confidence; met: the column of what patterns_of(cfg).find() found."""
     # one exchange, by which all that follows is grouped and joined; a stated number of tasks, as questions are small and their work isn't
     tasks = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    voted = questions.repartition(tasks, "question_id").withColumn("vote", best_vote(F.col("normalized"), cfg))
+    voted = questions.repartition(tasks, "question_id").withColumn("vote", best_vote(F.col(met), cfg))
     joined = voted.join(similar_intent(voted, cfg), "question_id", "left")
     vote, intent = F.col("vote.score"), F.col("vote.intent")
     by_vote = text.two_places(F.least(vote / 4.0, F.lit(1.0)))
@@ -147,11 +193,12 @@ def detect_intent(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig())
     )
 
 
-def topic(c: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
-    """The first words left after grade names and function words are taken out; null if there are none."""
+def topic(c: Column, found: Column, cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
+    """The first words left after grade names and function words are taken out; null if there are none. Names are taken out one after the
+    other, since one that is gone can bring another about; where none stands at the beginning, none ever will."""
     names = F.lit([p for v in cfg.of(lexicon.GRADES).values() for p in v])
     stop = cfg.words(lexicon.TOPIC_STOP_WORDS)
-    bare = F.aggregate(names, c, lambda acc, p: F.replace(acc, p, F.lit("")))
+    bare = F.when(patterns_of(cfg).any("grade", found), F.aggregate(names, c, lambda acc, p: F.replace(acc, p, F.lit("")))).otherwise(c)
     words = F.filter(F.split(bare, f"[{text.SPACE}]+"), lambda w: (F.length(w) > 2) & ~w.isin(stop))
     return text.let(words, lambda l: F.when(F.size(l) > 0, F.array_join(F.slice(l, 1, cfg.topic_words), " ")))
 
@@ -234,20 +281,19 @@ def confidence(cfg: AnalyzerConfig = AnalyzerConfig()) -> Column:
 
 def analyze(questions: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
     """questions (question_id, question) with all that is known of them."""
-    n = F.col("normalized")
-    found = detect_intent(questions.withColumn("normalized", text.normalize_question("question")), cfg)
+    patterns, name = patterns_of(cfg), unused(questions, "met")
+    n, met = F.col("normalized"), F.col(name)
+    found = detect_intent(questions.withColumn("normalized", text.normalize_question("question")).withColumn(name, patterns.find(n)), cfg, name)
     found = (
-        found.withColumn("subject", first_key(n, cfg.of(lexicon.SUBJECTS)))
-        .withColumn("stage", first_key(n, cfg.of(lexicon.STAGES)))
-        .withColumn("grade", first_key(n, cfg.of(lexicon.GRADES)))
-        .withColumn("term", first_key(n, cfg.of(lexicon.TERMS)))
+        found.withColumns({c: patterns.first_key(c, met) for c in ("subject", "stage", "grade", "term")})
+        .withColumn("needs_live_search", patterns.any("live", met))
         .withColumn("year", year(n))
-        .withColumn("topic", topic(n, cfg))
+        .withColumn("topic", topic(n, met, cfg))
+        .drop(name)
         .withColumn("keywords", F.slice(F.array_distinct(F.concat(keywords(n, cfg), _strings(F.col("subject"), F.col("grade"), F.col("topic")))), 1, cfg.keywords))
         .withColumn("expanded_keywords", expansions(cfg))
         .withColumn("source_category", source_category(*(F.col(c) for c in ("grade", "stage", "term", "intent", "subject"))))
         .withColumn("source_priority", _by_key(F.col("source_category"), lexicon.SOURCES))
-        .withColumn("needs_live_search", has_any(n, cfg.words(lexicon.LIVE_SIGNALS)))
     )
     parts = F.concat(_strings(*(F.col(c) for c in ("question", "topic", "subject", "grade", "term", "year"))), _by_key(F.col("source_category"), lexicon.SUFFIXES))
     found = found.withColumn("search_query", F.array_join(F.array_distinct(parts), " ")).withColumn("rewritten_query", rewritten())

@@ -367,8 +367,9 @@ def ingest_pages(spark, sf_dir):
 
 @query(_analyzed("SELECT question_id, intent, round(score, 6) AS votes FROM v WHERE score > 0"))
 def intent_votes(spark, sf_dir):
-    n = asked(spark, sf_dir).withColumn("normalized", text.normalize_question("question"))
-    return n.select("question_id", F.explode(understand.votes(F.col("normalized"))).alias("v")).select("question_id", "v.intent", F.round("v.score", 6).alias("votes")).where("votes > 0")
+    patterns = understand.patterns_of()
+    n = asked(spark, sf_dir).withColumn("found", patterns.find(text.normalize_question("question")))
+    return n.select("question_id", F.explode(patterns.votes("intent", F.col("found"))).alias("v")).select("question_id", "v.intent", F.round("v.score", 6).alias("votes")).where("votes > 0")
 
 
 def _analysis_query(name: str, columns: list[str], sql: str | None = None):
@@ -419,17 +420,19 @@ def pipeline_metadata(spark, sf_dir):
 @query(f"""WITH {twins.questions(QUESTIONS)}, n AS (SELECT question_id, {twins.normalize_question('question')} AS normalized FROM questions)
   SELECT question_id, {twins.strings(*(twins.first_key('normalized', {k: v}) for k, v in understand.AnalyzerConfig().of(understand.lexicon.SUBJECTS).items()))} AS subjects FROM n""")
 def subjects_all(spark, sf_dir):
-    n = asked(spark, sf_dir).withColumn("normalized", text.normalize_question("question"))
-    return n.select("question_id", understand.all_keys(F.col("normalized"), understand.AnalyzerConfig().of(understand.lexicon.SUBJECTS)).alias("subjects"))
+    patterns = understand.patterns_of()
+    n = asked(spark, sf_dir).withColumn("found", patterns.find(text.normalize_question("question")))
+    return n.select("question_id", patterns.keys("subject", F.col("found")).alias("subjects"))
 
 
 @query(f"""WITH {twins.questions(QUESTIONS)}, n AS (SELECT question_id, {twins.normalize_question('question')} AS normalized FROM questions)
   SELECT question_id, {twins.first_key('normalized', understand.lexicon.GRADES)} AS grade, {twins.first_key('normalized', understand.lexicon.STAGES)} AS stage, {twins.first_key('normalized', understand.lexicon.SUBJECTS)} AS subject FROM n""")
 def detect_with_plain_patterns(spark, sf_dir):
     """Dictionaries as they are written: patterns with letters that questions fold never match."""
-    n = asked(spark, sf_dir).withColumn("normalized", text.normalize_question("question"))
-    key = lambda patterns: understand.first_key(F.col("normalized"), patterns)
-    return n.select("question_id", key(understand.lexicon.GRADES).alias("grade"), key(understand.lexicon.STAGES).alias("stage"), key(understand.lexicon.SUBJECTS).alias("subject"))
+    known = understand.lexicon
+    patterns = understand.plain_patterns(grade=known.GRADES, stage=known.STAGES, subject=known.SUBJECTS)
+    n = asked(spark, sf_dir).withColumn("found", patterns.find(text.normalize_question("question")))
+    return n.select("question_id", *(patterns.first_key(c, F.col("found")).alias(c) for c in ("grade", "stage", "subject")))
 
 
 METAS = [

@@ -84,12 +84,17 @@ def test_quality_is_rounded_half_even(spark):
     assert values(spark, clean.quality_score("x"), [word * 400, "x" * 2000, ""]) == [0.7, 0.4, 0.0]
 
 
-def test_chunks_cover_sentences_in_order():
+def test_chunks_cover_sentences_in_order(spark):
     rng = random.Random(1)
-    for _ in range(300):
+    cases = []
+    for _ in range(6):
         cfg = clean.ChunkConfig(rng.randrange(5, 60), rng.randrange(0, 20))
-        sentences = [f"s{i}" + "x" * rng.randrange(0, 30) for i in range(rng.randrange(0, 25))]
-        at, emitted = 0, clean.pack_sentences(sentences, cfg)
+        lists = [[f"s{i}" + "x" * rng.randrange(0, 30) for i in range(rng.randrange(0, 25))] for _ in range(50)]
+        rows = spark.createDataFrame([(l,) for l in lists], "s array<string>").coalesce(1).select("s", clean.packed_sentences(F.col("s"), cfg).alias("c")).collect()
+        cases += [(cfg, r.s, [c.chunk_text for c in r.c]) for r in rows]
+    assert len(cases) == 300
+    for cfg, sentences, emitted in cases:
+        at = 0
         for n, chunk in enumerate(emitted):
             own = chunk.split(" ")
             start = sentences.index(own[0])
@@ -204,7 +209,8 @@ def test_example_sentences_find_themselves(spark):
     cfg = understand.AnalyzerConfig(clear_vote=99.0)
     questions = spark.createDataFrame(rows, "question_id long, question string").withColumn("normalized", text.normalize_question("question"))
     own = [k for k, v in lexicon.INTENT_EXAMPLES.items() for _ in v]
-    got = understand.similar_intent(questions.withColumn("vote", understand.best_vote(F.col("normalized"))), cfg).collect()
+    questions = questions.withColumn("found", understand.patterns_of(cfg).find(F.col("normalized")))
+    got = understand.similar_intent(questions.withColumn("vote", understand.best_vote(F.col("found"))), cfg).collect()
     assert len(got) == len(own) and all(abs(r.similarity - 1) < 1e-6 and r.like == own[r.question_id] for r in got)
 
 
@@ -416,3 +422,20 @@ def test_weights_of_example_ngrams():
 def test_folding_by_hand():
     assert lexicon.fold("أإآٱ ىئ ؤ ة ٣ مُـدٌ AB") == "اااا يي و ه 3 مد ab"
     assert len(lexicon.LETTERS) == len(lexicon.FOLDED_LETTERS) and len(lexicon.INDIC_DIGITS) == len(lexicon.ASCII_DIGITS) == 10
+
+
+def test_one_automaton_finds_what_each_pattern_would(spark):
+    rng = random.Random(3)
+    tables = {"a": {"x": ["ab", "b", "abab"], "y": ["b", "bc"]}, "b": {"z": ["ab c", "ca"], "w": ["aba"]}}
+    patterns = understand.plain_patterns(**tables)
+    rows = [("".join(rng.choice("abc ") for _ in range(rng.randrange(12))),) for _ in range(200)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "t string").withColumn("found", patterns.find(F.col("t")))
+    for r in df.select("t", "found", *(patterns.keys(n, F.col("found")).alias(f"k_{n}") for n in tables), patterns.first_key("a", F.col("found")).alias("first"), patterns.any("b", F.col("found")).alias("any")).collect():
+        met = {n: [k for k, ways in table.items() if any(p in (r.t or "") for p in ways)] for n, table in tables.items()}
+        assert (r.k_a, r.k_b, r.first, r["any"]) == (met["a"], met["b"], next(iter(met["a"]), None), bool(met["b"])), r
+        assert r.found == [i for i, (_, _, p, _) in enumerate(patterns.listed) if p in (r.t or "")]
+    none = understand.plain_patterns(a={})
+    assert [x.found for x in spark.createDataFrame([("ab",)], "t string").select(none.find(F.col("t")).alias("found")).collect()] == [[]]
+    weighed = understand.Patterns({"v": {"one": [("ab", 1.5), ("b", 2.0)], "two": [("zz", 1.0)]}})
+    v = spark.createDataFrame([("abab",)], "t string").select(weighed.votes("v", weighed.find(F.col("t"))).alias("v")).first().v
+    assert [(x.intent, x.at, x.score) for x in v] == [("one", 0, 3.5), ("two", -1, 0.0)]
