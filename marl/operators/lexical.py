@@ -77,7 +77,7 @@ def inverse_frequencies(indexed: DataFrame, cfg: Bm25Config = Bm25Config()) -> D
     terms = df.groupBy("corpus_id").agg(F.count("*").alias("n"))
     total = df.count()
     raw = look_up(df, sizes.join(terms, "corpus_id"), "corpus_id", "n", total)
-    raw = cut(raw.withColumn("raw", F.log(F.col("passages") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    raw = raw.withColumn("raw", F.log(F.col("passages") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # a step from df, which is written
     mean = raw.groupBy("corpus_id").agg(F.avg("raw").alias("mean"), F.count("*").alias("n"))
     floored = F.when(F.col("raw") < 0, cfg.floor * F.col("mean")).otherwise(F.col("raw"))
     return look_up(raw, mean, "corpus_id", "n", total).select("corpus_id", "term", "df", floored.alias("idf"), "mean_size")

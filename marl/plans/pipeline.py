@@ -103,16 +103,18 @@ def hits(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConf
     return fusion.fuse(found["bm25"], found["dense"], cfg.hybrid) if strategy == "hybrid" else found[strategy]
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", indexed: DataFrame | None = None) -> DataFrame:
-    """The best chunks of each question with all their columns, reranked by the overlap of their terms with the question's.
+def met(hits: DataFrame, rows: DataFrame, key: str = "passage_id") -> DataFrame:
+    """hits (cut, a bounded number for each question) with what rows, wide ones, hold of each: where hits are few (SMALL_ROWS, counted) they go to
+    the rows, which are then not exchanged; otherwise the rows come to them."""
+    return rows.join(F.broadcast(hits) if hits.count() <= SMALL_ROWS else hits, key)
+
 
-    What is found is bounded: cfg.retrieved hits a question, told by their ids. Where these are few (shared.SMALL_ROWS, counted), they go to the
-    chunks' texts, which are then not exchanged; otherwise the texts come to them."""
+def retrieve(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", indexed: DataFrame | None = None) -> DataFrame:
+    """The best chunks of each question with all their columns, reranked by the overlap of their terms with the question's."""
     found = cut(hits(questions, chunks, cfg, strategy, indexed))
-    few = F.broadcast if found.count() <= SMALL_ROWS else lambda df: df
     texts = chunks.drop("embedding").withColumnRenamed("chunk_id", "passage_id")
     clashing = [c for c in texts.columns if c in ("question_id", "question", "score", "rank")]
-    joined = texts.drop(*clashing).join(few(found), "passage_id")
+    joined = met(found, texts.drop(*clashing))
     asked = questions.select("question_id", "question")
     return fusion.rerank(joined.join(asked, "question_id"), lexical.token_overlap("question", "chunk_text"), cfg.reranked)
 

@@ -559,7 +559,7 @@ def hybrid_topk(spark, sf_dir):
   SELECT h.*, round(len(list_intersect(list_distinct({twins.tokens('question')}), list_distinct(terms))) / len(list_distinct({twins.tokens('question')}))::DOUBLE, 6) AS overlap FROM hits h JOIN docs USING (passage_id) JOIN asked_items USING (question_id)) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, rank, passage_id) <= 4"""
     ), ranked=True)
 def rerank_top4(spark, sf_dir):
-    hits = _lexical(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text"), "passage_id").join(items(spark, sf_dir), "question_id")
+    hits = pipeline.met(cut(_lexical(spark, sf_dir, 20)), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")).join(items(spark, sf_dir), "question_id")
     return fusion.rerank(hits, lexical.token_overlap("question", "text")).select("question_id", "passage_id", "score", "rank")
 
 
@@ -570,7 +570,7 @@ def rerank_top4(spark, sf_dir):
 def answer_fallback(spark, sf_dir):
     """All hits of every question are packed; those of every third question are blank, so that it is left without a context."""
     hits = cut(_lexical(spark, sf_dir, 20))
-    texts = hits.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text"), "passage_id")
+    texts = pipeline.met(hits, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text"))
     texts = texts.withColumn("text", F.when(F.col("question_id") % 3 == 1, F.lit(" \n ")).otherwise(F.col("text")))
     context = fusion.contexts(fusion.packed_hits(texts, "question_id", ["rank"], "text"), "question_id", ["rank"], "text")
     return pipeline.with_fallback(items(spark, sf_dir), hits, context).select("question_id", "n_hits", "fallback")
@@ -602,13 +602,13 @@ def context_pack_default(spark, sf_dir):
   FROM hits JOIN documents ON passage_id = doc_id WHERE rank <= 5 AND {twins.squeeze('text')} <> '')) WHERE total <= 12000"""
     ), ranked=True)
 def context_blocks(spark, sf_dir):
-    hits = _lexical(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "passage_id"), "passage_id")
+    hits = pipeline.met(cut(_lexical(spark, sf_dir, 20)), table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "passage_id"))
     return fusion.numbered_blocks(hits, "question_id", "rank", "source", "lang", "text").select("question_id", "rank", text.md5_text("block").alias("block_md5"))
 
 
 @query(_bm25("SELECT question_id, source AS url, min(rank) AS rank FROM hits JOIN documents ON passage_id = doc_id GROUP BY ALL"), ranked=True)
 def citations(spark, sf_dir):
-    hits = _lexical(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("source").alias("url")), "passage_id")
+    hits = pipeline.met(cut(_lexical(spark, sf_dir, 20)), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("source").alias("url")))
     return fusion.citations(hits, "question_id", ["rank"], "url").select("question_id", "url", "rank")
 
 

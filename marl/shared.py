@@ -96,20 +96,20 @@ def enough_tasks(spark: SparkSession, rows: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
-def is_hot(count: Column | str, total: int) -> Column:
-    """Whether a key has so many of `total` rows that at most HOT_KEYS keys can have as many."""
-    return (F.col(count) if isinstance(count, str) else count) > max(LEAST_ROWS, -(-total // HOT_KEYS))
+def is_hot(count: Column | str, total: int, keys: int = HOT_KEYS) -> Column:
+    """Whether a key has so many of `total` rows that at most `keys` keys can have as many."""
+    return (F.col(count) if isinstance(count, str) else count) > max(LEAST_ROWS, -(-total // max(1, keys)))
 
 
-def look_up(rows: DataFrame, side: DataFrame, key: str, count: str, total: int, small: int = SMALL_ROWS) -> DataFrame:
+def look_up(rows: DataFrame, side: DataFrame, key: str, count: str, total: int, small: int = SMALL_ROWS, keys: int = HOT_KEYS) -> DataFrame:
     """rows joined with side, which has each key once and in `count` how many of the `total` rows have it.
 
-    Rows of hot keys meet their row of side by broadcast, of at most HOT_KEYS rows whatever the input; the others by an exchange. Where there
+    Rows of hot keys meet their row of side by broadcast, of at most `keys` rows whatever the input; the others by an exchange. Where there
     are no more than `small` rows at all, and so no more in side, all of side is broadcast."""
     if total <= small:
         return rows.join(F.broadcast(side.drop(count)), key)
-    hot = F.broadcast(side.where(is_hot(count, total)).drop(count))
-    cold = side.where(~is_hot(count, total)).drop(count)
+    hot = F.broadcast(side.where(is_hot(count, total, keys)).drop(count))
+    cold = side.where(~is_hot(count, total, keys)).drop(count)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(hot, key).unionByName(others.join(cold, key))
 

@@ -145,6 +145,9 @@ def stream_text(lines: DataFrame, by: str = "stream_id", order: str = "pos", lin
 def growing_text(lines: DataFrame, by: str = "stream_id", order: str = "pos", line: str = "line", ts: str = "ts", idle: str = "10 minutes") -> DataFrame:
     """(by, answer, done): the text of each stream of lines so far, a row whenever a micro-batch adds to it. lines is a stream; ts its time.
 
+    Lines of one micro-batch are put in order; across micro-batches they are taken as they come, as a source that tells tokens does: a line that
+    comes a micro-batch late is appended at the end.
+
     State is kept for streams that have not ended, and dropped once the watermark is `idle` past their last line."""
 
     def grow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
