@@ -10,7 +10,7 @@ its members are put into blocks by a hash, and every pair of blocks is a cell of
 Defined results: a vector that is null, empty, zero or holds null or non-finite components links with
 nothing; equal vectors form a class, which enters the search once and counts with all its rows; vectors of
 different length never link; a cosine of exactly the threshold links; repeated vec_id rows are rows of their
-own; rows without vec_id count as rows that others link with, and their component is the smallest vec_id
+own; a row without vec_id is not kept; rows without vec_id count as rows that others link with, and their component is the smallest vec_id
 reachable, null if there is none; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -33,8 +33,8 @@ from .text import mix, trimmed_batches
 BLOCK = 512
 #: Codes of a block that are laid out at a time.
 CODES = 2048
-#: Rows up to which classes with their vectors are broadcast whole.
-WHOLE = 10_000
+#: Rows up to which classes with their vectors are broadcast, and bytes that these take at most, whatever the vectors' length.
+WHOLE, WHOLE_BYTES = 10_000, 32 << 20
 #: Filed vectors that one task holds.
 FILED = 200_000
 #: A direction of more vectors than this, and than one in HOT_DIRECTIONS of all that are filed, is dealt to cells of about so many each way.
@@ -316,7 +316,9 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, cfg: CapFilters =
     found = cut(found.select("v", "rep", "n", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "id").alias("root")))
     lowest = found.groupBy("root").agg(F.min("rep").alias("component"))
     rows = _rows(embeddings)
-    told = look_up(rows.where(USABLE), found.join(lowest, "root").select("v", "n", "links", "component"), "v", "n", rows.count(), WHOLE)
+    longest = classes.agg(F.max(F.size("v"))).first()[0] or 1
+    whole = min(WHOLE, WHOLE_BYTES // (8 * longest + 64))
+    told = look_up(rows.where(USABLE), found.join(lowest, "root").select("v", "n", "links", "component"), "v", "n", rows.count(), whole, whole)
     told = told.select("vec_id", F.col("links").cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     others = rows.where(f"not {USABLE}").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return told.unionByName(others).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return told.unionByName(others).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

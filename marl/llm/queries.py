@@ -178,7 +178,7 @@ WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_
 links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
 reach AS (SELECT u, w FROM links UNION SELECT reach.u, links.w FROM reach JOIN links ON reach.w = links.u),
 least_id AS (SELECT u, min(w) AS low FROM reach GROUP BY u), counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
-SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, coalesce(vec_id = least(vec_id, coalesce(low, vec_id)), false) AS kept
 FROM embeddings LEFT JOIN counts ON vec_id = counts.u LEFT JOIN least_id ON vec_id = least_id.u
 """
 

@@ -167,3 +167,100 @@ def test_ties_at_the_cut_of_features_and_texts_without_blanks(spark):
     docs = spark.createDataFrame([(1, "alphabad"), (2, "alphabadbetabad" * 2000), (3, "一二三" * 20000)], "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
     assert got == {1: 1, 2: 0, 3: 0}
+
+
+def plain_line_features(line):
+    words = line.split()
+    size, n = len(line), len(words)
+    share = lambda members: sum(bool(members(c)) for c in line) / max(size, 1)
+    prose, blank = b".,;:?'\"-()", b" \t\r\x0b\x0c"
+    other = lambda c: c < 0x80 and not chr(c).isalnum() and c not in prose and c not in blank
+    again, beside, single = n - len(set(words)), sum(a == b for a, b in zip(words, words[1:])), sum(len(w) == 1 for w in words)
+    own = [1.0, *(4 * share(m) for m in (lambda c: 65 <= c <= 90, lambda c: 48 <= c <= 57, lambda c: c in prose, other)), share(lambda c: c >= 0x80)]
+    own += [x / max(n, 1) for x in (again, beside, single)]
+    own += [np.log1p(size) / 5, np.log1p(n) / 3, size / max(n, 1) / 10, float(line[-1:] in (b".", b"!", b"?") and size > 0)]
+    return [min(x, 4.0) for x in own]
+
+
+def plain_quality(text, model):
+    """Scores from the definition: features of three lines, every labelling of the lines in turn, means by length, a logistic curve."""
+    lines = text.split(b"\n")
+    own = [plain_line_features(x) for x in lines]
+    none = [0.0] * len(own[0])
+    z = [float(np.dot(model.weights, own[i] + (own[i - 1] if i else none) + (own[i + 1] if i + 1 < len(own) else none))) for i in range(len(own))]
+    total, good = 0.0, np.zeros(len(lines))
+    for labels in itertools.product((0, 1), repeat=len(lines)):
+        p = np.exp(sum(z[i] / 2 if s else -z[i] / 2 for i, s in enumerate(labels)) + sum(model.pair[s, t] for s, t in zip(labels, labels[1:])))
+        total += p
+        good += p * np.array(labels)
+    weight = np.array([len(x) + 1 for x in lines])
+    share = np.clip((good / total * weight).sum() / weight.sum(), 1e-4, 1 - 1e-4)
+    return 1 / (1 + np.exp(-(model.slope * np.log(share / (1 - share)) + model.bias)))
+
+
+def test_quality_scores_against_a_plain_version(spark):
+    rng = np.random.default_rng(12)
+    pool = ["The", "old", "river", "été", "x", "x", "runs.", "NOW!!", "$$$", "42", "a,b", "##", "(so)", "\x7f", "ß"]
+    line = lambda: " ".join(rng.choice(pool, rng.integers(0, 9)).tolist())
+    texts = ["\n".join(line() for _ in range(rng.integers(1, 8))) for _ in range(60)] + ["", "\n", " ", "a\tb\x0bc", "The end.\n\n\nNOW!!"]
+    model = quality.fit([t.encode() for t in texts], np.array([int("$" not in t and "NOW" not in t) for t in texts]))
+    data, offsets = np.frombuffer("\n".join(texts).encode(), np.uint8), np.array([0, len("\n".join(texts).encode())])
+    x, size, _ = quality.line_features(data, offsets)
+    assert np.allclose(x, [plain_line_features(row) for row in data.tobytes().split(b"\n")]) and size.sum() + len(x) - 1 == len(data)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all(np.isclose(got[i], plain_quality(t.encode(), model), atol=1e-9) for i, t in enumerate(texts)) and len({round(s, 3) for s in got.values()}) > 10
+
+
+def test_toxicity_of_the_production_settings_against_a_plain_version(spark):
+    import re
+
+    rng = np.random.default_rng(13)
+    calm, foul = ["river", "harvest", "été", "women", "men", "que", "des", "lantern", "Ground"], ["scoundrel", "idiotic", "vermin"]
+    rows = []
+    for i in range(400):
+        bad = i % 3 == 0
+        words = rng.choice(calm, 12).tolist() + ([str(rng.choice(foul))] if bad else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words) + ". " + " ".join(rng.choice(calm, 5).tolist()) + ("" if i % 7 else "\nIDIOTS no_more 3x"), int(bad)))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    cfg = toxicity.ToxicityConfig()  # as registered
+    model = toxicity.fit(sample, cfg)
+    unfair = toxicity.fit(sample, toxicity.ToxicityConfig(counterfactual=0.0))
+    assert model.pairs > 0 and model.exchanges and toxicity.score_gap(sample, model) <= toxicity.score_gap(sample, unfair)
+
+    def plain(text):
+        found = set()
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            found |= {w, *(f"{w[:n]}*" for n in cfg.beginnings if len(w) >= n)}
+        return 1 / (1 + np.exp(-(model.bias + sum(model.weights.get(t, 0.0) for t in found))))
+
+    texts = [t for _, t, _ in rows[:60]] + [None, "", "Scoundrels, scoundrel!", "VERMIN_vermin", "women men", "un été " * 500]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert all(np.isclose(got[i], plain(t), atol=1e-6) for i, t in enumerate(texts))
+    assert np.mean([(got[i] >= 0.5) == bool(rows[i][2]) for i in range(60)]) > 0.95
+
+
+def test_links_of_the_drivers_own_vectors(spark):
+    """The driver's vectors hold no pair at 0.9: each third one gets a near copy, some at 0.9 or more and some below."""
+    import os
+
+    import pytest
+
+    from marl.llm import caps
+
+    path = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("driver tables are not there")
+    own = np.array([r.embedding for r in spark.read.parquet(path).orderBy("vec_id").collect()], np.float64)
+    rng = np.random.default_rng(14)
+    near = own[::3] + rng.standard_normal(own[::3].shape) * rng.uniform(0.02, 0.09, (len(own[::3]), 1))
+    every = np.concatenate([own, near])
+    df = spark.createDataFrame(list(enumerate(every.tolist())), "vec_id long, embedding array<double>")
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.9
+    np.fill_diagonal(links, False)
+    got = {r.vec_id: r.n_links for r in caps.near_duplicates(df).collect()}
+    found = np.array([got[i] for i in range(len(every))])
+    assert links.sum() > 100 and (~links[len(own) :].any(axis=1)).sum() > 10
+    assert (found <= links.sum(axis=1)).all() and found.sum() >= 0.97 * links.sum()

@@ -144,7 +144,7 @@ def test_large_group_of_near_vectors_and_odd_rows(spark):
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
     found = sorted((tuple(r) for r in got.collect()), key=repr)
     each = 300 + 2 + 1 - 1  # others of the group, repeated rows counted
-    want = [(i, each, 0, i == 0) for i in range(300)] + [(None, each, 0, None)] * 2 + [(7, 0, 7, True), (7, each, 0, False), (None, 0, None, None), (None, 0, None, None)]
+    want = [(i, each, 0, i == 0) for i in range(300)] + [(None, each, 0, False)] * 2 + [(7, 0, 7, True), (7, each, 0, False), (None, 0, None, False), (None, 0, None, False)]
     assert found == sorted(want, key=repr)
 
 
