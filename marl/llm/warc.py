@@ -32,6 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import SMALL_ROWS
 from .common import cut, fresh_path, look_up
 from .text import long_texts
 
@@ -195,6 +196,8 @@ def decide(pages: DataFrame) -> DataFrame:
     key = cut(rows.select("page_id", F.sha2("payload", 256).alias("hash")))
     several = key.groupBy("hash").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
     revisits = look_up(key, several, "hash", "n", key.count()).where("page_id is null or page_id <> last").select(F.col("page_id").alias("id"), "hash", "last").distinct()
+    revisits = cut(revisits)  # what was decided is narrow: up to SMALL_ROWS of it, counted, goes to the payloads, which then are not exchanged
+    revisits = F.broadcast(revisits) if revisits.count() <= SMALL_ROWS else revisits
     hashed = rows.withColumn("own", F.sha2("payload", 256))
     met = hashed.join(revisits, hashed["page_id"].eqNullSafe(revisits["id"]) & (hashed["own"] == revisits["hash"]), "left")
     return met.select("page_id", "url", "payload", F.col("last").isNotNull().alias("revisit"), F.col("last").alias("refers_to"))
