@@ -99,6 +99,11 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*told), kinds)], [x.split()[0] for x in TOLD.split(", ")])
 
 
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by exchange at every size: both sides grow with the log, so that none is broadcast even while it is small."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def scan(rows: DataFrame, keys: list[str], at: str, length: int, folds: dict[str, tuple[Column, Column]], start: int = 0, fan: int = 256) -> DataFrame:
     """rows with a column for each fold: `start` taken through the functions x -> max(x + shift, floor) of all rows of the same keys that
     come before, by `at`, a number from 0 to below length that rows of one key have once. A null floor never binds.
@@ -124,7 +129,7 @@ def _scan(rows: DataFrame, keys: list[str], at: str, length: int, names: list[st
             *(F.sum(f"_shift_{n}").alias(f"_shift_{n}") for n in names), *((F.sum(f"_shift_{n}") + F.max(F.col(f"_floor_{n}") - F.col(f"_run_{n}"))).alias(f"_floor_{n}") for n in names)
         )
         above = _scan(totals.withColumnRenamed("_block", at), keys, at, -(-length // fan), names, start, fan)
-        found = found.join(above.select(*keys, F.col(at).alias("_block"), *(F.col(n).alias(f"_came_{n}") for n in names)), [*keys, "_block"])
+        found = _join(found, above.select(*keys, F.col(at).alias("_block"), *(F.col(n).alias(f"_came_{n}") for n in names)), [*keys, "_block"])
         came = {n: F.col(f"_came_{n}") for n in names}
     before = {n: F.col(f"_run_{n}") - F.col(f"_shift_{n}") for n in names}
     return found.select(*rows.columns, *(F.greatest(came[n] + before[n], F.col(f"_top_{n}") + before[n]).alias(n) for n in names))
@@ -150,17 +155,17 @@ def resolve(log: DataFrame, cfg: LogConfig = LogConfig()) -> Resolved:
     commits = of(COMMITS).agg(F.sum("n")).first()[0] or 0
 
     above = F.greatest(F.col("depth") - F.col("lost"), F.lit(0))
-    pending = of(PENDING).join(came, ["source", "chunk"]).select("source", "chunk", "lsn", "key", "value", (F.col("before") + F.col("ends")).alias("txn"), F.when(F.col("ends") > 0, F.col("n")).otherwise(above + F.col("n")).alias("level"))
+    pending = _join(of(PENDING), came, ["source", "chunk"]).select("source", "chunk", "lsn", "key", "value", (F.col("before") + F.col("ends")).alias("txn"), F.when(F.col("ends") > 0, F.col("n")).otherwise(above + F.col("n")).alias("level"))
     pending = cut(pending)
-    lost = of(LOST).join(came, ["source", "chunk"]).select("source", F.col("before").alias("txn"), F.greatest(F.col("depth") - F.col("n"), F.lit(0)).alias("level"), "chunk", F.col("lsn").alias("event"))
-    over = of(END).join(came, ["source", "chunk"]).select("source", F.col("before").alias("txn"), F.col("lsn").alias("end"), F.col("n").alias("end_commit"), F.col("chunk").alias("end_chunk"))
+    lost = _join(of(LOST), came, ["source", "chunk"]).select("source", F.col("before").alias("txn"), F.greatest(F.col("depth") - F.col("n"), F.lit(0)).alias("level"), "chunk", F.col("lsn").alias("event"))
+    over = _join(of(END), came, ["source", "chunk"]).select("source", F.col("before").alias("txn"), F.col("lsn").alias("end"), F.col("n").alias("end_commit"), F.col("chunk").alias("end_chunk"))
     stack = ["source", "txn", "level"]
     marks = pending.select(*stack, "chunk", never.alias("event")).unionByName(lost).groupBy(*stack, "chunk").agg(F.min("event").alias("event"))
     back = F.lit(chunks - 1) - F.col("chunk")
     marks = cut(marks.withColumn("back", back))
     later = scan(marks, stack, "back", chunks, {"next": (F.lit(0), F.when(F.col("event").isNotNull(), F.col("back")))}, -1, cfg.fan)
     events = marks.where("event is not null").select(*stack, F.col("back").alias("next"), F.col("event").alias("undo"))
-    settled = pending.join(later.select(*stack, "chunk", "next"), [*stack, "chunk"]).join(events, [*stack, "next"], "left").join(over, ["source", "txn"], "left")
+    settled = _join(_join(_join(pending, later.select(*stack, "chunk", "next"), [*stack, "chunk"]), events, [*stack, "next"], "left"), over, ["source", "txn"], "left")
     settled = cut(settled.select("lsn", "key", "value", "undo", "end", "end_commit", "end_chunk"))
 
     late = settled.where("undo is not null or end is null or end_commit < 0")
@@ -168,7 +173,7 @@ def resolve(log: DataFrame, cfg: LogConfig = LogConfig()) -> Resolved:
     undone = undone.unionByName(late.select(F.when(F.col("undo").isNotNull(), "rollback").otherwise("abort").alias("how"), "lsn", F.coalesce("undo", "end").alias("by"), "key"))
     writes = of(WRITTEN).select("chunk", "n", "lsn", "key", "value")
     writes = writes.unionByName(settled.where("undo is null and end_commit >= 0").select(F.col("end_chunk").alias("chunk"), F.col("end_commit").alias("n"), "lsn", "key", "value"))
-    return Resolved(undone, writes.where("key is not null").join(offsets, "chunk").select((F.col("first") + F.col("n")).alias("commit"), "lsn", "key", "value"), commits)
+    return Resolved(undone, _join(writes.where("key is not null"), offsets, ["chunk"]).select((F.col("first") + F.col("n")).alias("commit"), "lsn", "key", "value"), commits)
 
 
 def stored(writes: DataFrame) -> DataFrame:
@@ -185,10 +190,10 @@ def epoch_states(found: Resolved, cfg: LogConfig = LogConfig()) -> DataFrame:
     writes = cut(found.writes.withColumn("epoch", F.floor(F.col("commit") / cfg.epoch)).groupBy("key", "epoch").agg(latest.alias("w")).select("key", "epoch", F.col("w.value").alias("value")))
     placed = scan(writes, ["key"], "epoch", epochs, {"last": (F.lit(0), F.col("epoch"))}, -1, cfg.fan)
     before = writes.select("key", F.col("epoch").alias("last"), F.col("value").alias("old"))
-    delta = placed.join(before, ["key", "last"], "left").groupBy("epoch").agg(
+    delta = _join(placed, before, ["key", "last"], "left").groupBy("epoch").agg(
         F.sum(F.col("value").isNotNull().cast("long") - F.col("old").isNotNull().cast("long")).alias("dn"), F.sum(F.coalesce("value", F.lit(0)) - F.coalesce("old", F.lit(0))).alias("dv")
     )
-    every = spark.range(epochs).withColumnRenamed("id", "epoch").join(delta, "epoch", "left").select("epoch", F.coalesce("dn", F.lit(0)).alias("dn"), F.coalesce("dv", F.lit(0)).alias("dv"))
+    every = _join(spark.range(epochs).withColumnRenamed("id", "epoch"), delta, ["epoch"], "left").select("epoch", F.coalesce("dn", F.lit(0)).alias("dn"), F.coalesce("dv", F.lit(0)).alias("dv"))
     never = F.lit(None).cast("long")
     sums = scan(every, [], "epoch", epochs, {"n": (F.col("dn"), never), "v": (F.col("dv"), never)}, 0, cfg.fan)
     return sums.select((F.col("epoch") + 1).alias("epoch"), (F.col("n") + F.col("dn")).alias("keys"), (F.col("v") + F.col("dv")).alias("total"))
@@ -204,4 +209,4 @@ def document_log(documents: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("lsn"), F.col("source").cast("string").alias("source"), h.alias("h"), text.alias("text"))
     rows = rows.select("lsn", "source", op.alias("op"), F.when(op == CHANGE, key).alias("key"), F.when(op == CHANGE, F.crc32(F.concat(key.cast("string"), F.lit(":"), text))).alias("value"))
-    return rows.join(toxic, "lsn", "left").withColumn("value", F.when(F.col("toxic").isNull(), F.col("value"))).drop("toxic")
+    return _join(rows, toxic, ["lsn"], "left").withColumn("value", F.when(F.col("toxic").isNull(), F.col("value"))).drop("toxic")
