@@ -8,8 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hits that wait in a task until the best are picked.
-WAITING = 1 << 20
+#: Hits that wait in a task, besides those picked before, until the best are picked.
+WAITING = 1 << 18
 
 
 class Best:
@@ -18,14 +18,14 @@ class Best:
     def __init__(self, k: int, questions: int) -> None:
         self.k, self.floor = k, np.full(questions, -np.inf)
         self.parts: list[pa.Table] = []
-        self.waiting = 0
+        self.waiting = self.picked = 0
 
     def add(self, question: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
         good = np.flatnonzero(score >= self.floor[question])
         if len(good):
             self.parts.append(pa.table({"question": question[good], "score": score[good], "id": ids.take(pa.array(good))}))
             self.waiting += len(good)
-        if self.waiting > WAITING:
+        if self.waiting > WAITING + self.picked:
             self.pick()
 
     def pick(self) -> pa.Table | None:
@@ -39,7 +39,7 @@ class Best:
         found, question, rank = found.filter(pa.array(rank < self.k)), question[rank < self.k], rank[rank < self.k]
         last = rank == self.k - 1
         self.floor[question[last]] = found["score"].to_numpy()[last]
-        self.parts, self.waiting = [found.combine_chunks()], 0
+        self.parts, self.waiting, self.picked = [found.combine_chunks()], 0, len(found)
         return found
 
 

@@ -22,9 +22,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text
-from ..shared import cut, look_up
+from ..shared import cut, look_up, pieces
 from .best import Best, ranked
 
+#: Words that a task looks at in one go, and pairs of a word and a question that it scores in one go.
+WORDS, PAIRS = 1 << 18, 1 << 18
+
 
 @dataclass(frozen=True)
 class Bm25Config:
@@ -43,8 +46,15 @@ def passages(rows: DataFrame, key: str, column: str, corpus: str | None = None)
     return rows.where(F.col(key).isNotNull() & own.isNotNull()).select(own.alias("corpus_id"), F.col(key).alias("passage_id"), text.tokens(column).alias("terms"))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many WORDS at most."""
     for batch in batches:
+        for start, stop in pieces(pc.fill_null(batch.column("terms").value_lengths(), 0).to_numpy(), WORDS):
+            yield batch.slice(start, stop - start)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _shorter(batches):
         lists = batch.column("terms")
         size = pc.fill_null(lists.value_lengths(), 0).to_numpy()
         coded = lists.flatten().dictionary_encode()
@@ -105,7 +115,7 @@ def _scored(block: pa.Table, k: int, digits: int | None, cfg: Bm25Config, kind:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k, len(names))
-        for batch in batches:
+        for batch in _shorter(batches):
             ids, lists = batch.column("passage_id"), batch.column("terms")
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             code = pc.fill_null(pc.index_in(lists.flatten(), value_set=dictionary), -1).to_numpy()
@@ -116,18 +126,21 @@ def _scored(block: pa.Table, k: int, digits: int | None, cfg: Bm25Config, kind:
             wanted = own[row[asked]] * len(dictionary) + code[asked]
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             asked, at = asked[keys[at] == wanted], at[keys[at] == wanted]
-            each = first[at + 1] - first[at]
-            posting = np.repeat(asked, each)
-            pair = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[at], each)
-            tf = batch.column("counts").flatten().to_numpy().astype(np.float64)[posting]
-            size = batch.column("size").to_numpy()[row[posting]]
-            part = weight[pair] * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * size / mean[pair]))
-            met, of = np.unique(row[posting] * len(names) + question[pair], return_inverse=True)
-            score = np.bincount(of, part, len(met))
-            if digits is not None:
-                score = np.round(score, digits)
-            some = np.flatnonzero(score > 0)
-            best.add(met[some] % len(names), score[some], ids.take(pa.array(met[some] // len(names))))
+            many = first[at + 1] - first[at]
+            count, size = batch.column("counts").flatten().to_numpy(), batch.column("size").to_numpy()
+            for start, stop in pieces(np.bincount(row[asked], many, batch.num_rows).astype(np.int64), PAIRS):
+                some = slice(*np.searchsorted(row[asked], [start, stop]))
+                each = many[some]
+                posting = np.repeat(asked[some], each)
+                pair = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[at[some]], each)
+                tf, of_row = count[posting].astype(np.float64), row[posting]
+                part = weight[pair] * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * size[of_row] / mean[pair]))
+                met, of = np.unique(of_row * len(names) + question[pair], return_inverse=True)
+                score = np.bincount(of, part, len(met))
+                if digits is not None:
+                    score = np.round(score, digits)
+                good = np.flatnonzero(score > 0)
+                best.add(met[good] % len(names), score[good], ids.take(pa.array(met[good] // len(names))))
         found = best.pick()
         if found is not None:
             columns = [pa.array(names[found["question"].to_numpy()], kind), found["id"].combine_chunks(), found["score"].combine_chunks()]

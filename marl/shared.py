@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
+def pieces(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of stretches of rows, in order and all of them, whose sizes sum to `most` at most; a larger row is a stretch of its own.
+    What a task holds at a time then follows from `most`, not from how long the rows of an Arrow batch are."""
+    sums, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(sums, sums[at] + most, side="right")) - 1)
+        yield at, stop
+        at = stop
+
+
 def enough_tasks(spark: SparkSession, rows: int, each: int) -> int:
     """Tasks for so many rows that a task has about `each` of them, as many as the session asks for at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
