@@ -17,7 +17,7 @@ from ..shared import cut
 from .best import Best, ranked
 
 #: Bytes of query vectors that a task holds at a time, and products that it makes at a time.
-BLOCK_BYTES, PRODUCTS = 32 << 20, 4 << 20
+BLOCK_BYTES, PRODUCTS = 32 << 20, 1 << 18
 
 
 def usable(rows: DataFrame, key: str, column: str, name: str, normalize: bool, corpus: str | None) -> DataFrame:

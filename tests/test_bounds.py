@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from marl.operators import lexical
+from marl.operators import dense, lexical
 from marl.shared import pieces
 
 
@@ -52,3 +52,12 @@ def test_passages_are_scored_in_parts(monkeypatch):
     monkeypatch.setattr(lexical, "PAIRS", 1000)
     monkeypatch.setattr(lexical, "WORDS", 5000)
     assert pa.Table.from_batches(run(iter([batch]))) == found and found.num_rows == n * 5
+
+
+def test_products_are_made_in_parts():
+    rng = np.random.default_rng(2)
+    lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
+    block = pa.table({"question_id": np.arange(1000), "corpus_id": np.zeros(1000, np.int64), "v": lists(rng.normal(size=(1000, 16)))})
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(9000)), pa.array(np.zeros(9000, np.int64)), lists(rng.normal(size=(9000, 16)))], ["passage_id", "corpus_id", "v"])
+    run = dense._products(block, 20, 6, pa.int64())
+    assert peak(lambda: list(run(iter([batch])))) < 60
