@@ -7,6 +7,7 @@ import pyarrow as pa
 
 from marl.operators import dense, lexical
 from marl.shared import pieces
+from marl.sources import html
 
 
 def peak(run) -> float:
@@ -61,3 +62,11 @@ def test_products_are_made_in_parts():
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(9000)), pa.array(np.zeros(9000, np.int64)), lists(rng.normal(size=(9000, 16)))], ["passage_id", "corpus_id", "v"])
     run = dense._products(block, 20, 6, pa.int64())
     assert peak(lambda: list(run(iter([batch])))) < 60
+
+
+def test_pages_are_read_in_parts():
+    page = f"<p>{'word ' * (html.BYTES // 20)}</p>"
+    batch = pa.RecordBatch.from_arrays([pa.array([page, None] * 20), pa.array(range(40))], ["html", "page_id"])
+    made = list(html._extracted(["page_id", "title", "content"], False)(iter([batch])))
+    assert len(made) > 4 and pa.Table.from_batches(made)["page_id"].to_pylist() == list(range(40))
+    assert peak(lambda: [None for _ in html._extracted(["page_id", "title", "content"], False)(iter([batch]))]) < 12
