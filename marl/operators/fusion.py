@@ -100,6 +100,7 @@ def citations(hits: DataFrame, question: str, order: list[str], url: str) -> Dat
 
 
 def sources(hits: DataFrame, question: str = "question_id", fields: tuple[str, ...] = ("rank", "title", "url")) -> DataFrame:
-    """sources array<struct<fields, score>> of each question, every hit in the order of the fields, scores to four places."""
-    entry = F.struct(*fields, F.bround("score", 4).alias("score"))
+    """sources array<struct<fields, score>> of each question, every hit in the order of the fields, scores to four places,
+    halves of the product by 10,000 to even (SQL's round_even)."""
+    entry = F.struct(*fields, (F.rint(F.col("score") * 10_000) / 10_000).alias("score"))
     return hits.groupBy(question).agg(F.array_sort(F.collect_list(entry)).alias("sources"))

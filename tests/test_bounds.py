@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from marl.operators import dense, lexical
+from marl.operators import dense, fusion, lexical
 from marl.shared import pieces
 from marl.sources import html
 
@@ -70,3 +70,14 @@ def test_pages_are_read_in_parts():
     made = list(html._extracted(["page_id", "title", "content"], False)(iter([batch])))
     assert len(made) > 4 and pa.Table.from_batches(made)["page_id"].to_pylist() == list(range(40))
     assert peak(lambda: [None for _ in html._extracted(["page_id", "title", "content"], False)(iter([batch]))]) < 12
+
+
+def test_scores_of_sources_are_rounded_as_in_sql(spark):
+    """Halves are those of the product by 10,000."""
+    import duckdb
+
+    scores = [round(i / 10_000 + 0.00005, 6) for i in range(0, 120_000, 7)]
+    hits = spark.createDataFrame(list(enumerate(scores)), "question_id long, score double").selectExpr("*", "1 as rank", "'' as title", "'' as url")
+    found = {r.question_id: r.sources[0].score for r in fusion.sources(hits).collect()}
+    told = duckdb.execute("select round_even(x, 4) from (select unnest(?::double[]) as x)", [scores]).fetchall()
+    assert [found[i] for i in range(len(scores))] == [x for x, in told]
