@@ -32,7 +32,8 @@ class Pruned:
 
 
 def pruned_search(bounds: DataFrame, score: Callable[[DataFrame], DataFrame], k: int, first: int, slack: float) -> Pruned:
-    """bounds: (question_id, block, bound). score: pairs (question_id, block) -> (question_id, passage_id, score). first: blocks of a question
+    """bounds: (question_id, block, bound). score: pairs (question_id, block) -> (question_id, passage_id, score); pairs of
+    later blocks have a column floor, too, null or a score below which a hit is none. first: blocks of a question
     that are scored to find its floor. slack: how far below the floor a bound may be, for scores that are rounded."""
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("bound"), "block"))
     bounds = cut(bounds.select("question_id", "block", "bound"))
@@ -40,7 +41,7 @@ def pruned_search(bounds: DataFrame, score: Callable[[DataFrame], DataFrame], k:
     found = cut(ranked(score(opening), k))
     floor = found.where(F.col("rank") == k).select("question_id", F.col("score").alias("floor"))
     rest = bounds.join(opening, ["question_id", "block"], "left_anti").join(floor, "question_id", "left")
-    rest = cut(rest.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - slack)).select("question_id", "block"))
+    rest = cut(rest.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - slack)).select("question_id", "block", "floor"))
     hits = ranked(found.drop("rank").unionByName(score(rest)), k)
-    read = opening.unionByName(rest).withColumn("scored", F.lit(True))
+    read = opening.unionByName(rest.drop("floor")).withColumn("scored", F.lit(True))
     return Pruned(hits, bounds.join(read, ["question_id", "block"], "left").withColumn("scored", F.coalesce("scored", F.lit(False))))

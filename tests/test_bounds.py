@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from marl.operators import dense, fusion, lexical
+from marl.operators import dense, fusion, lexical, postings
 from marl.shared import pieces
 from marl.sources import html
 
@@ -81,3 +81,18 @@ def test_scores_of_sources_are_rounded_as_in_sql(spark):
     found = {r.question_id: r.sources[0].score for r in fusion.sources(hits).collect()}
     told = duckdb.execute("select round_even(x, 4) from (select unnest(?::double[]) as x)", [scores]).fetchall()
     assert [found[i] for i in range(len(scores))] == [x for x, in told]
+
+
+def test_blocks_give_the_best_hits_of_each_question_alone():
+    """Of a block that all questions want, a task gives k hits a question, not all that score; questions that don't want it get none."""
+    post = lambda ids: [{"passage_id": i, "impact": 1.0 + i % 7 / 7} for i in ids]
+    lists = pa.table({"corpus_id": np.zeros(30, np.int64), "term": [f"t{i}" for i in range(30)], "posts": [post(range(i, 100)) for i in range(30)]})
+    weights = pa.table({"corpus_id": np.zeros(1200, np.int64), "question_id": np.repeat(np.arange(40), 30), "term": [f"t{i}" for i in range(30)] * 40, "weight": np.linspace(1, 2, 1200)})
+    pairs = pa.table({"question_id": list(range(39)), "floor": pa.array([None] * 38 + [1e9])})
+    found = postings._scored(weights, 3, 6, (pa.int64(), pa.int64(), pa.float64()))((0,), lists, pairs).to_pydict()
+    assert sorted(set(found["question_id"])) == list(range(38)) and len(found["score"]) < 38 * 20
+    for q in (0, 37):
+        score = {p: round(sum(weights["weight"][q * 30 + t].as_py() * (1 + p % 7 / 7) for t in range(30) if p >= t), 6) for p in range(100)}
+        got = {p: s for i, p, s in zip(*found.values()) if i == q}
+        least = sorted(score.values())[-3]
+        assert got == {p: s for p, s in score.items() if s >= least}
