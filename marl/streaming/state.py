@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
 
 from ..shared import unused
@@ -25,6 +26,10 @@ def run_once(stream: DataFrame, path: str, name: str | None = None) -> DataFrame
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+#: Bytes of the row groups of a slice's file, by which the tasks of a micro-batch share it.
+ROW_GROUP = 8 << 20
+
+
 def replay(rows: DataFrame, ts: str, every: str, path: str) -> DataFrame:
     """A table as a stream that brings one slice of time with each micro-batch, in order: rows are written slice by slice under path first.
 
@@ -33,10 +38,10 @@ def replay(rows: DataFrame, ts: str, every: str, path: str) -> DataFrame:
     seconds = spark.range(1).select(F.expr(f"unix_seconds(timestamp'1970-01-01 00:00:00Z' + interval {every})")).first()[0]
     dated = rows.where(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
     slice_ = unused(rows, "slice")
-    dated.withColumn(slice_, F.floor(F.unix_micros(ts) / (seconds * 1_000_000))).repartition(slice_).write.partitionBy(slice_).parquet(f"{path}/slices")
+    dated.withColumn(slice_, F.floor(F.unix_micros(ts) / (seconds * 1_000_000))).hint("rebalance", slice_).write.partitionBy(slice_).parquet(f"{path}/slices")
     slices = [r[0] for r in spark.read.parquet(f"{path}/slices").select(slice_).distinct().orderBy(slice_).collect()]  # one number for each micro-batch to come
     for i, value in enumerate(slices):  # files are read in the order in which they were finished
-        spark.read.schema(dated.schema).parquet(f"{path}/slices/{slice_}={value}").coalesce(1).write.mode("append").parquet(f"{path}/batches")
+        spark.read.schema(dated.schema).parquet(f"{path}/slices/{slice_}={value}").coalesce(1).write.option("parquet.block.size", ROW_GROUP).mode("append").parquet(f"{path}/batches")
     return spark.readStream.schema(dated.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/batches")
 
 
@@ -55,57 +60,61 @@ def latest_within(rows: DataFrame, key: str, ts: str, tie: str, seconds: int, no
     return newest.crossJoin(F.broadcast(last)).where(F.col(ts) > F.col("_last") - F.make_dt_interval(secs=F.lit(seconds))).drop("_last")
 
 
-class _Lives(StatefulProcessor):
-    """One value of a key: when it was last renewed."""
-
-    def __init__(self, key: str, millis: int) -> None:
-        self.key, self.millis = key, millis
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at long")
-
-    def _told(self, key: tuple, at: list[int], what: list[str]) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]] * len(at), "at_ms": at, "what": what})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self.last.get()[0] if self.last.exists() else None
-        if before is not None:
-            self.handle.deleteTimer(before + self.millis)
-        at, what = [], []
-        for now in sorted(int(x) for batch in rows for x in batch["at_ms"]):
-            if before is not None and now - before >= self.millis:
-                at.append(before)
-                what.append("expired")
-                before = None
-            at.append(now)
-            what.append("miss" if before is None else "hit")
-            before = now
-        self.last.update((before,))
-        self.handle.registerTimer(before + self.millis)
-        yield self._told(key, at, what)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self.last.get()[0]
-        self.last.clear()
-        yield self._told(key, [before], ["expired"])
+#: Groups that the keys of `lives` are dealt to: what Python is called for follows from them, not from the keys.
+BUCKETS = 256
+
+
+def _packed(keys: np.ndarray, at: np.ndarray) -> bytes:
+    sink, table = pa.BufferOutputStream(), pa.table({"key": pa.array(keys, from_pandas=True), "at": pa.array(at, pa.int64())})
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _lives(key: str, millis: int):
+    """Rows of a bucket of keys, whose live values are its state: each key with the time of its last renewal."""
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+        asked = [] if state.hasTimedOut else [b[[key, "at_ms"]] for b in batches]
+        known = 0 if kept is None else len(kept)
+        both = pd.concat([*([] if kept is None else [kept.set_axis([key, "at_ms"], axis=1)]), *asked], ignore_index=True)
+        code, at = pd.factorize(both[key], use_na_sentinel=False)[0], both["at_ms"].to_numpy(np.int64)
+        new = np.arange(len(at)) >= known
+        order = np.lexsort((at, new, code))  # of each key its value first, then its rows by time
+        code, at, new = code[order], at[order], new[order]
+        same, watermark = code[1:] == code[:-1], state.getCurrentWatermarkMs()
+        alive = np.concatenate([[False], same & (at[1:] - at[:-1] < millis)])
+        last = np.append(~same, True)
+        over = np.append(same & ~alive[1:], False) | (last & (at + millis <= watermark))  # not renewed in time
+        told, what = np.concatenate([np.flatnonzero(new), np.flatnonzero(over)]), np.where(alive[new], "hit", "miss")
+        left = np.flatnonzero(last & ~over)
+        if len(left):
+            state.update((_packed(both[key].to_numpy()[order[left]], at[left]),))
+            # a state is called on once the watermark is beyond its time: with the first end, that is
+            state.setTimeoutTimestamp(max(1, int(at[left].min()) + millis - 1))
+        else:
+            state.remove()
+        yield pd.DataFrame({key: both[key].to_numpy()[order[told]], "at_ms": at[told], "what": np.concatenate([what, np.full(int(over.sum()), "expired")])})
 
-    def close(self) -> None:
-        pass
+    return run
 
 
-def lives(stream: DataFrame, key: str, ts: str, seconds: int, delay: str) -> DataFrame:
+def lives(stream: DataFrame, key: str, ts: str, seconds: int, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """(key, at_ms, what) of a stream of rows that each ask for their key's value and renew it: "hit" where it was younger than the time to live,
     "miss" where there was none, and "expired", with the time of its last renewal, once for each value that was not renewed in time.
 
     The state of a key is one number. It goes when the watermark, `delay` behind the latest time, has passed the value's end, so that what is
     kept follows from the keys of one time to live, not from all that ever came. Rows behind the watermark, and rows without key or time, take
-    no part. Sets the session's state store to RocksDB, which this kind of state asks for."""
+    no part. Keys are dealt to so many buckets, each of which a task looks at as one table: its rows of a micro-batch and its live values.
+    Sets the session's state store to RocksDB, so that states are not held in the memory of executors."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay).select(F.col(key).alias(key), ts, F.unix_millis(ts).alias("at_ms"))
+    rows = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, delay)
+    bucket = unused(stream, "bucket")
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias(bucket), F.col(key).alias(key), ts, F.unix_millis(ts).alias("at_ms"))
     kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(_Lives(key, seconds * 1000), f"{key} {kind}, at_ms long, what string", "Append", "EventTime")
+    return dealt.groupBy(bucket).applyInPandasWithState(_lives(key, seconds * 1000), f"{key} {kind}, at_ms long, what string", "live binary", "append", "EventTimeTimeout")
 
 
 def cache_stats(rows: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
