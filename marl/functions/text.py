@@ -15,6 +15,8 @@ SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 #: The same as a plain string.
 BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+#: White space after a stop; a blank is looked for first, as most places hold none.
+STOP = f"[{SPACE}](?<=[.!؟][{SPACE}])[{SPACE}]*"
 DIACRITICS = "[\\u064B-\\u065F\\u0670]"
 
 
@@ -59,8 +61,18 @@ def count_of(c: Column | str, members: str) -> Column:
     return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"[{members}]+", ""))
 
 
+def reaches(c: Column | str, script: str, least: float) -> Column:
+    """script_ratio(c, script) >= least. A text's beginning is counted first: where it holds so many already, the rest is not looked at. c is
+    best a column or a variable (let), as it is named several times."""
+    c = col(c)
+    size = F.greatest(F.length(c), F.lit(1))
+    whole = count_of(c, script) / size >= least
+    beginning = F.substring(c, F.lit(1), F.ceil(size * (1.6 * least)).cast("int"))
+    return (count_of(beginning, script) / size >= least) | whole if least < 0.5 else whole
+
+
 def is_script_heavy(c: Column | str, least: float = 0.15, script: str = ARABIC) -> Column:
-    return (F.length(col(c)) > 0) & (script_ratio(c, script) >= least)
+    return (F.length(col(c)) > 0) & reaches(c, script, least)
 
 
 def is_valid_document(c: Column | str, script: str = ARABIC, least: float = 0.15, chars: int = 80) -> Column:
@@ -83,8 +95,9 @@ def nfc(c: Column | str) -> Column:
 
 
 def fold_letters(c: Column | str) -> Column:
-    """Hamza forms to their letters, without diacritics; text must be in normal form C."""
-    return F.regexp_replace(F.translate(col(c), lexicon.LETTERS, lexicon.FOLDED_LETTERS), DIACRITICS, "")
+    """Hamza forms to their letters, without diacritics; text must be in normal form C. Texts that hold none of them stay as they are."""
+    folded = lambda x: F.regexp_replace(F.translate(x, lexicon.LETTERS, lexicon.FOLDED_LETTERS), DIACRITICS, "")
+    return let(col(c), lambda x: F.when(x.rlike(f"[{lexicon.LETTERS}{DIACRITICS[1:-1]}]"), folded(x)).otherwise(x))
 
 
 def normalize_question(c: Column | str) -> Column:
@@ -111,11 +124,11 @@ def lines(c: Column | str) -> Column:
 
 
 def split_sentences(c: Column | str, longer_than: int = 5) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), f"(?<=[.!؟])[{SPACE}]+"), strip), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), STOP), strip), lambda s: F.length(s) > longer_than)
 
 
 def split_paragraphs(c: Column | str, least: int = 50) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), f"\\n+|(?<=[.!؟])[{SPACE}]+"), strip), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), f"\\n+|{STOP}"), strip), lambda s: F.length(s) >= least)
 
 
 def md5_text(c: Column | str) -> Column:

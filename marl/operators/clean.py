@@ -60,14 +60,22 @@ def _replaced_if(c: Column, sign: str, pattern: str) -> Column:
     return text.let(c, lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, " ")).otherwise(t))
 
 
+def _without_noise(c: Column | str, noise: list[str]) -> Column:
+    """Stripped lines that are neither empty nor noise. Lines longer than all noise are not compared with it."""
+    longest = max(map(len, noise), default=0)
+    return F.filter(text.lines(c), lambda x: (x != "") & ((F.length(x) > longest) | ~F.coalesce(x.rlike(f"(?iu)^(?:{quoted(noise)})$"), F.lit(False))))
+
+
 def noise_lines_removed(c: Column | str, noise: list[str]) -> Column:
-    kept = F.filter(text.lines(c), lambda x: (x != "") & ~F.coalesce(x.rlike(f"(?iu)^(?:{quoted(noise)})$"), F.lit(False)))
-    return F.array_join(kept, "\n")
+    return F.array_join(_without_noise(c, noise), "\n")
+
+
+def _in_script(lines: Column, script: str, chars: int, ratio: float) -> Column:
+    return F.filter(lines, lambda x: (F.length(x) >= chars) & text.reaches(x, script, ratio))
 
 
 def script_sections(c: Column | str, script: str = text.ARABIC, chars: int = 40, ratio: float = 0.20) -> Column:
-    kept = F.filter(text.lines(c), lambda x: (F.length(x) >= chars) & (text.script_ratio(x, script) >= ratio))
-    return F.array_join(kept, "\n\n")
+    return F.array_join(_in_script(text.lines(c), script, chars, ratio), "\n\n")
 
 
 def lines_deduplicated(c: Column | str) -> Column:
@@ -95,9 +103,10 @@ def quality_score(c: Column | str, script: str = text.ARABIC, words: list[str] |
 def clean_content(c: Column | str, cfg: CleanConfig = CleanConfig()) -> Column:
     """The cleaned text, empty if it isn't valid. The text must be in normal form C."""
     noise, _ = cfg.lists()
-    plain = noise_lines_removed(text.fold_letters(strip_markup(F.coalesce(text.col(c), F.lit("")))), noise)
-    body = text.let(plain, lambda t: text.let(script_sections(t, cfg.script, cfg.line_chars, cfg.line_ratio), lambda s: F.when(s == "", t).otherwise(s)))
-    tidy = text.strip(F.regexp_replace(F.regexp_replace(lines_deduplicated(body), "[ \\t]+", " "), "\\n{3,}", "\n\n"))
+    plain = _without_noise(text.fold_letters(strip_markup(F.coalesce(text.col(c), F.lit("")))), noise)
+    body = text.let(plain, lambda k: text.let(_in_script(k, cfg.script, cfg.line_chars, cfg.line_ratio), lambda s: F.when(F.size(s) == 0, k).otherwise(s)))
+    # lines stay a list from one step to the next: they are stripped and not empty, and so is what they are joined to
+    tidy = F.regexp_replace(F.array_join(F.array_distinct(body), "\n"), "\\t[ \\t]*| [ \\t]+", " ")
     return text.let(tidy, lambda t: F.when(text.is_valid_document(t, cfg.script, cfg.least_ratio, cfg.least_chars), t).otherwise(F.lit("")))
 
 
