@@ -234,14 +234,12 @@ def _distinct(group: Group) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         anchors.append(anchor)
         owners.append(group.ids[at + row])
     anchors, owners = np.concatenate(anchors), np.concatenate(owners)
-    order = np.lexsort([owners, anchors])
+    order = np.argsort(anchors)
     anchors, owners = anchors[order], owners[order]
     new = np.ones(len(anchors), bool)
     new[1:] = anchors[1:] != anchors[:-1]
-    other = np.zeros(len(anchors), bool)
-    other[1:] = ~new[1:] & (owners[1:] != owners[:-1])
     at = np.flatnonzero(new)
-    twice = np.add.reduceat(other.astype(np.int64), at) > 0 if len(at) else np.zeros(0, bool)
+    twice = np.minimum.reduceat(owners, at) != np.maximum.reduceat(owners, at) if len(at) else np.zeros(0, bool)
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
     return anchors[at], twice, np.diff(np.append(at, len(anchors))).astype(np.uint32), of

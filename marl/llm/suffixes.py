@@ -1,130 +1,102 @@
-"""Suffix-array dedup: a hash-compared suffix sort over the bytes of texts.
+"""Suffix-array dedup: a suffix sort, eight bytes after eight, over the bytes of texts.
 
 Windows of 50 bytes that also start in a document with a smaller id are found by sorting the suffixes at their starts.
-Suffixes fall into ties by their first 16 bytes; ties are merged bottom-up, all pairs of runs at once, and two suffixes
-are compared in logarithmic time: prefix polynomial hashes and binary search give their common extension, the byte after
-it decides. Suffixes that the sort puts side by side as equal are checked byte by byte.
+Suffixes fall into ties by their first eight bytes. A tie whose neighbours are all equal, in all bytes, is done; what the
+others hold falls into smaller ties by the next eight, until none is left that differs within. Nothing is hashed: suffixes
+of one tie are equal byte by byte.
 """
 
 from __future__ import annotations
 
+import sys
 from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .repeats import Piece, RepeatConfig, kept_of, plain, remove_repeats
-from .text import PrefixHash, gather
 
 
-def _heads(text: np.ndarray) -> np.ndarray:
-    """The eight bytes at each place as a number that sorts like them."""
-    found = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
-    for step in (1, 2, 4):
-        found = (found[:-step] << np.uint64(8 * step)) | found[step:]
-    return found[: len(text)]
+#: Suffixes compared with their neighbours at a time.
+BLOCK = 1 << 15
 
 
 class Suffixes:
     """Suffixes of a text at given starts, compared by their first `limit` bytes, all of which must lie within the text."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, limit: int) -> None:
-        self.text, self.starts, self.limit = text, starts, limit
-        self.heads = _heads(text)
-        self.hash = PrefixHash(text)
-        self.whole = self.hash.of(starts, starts + limit)
-
-    def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common beginning of suffixes that differ, by binary search over hashes."""
-        a, b = self.starts[i], self.starts[j]
-        low, high = np.zeros(len(i), np.int64), np.full(len(i), self.limit - 1, np.int64)
-        for _ in range(int(self.limit).bit_length()):
-            mid = (low + high + 1) >> 1
-            same = self.hash.of(a, a + mid) == self.hash.of(b, b + mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
-
-    def less(self, i: np.ndarray, j: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """i < j, or i <= j where or_equal is set."""
-        found = or_equal.copy()
-        differ = np.flatnonzero(self.whole[i] != self.whole[j])
-        if len(differ):
-            a, b = i[differ], j[differ]
-            at = self.extension(a, b)
-            found[differ] = self.text[self.starts[a] + at] < self.text[self.starts[b] + at]
+        self.starts, self.limit, self.span = starts, limit, min(8, limit)
+        text = np.ascontiguousarray(text, np.uint8)
+        if self.limit < 8:  # a number takes in more bytes than are compared: room behind the last ones
+            text = np.append(text, np.zeros(8, np.uint8))
+        self.words = np.ndarray(max(0, len(text) - 7), np.uint64, text, strides=(1,))
+        #: Where the bytes compared are read, eight at a time; the last eight overlap those before.
+        self.steps = [*range(0, limit - 7, 8), *([limit - 8] if limit % 8 and limit > 8 else [])] or [0]
+
+    def heads(self, starts: np.ndarray, step: int) -> np.ndarray:
+        """The eight bytes at a step of each suffix (fewer below a limit of eight) as a number that sorts like them."""
+        found = self.words[starts + step]
+        if sys.byteorder == "little":
+            found = found.byteswap(inplace=True)
+        return found >> np.uint64(8 * (8 - self.span)) if self.span < 8 else found
+
+    def _differ(self, starts: np.ndarray, steps: list[int]) -> np.ndarray:
+        """Is each suffix another than the one before it, by its bytes from the given steps on."""
+        found = np.zeros(len(starts), bool)
+        for at in range(0, len(starts), BLOCK):
+            part = starts[max(0, at - 1) : at + BLOCK]
+            for step in steps:
+                heads = self.heads(part, step)
+                found[at + (at == 0) : at + BLOCK] |= heads[1:] != heads[:-1]
         return found
 
-    def order(self) -> np.ndarray:
-        """Indexes of the suffixes, sorted; equal ones in the order of their indexes."""
-        first = self.heads[self.starts]
-        second = self.heads[np.minimum(self.starts + 8, len(self.heads) - 1)] if self.limit >= 16 else np.zeros(len(first), np.uint64)
-        if self.limit < 8:
-            first = first >> np.uint64(8 * (8 - self.limit))
-        order = np.lexsort([second, first])
-        first, second = first[order], second[order]
-        tied = np.zeros(len(order), bool)
-        tied[1:] = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
-        begin = np.flatnonzero(~tied)
-        sizes = np.diff(np.append(begin, len(order)))
-        # a tie whose suffixes are all equal is one run already, in the order of their indexes
-        whole = self.whole[order]
-        differ = np.zeros(len(order), np.int64)
-        differ[1:] = tied[1:] & (whole[1:] != whole[:-1])
-        mixed = np.add.reduceat(differ, begin) > 0 if len(begin) else np.zeros(0, bool)
-        begin, sizes = begin[mixed], sizes[mixed]
-        width = 1
-        while len(sizes):
-            self._merge(order, begin, sizes, width)
-            width *= 2
-            begin, sizes = begin[sizes > width], sizes[sizes > width]
-        return order
-
-    def _merge(self, order: np.ndarray, begin: np.ndarray, sizes: np.ndarray, width: int) -> None:
-        """Merges neighbouring sorted runs of `width` within each tie: every member finds its rank in the other run by binary search."""
-        local = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        base, size = np.repeat(begin, sizes), np.repeat(sizes, sizes)
-        block = local // (2 * width) * (2 * width)
-        left = local < block + width
-        some = block + width < size  # the pair has a right run
-        local, base, size, block, left = (x[some] for x in (local, base, size, block, left))
-        own = order[base + local]
-        other = np.where(left, block + width, block)
-        low = np.zeros(len(own), np.int64)
-        high = np.where(left, np.minimum(block + 2 * width, size) - other, width)
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(order, flags of those that differ from the one before); equal ones are in the order of their indexes."""
+        n = len(self.starts)
+        heads = self.heads(self.starts, 0)
+        order = np.argsort(heads)
+        heads = heads[order]
+        new = np.ones(n, bool)
+        new[1:] = heads[1:] != heads[:-1]
+        own = np.arange(n)  # places in order that may still change
+        for k in range(1, len(self.steps)):
+            own = self._mixed(order, new, own, self.steps[k:])
+            if not len(own):
                 break
-            mid = (low[open_] + high[open_]) >> 1
-            theirs = order[base[open_] + other[open_] + mid]
-            before = self.less(theirs, own[open_], ~left[open_])  # of equal ones the left run comes first
-            low[open_] = np.where(before, mid + 1, low[open_])
-            high[open_] = np.where(before, high[open_], mid)
-        order[base + np.where(left, local, local - width) + low] = own
+            part = order[own]
+            heads = self.heads(self.starts[part], self.steps[k])
+            tie = np.cumsum(new[own]).astype(np.uint64)
+            by_head = np.argsort(heads)
+            by_tie = np.sort(tie[by_head] << np.uint64(32) | np.arange(len(own), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
+            moved = by_head[by_tie]
+            order[own] = part[moved]
+            heads = heads[moved]
+            new[own[1:]] |= heads[1:] != heads[:-1]
+        rank = np.cumsum(new).astype(np.uint64) << np.uint64(32)
+        return (np.sort(rank | order.astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64), new
+
+    def _mixed(self, order: np.ndarray, new: np.ndarray, own: np.ndarray, steps: list[int]) -> np.ndarray:
+        """Of the places `own`, those in ties of which some differ from the one before them by what is read at the steps to come."""
+        first = np.flatnonzero(new[own])
+        sizes = np.diff(np.append(first, len(own)))
+        several = np.repeat(sizes > 1, sizes)
+        own = own[several]
+        if not len(own):
+            return own
+        differ = self._differ(self.starts[order[own]], steps)
+        first, sizes = np.flatnonzero(new[own]), sizes[sizes > 1]
+        differ[first] = False
+        return own[np.repeat(np.logical_or.reduceat(differ, first), sizes)]
 
-    def classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """(order, flags of those that differ from the one before), equality checked byte by byte."""
-        order = self.order()
-        new = np.ones(len(order), bool)
-        new[1:] = self.whole[order[1:]] != self.whole[order[:-1]]
-        check = np.flatnonzero(~new)
-        # eight bytes at a time, the last eight overlapping those before; fewer than eight by what they start with
-        steps = [*range(0, self.limit - 7, 8), *([self.limit - 8] if self.limit % 8 and self.limit > 8 else [])] or [0]
-        shift = np.uint64(8 * max(0, 8 - self.limit))
-        for at in range(0, len(check), 1 << 18):
-            part = check[at : at + (1 << 18)]
-            a, b = self.starts[order[part]], self.starts[order[part - 1]]
-            for step in steps:
-                new[part] |= (self.heads[a + step] >> shift) != (self.heads[b + step] >> shift)
-        return order, new
+    def order(self) -> np.ndarray:
+        """Indexes of the suffixes, sorted; equal ones in the order of their indexes."""
+        return self.classes()[0]
 
 
-def resolve(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, windows: np.ndarray, ids: np.ndarray, _highest: np.ndarray, limit: int = 50) -> np.ndarray:
+def resolve(text: np.ndarray, starts: np.ndarray, _lengths: np.ndarray, windows: np.ndarray, ids: np.ndarray, _highest: np.ndarray, limit: int = 50) -> np.ndarray:
     """The smallest id under which each window starts: that of the equal suffixes beside it in the sorted order."""
-    own = gather(text, starts, lengths)
-    begin = np.cumsum(lengths) - lengths
-    place = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    order, new = Suffixes(own, place, limit).classes()
+    place = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    order, new = Suffixes(text, place, limit).classes()
     first = np.flatnonzero(new)
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(np.repeat(ids, windows)[order], first), np.diff(np.append(first, len(order))))

@@ -95,10 +95,24 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), places
 
 
+#: Stretches of this length at least, on average, are copied one by one; shorter ones by index, so many places at a time.
+LONG_STRETCH, PLACES = 64, 1 << 16
+
+
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Stretches of data laid end to end."""
-    before = np.cumsum(lengths) - lengths
-    return data[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    if total and total >= LONG_STRETCH * len(ends):
+        return np.concatenate([data[a:b] for a, b in zip(starts.tolist(), (starts + lengths).tolist())])
+    found, at = np.empty(total, data.dtype), 0
+    while at < len(ends):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PLACES, "right")))
+        n = lengths[at:to]
+        found[done : int(ends[to - 1])] = data[np.repeat(starts[at:to] - (ends[at:to] - n - done), n) + np.arange(int(ends[to - 1]) - done)]
+        at = to
+    return found
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], step: int = STEP_BYTES) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:

@@ -7,6 +7,7 @@ import pytest
 
 from marl.llm import fmindex, suffixes
 from marl.llm.repeats import RepeatConfig, classes_of, remove_repeats
+from marl.llm.text import gather
 
 
 def brute(rows, size, units_of):
@@ -114,6 +115,37 @@ def test_suffix_order_and_collisions():
     assert heads == [b"aaa", b"bbb", b"aaa", b"bbb"]
 
 
+def test_suffix_sort_needs_no_hash_and_no_room_for_the_text():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    for limit in (1, 5, 8, 9, 16, 23, 50):
+        for letters in (1, 2, 256):
+            text = rng.integers(0, letters, 900).astype(np.uint8)
+            text[100:300] = text[500:700]
+            starts = rng.integers(0, len(text) - limit + 1, 400)
+            raw = text.tobytes()
+            want = sorted(range(len(starts)), key=lambda i: (raw[starts[i] : starts[i] + limit], i))
+            order, new = suffixes.Suffixes(text, starts, limit).classes()
+            assert order.tolist() == want
+            assert new.tolist() == [True] + [raw[starts[a] : starts[a] + limit] != raw[starts[b] : starts[b] + limit] for b, a in zip(want, want[1:])]
+    # what is held follows from the windows: a place of the text that starts none costs nothing
+    text, n = rng.integers(97, 123, 4_000_000).astype(np.uint8), 1000
+    tracemalloc.start()
+    suffixes.resolve(text, np.arange(n) * 4000, np.full(n, 4000), np.ones(n, np.int64), np.arange(n), np.arange(n))
+    assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    tracemalloc.stop()
+
+
+def test_gather_lays_stretches_end_to_end():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, 300_000).astype(np.uint8)
+    for most, n in ((1, 0), (1, 9), (3, 70_000), (60, 5000), (400, 1000), (100_000, 8)):
+        lengths = rng.integers(0, most, n)
+        starts = rng.integers(0, len(data) - most, n)
+        assert gather(data, starts, lengths).tobytes() == b"".join(data[a : a + m].tobytes() for a, m in zip(starts, lengths))
+
+
 def test_backward_search_counts_occurrences():
     rng = np.random.default_rng(1)
     text = np.append(rng.integers(1, 5, 400), 0)
