@@ -26,7 +26,7 @@ import pyarrow as pa
 from .text import gather, give_back, text_batches
 
 #: Cached slices of one Python worker; on overflow the cache starts anew.
-CACHED = 200_000
+CACHED = 100_000
 #: Bytes of text encoded at a time: ids and slices take about fifty times their text while they are made.
 PIECE = 1 << 19
 #: Slices up to this many bytes are merged side by side, those up to LISTED as lists; rank of a pair that doesn't merge.
@@ -374,6 +374,7 @@ def encode_decode(path: str, ids: bool = False, digest: bool = True):
     from hashlib import sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what a worker has kept of another stage: the vocabulary takes its place
         vocab = vocabulary(path)
         vocab.cache.clear()  # of the task before: workers live on, their memory is for others, too
         for keys, data, offsets in text_batches(batches, PIECE):

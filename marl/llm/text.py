@@ -36,7 +36,8 @@ def trim() -> None:
 
 
 def give_back() -> None:
-    """The same at the end of a task: Python workers live on from stage to stage beside others."""
+    """The same at the end of a task, and powers kept: Python workers live on from stage to stage beside others."""
+    _powers.clear()
     gc.collect()
     trim()
 

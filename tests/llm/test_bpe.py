@@ -97,3 +97,20 @@ def test_pairs_that_make_a_lower_pair_wait_for_it(tmp_path):
         for _ in range(20):
             piece = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 60))).encode()
             assert vocab.merge_long(piece) == vocab.merge(piece)
+
+
+def test_a_task_gives_back_what_its_worker_has_kept():
+    import pyarrow as pa
+
+    from marl.llm import text
+    from marl.llm.settings import vocabulary_path
+
+    row = pa.RecordBatch.from_pydict({"doc_id": [1], "t": pa.array([b"some words"], pa.binary())})
+    text.PrefixHash(np.zeros(300_000, np.uint8))
+    task = bpe.encode_decode(vocabulary_path())(iter([row]))
+    assert text._powers
+    assert next(task)["n_tokens"].to_pylist()[0] > 0
+    assert not text._powers
+    text.PrefixHash(np.zeros(300_000, np.uint8))
+    text.give_back()
+    assert not text._powers
