@@ -73,23 +73,22 @@ def chunk_table(documents: DataFrame, cfg: AnswerConfig = AnswerConfig(), column
     """Unique chunks of cleaned documents (doc_id of any type, a text column, and whatever else, which stays: url, title and corpus_id among
     it); of equal chunks, within a corpus if there are corpora, the first one of the smallest doc_id stays. ingest_pages gives documents
     whose text is the column content."""
-    cleaned = clean.clean_documents(documents, cfg.cleaning, column)
-    others = [c for c in documents.columns if c not in (column, "content", "quality", "hash")]
-    chunks = clean.chunk_documents(cleaned.select("content", *(f"`{c}`" for c in others)), cfg.chunking)
+    chunks = clean.chunk_texts(documents, cfg.cleaning, cfg.chunking, column)
     copy = dedup.chunk_hash()
-    if "corpus_id" in others:
+    if "corpus_id" in chunks.columns:
         copy = F.concat_ws("|", F.col("corpus_id").cast("string"), copy)
         # a document may be in several corpora: its chunks are told apart by theirs
         chunks = chunks.withColumn("chunk_id", F.concat_ws("/", F.col("corpus_id").cast("string"), "chunk_id"))
     return cut(dedup.first_copies(chunks, copy, "doc_id", "chunk_index"))
 
 
-def hits(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", indexed: DataFrame | None = None) -> DataFrame:
+def hits(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", indexed: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(question_id, passage_id, score, rank): the best chunks of each question.
 
     strategy: "bm25"; "dense", for which questions and chunks have a column embedding; or "hybrid", both fused. Questions and chunks with a
     column corpus_id are searched corpus by corpus, with the statistics of each: a corpus for each question, say. indexed: an index of the
-    chunks that was made before (lexical.index, lexical.read_index)."""
+    chunks that was made before (lexical.index, lexical.read_index). vectors: (doc_id, embedding) of documents, which their chunks share, in place
+    of the chunks' own: they meet the chunks' numbers only, and no text is exchanged for them."""
     corpus = "corpus_id" if "corpus_id" in chunks.columns else None
     many = cfg.retrieved if strategy != "hybrid" else cfg.hybrid.k * cfg.hybrid.over_fetch
     found = {}
@@ -97,7 +96,8 @@ def hits(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConf
         indexed = lexical.index(lexical.passages(chunks, "chunk_id", "chunk_text", corpus)) if indexed is None else indexed
         found["bm25"] = lexical.search(questions, indexed, many, 6, cfg.bm25)
     if strategy in ("dense", "hybrid"):
-        found["dense"] = dense.search(questions, chunks, many, "chunk_id", "embedding", "question_id", normalize=True, corpus=corpus)
+        known = chunks if vectors is None else chunks.select("doc_id", "chunk_id", *([corpus] if corpus else [])).join(vectors.select("doc_id", "embedding"), "doc_id")
+        found["dense"] = dense.search(questions, known, many, "chunk_id", "embedding", "question_id", normalize=True, corpus=corpus)
     if not found:
         raise ValueError(f"no strategy {strategy!r}")
     return fusion.fuse(found["bm25"], found["dense"], cfg.hybrid) if strategy == "hybrid" else found[strategy]
@@ -109,9 +109,9 @@ def met(hits: DataFrame, rows: DataFrame, key: str = "passage_id") -> DataFrame:
     return rows.join(F.broadcast(hits) if hits.count() <= SMALL_ROWS else hits, key)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", indexed: DataFrame | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", indexed: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """The best chunks of each question with all their columns, reranked by the overlap of their terms with the question's."""
-    found = cut(hits(questions, chunks, cfg, strategy, indexed))
+    found = cut(hits(questions, chunks, cfg, strategy, indexed, vectors))
     texts = chunks.drop("embedding").withColumnRenamed("chunk_id", "passage_id")
     clashing = [c for c in texts.columns if c in ("question_id", "question", "score", "rank")]
     joined = met(found, texts.drop(*clashing))
@@ -119,9 +119,9 @@ def retrieve(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = Answer
     return fusion.rerank(joined.join(asked, "question_id"), lexical.token_overlap("question", "chunk_text"), cfg.reranked)
 
 
-def answer_context(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25") -> DataFrame:
-    """(question_id, n_texts, context) of every question that has evidence among the chunks (chunk_table)."""
-    found = retrieve(questions, chunks, cfg, strategy)
+def answer_context(questions: DataFrame, chunks: DataFrame, cfg: AnswerConfig = AnswerConfig(), strategy: str = "bm25", vectors: DataFrame | None = None) -> DataFrame:
+    """(question_id, n_texts, context) of every question that has evidence among the chunks (chunk_table); vectors as for hits."""
+    found = retrieve(questions, chunks, cfg, strategy, vectors=vectors)
     packed = fusion.packed_hits(found, "question_id", ["rank"], "chunk_text", cfg.budget)
     return fusion.contexts(packed, "question_id", ["rank"], "chunk_text")
 

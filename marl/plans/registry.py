@@ -738,9 +738,9 @@ def answer_context(spark, sf_dir):
 
     The driver's vectors are paired with documents (whose chunks share them) and questions by number: a synthetic association."""
     e = table(spark, sf_dir, "embeddings")
-    chunks = pipeline.chunk_table(table(spark, sf_dir, "documents"), LATIN_ANSWER).join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    chunks = pipeline.chunk_table(table(spark, sf_dir, "documents"), LATIN_ANSWER)
     questions = items(spark, sf_dir).join(e.select(F.col("vec_id").alias("question_id"), "embedding"), "question_id", "left")
-    return pipeline.answer_context(questions, chunks, LATIN_ANSWER, "hybrid")
+    return pipeline.answer_context(questions, chunks, LATIN_ANSWER, "hybrid", e.select(F.col("vec_id").alias("doc_id"), "embedding"))
 
 
 def _pages_answers(page_corpus: str, item_corpus: str) -> str:

@@ -96,3 +96,17 @@ def test_blocks_give_the_best_hits_of_each_question_alone():
         got = {p: s for i, p, s in zip(*found.values()) if i == q}
         least = sorted(score.values())[-3]
         assert got == {p: s for p, s in score.items() if s >= least}
+
+
+def test_vectors_of_documents_meet_no_texts(spark):
+    from marl.plans import pipeline
+
+    chunks = spark.createDataFrame([(1, "1_0", "red apple"), (1, "1_1", "green pear"), (2, "2_0", "blue plum"), (3, "3_0", "no vector")], "doc_id long, chunk_id string, chunk_text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8])], "doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, "red plum", [0.0, 1.0])], "question_id long, question string, embedding array<double>")
+    for strategy in ("dense", "hybrid"):
+        found = pipeline.hits(asked, chunks, strategy=strategy, vectors=vectors)
+        assert found.collect() == pipeline.hits(asked, chunks.join(vectors, "doc_id", "left"), strategy=strategy).collect()
+    plan = pipeline.hits(asked, chunks, strategy="dense", vectors=vectors)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Project" in line or "Exchange" in line]
+    assert exchanges and not any("chunk_text" in line for line in exchanges)

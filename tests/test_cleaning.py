@@ -48,3 +48,17 @@ def test_sentences_end_at_blanks_after_stops(spark):
     rows = [("".join(pick.choice("ab. !؟\n　\x1c\t") for _ in range(60)),) for _ in range(500)]
     before = F.filter(F.transform(F.split("x", f"(?<=[.!؟])[{text.SPACE}]+"), text.strip), lambda s: F.length(s) > 1)
     assert spark.createDataFrame(rows, "x string").where(text.split_sentences("x", 1) != before).count() == 0
+
+
+@pytest.mark.parametrize("script", [text.ARABIC, text.LATIN, "\\p{IsLatin}"])
+def test_texts_by_batches_are_cleaned_and_cut_as_by_expressions(spark, script):
+    pick = random.Random(11)
+    parts = ["word ", "كلمة ", "أإآ ", "مُـةٌ", "\t \t", "  ", "\n", "\n\n\n", "\r\n", "\x1c", "　", "123456 ", "....", "! ", "؟ ", "end. ", ".\n", "\nab.\n", "\nshare\n", "\nتابعنا\n", "<b>", "é😀 ", "@ x@y ", " http://a/b ", "[صفحة ٣]", "a long run of plain words. ", "جملة طويلة من الكلمات. "]
+    rows = [(i, "".join(pick.choice(parts) for _ in range(pick.randrange(0, 120))), i % 3) for i in range(800)] + [(-1, None, 0), (-2, "", 1), (-3, "\n\n", 2), (None, "a long run of plain words. " * 9, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `some.thing` int")
+    cleaning = clean.CleanConfig(script=script, least_chars=20, noise=NOISE)
+    for chunking in (clean.ChunkConfig(), clean.ChunkConfig(60, 25), clean.ChunkConfig(40, 40), clean.ChunkConfig(30, 0)):
+        expected = clean.chunk_documents(clean.clean_documents(df.withColumnRenamed("some.thing", "some"), cleaning).drop("text", "quality", "hash"), chunking).collect()
+        found = clean.chunk_texts(df, cleaning, chunking) if "p{" not in script else clean.chunk_texts(df.withColumnRenamed("some.thing", "some"), cleaning, chunking)
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, expected))) and len(expected) > 300
+        assert [f.dataType for f in found.schema] == [f.dataType for f in spark.createDataFrame(expected[:1], found.schema).schema]
